@@ -5,14 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language_crf, quality_ftrl, secret_cnn
 from .byte_bpe import encode_decode
-from .common import table
+from .common import held_out, table
 from .packing import pack
 
 
+def digest(spans: str, kinds: tuple[str, ...]) -> list[Column]:
+    """Counts and the sha256 of the base spans, and all spans as text; spans: array of start, kind, end, base, in order."""
+    joined = lambda only: F.expr(f"array_join(transform(filter({spans}, s -> {only}), s -> concat(s.kind, ':', s.start, ':', s.`end`)), ',')")
+    counts = [F.expr(f"cast(size(filter({spans}, s -> s.base and s.kind = '{k}')) as long) as n_{k}") for k in kinds]
+    return [*counts, F.sha2(joined("s.base"), 256).alias("base_sha256"), joined("true").alias("spans")]
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_cnn.scan(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", *digest("spans", ("assign", "access", "hex")))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode_decode(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -22,7 +34,20 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_byte_bpe, op7_packing)}
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_ftrl.fit(docs, labels, "doc_id", "text", "quality", ~held_out(F.col("doc_id")))
+    out = quality_ftrl.score(docs, "doc_id", "text", model)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_crf.fit(docs, "doc_id", "text", "lang", ~held_out(F.col("doc_id")))
+    return language_crf.identify(docs, "doc_id", "text", model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_secrets, op5_byte_bpe, op7_packing, op8_quality, op10_language_id)}
 
 #: None of these has an SQL form; tests/llm compare them with brute force, an exact round trip or held-out labels.
 ORACLE_SQL: dict[str, str] = {}
