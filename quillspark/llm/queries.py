@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_crf, pii_bootstrap, quality_ftrl, secret_cnn
+from . import language_crf, ngram_join, pii_bootstrap, quality_ftrl, secret_cnn, substring_dedup
 from .byte_bpe import encode_decode
 from .common import held_out, table
 from .packing import pack
@@ -29,6 +29,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_cnn.scan(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", *digest("spans", ("assign", "access", "hex")))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), "doc_id", "text", n=4, percent=85)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode_decode(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -45,13 +49,18 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup(table(spark, sf_dir, "documents"), "doc_id", "text", window=20, output=lambda kept: F.sha2(kept, 256))
+    return out.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_crf.fit(docs, "doc_id", "text", "lang", ~held_out(F.col("doc_id")))
     return language_crf.identify(docs, "doc_id", "text", model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pii, op3_secrets, op5_byte_bpe, op7_packing, op8_quality, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pii, op3_secrets, op4_ngram_join, op5_byte_bpe, op7_packing, op8_quality, op9_substring_dedup, op10_language_id)}
 
 #: None of these has an SQL form; tests/llm compare them with brute force, an exact round trip or held-out labels.
 ORACLE_SQL: dict[str, str] = {}
