@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_crf, ngram_join, pii_bootstrap, quality_ftrl, secret_cnn, substring_dedup
+from . import language_crf, ngram_join, pii_bootstrap, quality_ftrl, secret_cnn, substring_dedup, topk_search
 from .byte_bpe import encode_decode
 from .common import held_out, table
 from .packing import pack
@@ -21,6 +21,10 @@ def digest(spans: str, kinds: tuple[str, ...]) -> list[Column]:
     return [*counts, F.sha2(joined("s.base"), 256).alias("base_sha256"), joined("true").alias("spans")]
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_bootstrap.extract(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", *digest("spans", pii_bootstrap.KINDS))
 
@@ -60,7 +64,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_crf.identify(docs, "doc_id", "text", model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pii, op3_secrets, op4_ngram_join, op5_byte_bpe, op7_packing, op8_quality, op9_substring_dedup, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk_search, op2_pii, op3_secrets, op4_ngram_join, op5_byte_bpe, op7_packing, op8_quality, op9_substring_dedup, op10_language_id)}
 
 #: None of these has an SQL form; tests/llm compare them with brute force, an exact round trip or held-out labels.
 ORACLE_SQL: dict[str, str] = {}
