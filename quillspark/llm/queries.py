@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_crf, ngram_join, pii_bootstrap, quality_ftrl, secret_cnn, substring_dedup, topk_search
+from . import embedding_imi, language_crf, ngram_join, pii_bootstrap, quality_ftrl, secret_cnn, substring_dedup, topk_search
 from .byte_bpe import encode_decode
 from .common import held_out, table
 from .packing import pack
@@ -42,6 +42,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_imi.dedup(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", least=0.9)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"))
 
@@ -64,7 +68,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_crf.identify(docs, "doc_id", "text", model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk_search, op2_pii, op3_secrets, op4_ngram_join, op5_byte_bpe, op7_packing, op8_quality, op9_substring_dedup, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk_search, op2_pii, op3_secrets, op4_ngram_join, op5_byte_bpe, op6_embedding_dedup, op7_packing, op8_quality, op9_substring_dedup, op10_language_id)}
 
 #: None of these has an SQL form; tests/llm compare them with brute force, an exact round trip or held-out labels.
 ORACLE_SQL: dict[str, str] = {}
