@@ -12,7 +12,9 @@ empty table gives an empty table; other columns are ignored. Sequence ids are un
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,6 +35,10 @@ GRID = 32
 LANE = 20_000
 
 
+#: Letters that have one code point under NFC and one small form, then ASCII marks.
+_PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-/:-@\[-`{-~]*)").fullmatch
+
+
 class Chunks:
     """Ids of white-space-free chunks. The vocabulary drops white space, and neither its normaliser nor its special
     tokens look across a space, so a text's ids are those of its chunks."""
@@ -42,6 +48,7 @@ class Chunks:
 
         self.tok = Tokenizer.from_file(path)
         self.kept: dict[str, bytes] = {}
+        self.core: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         kept = self.kept
@@ -53,10 +60,18 @@ class Chunks:
             wanted.update(parts)
         new = [c for c in wanted if c not in kept]
         own: dict[str, bytes] = {}
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
+        # A chunk of letters with marks after them has the ids of the small letters and of the marks.
+        cut = {c: (m[1].lower(), m[2]) if (m := _PLAIN(c)) else (c,) for c in new}
+        core = self.core
+        if len(core) > KEPT:
+            core.clear()
+        todo = list({x for xs in cut.values() for x in xs if x not in core})
+        for k in range(0, len(todo), 20_000):
+            some = todo[k : k + 20_000]
             for c, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                (kept if len(c) <= 64 else own)[c] = np.array(e.ids, "<u4").tobytes()
+                core[c] = array("I", e.ids).tobytes()
+        for c, xs in cut.items():
+            (kept if len(c) <= 64 else own)[c] = core[xs[0]] + core[xs[1]] if len(xs) == 2 else core[xs[0]]
         if own:
             return [b"".join([kept[c] if c in kept else own[c] for c in parts]) for parts in split]
         return [b"".join(map(kept.__getitem__, parts)) for parts in split]
