@@ -195,9 +195,9 @@ def later_windows(flagged: DataFrame, window: int, buckets: int) -> DataFrame:
     return by_bucket(src.mapInArrow(extend, Gatherer.schema)).mapInArrow(first, "part int, rows binary, places binary")
 
 
-def dedup(docs: DataFrame, id_col: str, text_col: str, window: int = 20, output: Callable[[Column], Column] = lambda kept: kept, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str, text_col: str, window: int = 20, output: Callable[[Column], Column] = lambda kept: kept, as_is: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """For each row: its id, n_words, n_removed and kept: the words that stay, joined by one space (or what `output`
-    makes of that text). carry: other columns to hand through."""
+    makes of that text). as_is: a text that loses nothing stays as it was. carry: other columns to hand through."""
     assert window % 2 == 0
     spark = docs.sparkSession
     whole = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.lit(None).cast("string")
@@ -208,7 +208,7 @@ def dedup(docs: DataFrame, id_col: str, text_col: str, window: int = 20, output:
     hit = F.col("blocks").isNotNull()
     table = joined.select(
         F.monotonically_increasing_id().alias("row"), "id", "carry", "blocks", F.when(hit, F.col("text")).alias("text"),
-        F.when(~hit, F.when(plain == "", 0).otherwise(F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1)).cast("long").alias("n_words"), F.when(~hit, output(plain)).alias("kept"),
+        F.when(~hit, F.when(plain == "", 0).otherwise(F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1)).cast("long").alias("n_words"), F.when(~hit, output(F.col("text") if as_is else plain)).alias("kept"),
     )
     table = save(table, "repeats")
     parts = 4 * spread(spark)
@@ -241,7 +241,7 @@ def dedup(docs: DataFrame, id_col: str, text_col: str, window: int = 20, output:
                 here.append(k)
                 n_words.append(len(words))
                 n_removed.append(len(words) - int(stay.sum()))
-                kept.append(b" ".join([w for w, ok in zip(words, stay.tolist(), strict=True) if ok]).decode())
+                kept.append(text if as_is and stay.all() else b" ".join([w for w, ok in zip(words, stay.tolist(), strict=True) if ok]).decode())
             at_rows = pa.array(here, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(6).take(at_rows), b.column(7).take(at_rows), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["id", "carry", "n_words", "n_removed", "kept"])
 
