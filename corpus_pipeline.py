@@ -1,19 +1,64 @@
-"""Five stages that turn `documents` into packed training sequences; each stage's result is written and read again."""
+"""Five stages that turn `documents` into packed training sequences; each stage's result is written and read again.
+
+1. language_id: documents whose language can't be told (no letter, or a mean posterior under SURE) go.
+2. ngram_join: of each group of near copies the document with the smallest id stays.
+3. substring_dedup: words of repeated passages go, whatever document they are in; a document left without words goes.
+4. secret_scan: secrets are replaced by a mark.
+5. packing: pieces of the remaining documents in sequences of 2048 tokens.
+
+All but the last return the columns of `documents`. Later columns that describe the text (n_chars) follow it.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspark.llm.common import save, table
+from quillspark.llm import language_crf, ngram_join, secret_cnn, substring_dedup
+from quillspark.llm.common import held_out, save, table
 from quillspark.llm.packing import pack
 
+#: Clean documents of one language have posteriors near 1; short or mixed ones may be lower.
+SURE = 0.4
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = language_crf.fit(docs, "doc_id", "text", "lang", ~held_out(F.col("doc_id")))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "text")
+    told = language_crf.identify(rows, "doc", "text", model)
+    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select("doc.*")
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = ngram_join.join(docs, "doc_id", "text", n=4, percent=85)
+    stay = groups.filter("doc_id <=> component_id").select(F.col("doc_id").alias("stays")).distinct()
+    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("stays")), "left_semi")
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = substring_dedup.dedup(docs, "doc_id", "text", window=20, as_is=True, carry=tuple(others)).filter("n_words > n_removed")
+    return out.withColumnRenamed("kept", "text").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_cnn.redact(docs, "doc_id", "text").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("packing", packing)]
+STAGES = [
+    ("language_id", language_id),
+    ("ngram_join", one_of_each_group),
+    ("substring_dedup", without_repeats),
+    ("secret_scan", without_secrets),
+    ("packing", packing),
+]
+
+#: The models and the tokenizer have no SQL form; tests/llm compare a run with a brute-force version.
 ORACLE_SQL = None
 
 
