@@ -100,8 +100,9 @@ def combinations(window: int, step: int) -> list[tuple[tuple[int, int], ...]]:
     return out
 
 
-def nnls(columns: list[tuple[tuple[int, int], ...]], target: np.ndarray, sweeps: int = 40) -> np.ndarray:
-    """x >= 0 that makes the sum of x[j] * columns[j] near the target by least squares: cyclic coordinate descent."""
+def nnls(columns: list[tuple[tuple[int, int], ...]], target: np.ndarray, sweeps: int = 40, still: float = 0.25) -> np.ndarray:
+    """x >= 0 that makes the sum of x[j] * columns[j] near the target by least squares: cyclic coordinate descent, until no
+    count moves by `still`."""
     rest, x = target.astype(float).copy(), np.zeros(len(columns))
     norm = [sum(t * t for _, t in c) for c in columns]
     for _ in range(sweeps):
@@ -113,7 +114,7 @@ def nnls(columns: list[tuple[tuple[int, int], ...]], target: np.ndarray, sweeps:
                 for a, t in c:
                     rest[a] -= step * t
                 moved = max(moved, abs(step))
-        if moved < 0.25:
+        if moved < still:
             break
     return x
 

@@ -188,7 +188,7 @@ def later_windows(flagged: DataFrame, window: int, buckets: int) -> DataFrame:
             order = np.lexsort((place, rows, part))
             rows, place, part = rows[order], place[order], part[order]
             parts, begin = np.unique(part, return_index=True)
-            ends = [*begin[1:].tolist(), len(part)]
+            ends = [*begin[1:].tolist(), len(part)][: len(begin)]
             yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array([gaps(rows[a:z], 8) for a, z in zip(begin, ends, strict=True)], pa.binary()), pa.array([gaps(place[a:z], 5) for a, z in zip(begin, ends, strict=True)], pa.binary())], names=["part", "rows", "places"])
 
     src = flagged.select("row", "id", "text", "blocks")
