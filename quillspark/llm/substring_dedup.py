@@ -176,6 +176,19 @@ def later_windows(flagged: DataFrame, window: int, buckets: int) -> DataFrame:
             yield g.flush()
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def pack() -> pa.RecordBatch:
+            """What several buckets have found, one row for each part."""
+            rows, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            part = (mix(rows.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+            order = np.lexsort((place, rows, part))
+            rows, place, part = rows[order], place[order], part[order]
+            parts, begin = np.unique(part, return_index=True)
+            ends = [*begin[1:].tolist(), len(part)][: len(begin)]
+            return pa.RecordBatch.from_arrays([pa.array(parts), pa.array([gaps(rows[a:z], 8) for a, z in zip(begin, ends, strict=True)], pa.binary()), pa.array([gaps(place[a:z], 5) for a, z in zip(begin, ends, strict=True)], pa.binary())], names=["part", "rows", "places"])
+
         for h, ids, rows, place in bucketwise(batches, width):
             order = np.lexsort((place, ids, h))
             h, ids, rows, place = h[order], ids[order], rows[order], place[order]
@@ -183,13 +196,11 @@ def later_windows(flagged: DataFrame, window: int, buckets: int) -> DataFrame:
             new[1:] = h[1:] != h[:-1]
             lead = np.flatnonzero(new)[np.cumsum(new) - 1]
             late = (ids != ids[lead]) | (place != place[lead])
-            rows, place = rows[late], place[late]
-            part = (mix(rows.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-            order = np.lexsort((place, rows, part))
-            rows, place, part = rows[order], place[order], part[order]
-            parts, begin = np.unique(part, return_index=True)
-            ends = [*begin[1:].tolist(), len(part)][: len(begin)]
-            yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array([gaps(rows[a:z], 8) for a, z in zip(begin, ends, strict=True)], pa.binary()), pa.array([gaps(place[a:z], 5) for a, z in zip(begin, ends, strict=True)], pa.binary())], names=["part", "rows", "places"])
+            held.append((rows[late], place[late]))
+            if sum(len(x) for x, _ in held) > GATHER // 4:
+                yield pack()
+        if held:
+            yield pack()
 
     src = flagged.select("row", "id", "text", "blocks")
     return by_bucket(src.mapInArrow(extend, Gatherer.schema)).mapInArrow(first, "part int, rows binary, places binary")
@@ -211,7 +222,7 @@ def dedup(docs: DataFrame, id_col: str, text_col: str, window: int = 20, output:
         F.when(~hit, F.when(plain == "", 0).otherwise(F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1)).cast("long").alias("n_words"), F.when(~hit, output(F.col("text") if as_is else plain)).alias("kept"),
     )
     table = save(table, "repeats")
-    parts = 4 * spread(spark)
+    parts = spread(spark)
     flagged = table.filter(hit)
     gone = later_windows(flagged, window, parts)
     kinds = {c: table.schema[c].dataType.simpleString() for c in ("carry", "kept")}
