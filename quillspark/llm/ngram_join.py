@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, as_bytes, grams, mix, save, slices, spread
+from .common import WordHashes, as_bytes, forget, grams, mix, save, slices, spread
 from .components import components
 
 #: Token counts are kept in 2 ** COUNT_BITS buckets, sent in SLICES parts.
@@ -240,13 +240,14 @@ def join(docs: DataFrame, id_col: str, text_col: str, n: int = 4, percent: int =
     classes = rows.filter("class is not null and id is not null").groupBy("class").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
     buckets = 8 * spread(spark)
     packed = postings(src, levels, n, percent, buckets).repartition(spread(spark), "bucket").sortWithinPartitions("bucket")
-    post = save(packed.mapInArrow(shared, "token long, class long"), "postings")
-    post = save(post.join(classes, "class").select("token", "class", "n", F.col("class").alias("label")), "postings")
+    raw = save(packed.mapInArrow(shared, "token long, class long"), "postings")
+    post = save(raw.join(classes, "class").select("token", "class", "n", F.col("class").alias("label")), "postings")
+    used = [raw, post]  # tables that nothing reads once the labels are written
     reps = post.select("class").distinct().join(classes, "class").select("rep")
     sets = sets_of(src.join(reps, src["id"] == reps["rep"], "left_semi").select("text"), n).dropDuplicates(["class"])
     sets = save(sets, "sets")
+    used.append(sets)
     fits = f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
-    other = post.select("token", F.col("class").alias("class2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
     done, edges, labels = None, None, None
     for r in range(ROUNDS + 1):
         if r < ROUNDS:
@@ -261,6 +262,7 @@ def join(docs: DataFrame, id_col: str, text_col: str, n: int = 4, percent: int =
             pairs = pairs.join(done, ["u", "v"], "left_anti")
         pairs = save(pairs, "pairs")
         found = save(verify(pairs, sets, levels, percent), "links")
+        used += [pairs, found]
         done = pairs if done is None else done.unionByName(pairs)
         edges = found if edges is None else edges.unionByName(found)
         labels = components(edges)
@@ -269,8 +271,11 @@ def join(docs: DataFrame, id_col: str, text_col: str, n: int = 4, percent: int =
         post = post.select("token", "class", "n").join(labels.select(F.col("node").alias("class"), F.col("component").alias("label")), "class", "left").withColumn("label", F.coalesce("label", "class"))
         open_lists = post.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("z")).filter("a < z").select("token")
         post = save(post.join(open_lists, "token", "left_semi"), "postings")
+        used.append(post)
         if post.isEmpty():
             break
+    for t in used:
+        forget(t)
     # Labels are classes; a component is named after its smallest id.
     named = classes.join(labels, classes["class"] == labels["node"], "left").select("class", "rep", F.coalesce("component", "class").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))

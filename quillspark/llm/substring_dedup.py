@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, as_bytes, grams, mix, save, slices, spread
+from .common import WordHashes, as_bytes, forget, grams, mix, save, slices, spread
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Hashes that a task gathers before it sends them.
@@ -214,7 +214,8 @@ def dedup(docs: DataFrame, id_col: str, text_col: str, window: int = 20, output:
     whole = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.lit(None).cast("string")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), whole.alias("carry"))
     met = met_blocks(src.select("id", "text"), window).groupBy("id").agg(F.collect_set("block").alias("blocks"))
-    joined = src.join(save(met, "blocks"), "id", "left")
+    blocks = save(met, "blocks")
+    joined = src.join(blocks, "id", "left")
     plain = F.regexp_replace(F.regexp_replace("text", SPACE, " "), "^ | $", "")
     hit = F.col("blocks").isNotNull()
     table = joined.select(
@@ -222,6 +223,7 @@ def dedup(docs: DataFrame, id_col: str, text_col: str, window: int = 20, output:
         F.when(~hit, F.when(plain == "", 0).otherwise(F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1)).cast("long").alias("n_words"), F.when(~hit, output(F.col("text") if as_is else plain)).alias("kept"),
     )
     table = save(table, "repeats")
+    forget(blocks)
     parts = spread(spark)
     flagged = table.filter(hit)
     gone = later_windows(flagged, window, parts)
