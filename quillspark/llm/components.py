@@ -37,12 +37,12 @@ def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): each node of the edges (u, v: long) with the smallest one that it reaches. Large-star and
-    small-star steps in turn, each a minimum by node (combined before the shuffle) and an inner join, until nothing changes."""
+    small-star steps in turn, each a minimum by node (combined before the shuffle) and an inner join, until all edges are stars."""
     edges = save(edges.filter("u <> v").mapInArrow(contract, "u long, v long").distinct(), "edges")
     seen = None
     while True:
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % (1 << 40)).alias("h")).first()
-        if (now["n"], now["h"]) == seen or now["n"] == 0:
+        now = edges.agg(F.count("*").alias("n"), F.count_distinct("u").alias("nodes"), F.sum(F.xxhash64("u", "v") % (1 << 40)).alias("h")).first()
+        if (now["n"], now["h"]) == seen or now["n"] == now["nodes"] and edges.select(F.col("v").alias("u")).distinct().join(edges, "u", "left_semi").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         seen = (now["n"], now["h"])
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -6,10 +6,14 @@ fixed number of hash buckets, so what is broadcast has one size whatever the inp
 first order's prefixes are joined; a candidate pair must then share a prefix token under the others as well before its sets
 are compared.
 
+The first order's prefixes are half as long again, so that linked sets share not one token there but more(): sets that share
+too few with all others together go before any pair is made, and pairs that share too few before sets are read.
+
 Equal sets are one class, of which one document goes on. Within a token's list all pairs are never made: each class is
-compared with a pivot of the list; what links joins a component, and only lists that still hold several components go
-to the next round, with other pivots. What is left after ROUNDS is compared pair by pair, but only across components. So no link
-between components is lost, while a group of many near copies costs about one comparison for each member.
+compared with one pivot of its lists; what links joins a component, and only lists that still hold several components go
+to the next round, with other pivots. What is left after ROUNDS (or a round without links) is compared pair by pair, but
+only across components. So no link between components is lost, while a group of many near copies costs about one comparison
+for each member.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; documents with a null id link
 with nothing and have a null component; rows with one id count as documents of their own; other columns are ignored.
@@ -22,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, as_bytes, forget, grams, mix, save, slices, spread
@@ -50,14 +54,25 @@ def prefix_size(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def more(n: int, percent: int) -> int:
+    """Tokens that two linked sets share in their prefixes, if each prefix is more() - 1 tokens longer than prefix_size();
+    of sets of different sizes the smaller number holds."""
+    return 1 + (100 - percent) * n // 200
+
+
+def need(n: Column, percent: int) -> Column:
+    """The least of more() over all sets that may link with one of size n: the smallest has percent / 100 of its size."""
+    return 1 + F.expr(f"{100 - percent} * ceil({percent} * n / 100) div 200")
+
+
 def ordered(tokens: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
     """Keys of the tokens under a global order: rare ones first, then by a hash of its own."""
     level = levels[(tokens & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64)].astype(np.uint64)
     return (level << np.uint64(56)) | (mix(tokens ^ _SALTS[order]) >> np.uint64(8))
 
 
-def prefix(tokens: np.ndarray, levels: np.ndarray, order: int, percent: int) -> np.ndarray:
-    keys, p = ordered(tokens, levels, order), prefix_size(len(tokens), percent)
+def prefix(tokens: np.ndarray, levels: np.ndarray, order: int, percent: int, longer: int = 0) -> np.ndarray:
+    keys, p = ordered(tokens, levels, order), prefix_size(len(tokens), percent) + longer
     return keys if p >= len(keys) else np.partition(keys, p - 1)[:p]
 
 
@@ -144,7 +159,7 @@ def postings(docs: DataFrame, levels, n: int, percent: int, buckets: int) -> Dat
                     continue
                 if len(done) < 200_000:
                     done.add(c)
-                p = prefix(s, levels.value, 0, percent) & np.uint64((1 << 56) - 1)
+                p = prefix(s, levels.value, 0, percent, more(len(s), percent) - 1) & np.uint64((1 << 56) - 1)
                 held.append(p)
                 owner.append(np.full(len(p), c, np.int64))
                 count += len(p)
@@ -238,36 +253,46 @@ def join(docs: DataFrame, id_col: str, text_col: str, n: int = 4, percent: int =
     levels = spark.sparkContext.broadcast(count_levels(described))
     rows = described.filter("slice is null").select("id", "n", "class")
     classes = rows.filter("class is not null and id is not null").groupBy("class").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
-    buckets = 8 * spread(spark)
+    buckets, used = 8 * spread(spark), []  # used: tables that nothing reads once the labels are written
     packed = postings(src, levels, n, percent, buckets).repartition(spread(spark), "bucket").sortWithinPartitions("bucket")
     raw = save(packed.mapInArrow(shared, "token long, class long"), "postings")
-    post = save(raw.join(classes, "class").select("token", "class", "n", F.col("class").alias("label")), "postings")
-    used = [raw, post]  # tables that nothing reads once the labels are written
+    # A set can only link if it shares enough of its prefix at all; most sets share too little, and go. That makes tokens
+    # rarer, so once more.
+    post = raw.withColumn("n", F.lit(None).cast("long"))
+    for _ in range(2):
+        good = post.groupBy("class").agg(F.count("*").alias("shared")).join(classes.select("class", "n"), "class").filter(F.col("shared") >= need(F.col("n"), percent)).select("class", "n")
+        post = post.select("token", "class").join(good, "class")
+        post = save(post.join(post.groupBy("token").agg(F.min("class").alias("a"), F.max("class").alias("z")).filter("a < z").select("token"), "token", "left_semi"), "postings")
+        used.append(post)
+    post = post.withColumn("label", F.col("class"))
     reps = post.select("class").distinct().join(classes, "class").select("rep")
     sets = sets_of(src.join(reps, src["id"] == reps["rep"], "left_semi").select("text"), n).dropDuplicates(["class"])
-    sets = save(sets, "sets")
-    used.append(sets)
+    sets = save(sets.join(post.select("class").distinct(), "class", "left_semi"), "sets")
+    used += [raw, sets]
     fits = f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
-    done, edges, labels = None, None, None
-    for r in range(ROUNDS + 1):
-        if r < ROUNDS:
+    done, labels, r = None, None, 0
+    while True:
+        # One pair for each class: with the first of its lists' pivots, by an order of this round.
+        last = r == ROUNDS
+        if not last:
             pivot = post.groupBy("token").agg(F.min(F.struct(F.xxhash64("class", F.lit(r)), "class", "n", "label")).alias("p"))
-            other = pivot.select("token", F.col("p.class").alias("class2"), F.col("p.n").alias("n2"), F.col("p.label").alias("label2"))
-            pairs = post.join(other, "token").filter("label <> label2")
+            pairs = post.join(pivot, "token").filter("label <> p.label").withColumn("n2", F.col("p.n")).filter(fits)
+            pairs = pairs.groupBy("class").agg(F.min("p").alias("p")).select(F.least("class", "p.class").alias("u"), F.greatest("class", "p.class").alias("v")).distinct()
         else:
             other = post.select("token", F.col("class").alias("class2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-            pairs = post.join(other, "token").filter("class < class2 and label <> label2")
-        pairs = pairs.filter(fits).select(F.least("class", "class2").alias("u"), F.greatest("class", "class2").alias("v")).distinct()
+            pairs = post.join(other, "token").filter("class < class2 and label <> label2").filter(fits).groupBy(F.col("class").alias("u"), F.col("class2").alias("v"))
+            pairs = pairs.agg(F.count("*").alias("shared"), F.least(F.first("n"), F.first("n2")).alias("n")).filter(F.col("shared") >= 1 + F.expr(f"{100 - percent} * n div 200")).select("u", "v")
         if done is not None:
             pairs = pairs.join(done, ["u", "v"], "left_anti")
         pairs = save(pairs, "pairs")
         found = save(verify(pairs, sets, levels, percent), "links")
         used += [pairs, found]
         done = pairs if done is None else done.unionByName(pairs)
-        edges = found if edges is None else edges.unionByName(found)
-        labels = components(edges)
-        if r == ROUNDS:
+        # The components so far are stars; with the new links they give the next ones.
+        labels = components(found if labels is None else found.unionByName(labels.filter("node <> component").toDF("u", "v")))
+        if last:
             break
+        r = r + 1 if not found.isEmpty() else ROUNDS  # a round without links: the rest is compared pair by pair
         post = post.select("token", "class", "n").join(labels.select(F.col("node").alias("class"), F.col("component").alias("label")), "class", "left").withColumn("label", F.coalesce("label", "class"))
         open_lists = post.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("z")).filter("a < z").select("token")
         post = save(post.join(open_lists, "token", "left_semi"), "postings")
