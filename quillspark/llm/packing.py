@@ -44,34 +44,56 @@ class Chunks:
     tokens look across a space, so a text's ids are those of its chunks."""
 
     def __init__(self, path: str):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.kept: dict[str, bytes] = {}
-        self.core: dict[str, bytes] = {}
+        self.core: dict[str, bytes] = {"": b""}
+        ends = [i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]
+        self.end = np.zeros(self.tok.get_vocab_size() + 1, bool)
+        self.end[ends] = True
+
+    def learn(self, cores: list[str], others: list[str]) -> None:
+        """Ids of letters or marks alone, many in one call: each ends with the one token that ends a word. And of other chunks."""
+        core = self.core
+        for k in range(0, len(cores), 200_000):
+            groups = [cores[i : i + 256] for i in range(k, min(k + 200_000, len(cores)), 256)]
+            for g, e in zip(groups, self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                ends = np.flatnonzero(self.end[ids]) + 1
+                if len(ends) != len(g):
+                    others = others + g
+                    continue
+                data, a = ids.tobytes(), 0
+                for c, z in zip(g, (4 * ends).tolist(), strict=True):
+                    core[c] = data[a:z]
+                    a = z
+        for k in range(0, len(others), 20_000):
+            some = others[k : k + 20_000]
+            for c, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                core[c] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        kept = self.kept
+        kept, core = self.kept, self.core
         if len(kept) > KEPT:
             kept.clear()
-        split = [t.split(" ") for t in texts]
-        wanted: set[str] = set()
-        for parts in split:
-            wanted.update(parts)
-        new = [c for c in wanted if c not in kept]
-        own: dict[str, bytes] = {}
-        # A chunk of letters with marks after them has the ids of the small letters and of the marks.
-        cut = {c: (m[1].lower(), m[2]) if (m := _PLAIN(c)) else (c,) for c in new}
-        core = self.core
         if len(core) > KEPT:
             core.clear()
-        todo = list({x for xs in cut.values() for x in xs if x not in core})
-        for k in range(0, len(todo), 20_000):
-            some = todo[k : k + 20_000]
-            for c, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                core[c] = array("I", e.ids).tobytes()
-        for c, xs in cut.items():
-            (kept if len(c) <= 64 else own)[c] = core[xs[0]] + core[xs[1]] if len(xs) == 2 else core[xs[0]]
+            core[""] = b""
+        split = [t.split(" ") for t in texts]
+        new = {c for parts in split for c in parts if c not in kept}
+        # A chunk of letters with marks after them has the ids of the small letters and of the marks.
+        cut = {c: (m[1].lower(), m[2]) for c in new if (m := _PLAIN(c))}
+        whole = [c for c in new if c not in cut]
+        self.learn(list({x for xs in cut.values() for x in xs if x not in core}), [c for c in whole if c not in core])
+        own: dict[str, bytes] = {}
+        for c, (a, z) in cut.items():
+            (kept if len(c) <= 64 else own)[c] = core[a] + core[z]
+        for c in whole:
+            (kept if len(c) <= 64 else own)[c] = core[c]
         if own:
             return [b"".join([kept[c] if c in kept else own[c] for c in parts]) for parts in split]
         return [b"".join(map(kept.__getitem__, parts)) for parts in split]
