@@ -1,12 +1,18 @@
-"""Lines of a screen: reading order, slices, the page's link, the headline. Arrays and higher-order functions, no shuffle.
+"""Lines of a screen: reading order, slices, the page's link, the headline. Arrays and higher-order functions, no shuffle; the rows
+of the reading order need Python.
 
 Lines are array<struct<text, top, bottom>> (reading order also needs `left`), places as fractions of the height.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions.dictionaries import PAGE_ENDINGS, PAGE_TOKEN
 
@@ -15,23 +21,40 @@ def single(x: float) -> Column:
     return F.lit(x).cast("float")
 
 
+@F.arrow_udf(ArrayType(IntegerType()))
+def screen_rows(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """The row of each line, null for a line read twice; tops and texts in order of place. Of the kept lines of one text the last
+    is the nearest, so that one look-up a line tells, however many lines there are."""
+    near, below = np.float32(0.02), np.float32(0.01)
+    for tops, texts in batches:
+        out = []
+        for ts, xs in zip(tops, texts, strict=True):
+            if not ts.is_valid:
+                out.append(None)
+                continue
+            last: dict[str, np.float32] = {}
+            row, first, rows = 0, None, []
+            for t, x in zip(ts.values.to_pylist(), xs.values.to_pylist(), strict=True):
+                if t is not None:
+                    t = np.float32(t)
+                    if x is not None:
+                        if x in last and t - last[x] < near:
+                            rows.append(None)
+                            continue
+                        last[x] = t
+                if first is None or t is not None and not t - first <= below:
+                    row, first = row + 1, t
+                rows.append(row)
+            out.append(rows)
+        yield pa.array(out, pa.list_(pa.int32()))
+
+
 def reading_order(lines: Column) -> Column:
     """The text of a screen: lines read twice (the same text within 0.02) once; a row holds lines up to 0.01 below its first line,
-    from left to right; rows joined by line ends."""
+    from left to right; rows joined by line ends. Null lines give null, no lines an empty text."""
     by_place = F.array_sort(F.transform(lines, lambda x: F.struct(x["top"].alias("top"), x["left"].alias("left"), x["text"].alias("text"))))
-    kept = F.aggregate(
-        by_place, F.slice(by_place, 1, 0),
-        lambda acc, x: F.when(F.exists(acc, lambda y: (y["text"] == x["text"]) & (F.abs(y["top"] - x["top"]) < single(0.02))), acc).otherwise(F.array_append(acc, x)),
-    )
-    # Fold into rows: each keeps its first top; the last row is open.
-    numbered = F.aggregate(
-        kept, F.struct(F.lit(0).alias("row"), F.lit(None).cast("float").alias("first"), F.slice(F.transform(by_place, lambda x: F.struct(F.lit(0).alias("row"), x["left"].alias("left"), x["text"].alias("text"))), 1, 0).alias("out")),
-        lambda acc, x: F.struct(
-            F.when(acc["first"].isNull() | (x["top"] - acc["first"] > single(0.01)), acc["row"] + 1).otherwise(acc["row"]).alias("row"),
-            F.when(acc["first"].isNull() | (x["top"] - acc["first"] > single(0.01)), x["top"]).otherwise(acc["first"]).cast("float").alias("first"),
-            F.array_append(acc["out"], F.struct(F.when(acc["first"].isNull() | (x["top"] - acc["first"] > single(0.01)), acc["row"] + 1).otherwise(acc["row"]).alias("row"), x["left"].alias("left"), x["text"].alias("text"))).alias("out"),
-        ),
-    )["out"]
+    rows = screen_rows(F.transform(by_place, lambda x: x["top"]), F.transform(by_place, lambda x: x["text"]))
+    numbered = F.filter(F.zip_with(by_place, rows, lambda x, r: F.struct(r.alias("row"), x["left"].alias("left"), x["text"].alias("text"))), lambda x: x["row"].isNotNull())
     return F.array_join(F.transform(F.array_sort(numbered), lambda x: x["text"]), "\n")
 
 

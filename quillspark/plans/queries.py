@@ -468,9 +468,10 @@ def file_names(spark, sf_dir):
 
 def _lines(spark, sf_dir):
     """The lines of each document as a screen's, the first one in larger letters."""
-    parts = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    k = lambda x, i: F.struct(x.alias("text"), (i / F.size(parts)).cast("float").alias("top"), ((i + F.when(i == 0, 0.9).otherwise(0.3)) / F.size(parts)).cast("float").alias("bottom"), F.lit(0.0).cast("float").alias("left"))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text"), F.col("source"), F.transform(parts, k).alias("lines"))
+    # A column of its own: within the lambda the text would be split again for each line.
+    docs = table(spark, sf_dir, "documents").withColumn("parts", F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).withColumn("n_parts", F.size("parts"))
+    k = lambda x, i: F.struct(x.alias("text"), (i / F.col("n_parts")).cast("float").alias("top"), ((i + F.when(i == 0, 0.9).otherwise(0.3)) / F.col("n_parts")).cast("float").alias("bottom"), F.lit(0.0).cast("float").alias("left"))
+    return docs.select(F.col("doc_id").alias("id"), F.col("text"), F.col("source"), F.transform("parts", k).alias("lines"))
 
 
 @query()
@@ -480,8 +481,8 @@ def headlines(spark, sf_dir):
 
 @query()
 def reading_order(spark, sf_dir):
-    """Short screens are read as they stand; the fold keeps one line of each text and place."""
-    return _lines(spark, sf_dir).filter(F.size("lines") <= 200).select("id", F.md5(layout.reading_order(F.col("lines"))).alias("text_md5"))
+    """Every document is read, however long: one line of each text and place; a null text gives null."""
+    return _lines(spark, sf_dir).select("id", F.md5(layout.reading_order(F.col("lines"))).alias("text_md5"))
 
 
 @query("SELECT page_id AS id, CASE WHEN regexp_matches(url, '^https?://') THEN url ELSE 'https://' || url END AS link FROM pages")

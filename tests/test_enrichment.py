@@ -1,10 +1,13 @@
+import hashlib
 from datetime import date
 from zoneinfo import ZoneInfo
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quillspark.operators import captions, classify, layout
 from quillspark.operators.entities import entities, phones, with_entities
+from quillspark.plans import queries as own
 from quillspark.plans.enrich import enrich
 
 TODAY, UTC = date(2026, 10, 3), ZoneInfo("UTC")
@@ -112,6 +115,40 @@ def test_headlines_and_reading_order(spark):
     assert [[tuple(x) for x in c] for c in cuts] == [[(0, 250)], [(0, 200), (190, 390), (380, 500)]]
 
 
+def test_reading_order_of_long_and_null_texts(spark, tmp_path):
+    texts = ["a\nb\na", "\n".join(f"line {k}" for k in range(406)), "\n".join(f"same {k % 7}" for k in range(30_000)), None, " \n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("s")).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["id"]: r["text_md5"] for r in own.QUERIES["reading_order"](spark, str(tmp_path)).collect()}
+    want = {}
+    for i, text in enumerate(texts[:1] + texts[4:]):
+        want[i * 4] = brute_order([(x, np.float32(k / n), np.float32(0)) for n in [text.count("\n") + 1] for k, x in enumerate(text.split("\n")) if x.strip()])
+    for i in (1, 2):
+        ls = texts[i].split("\n")
+        want[i] = brute_order([(x, np.float32(k / len(ls)), np.float32(0)) for k, x in enumerate(ls)])
+    assert got == {i: hashlib.md5(t.encode()).hexdigest() for i, t in want.items()} | {3: None}
+
+
+def brute_order(lines):
+    """As the reference reads: each line against all kept lines."""
+    kept = []
+    for x, top, left in sorted(lines, key=lambda p: (p[1], p[2], p[0])):
+        if all(y != x or abs(t - top) >= np.float32(0.02) for y, t, _ in kept):
+            kept.append((x, top, left))
+    rows = []
+    for p in kept:
+        if not rows or p[1] - rows[-1][0][1] > np.float32(0.01):
+            rows.append([])
+        rows[-1].append(p)
+    return "\n".join(x for row in rows for x, _, _ in sorted(row, key=lambda p: (p[2], p[0])))
+
+
+def test_reading_order_of_odd_lines(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [("x", 0.5, 0.6, 0.2), ("x", 0.515, 0.6, 0.1), ("x", 0.53, 0.6, 0.0), (None, 0.5, 0.6, 0.0), ("n", None, None, None), ("n", None, None, 0.5), ("q", nan, nan, 0.1), ("q", nan, nan, 0.2), ("i", inf, inf, 0.0)]
+    df = spark.createDataFrame([(rows, True), (None, True)], LINES)
+    assert [r[0] for r in df.select(layout.reading_order(F.col("lines"))).collect()] == ["n\nn\nx\nx\ni\nq\nq", None]
+
+
 def test_captions(spark):
     df = spark.createDataFrame([("cricket ball<loc_12><loc_40>footwear<loc_1><loc_2>",), ("",), (None,)], "o string")
     assert [r[0] for r in df.select(captions.objects(F.col("o"))).collect()] == [["cricket ball", "footwear"], [], []]
