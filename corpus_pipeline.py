@@ -1,8 +1,11 @@
 """Five stages that turn `documents` into packed training sequences; each stage's result is written and read again.
 
 1. language_id: documents whose language can't be told (no letter, or a mean posterior under SURE) go.
-2. ngram_join: of each group of near copies the document with the smallest id stays.
-3. substring_dedup: words of repeated passages go, whatever document they are in; a document left without words goes.
+2. ngram_join: of each group of near copies exactly one row stays, that with the smallest id. Each row is a document of its
+   own, whatever its id: a repeated row goes, rows of one id with different texts are different documents, and rows with a
+   null id are grouped by their text like all others and stay only if their group has no id.
+3. substring_dedup: words of repeated passages go, whatever document they are in; a document left without words goes. What
+   stage 2 leaves of rows with one id counts as one place there, and rows with a null id take no part.
 4. secret_scan: secrets are replaced by a mark.
 5. packing: pieces of the remaining documents in sequences of 2048 tokens.
 
@@ -21,6 +24,8 @@ from quillspark.llm.packing import pack
 
 #: Clean documents of one language have posteriors near 1; short or mixed ones may be lower.
 SURE = 0.4
+#: A row's number, by which stage 2 tells rows of one id apart.
+TAG = "_row_tag"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +36,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = ngram_join.join(docs, "doc_id", "text", n=4, percent=85)
-    stay = groups.filter("doc_id <=> component_id").select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("stays")), "left_semi")
+    tagged = save(docs.withColumn(TAG, F.monotonically_increasing_id()), "tagged")  # written, so that a row keeps its tag
+    groups = ngram_join.join(tagged, TAG, "text", n=4, percent=85)
+    own = tagged.select(TAG, "doc_id").join(groups.select(TAG, "component_id"), TAG)
+    stay = own.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", TAG)).alias("first")).select(F.col(f"first.{TAG}").alias(TAG))
+    return tagged.join(stay, TAG, "left_semi").select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
