@@ -28,33 +28,69 @@ from .common import as_bytes, hash_order, slices
 BITS = 16
 #: Words kept with their scores, by each Python worker.
 KEPT = 400_000
-#: Bytes of a word that its n-grams see.
-WIDE = 32
+#: Bytes of a word, or of a piece of a longer word, and the pieces that are looked at together.
+WIDE, PIECES = 32, 1 << 16
 
 
 def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(word index, feature) pairs, for words in lower case: prefixes and suffixes of 1 to 4 bytes, n-grams of 1 to 4
     bytes within ^word$, and the word itself."""
-    n = len(words)
-    marked = [b"^" + w[: WIDE - 2] + b"$" for w in words]
-    size = np.fromiter(map(len, marked), np.int64, n)
-    text = np.frombuffer(b"".join(w.ljust(WIDE, b"\0") for w in marked), np.uint8).reshape(n, WIDE).astype(np.uint32)
-    whole = np.fromiter((hash_word(w) for w in words), np.uint32, n)
-    who, what = [np.arange(n)], [whole]
+    some = list(feature_parts(words))
+    return np.concatenate([w for w, _ in some]), np.concatenate([f for _, f in some])
+
+
+def feature_parts(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """features() in parts of PIECES pieces at most. A word wider than WIDE is cut into pieces that overlap by 3 bytes, so that
+    each of its n-grams starts in one piece; its affixes are those of the first and the last."""
+    pieces: list[bytes] = []
+    who: list[int] = []
+    ends: list[int] = []  # 1: first piece of its word, 2: last, 3: both
+    for i, w in enumerate(words):
+        m = b"^" + w + b"$"
+        if len(m) <= WIDE:
+            pieces.append(m)
+            who.append(i)
+            ends.append(3)
+        else:
+            for at in range(0, len(m) - 3, WIDE - 3):
+                last = at + WIDE >= len(m)
+                pieces.append(m[at : at + WIDE])
+                who.append(i)
+                ends.append((at == 0) + 2 * last)
+                if len(pieces) >= PIECES:
+                    yield piece_features(words, pieces, who, ends)
+                    pieces, who, ends = [], [], []
+                if last:
+                    break
+        if len(pieces) >= PIECES:
+            yield piece_features(words, pieces, who, ends)
+            pieces, who, ends = [], [], []
+    if pieces or not words:
+        yield piece_features(words, pieces, who, ends)
+
+
+def piece_features(words: list[bytes], pieces: list[bytes], of: list[int], ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    n = len(pieces)
+    own, end = np.array(of, np.int64), np.array(ends, np.int64)
+    first, last = np.flatnonzero(end & 1), np.flatnonzero(end & 2)
+    size = np.fromiter(map(len, pieces), np.int64, n)
+    text = np.frombuffer(b"".join(p.ljust(WIDE, b"\0") for p in pieces), np.uint8).reshape(n, WIDE).astype(np.uint32)
+    who, what = [own[first]], [np.fromiter((hash_word(words[i]) for i in own[first].tolist()), np.uint32, len(first))]
     place = np.arange(WIDE)
+    starts = np.where(end & 2, WIDE, WIDE - 3)  # n-grams that start later are the next piece's
     for k in range(1, 5):
         h = np.full((n, WIDE - k + 1), k * 0x9E3779B1 & 0xFFFFFFFF, np.uint32)
         for j in range(k):
             h = (h ^ text[:, j : WIDE - k + 1 + j]) * np.uint32(0x85EBCA6B)
             h ^= h >> np.uint32(13)
-        ok = place[None, : WIDE - k + 1] + k <= size[:, None]
+        ok = (place[None, : WIDE - k + 1] + k <= size[:, None]) & (place[None, : WIDE - k + 1] < starts[:, None])
         row, col = np.nonzero(ok)
-        who.append(row)
+        who.append(own[row])
         what.append(h[row, col])
         if k > 1:  # with ^ or $ within, these are affixes of k - 1 bytes; they count for themselves as well
-            for at in (np.zeros(n, np.int64), np.maximum(size - k, 0)):
-                who.append(np.arange(n))
-                what.append(h[np.arange(n), np.minimum(at, WIDE - k)] * np.uint32(0xC2B2AE35) + np.uint32(k))
+            for some, at in ((first, np.zeros(len(first), np.int64)), (last, np.maximum(size[last] - k, 0))):
+                who.append(own[some])
+                what.append(h[some, np.minimum(at, WIDE - k)] * np.uint32(0xC2B2AE35) + np.uint32(k))
     return np.concatenate(who), (np.concatenate(what) * np.uint32(0x27D4EB2F)) >> np.uint32(32 - BITS)
 
 
@@ -122,12 +158,14 @@ class Model:
         k = len(self.langs)
         if not words:
             return np.zeros((0, k), np.float32)
-        who, what = features(words)
-        out = np.empty((len(words), k), np.float32)
-        n = np.maximum(np.bincount(who, minlength=len(words)), 1)
-        for j in range(k):
-            out[:, j] = np.bincount(who, self.weights[what, j], len(words)) / n
-        return out
+        out, n = np.zeros((len(words), k)), np.zeros(len(words), np.int64)
+        for who, what in feature_parts(words):
+            a = int(who.min())
+            z = int(who.max()) + 1
+            n[a:z] += np.bincount(who - a, minlength=z - a)
+            for j in range(k):
+                out[a:z, j] += np.bincount(who - a, self.weights[what, j], z - a)
+        return (out / np.maximum(n, 1)[:, None]).astype(np.float32)
 
     def fit(self, chains: list[tuple[list[bytes], np.ndarray]], rounds: int = 4, batch: int = 32, rate: float = 2.0, seed: int = 7) -> None:
         """AdaGrad on the conditional log-likelihood. chains: words in lower case and their labels."""
