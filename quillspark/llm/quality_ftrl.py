@@ -42,7 +42,7 @@ class Symbols(dict):
     """word -> crc32 of the lower-case word << 32 | crc32 of its shape."""
 
     def __missing__(self, word: bytes) -> int:
-        v = zlib.crc32(word.lower()) << 32 | zlib.crc32(shape(word[:256]))
+        v = zlib.crc32(word.lower()) << 32 | zlib.crc32(shape(word))
         if len(self) >= KEPT:
             self.clear()
         if len(word) <= 64:
@@ -109,11 +109,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
         symbols = Symbols()
         for b in slices(batches):
             got = [np.unique(indices(t.split(), symbols), return_counts=True) for t in as_bytes(b.column(2))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([i.astype("<i4").tobytes() for i, _ in got], pa.binary()), pa.array([c.astype("<u2").tobytes() for _, c in got], pa.binary())], names=["h", "y", "i", "c"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([i.astype("<i4").tobytes() for i, _ in got], pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in got], pa.binary())], names=["h", "y", "i", "c"])
 
     sample = []
     for r in sorted(rows.mapInArrow(run, "h long, y int, i binary, c binary").collect(), key=lambda r: (r["h"], r["y"], r["i"])):
-        c = np.frombuffer(r["c"], "<u2").astype(float)
+        c = np.frombuffer(r["c"], "<u4").astype(float)
         if len(c):
             sample.append((np.frombuffer(r["i"], "<i4").astype(np.int64), c / c.sum(), r["y"]))
     weights, bias = train(sample)
