@@ -11,7 +11,8 @@ Integer arithmetic is exact: in 32-bit floating point where no sum can leave 24
 64-bit integers, which the scores must fit.
 
 Defined results: vectors that are null or hold null or non-finite components, or whose id is null, take no part; vectors of different
-lengths aren't compared; of several rows with one id the first by its components counts; fewer than k candidates are all
+lengths aren't compared; rows of one id with different vectors all count, as
+queries and as candidates of other ids, and a query id has the k best of all its rows; a row repeated whole counts once; fewer than k candidates are all
 returned; an empty table gives an empty table; other columns are ignored.
 """
 
@@ -32,7 +33,7 @@ BLOCK, QUERIES = 8192, 1024
 
 
 def blocks_of(vectors: DataFrame, scale: int, most: int) -> DataFrame:
-    """(dim, block, ids, data): dense blocks of at most `most` integer vectors. vectors: id and vector; rows of an id come together."""
+    """(dim, block, ids, data): dense blocks of at most `most` integer vectors. vectors: id and vector; rows of an id come together, in order of vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -47,15 +48,17 @@ def blocks_of(vectors: DataFrame, scale: int, most: int) -> DataFrame:
             ids, data = np.array([i for i, _ in rows], np.int64), np.stack([v for _, v in rows])
             return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([part << 24 | number], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary())], names=["dim", "block", "ids", "data"])
 
-        last = None  # of the rows of an id the first one counts
+        last = None  # a row repeated whole counts once
         for b in batches:
             ends = np.cumsum(b.column(1).value_lengths().to_numpy(zero_copy_only=False))
-            whole = np.floor(scale * b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+            raw = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float)
+            whole = np.floor(scale * raw).astype(np.int64)
             for k, (i, z) in enumerate(zip(b.column(0).to_pylist(), ends.tolist(), strict=True)):
-                if i == last:
+                a = ends[k - 1] if k else 0
+                if last is not None and i == last[0] and np.array_equal(raw[a:z], last[1]):
                     continue
-                last = i
-                v = whole[ends[k - 1] if k else 0 : z]
+                last = i, raw[a:z]
+                v = whole[a:z]
                 held.setdefault(len(v), []).append((i, v))
                 if len(held[len(v)]) >= most:
                     yield flush(len(v))
@@ -150,7 +153,7 @@ def search(vectors: DataFrame, id_col: str, vec_col: str, query: Column, k: int
 
     gathered = pairs.mapInArrow(keep_best, "query_id long, score long")
     bounds = save(top_bound(gathered, k), "bounds")
-    asked = asks.select(F.col("block").alias("asked"), F.col("ids").alias("q_ids")).mapInArrow(spell, "asked long, query_id long")
+    asked = asks.select(F.col("block").alias("asked"), F.col("ids").alias("q_ids")).mapInArrow(spell, "asked long, query_id long").distinct()
     per_block = asked.join(bounds, "query_id", "left").groupBy("asked").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "bound"))).alias("bounds"))
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
