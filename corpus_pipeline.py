@@ -1,6 +1,7 @@
 """Five stages that turn `documents` into packed training sequences; each stage's result is written and read again.
 
-1. language_id: documents whose language can't be told (no letter, or a mean posterior under SURE) go.
+1. language_id: documents whose language can't be told (no letter, or words whose largest posteriors have a mean under
+   SURE) go; a text in several languages stays if its words are told surely.
 2. ngram_join: of each group of near copies exactly one row stays, that with the smallest id. Each row is a document of its
    own, whatever its id: a repeated row goes, rows of one id with different texts are different documents, and rows with a
    null id are grouped by their text like all others and stay only if their group has no id.
@@ -22,7 +23,7 @@ from quillspark.llm import language_crf, ngram_join, secret_cnn, substring_dedup
 from quillspark.llm.common import held_out, save, table
 from quillspark.llm.packing import pack
 
-#: Clean documents of one language have posteriors near 1; short or mixed ones may be lower.
+#: Of clean documents, in one language or several, the words have posteriors near 1; those of short ones may be lower.
 SURE = 0.4
 #: A row's number, by which stage 2 tells rows of one id apart.
 TAG = "_row_tag"
@@ -31,8 +32,8 @@ TAG = "_row_tag"
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_crf.fit(docs, "doc_id", "text", "lang", ~held_out(F.col("doc_id")))
     rows = docs.select(F.struct(*docs.columns).alias("doc"), "text")
-    told = language_crf.identify(rows, "doc", "text", model)
-    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select("doc.*")
+    told = language_crf.identify(rows, "doc", "text", model, sure=True)
+    return told.filter((F.col("lang_pred") != "und") & (F.col("sure") >= SURE)).select("doc.*")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,3 +16,14 @@ def test_one_row_of_each_group_stays(spark):
     out = corpus_pipeline.one_of_each_group(spark, documents(spark, rows), "")
     assert out.columns == documents(spark, rows).columns
     assert sorted(map(str, (tuple(r) for r in out.select("doc_id", "text").collect()))) == sorted(map(str, [(3, near), (None, b), (7, c), (7, d)]))
+
+
+TONGUES = {"en": ["the", "thing", "with", "wash", "ring"], "fr": ["été", "oiseau", "château", "aux"], "de": ["über", "straße", "zwölf", "jäger"], "pl": ["żółw", "ćma", "źdźbło", "łąka"]}
+
+
+def test_mixed_texts_stay_if_their_words_are_sure(spark):
+    rows = [(k, " ".join(prose(k, 40, TONGUES[lang])), lang) for k in range(160) for lang in [list(TONGUES)[k % 4]]]
+    rows += [(900, " ".join(w for k, ws in enumerate(TONGUES.values()) for w in prose(k, 30, ws)), "en"), (901, "12 ...", "en"), (902, None, "en")]
+    out = corpus_pipeline.language_id(spark, documents(spark, rows), "")
+    assert out.columns == documents(spark, rows).columns
+    assert {r["doc_id"] for r in out.collect()} == {*range(160), 900}
