@@ -66,7 +66,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: The models and the tokenizer have no SQL form; tests/llm compare a run with a brute-force version.
+#: The models and the tokenizer have no SQL form; tests/llm/test_pipeline.py compares a run with brute force, stage by stage.
 ORACLE_SQL = None
 
 

@@ -1,8 +1,10 @@
 import os
 import sys
 
-from helpers import documents, prose
-from pyspark.sql import functions as F
+from helpers import corpus, documents, prose
+from test_models import brute_secrets
+from test_pairs import brute_dedup, brute_join
+from test_tokens import check_packing
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
@@ -27,3 +29,30 @@ def test_mixed_texts_stay_if_their_words_are_sure(spark):
     out = corpus_pipeline.language_id(spark, documents(spark, rows), "")
     assert out.columns == documents(spark, rows).columns
     assert {r["doc_id"] for r in out.collect()} == {*range(160), 900}
+
+
+def test_run_against_brute_force(spark, tmp_path, monkeypatch):
+    key = "é token = \"abcdefghijkl\" x"
+    rows = corpus() + [(200 + k, " ".join(prose(900 + k, 25)) + f" {key}") for k in range(5)] + [(300, "12 34 ...")]
+    documents(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    saved = {}
+    keep = corpus_pipeline.save
+    monkeypatch.setattr(corpus_pipeline, "save", lambda df, tag: saved.setdefault(tag, keep(df, tag)))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    at = {k: {r["doc_id"]: r["text"] for r in saved[k].collect()} for k, _ in corpus_pipeline.STAGES[:4]}
+    assert all(saved[k].count() == len(at[k]) for k in at)
+    # One language is learnt here, so whatever has a letter is told surely.
+    told = {i: t for i, t in rows if any(map(str.isalpha, t or ""))}
+    assert at["language_id"] == told
+    assert at["ngram_join"] == {i: told[i] for i, (_, c) in brute_join(list(told.items())).items() if i == c}
+    dedup = brute_dedup(list(at["ngram_join"].items()))
+    assert {i: t.split() for i, t in at["substring_dedup"].items()} == {i: kept.split() for i, (n, gone, kept) in dedup.items() if n > gone}
+    assert all(t == told[i] for i, t in at["substring_dedup"].items() if not dedup[i][1])
+    clean = {}
+    for i, t in at["substring_dedup"].items():  # fewer than 20 findings: only base matches
+        for a, _, z in sorted(brute_secrets(t), reverse=True):
+            t = t[:a] + "<secret>" + t[z:]
+        clean[i] = t
+    assert at["secret_scan"] == clean and sum("<secret>" in t for t in clean.values()) == 5
+    padding, total = check_packing(out, list(clean.items()))
+    assert total and padding < 2048 + 0.05 * total
