@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,7 +78,7 @@ def as_texts(col: pa.Array) -> list[str]:
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash. Emptied when it holds `most` words, so that memory is bounded."""
 
-    most = 400_000
+    most = 250_000
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
@@ -92,6 +92,22 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+_kept: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], object]):
+    """What a Python worker keeps between tasks: one thing at a time, as a worker that serves one operator after another must not
+    hold the memory of all of them."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def word_hashes() -> WordHashes:
+    return kept("words", WordHashes)
+
+
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 

@@ -22,15 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, as_bytes, forget, grams, mix, save, slices, spread
+from .common import as_bytes, forget, grams, mix, save, slices, spread, word_hashes
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Hashes that a task gathers before it sends them.
 GATHER = 4_000_000
 
-_hashes = WordHashes()
-
-
 def planes(x: np.ndarray, n: int) -> bytes:
     """The n low bytes of unsigned values, byte by byte."""
     return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T.tobytes()
@@ -125,7 +122,7 @@ def met_blocks(docs: DataFrame, window: int) -> DataFrame:
             for i, t in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
                 words = t.split()
                 if i is not None and len(words) >= window:
-                    h = grams(_hashes.of(words), half) % mask
+                    h = grams(word_hashes().of(words), half) % mask
                     g.add(i, 0, h, np.arange(len(h)), len(words))
             if g.size > GATHER:
                 yield g.flush()
@@ -166,7 +163,7 @@ def later_windows(flagged: DataFrame, window: int, buckets: int) -> DataFrame:
                 s = np.arange(n)
                 s = s[met[(s + half - 1) // half] & met[(s + half) // half]]  # the whole blocks that a window holds
                 if len(s):
-                    h10 = grams(_hashes.of(words), half)
+                    h10 = grams(word_hashes().of(words), half)
                     with np.errstate(over="ignore"):
                         h = mix(h10[s] * np.uint64(0x9E3779B97F4A7C15) ^ h10[s + half])
                     g.add(i, row, h % mask, s, len(words))

@@ -1,7 +1,9 @@
 import itertools
+import random
 import re
 
 import numpy as np
+import pytest
 from helpers import Union, corpus, documents, prose
 from pyspark.sql import functions as F
 
@@ -149,3 +151,19 @@ def test_crc_of_parts():
 
     a, b, c = b"hello", b"", b"world!" * 50
     assert crc_parts([(zlib.crc32(x), len(x)) for x in (a, b, c)]) == zlib.crc32(a + b + c)
+
+
+def edited(seed, base, edits):
+    rng, out = random.Random(seed), list(base)
+    for _ in range(edits):
+        out[rng.randrange(len(out))] = f"e{rng.randrange(40)}"
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("together", [2, 5, 512])
+def test_ngram_join_splits_large_groups(spark, together):
+    """Groups larger than what a task compares go on as differences from their majority; no link is lost."""
+    base, other = prose(21, 90, [f"b{k}" for k in range(4000)]), prose(22, 60, [f"o{k}" for k in range(4000)])
+    rows = [(k, edited(k, base, k % 5)) for k in range(90)] + [(300 + k, edited(k, other, k % 3)) for k in range(30)] + [(500 + k, edited(7, base, 3)) for k in range(3)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(documents(spark, rows), "doc_id", "text", together=together).collect()}
+    assert got == brute_join(rows)
