@@ -15,20 +15,19 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import kept, slices
 
 INF = np.int64(1) << 60
 #: Pieces up to so many bytes are merged in batches.
 SHORT = 65
 #: Chunks kept with their ids, by each Python worker.
-KEPT = 600_000
+KEPT = 400_000
 
 
 class Merger:
@@ -224,8 +223,11 @@ class Merger:
         return b"".join(map(self.vocab.__getitem__, array("I", ids)))
 
 
-@lru_cache(2)
 def merger(path: str, pattern: str) -> Merger:
+    return kept(("merger", path, pattern), lambda: read_merger(path, pattern))
+
+
+def read_merger(path: str, pattern: str) -> Merger:
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return Merger(ranks, pattern)

@@ -12,6 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +59,14 @@ def hash_order(doc_id: Column) -> Column:
     return F.xxhash64(doc_id, F.lit(20240))
 
 
+def sample_of_each(rows: DataFrame, by: str, most: int, *ties: str) -> DataFrame:
+    """At most `most` rows for each value of `by`, the first by h (of hash_order()). About twice as many lie under a share that the count
+    of each value gives; only those are sorted, however many rows there are. by: a column of few values."""
+    counts = rows.groupBy(by).agg(F.count("*").alias("_count"))
+    few = rows.join(F.broadcast(counts), by).filter((F.col("h") / 2.0**64 + 0.5) * F.col("_count") < 2 * most + 100)
+    return few.withColumn("_place", F.row_number().over(Window.partitionBy(by).orderBy("h", *ties))).filter(F.col("_place") <= most).drop("_count", "_place")
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 400, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each holds at most `rows` rows and about `size` bytes: bounds what Python holds at once."""
     for b in batches:

@@ -16,7 +16,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import crc_parts, save, slices, spread
+from .common import crc_parts, kept, save, slices, spread
 
 #: Chunks kept with their ids, by each Python worker.
-KEPT = 600_000
+KEPT = 400_000
 #: Cuts fall on multiples of so many tokens within a rest.
 GRID = 32
 #: Rests that one task packs greedily.
@@ -99,9 +98,8 @@ class Chunks:
         return [b"".join(map(kept.__getitem__, parts)) for parts in split]
 
 
-@lru_cache(2)
 def chunks(path: str) -> Chunks:
-    return Chunks(path)
+    return kept(("chunks", path), lambda: Chunks(path))
 
 
 def combinations(window: int, step: int) -> list[tuple[tuple[int, int], ...]]:

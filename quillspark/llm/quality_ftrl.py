@@ -6,11 +6,11 @@ are the single words and word pairs, and the single shapes, shape pairs and shap
 of the bias and the mean weight of its n-grams, that is a sparse dot product with their relative frequencies.
 
 The model is fitted on a bounded sample: at most `per_class` labelled documents of each class, the first in a fixed
-pseudo-random order of their ids.
+pseudo-random order of their ids. Every text is counted and scored whole, however long.
 
-Defined results: null and empty texts score what the bias alone gives; documents without a label, with a null label or
+Defined results: an empty table gives an empty table; null and empty texts score what the bias alone gives; documents without a label, with a null label or
 held out teach nothing; of several labels of one id the smallest holds; with nothing to learn from, all score 0.5;
-repeated rows are repeated; other columns are ignored.
+repeated rows are repeated; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,13 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import as_bytes, hash_order, slices
+from .common import as_bytes, hash_order, kept, sample_of_each, slices
 
 BITS = 18
 #: Words kept with their symbols, by each Python worker.
-KEPT = 500_000
+KEPT = 250_000
 _RUNS = re.compile(rb"([A-Z])[A-Z]*|([a-z\x80-\xff])[a-z\x80-\xff]*|([0-9])[0-9]*|([^A-Za-z0-9\x80-\xff])\4*")
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -102,7 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     """learn: which rows of `labels` may be learnt from."""
     marks = labels.filter(learn & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("y")).withColumn("h", hash_order(F.col("id")))
     share = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
-    marks = marks.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("h", "id"))).filter(F.col("r") <= per_class).select("id", "y", "h")
+    marks = sample_of_each(marks, "y", per_class, "id").select("id", "y", "h")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "id").select("h", "y", "text")  # at most 2 * per_class marks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,17 +121,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     return weights, bias
 
 
-_symbols = Symbols()
-
-
 def score(docs: DataFrame, id_col: str, text_col: str, model: tuple[np.ndarray, float]) -> DataFrame:
     """For each row: its id and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = shared.value
+        (weights, bias), symbols = shared.value, kept("symbols", Symbols)
         for b in slices(batches):
-            means = [float(weights[i].mean(dtype=np.float64)) if len(i := indices(t.split(), _symbols)) else 0.0 for t in as_bytes(b.column(1))]
+            means = [float(weights[i].mean(dtype=np.float64)) if len(i := indices(t.split(), symbols)) else 0.0 for t in as_bytes(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(np.array(means) + bias, -30, 30))), pa.float64())], names=[id_col, "score"])
 
     src = docs.select(id_col, text_col)
