@@ -31,9 +31,7 @@ TAG = "_row_tag"
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_crf.fit(docs, "doc_id", "text", "lang", ~held_out(F.col("doc_id")))
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), "text")
-    told = language_crf.identify(rows, "doc", "text", model, sure=True)
-    return told.filter((F.col("lang_pred") != "und") & (F.col("sure") >= SURE)).select("doc.*")
+    return language_crf.surely(docs, "text", model, SURE)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Language identification by a linear-chain conditional random field over words.
 
-Each word has affix, character n-gram and lexicon features, hashed; the transitions between the languages of neighbouring
+Each word has affix and character n-gram features, hashed, and lexicon features: whether it is among the words that several sample
+documents of a language have, for each language, or in no lexicon. The transitions between the languages of neighbouring
 words are learnt as well. Forward-backward labels every word of a (possibly code-switched) text; a document's language
 is the one with the largest mean posterior, its score that mean.
 
@@ -8,8 +9,9 @@ The model is fitted on a bounded sample: at most `per_lang` documents of each la
 pseudo-random order of their ids, each word labelled with its document's language, and spliced texts for the switches.
 
 Defined results: text that is null or has no letter is `und` with score 0, as is every text if there is nothing to learn
-from; rows with a null language or a held-out id teach nothing; ties go to the language that sorts first; repeated rows
-are repeated; other columns are ignored.
+from (so also after an empty table); rows with a null language or a held-out id teach nothing; ties go to the language that sorts
+first; repeated rows are repeated; texts and words of any length are read whole; an empty table gives an empty table; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,16 +22,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import as_bytes, hash_order, slices
+from .common import as_bytes, hash_order, kept, sample_of_each, slices
 
 #: Hashed features.
 BITS = 16
 #: Words kept with their scores, by each Python worker.
-KEPT = 400_000
+KEPT = 200_000
 #: Bytes of a word, or of a piece of a longer word, and the pieces that are looked at together.
-WIDE, PIECES = 32, 1 << 16
+WIDE, PIECES = 32, 1 << 12
+#: A word is in a language's lexicon if so many of its sample documents have it.
+IN_LEXICON = 3
 
 
 def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +154,25 @@ class Model:
 
     def __init__(self, langs: list[str]):
         k = len(langs)
-        self.langs, self.weights, self.start, self.trans = langs, np.zeros((1 << BITS, k), np.float32), np.zeros(k), np.zeros((k, k))
+        self.langs, self.weights, self.start, self.trans = langs, np.zeros(((1 << BITS) + k + 1, k), np.float32), np.zeros(k), np.zeros((k, k))
+        self.lexicon: dict[bytes, list[int]] = {}  # the languages that have the word
+
+    def parts(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """features() in parts, then those of the lexicons: one for each language, the last for words in none."""
+        yield from feature_parts(words)
+        own = [self.lexicon.get(w) or [len(self.langs)] for w in words]
+        who = np.repeat(np.arange(len(words)), [len(x) for x in own])
+        yield who, (1 << BITS) + np.fromiter((x for xs in own for x in xs), np.uint32, len(who))
+
+    def collect(self, samples: list[tuple[int, list[bytes]]], least: int = IN_LEXICON) -> None:
+        """Lexicons from the words in lower case of sample documents, each with its language."""
+        seen: dict[tuple[bytes, int], int] = {}
+        for j, ws in samples:
+            for w in set(ws):
+                seen[w, j] = seen.get((w, j), 0) + 1
+        for (w, j), n in sorted(seen.items()):
+            if n >= least:
+                self.lexicon.setdefault(w, []).append(j)
 
     def scores(self, words: list[bytes]) -> np.ndarray:
         """Score of each label for each word in lower case."""
@@ -159,7 +180,7 @@ class Model:
         if not words:
             return np.zeros((0, k), np.float32)
         out, n = np.zeros((len(words), k)), np.zeros(len(words), np.int64)
-        for who, what in feature_parts(words):
+        for who, what in self.parts(words):
             a = int(who.min())
             z = int(who.max()) + 1
             n[a:z] += np.bincount(who - a, minlength=z - a)
@@ -172,7 +193,8 @@ class Model:
         k, rng = len(self.langs), np.random.default_rng(seed)
         vocab: dict[bytes, int] = {}
         coded = [(np.fromiter((vocab.setdefault(w, len(vocab)) for w in ws), np.int64, len(ws)), y) for ws, y in chains if len(ws)]
-        who, what = features(list(vocab)) if vocab else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
+        some = list(self.parts(list(vocab))) if vocab else [(np.zeros(0, np.int64), np.zeros(0, np.uint32))]
+        who, what = np.concatenate([w for w, _ in some]), np.concatenate([f for _, f in some])
         order = np.argsort(who, kind="stable")
         who, what = who[order], what[order].astype(np.int64)
         count = np.bincount(who, minlength=len(vocab))
@@ -200,7 +222,7 @@ class Model:
                 np.add.at(pair, (y[np.flatnonzero(inner) - 1], y[inner]), 1)
                 for j in range(k):
                     per = np.bincount(back, diff[:, j], len(own)) / n
-                    g = np.bincount(f, per[at], 1 << BITS) / len(y)
+                    g = np.bincount(f, per[at], len(self.weights)) / len(y)
                     hit = np.flatnonzero(g)
                     seen_w[hit, j] += g[hit] ** 2
                     self.weights[hit, j] += (rate * g[hit] / np.sqrt(seen_w[hit, j])).astype(np.float32)
@@ -256,13 +278,14 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn: Colum
     """learn: which rows may be learnt from."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), learn.alias("learn"))
     rows = rows.filter("learn and lang is not null and text is not null").withColumn("h", hash_order(F.col("id")))
-    ids = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).filter(F.col("r") <= per_lang)
+    ids = sample_of_each(rows, "lang", per_lang, "id")
     sample = sorted((r["lang"], r["h"], r["text"].encode()) for r in ids.select("lang", "h", "text").collect())  # per_lang of each at most
     langs = sorted({x for x, _, _ in sample})
     model = Model(langs)
     rng, chains = np.random.default_rng(3), []
-    for lang, _, text in sample:
-        ws = [w for w in map(lowered, text.split()) if w]
+    told = [(lang, [w for w in map(lowered, text.split()) if w]) for lang, _, text in sample]
+    model.collect([(langs.index(lang), ws) for lang, ws in told])
+    for lang, ws in told:
         for i in range(0, len(ws), 200):
             chains.append((ws[i : i + 200], np.full(len(ws[i : i + 200]), langs.index(lang))))
     spliced = []
@@ -274,16 +297,6 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn: Colum
     return model
 
 
-_labellers: dict[str, Labeller] = {}
-
-
-def labeller(key: str, model) -> Labeller:
-    if key not in _labellers:
-        _labellers.clear()
-        _labellers[key] = Labeller(model.value)
-    return _labellers[key]
-
-
 def runs_of(labels: np.ndarray, sizes: np.ndarray, langs: list[str]) -> list[str]:
     """For each text `lang:words` of each run of words with one label, comma-joined."""
     out, at = [], 0
@@ -311,10 +324,10 @@ def identify(docs: DataFrame, id_col: str, text_col: str, model: Model, carry: t
     shared, key, langs = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex, np.array([*model.langs, "und"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 2000, 6 << 20):
+        for b in slices(batches, 1000, 3 << 20):
             texts = as_bytes(b.column(1))
             if len(langs) > 1:
-                lang, score, sizes, post = labeller(key, shared).label(texts)
+                lang, score, sizes, post = kept(key, lambda: Labeller(shared.value)).label(texts)
             else:
                 lang, score, sizes, post = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts), np.int64), np.zeros((0, 1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs[lang].tolist(), pa.string()), pa.array(score.astype(float), pa.float64()), *([pa.array(runs_of(post.argmax(1), sizes, langs.tolist()), pa.string())] * runs), *([pa.array(sureness(post, sizes), pa.float64())] * sure), *b.columns[2:]], names=[id_col, "lang_pred", "score", *["runs"] * runs, *["sure"] * sure, *carry])
@@ -322,3 +335,25 @@ def identify(docs: DataFrame, id_col: str, text_col: str, model: Model, carry: t
     src = docs.select(id_col, text_col, *carry)
     kinds = "".join(f", `{c}` {src.schema[c].dataType.simpleString()}" for c in carry)
     return src.mapInArrow(run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, lang_pred string, score double{', runs string' * runs}{', sure double' * sure}{kinds}")
+
+
+def surely(docs: DataFrame, text_col: str, model: Model, least: float) -> DataFrame:
+    """The rows of docs whose text has a language, told from words whose largest posteriors have a mean of `least` or more. Only the
+    texts go to Python, and one number for each comes back."""
+    import uuid
+
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+
+    @F.arrow_udf("double")
+    def sure(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            out = []
+            for b in slices(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), 1000, 3 << 20):
+                if shared.value.langs:
+                    lang, _, sizes, post = kept(key, lambda: Labeller(shared.value)).label(as_bytes(b.column(0)))
+                    out.append(np.where(lang < 0, -1.0, sureness(post, sizes)))
+                else:
+                    out.append(np.full(b.num_rows, -1.0))
+            yield pa.array(np.concatenate([*out, np.zeros(0)]))
+
+    return docs.filter(sure(F.col(text_col)) >= least)
