@@ -113,10 +113,10 @@ def test_network_tells_what_it_was_trained_on():
     rng = np.random.default_rng(0)
     hexes = [secret_cnn.view(f"x token = {''.join(rng.choice(list('0123456789abcdef'), 40))} y", 10, 50) for _ in range(200)]
     plain = [secret_cnn.view("some words and thirteenth others", 15, 25) for _ in range(100)] + [secret_cnn.view(f"in section {k} of the plan", 11, 14) for k in range(100)]
-    net = secret_cnn.train([x for p in zip(hexes, plain, strict=True) for x in ((p[0], 1), (p[1], 0))])
-    assert (net.scores(secret_cnn.codes(hexes)) >= net.threshold).mean() > 0.95
-    assert (net.scores(secret_cnn.codes(plain)) >= net.threshold).mean() < 0.02
-    assert secret_cnn.train([(hexes[0], 1)]).threshold > 1
+    net = secret_cnn.train([x for p in zip(hexes, plain, strict=True) for x in ((p[0], 1, 1), (p[1], 0, 1))])
+    assert (net.scores(secret_cnn.codes(hexes)) >= net.threshold[1]).mean() > 0.95
+    assert (net.scores(secret_cnn.codes(plain)) >= net.threshold[1]).mean() < 0.02
+    assert min(net.threshold[0], *secret_cnn.train([(hexes[0], 1, 1)]).threshold) > 1
 
 
 PII = [
