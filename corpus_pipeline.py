@@ -43,9 +43,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = substring_dedup.dedup(docs, "doc_id", "text", window=20, as_is=True, carry=tuple(others)).filter("n_words > n_removed")
-    return out.withColumnRenamed("kept", "text").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text", "n_chars"))).alias("rest")  # apart from dedup's own columns
+    out = substring_dedup.dedup(docs.select("doc_id", "text", rest), "doc_id", "text", window=20, as_is=True, carry=("rest",)).filter("n_words > n_removed")
+    own = {"doc_id": F.col("doc_id"), "text": F.col("kept").alias("text"), "n_chars": F.length("kept").cast("long").alias("n_chars")}
+    return out.select(*(own.get(c, F.col(f"rest.`{c}`").alias(c)) for c in docs.columns))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

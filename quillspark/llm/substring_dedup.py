@@ -4,13 +4,16 @@ Fixed-block anchors. Every document is cut into non-overlapping blocks of half a
 rolling window of that length probes it. Two equal windows of full length each hold a whole block of their own document,
 which the other one's rolling windows meet; so a repeat shows in the blocks that were met. Around these (and nowhere
 else) the hits are extended: all full windows over met blocks only are hashed, the earliest start of each hash stays and
-the others' words go. Runs of such windows are the maximal exact repeats.
+the others' words go. Runs of such windows are the maximal exact repeats. Full windows are told apart by a hash of up to 63 bits and
+another one of 32.
 
 Hashes travel packed: one row for each task and hash bucket, bytes of the values in planes, places as gaps, with the ids of
-the documents that they are in. What a reducing task holds is one bucket.
+the documents that they are in. What a task has several times it settles before the shuffle (all but the earliest start are known
+to repeat) and sends once, so a passage that all documents share comes once from each task. What a reducing task holds is one bucket.
 
 Defined results: null and empty texts have no words; rows with a null id take no part and lose nothing; rows with one id
-count as one place in the order, so that none of them is earlier than its equal; other columns are ignored.
+count as one place in the order, so that none of them is earlier than its equal; texts of any length are read whole; an empty table gives
+an empty table; other columns are ignored, whatever their names, as are those that are handed through.
 """
 
 from __future__ import annotations
@@ -52,61 +55,89 @@ def ungaps(data: bytes, n: int) -> np.ndarray:
 
 
 class Gatherer:
-    """Packs (hash, place in a document) by hash bucket."""
+    """Packs (hash, check, place in a document) by hash bucket. settle() takes hash, check, place, document and the ids of the documents, and
+    returns which are to be sent, with what places, and what is known without (two arrays, sent as they are)."""
 
-    names = ("bucket", "hash", "place", "ids", "rows", "starts")
-    schema = "bucket int, hash binary, place binary, ids binary, rows binary, starts binary"
+    names = ("bucket", "hash", "check", "place", "ids", "rows", "starts")
+    schema = "bucket int, hash binary, check binary, place binary, ids binary, rows binary, starts binary"
 
-    def __init__(self, buckets: int, width: int):
-        self.buckets, self.width = np.uint64(buckets), width
+    def __init__(self, buckets: int, width: int, settle: Callable, turn: int = 0):
+        self.buckets, self.width, self.settle, self.turn = np.uint64(buckets), width, settle, turn
         self.clear()
 
     def clear(self) -> None:
-        self.hash, self.place, self.ids, self.rows, self.starts, self.at, self.size = [], [], [], [], [], 0, 0
+        self.hash, self.check, self.place, self.ids, self.rows, self.starts, self.at, self.size = [], [], [], [], [], [], 0, 0
 
-    def add(self, doc_id: int, row: int, h: np.ndarray, place: np.ndarray, words: int) -> None:
+    def add(self, doc_id: int, row: int, h: np.ndarray, check: np.ndarray, place: np.ndarray, words: int) -> None:
         self.ids.append(doc_id)
         self.rows.append(row)
         self.starts.append(self.at)
         self.hash.append(h)
+        self.check.append(check)
         self.place.append(place + self.at)
         self.at += words
         self.size += len(h)
 
     def flush(self) -> pa.RecordBatch:
-        h, place = np.concatenate(self.hash), np.concatenate(self.place)
+        h, check, place = np.concatenate(self.hash), np.concatenate(self.check), np.concatenate(self.place)
+        ids, rows, starts = np.array(self.ids, np.int64), np.array(self.rows, np.int64), np.array(self.starts, np.int64)
+        doc = np.searchsorted(starts, place, "right") - 1
+        send, place, known = self.settle(h, check, place, doc, ids, rows, starts)
+        h, check, place, doc = h[send], check[send], place[send], doc[send]
         bucket = (h % self.buckets).astype(np.uint32)
         order = np.argsort(bucket.astype(np.uint16) if self.buckets < 65536 else bucket, kind="stable")
-        h, place, bucket = h[order] // self.buckets, place[order], bucket[order]
+        h, check, place, doc, bucket = h[order] // self.buckets, check[order], place[order], doc[order], bucket[order]
         own, first = np.unique(bucket, return_index=True)
         ends = [*first[1:].tolist(), len(h)]
-        ids, rows, starts = np.array(self.ids, np.int64), np.array(self.rows, np.int64), np.array(self.starts, np.int64)
-        out: list[list] = [[] for _ in range(5)]
-        for a, z in zip(first.tolist(), ends, strict=True):
-            p = place[a:z]
-            doc = np.unique(np.searchsorted(starts, p, "right") - 1)
-            for k, x in enumerate((planes(h[a:z], self.width), gaps(p, 5), gaps(ids[doc], 8), gaps(rows[doc], 8), gaps(starts[doc], 5))):
+        out: list[list] = [[] for _ in range(6)]
+        for a, z in zip(first.tolist(), ends, strict=False):
+            d = np.unique(doc[a:z])
+            for k, x in enumerate((planes(h[a:z], self.width), planes(check[a:z], 4), gaps(place[a:z], 5), gaps(ids[d], 8), gaps(rows[d], 8), gaps(starts[d], 5))):
+                out[k].append(x)
+        if len(known[0]):
+            own = np.append(own, self.turn % int(self.buckets))
+            for k, x in enumerate((None, None, None, gaps(known[0], 8), None, gaps(known[1], 8))):
                 out[k].append(x)
+        self.turn += 1
         self.clear()
         return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *(pa.array(x, pa.binary()) for x in out)], names=list(self.names))
 
 
-def bucketwise(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(hash, id, row, place) of each bucket. Batches come with the rows of a bucket together."""
+def repeated(h: np.ndarray) -> np.ndarray:
+    """Which values occur more than once."""
+    order = np.sort(h)
+    many = np.unique(order[1:][order[1:] == order[:-1]])
+    if not len(many):
+        return np.zeros(len(h), bool)
+    return many[np.minimum(np.searchsorted(many, h), len(many) - 1)] == h
+
+
+def bucketwise(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(hash, check, id, row, place) of each bucket, and the two arrays of what was known before. Batches come with the rows of a bucket
+    together."""
     at, held = None, []
-    for b in batches:
-        for k, h, p, i, r, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+    for b in slices(batches):
+        for k, h, c, p, i, r, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if h is None:
+                yield ungaps(i, 8), ungaps(s, 8)
+                continue
             if k != at and held:
                 yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
                 held = []
             at = k
             place, starts = ungaps(p, 5), ungaps(s, 5)
             doc = np.searchsorted(starts, place, "right") - 1
-            held.append((unplanes(h, width), ungaps(i, 8)[doc], ungaps(r, 8)[doc], place - starts[doc]))
+            held.append((unplanes(h, width), unplanes(c, 4), ungaps(i, 8)[doc], ungaps(r, 8)[doc], place - starts[doc]))
     if held:
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
+def task_number() -> int:
+    from pyspark import TaskContext
+
+    return TaskContext.get().partitionId()
+
+
 def by_bucket(packed: DataFrame) -> DataFrame:
     return packed.repartition(spread(packed.sparkSession), "bucket").sortWithinPartitions("bucket")
 
@@ -115,30 +146,40 @@ def met_blocks(docs: DataFrame, window: int) -> DataFrame:
     """(id, block): the blocks whose words a rolling window elsewhere (or at another place of the same document) equals."""
     half, buckets, width = window // 2, 4 * spread(docs.sparkSession), 4
 
+    def settle(h, check, place, doc, ids, rows, starts):
+        """Blocks that the task's own windows meet are known; of their hashes one goes on, as no block."""
+        many = repeated(h)
+        at = place - starts[doc]
+        block = many & (at % half == 0)
+        known = ids[doc[block]], at[block] // half
+        send = ~many
+        some = np.flatnonzero(many)
+        send[some[np.unique(h[some], return_index=True)[1]]] = True
+        return send, place + block, known
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = Gatherer(buckets, width)
+        g = Gatherer(buckets, width, settle, task_number())
         mask = np.uint64(buckets << (8 * width))
         for b in slices(batches):
             for i, t in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
                 words = t.split()
                 if i is not None and len(words) >= window:
                     h = grams(word_hashes().of(words), half) % mask
-                    g.add(i, 0, h, np.arange(len(h)), len(words))
+                    g.add(i, 0, h, np.zeros(len(h), np.uint8), np.arange(len(h)), len(words))
             if g.size > GATHER:
                 yield g.flush()
         if g.size:
             yield g.flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, ids, _, place in bucketwise(batches, width):
-            order = np.argsort(h, kind="stable")
-            h, ids, place = h[order], ids[order], place[order]
-            same = h[1:] == h[:-1]
-            many = np.zeros(len(h), bool)
-            many[1:] |= same
-            many[:-1] |= same
-            hit = many & (place % half == 0)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array((place[hit] // half).astype(np.int32))], names=["id", "block"])
+        for x in bucketwise(batches, width):
+            if len(x) == 2:
+                ids, block = x
+            else:
+                h, _, ids, _, place = x
+                hit = repeated(h) & (place % half == 0)
+                ids, block = ids[hit], place[hit] // half
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(block.astype(np.int32))], names=["id", "block"])
 
     return by_bucket(docs.mapInArrow(probe, Gatherer.schema)).mapInArrow(meet, "id long, block int")
 
@@ -148,8 +189,28 @@ def later_windows(flagged: DataFrame, window: int, buckets: int) -> DataFrame:
     half, spark, width = window // 2, flagged.sparkSession, 7
     own = 4 * spread(spark)
 
+    def late(h, check, ids, place):
+        """Which windows start later than an equal one, in order of `order`."""
+        order = np.lexsort((place, ids, check, h))
+        new = np.ones(len(h), bool)
+        new[1:] = (h[order[1:]] != h[order[:-1]]) | (check[order[1:]] != check[order[:-1]])
+        lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(h) else order
+        out = np.zeros(len(h), bool)
+        out[order] = (ids[order] != ids[lead]) | (place[order] != place[lead])
+        return out
+
+    def settle(h, check, place, doc, ids, rows, starts):
+        """Windows that start earlier in the task itself are known; the earliest goes on."""
+        some = np.flatnonzero(repeated(h))
+        own_doc = doc[some]
+        at = place[some] - starts[own_doc]
+        gone = late(h[some], check[some], ids[own_doc], at)
+        send = np.ones(len(h), bool)
+        send[some[gone]] = False
+        return send, place, (rows[own_doc[gone]], at[gone])
+
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = Gatherer(own, width)
+        g = Gatherer(own, width, settle, task_number())
         mask = np.uint64(min(own << 8 * width, (1 << 63) // own * own))
         for b in slices(batches):
             for row, i, t, blocks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), b.column(3).to_pylist(), strict=True):
@@ -166,7 +227,8 @@ def later_windows(flagged: DataFrame, window: int, buckets: int) -> DataFrame:
                     h10 = grams(word_hashes().of(words), half)
                     with np.errstate(over="ignore"):
                         h = mix(h10[s] * np.uint64(0x9E3779B97F4A7C15) ^ h10[s + half])
-                    g.add(i, row, h % mask, s, len(words))
+                        check = mix(h10[s + half] * np.uint64(0xC2B2AE3D27D4EB4F) ^ h10[s]) >> np.uint64(32)
+                    g.add(i, row, h % mask, check, s, len(words))
             if g.size > GATHER:
                 yield g.flush()
         if g.size:
@@ -186,14 +248,13 @@ def later_windows(flagged: DataFrame, window: int, buckets: int) -> DataFrame:
             ends = [*begin[1:].tolist(), len(part)][: len(begin)]
             return pa.RecordBatch.from_arrays([pa.array(parts), pa.array([gaps(rows[a:z], 8) for a, z in zip(begin, ends, strict=True)], pa.binary()), pa.array([gaps(place[a:z], 5) for a, z in zip(begin, ends, strict=True)], pa.binary())], names=["part", "rows", "places"])
 
-        for h, ids, rows, place in bucketwise(batches, width):
-            order = np.lexsort((place, ids, h))
-            h, ids, rows, place = h[order], ids[order], rows[order], place[order]
-            new = np.ones(len(h), bool)
-            new[1:] = h[1:] != h[:-1]
-            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-            late = (ids != ids[lead]) | (place != place[lead])
-            held.append((rows[late], place[late]))
+        for x in bucketwise(batches, width):
+            if len(x) == 2:
+                held.append(x)
+            else:
+                h, check, ids, rows, place = x
+                gone = late(h, check, ids, place)
+                held.append((rows[gone], place[gone]))
             if sum(len(x) for x, _ in held) > GATHER // 4:
                 yield pack()
         if held:
