@@ -90,13 +90,17 @@ def has(text: Column, phrase: str) -> Column:
     return F.contains(text, F.lit(padded_text(phrase)))
 
 
-def occurrences(text: Column, phrase: str) -> Column:
-    """How often a padded text has a phrase; neighbours may share a space, so spaces are doubled first."""
+def wide_occurrences(wide: Column, phrase: str) -> Column:
+    """How often a padded text with its spaces doubled has a phrase; doubled, as neighbours may share a space."""
     needle = padded_text(phrase).replace(" ", "  ")[1:-1]
-    wide = F.replace(text, F.lit(" "), F.lit("  "))
     return ((F.length(wide) - F.length(F.replace(wide, F.lit(needle), F.lit("")))) / len(needle)).cast("int")
 
 
+def occurrences(text: Column, phrase: str) -> Column:
+    """How often a padded text has a phrase."""
+    return wide_occurrences(F.replace(text, F.lit(" "), F.lit("  ")), phrase)
+
+
 def words_of(c: Column) -> Column:
     """Words in small letters, in order."""
     return F.regexp_extract_all(F.lower(c), F.lit(f"({WORD})"), F.lit(1))

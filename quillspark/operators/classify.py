@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,18 +37,20 @@ def hits(tests: list[Column]) -> Column:
     return sum((F.coalesce(t, F.lit(False)).cast("int") for t in tests), F.lit(0))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once: a lambda's variable isn't replaced by its expression."""
+    return F.transform(F.array(value), use)[0]
+
+
 def classify(text: Column, app: Column) -> Column:
     """Up to three categories, best first, ties in their declared order. Tenths make the scores whole: 6 a keyword (four at most),
     20 for the app."""
-    lower, name = F.lower(F.coalesce(text, F.lit(""))), F.lower(app)
-    found = []
-    for k, c in enumerate(CATEGORY_KEYWORDS):
-        n = hits([contains_keyword(lower, w) for w in CATEGORY_KEYWORDS[c]])
-        own = any_of([app_matches(name, a) for a in CATEGORY_APPS[c]])
-        score = 6 * F.least(n, F.lit(4)) + F.when(own, 20).otherwise(0)
-        found.append(F.struct(F.when(own | (n >= 2), -score).alias("down"), F.lit(k).alias("k"), F.lit(c).alias("c")))
-    ranked = F.array_sort(F.filter(F.array(*found), lambda x: x["down"].isNotNull()))
-    return F.transform(F.slice(ranked, 1, 3), lambda x: x["c"])
+    names = F.array(*(F.lit(c) for c in CATEGORY_KEYWORDS))
+    counts = once(F.lower(F.coalesce(text, F.lit(""))), lambda t: F.array(*(hits([contains_keyword(t, w) for w in ws]) for ws in CATEGORY_KEYWORDS.values())))
+    own = once(F.lower(app), lambda a: F.array(*(any_of([app_matches(a, x) for x in CATEGORY_APPS[c]]) for c in CATEGORY_KEYWORDS)))
+    score = lambda n, o: F.when(o | (n >= 2), -6 * F.least(n, F.lit(4)) - F.when(o, 20).otherwise(0))
+    ranked = F.filter(F.transform(F.zip_with(counts, own, score), lambda down, k: F.struct(down.alias("down"), k.alias("k"))), lambda x: x["down"].isNotNull())
+    return F.transform(F.slice(F.array_sort(ranked), 1, 3), lambda x: F.get(names, x["k"]))
 
 
 def categories_of_app(app: Column) -> Column:
@@ -62,19 +65,19 @@ def is_lock_screen(text: Column) -> Column:
 
 def app_scores(text: Column) -> Column:
     """array<struct<app, score>> of the apps whose interface words a text has, best first, ties in their declared order."""
-    lower = F.concat(F.lit(" "), F.replace(F.lower(text), F.lit("\n"), F.lit(" ")))
-    found = []
-    for k, (app, phrases) in enumerate(APP_PHRASES.items()):
-        score = F.lit(0)
+    def score(lower: Column, phrases: dict[str, int]) -> Column:
+        total = F.lit(0)
         for phrase, weight in phrases.items():
-            parts = [p if p.startswith(" ") else p.strip() for p in phrase.split("+")]
             every = F.lit(True)
-            for p in parts:
-                every = every & contains_keyword(lower, p)
-            score = score + F.when(every, weight).otherwise(0)
-        found.append(F.struct((-score).alias("down"), F.lit(k).alias("k"), F.lit(app).alias("app")))
-    ranked = F.array_sort(F.filter(F.array(*found), lambda x: x["down"] < 0))
-    return F.transform(ranked, lambda x: F.struct(x["app"].alias("app"), (-x["down"]).alias("score")))
+            for p in phrase.split("+"):
+                every = every & contains_keyword(lower, p if p.startswith(" ") else p.strip())
+            total = total + F.when(every, weight).otherwise(0)
+        return total
+
+    names = F.array(*(F.lit(app) for app in APP_PHRASES))
+    scores = once(F.concat(F.lit(" "), F.replace(F.lower(text), F.lit("\n"), F.lit(" "))), lambda t: F.array(*(score(t, phrases) for phrases in APP_PHRASES.values())))
+    ranked = F.array_sort(F.filter(F.transform(scores, lambda s, k: F.struct((-s).alias("down"), k.alias("k"))), lambda x: x["down"] < 0))
+    return F.transform(ranked, lambda x: F.struct(F.get(names, x["k"]).alias("app"), (-x["down"]).alias("score")))
 
 
 def app_candidates(text: Column) -> Column:
@@ -92,8 +95,9 @@ def app_of_text(text: Column) -> Column:
 
 
 def app_of_file_name(name: Column) -> Column:
-    """struct<label, package> that a screenshot's file name tells, null if it tells none."""
+    """struct<label, package> that the file name of a screen's picture tells, null if it tells none."""
     base = F.when(F.contains(name, F.lit(".")), F.regexp_extract(name, r"^(.*)\.", 1)).otherwise(name)
+    # Fixed value: the beginnings that such file names have.
     prefix = r"^(?i)(screenshot|screen_shot|scr|capture)[_-]?"
     rest = F.regexp_replace(base, prefix, "")
     chunk = r"^[0-9][0-9_.\-]{5,}[0-9](?:[_\-]|$)"

@@ -1,7 +1,8 @@
 """Precise search: every word of a query must match, ranked by where it matches.
 
 Records need the columns id, strong, described, body and taken_at. Queries are parsed on the driver; everything else is
-lazy. A cheap contains() on the raw text runs before the padded forms are made, and ranking reads each record once.
+declared. A cheap contains() on the small-letter text runs before the padded forms are made; ranking reads the texts once and writes what it
+found, without them.
 """
 
 from __future__ import annotations
@@ -10,11 +11,11 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.dates import parse_query
 from ..functions.dictionaries import CATEGORY_FILLER, CATEGORY_LABELS, CATEGORY_SYNONYMS
-from ..functions.text import basic_clean, flat, has, occurrences, padded, query_terms, query_words
+from ..functions.text import NOT_WORD, basic_clean, flat, has, padded, query_terms, query_words, wide_occurrences
+from .ranking import bind, numbered, written
 
 Terms = list[tuple[str, list[str]]]
 #: What a match counts in each place, what a repetition and the phrase add, and the share of the top score that makes `best`.
@@ -26,87 +27,122 @@ def single(x: float | Column) -> Column:
     return (x if isinstance(x, Column) else F.lit(x)).cast("float")
 
 
-def candidates(records: DataFrame, terms: Terms) -> DataFrame:
-    """Records whose texts hold an alternative of every term somewhere, as plain substrings."""
-    text = F.lower(F.concat_ws(" ", "strong", "described", "body"))
+def texts(records: DataFrame) -> DataFrame:
+    """records with `_low`: all their text in small letters."""
+    return bind(records, _low=F.lower(F.concat_ws(" ", "strong", "described", "body")))
+
+
+def holds(terms: Terms) -> Column:
+    """Whether `_low` has the first word of an alternative of every term, as a plain substring: what a match must have."""
     keep = F.lit(True)
     for _, alts in terms:
         firsts = {query_words(a)[0] for a in alts if query_words(a)}
-        keep = keep & (F.greatest(*(F.contains(text, F.lit(a)) for a in sorted(firsts)), F.lit(False)))
-    return records.filter(keep)
+        keep = keep & F.greatest(*(F.contains("_low", F.lit(a)) for a in sorted(firsts)), F.lit(False))
+    return keep
+
+
+def candidates(records: DataFrame, terms: Terms) -> DataFrame:
+    """Records whose texts hold an alternative of every term somewhere, as plain substrings."""
+    return texts(records).filter(holds(terms)).drop("_low")
 
 
 def match(records: DataFrame, terms: Terms) -> DataFrame:
     """Records that hold an alternative of every term as whole words."""
-    every = padded(F.concat_ws(" ", "strong", "described", "body"))
     keep = F.lit(True)
     for _, alts in terms:
-        keep = keep & F.greatest(*(has(every, a) for a in alts), F.lit(False))
-    return candidates(records, terms).filter(keep)
+        keep = keep & F.greatest(*(has(F.col("_every"), a) for a in alts), F.lit(False))
+    return bind(texts(records).filter(holds(terms)), _every=squeezed(F.col("_low"))).filter(keep).drop("_low", "_every")
+
+
+def squeezed(low: Column) -> Column:
+    """padded() of a text that is in small letters."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(low, NOT_WORD, " ")), F.lit(" "))
 
 
 def scored(records: DataFrame, terms: Terms) -> DataFrame:
-    """records that every term matches, with their score."""
+    """records that every term matches, with their score. Texts are padded once, and only where the words occur at all."""
     if not terms:
         return records.withColumn("score", single(0.0)).filter("false")
-    norm = {c: padded(F.coalesce(F.col(c), F.lit(""))) for c in ("strong", "described", "body")}
-    df = candidates(records, terms).withColumns({f"_{c}": v for c, v in norm.items()})
+    df = texts(records).filter(holds(terms))
+    df = bind(df, **{f"_{c}": padded(F.coalesce(F.col(c), F.lit(""))) for c in ("strong", "described", "body")})
+    df = bind(df, _wide=F.replace("_body", F.lit(" "), F.lit("  ")))
     each = []
     for _, alts in terms:
         place = F.greatest(*(F.when(has(F.col("_strong"), a), single(STRONG)).when(has(F.col("_described"), a), single(DESCRIBED)).otherwise(single(0.0)) for a in alts), single(0.0))
-        n = F.greatest(*(occurrences(F.col("_body"), a) for a in alts), F.lit(0))
-        body = F.when(n > 0, single(BODY) + single(REPEAT) * single(F.least(n, F.lit(4)) - 1)).otherwise(single(0.0))
-        each.append(F.greatest(place, body))
-    df = df.withColumn("_each", F.array(*each)).filter(F.forall("_each", lambda x: x > 0))
+        count = lambda n: F.when(n > 0, single(BODY) + single(REPEAT) * single(F.least(n, F.lit(4)) - 1)).otherwise(single(0.0))
+        # Bound in a lambda, as the count is used twice.
+        counts = F.array(F.greatest(*(wide_occurrences(F.col("_wide"), a) for a in alts), F.lit(0)))
+        each.append(F.greatest(place, F.transform(counts, count)[0]))
+    df = bind(df, _each=F.array(*each)).filter(F.forall("_each", lambda x: x > 0))
     score = F.aggregate("_each", single(0.0), lambda acc, x: acc + x)
     if len(terms) > 1:
         phrase = " ".join(w for w, _ in terms)
         both = F.greatest(*(has(F.col(c), phrase) for c in ("_strong", "_described", "_body")))
         score = F.when(both, score + single(PHRASE)).otherwise(score)
-    return df.withColumn("score", score).drop("_each", "_strong", "_described", "_body")
+    return df.withColumn("score", score).drop("_low", "_each", "_strong", "_described", "_body", "_wide")
 
 
-def rank(records: DataFrame, terms: Terms, keep: float = KEEP) -> DataFrame:
-    """id, score, tier (best or more) and rank within the tier: by score, then taken_at, both falling, then id. The top score is an
-    aggregate of one row that is joined back; the order is total, so rank() needs no more than a sort by tier."""
-    found = scored(records, terms)
+def tiered(found: DataFrame, keep: float = KEEP) -> DataFrame:
+    """A written table of scored rows with their tier: best from `keep` of the top score on, else more."""
     top = found.agg(F.max("score").alias("_top"))
-    tiered = found.crossJoin(F.broadcast(top)).withColumn("tier", F.when(F.col("score") >= F.col("_top") * single(keep), "best").otherwise("more"))
-    order = Window.partitionBy("tier").orderBy(F.desc("score"), F.desc("taken_at"), "id")
-    return tiered.withColumn("rank", F.row_number().over(order)).select("id", "score", "tier", "rank")
+    return found.crossJoin(F.broadcast(top)).withColumn("tier", F.when(F.col("score") >= F.col("_top") * single(keep), "best").otherwise("more")).drop("_top")
+
+
+def rank(records: DataFrame, terms: Terms, keep: float = KEEP) -> DataFrame:
+    """id, score, tier (best or more) and rank within the tier: by score, then taken_at, both falling, then id. The texts are read once: what
+    matches is written, without its texts, and sorted by ranges."""
+    found = tiered(written(scored(records, terms).select("id", "score", "taken_at")), keep)
+    return numbered(found, "tier", F.desc("score"), F.desc("taken_at"), F.asc("id")).select("id", "score", "tier", "rank")
+
+
+def begins(words: list[str], every: bool = False) -> Column:
+    """Whether the padded text `_every` has all words, the last one (or every one) as the beginning of a word."""
+    keep = F.lit(bool(words))
+    for k, w in enumerate(words):
+        end = "" if every or k == len(words) - 1 else " "
+        keep = keep & F.contains("_every", F.lit(f" {w}{end}"))
+    return keep
 
 
 def prefix_match(records: DataFrame, words: list[str], every: bool = False) -> DataFrame:
     """Records with all words, the last one (or every one) as the beginning of a word."""
     if not words:
         return records.filter("false")
-    text = padded(F.concat_ws(" ", "strong", "described", "body"))
-    keep = F.lit(True)
-    for k, w in enumerate(words):
-        end = "" if every or k == len(words) - 1 else " "
-        keep = keep & F.contains(text, F.lit(f" {w}{end}"))
-    return candidates(records, [(w, [w]) for w in words]).filter(keep)
+    found = texts(records).filter(holds([(w, [w]) for w in words]))
+    return bind(found, _every=squeezed(F.col("_low"))).filter(begins(words, every)).drop("_low", "_every")
+
+
+def contained(query: str, columns: tuple[str, ...]) -> Column:
+    return F.greatest(*(F.coalesce(F.contains(F.lower(F.col(c)), F.lit(query)), F.lit(False)) for c in columns), F.lit(False))
 
 
-def like(records: DataFrame, query: str, columns: tuple[str, ...] = ("body", "described", "strong"), limit: int | None = 500) -> DataFrame:
-    """Records with the query as a substring of a column, newest first. All of Unicode is compared without regard to case."""
+def like(records: DataFrame, query: str, columns: tuple[str, ...] = ("body", "described", "strong"), limit: int | None = None) -> DataFrame:
+    """Records with the query as a substring of a column, newest first. All of Unicode is compared without regard to case. limit: how
+    many of the newest to return, where a caller wants no more."""
     q = query.strip().lower()
     if not q:
         return records.filter("false")
-    found = records.filter(F.greatest(*(F.coalesce(F.contains(F.lower(F.col(c)), F.lit(q)), F.lit(False)) for c in columns), F.lit(False))).orderBy(F.desc("taken_at"), "id")
+    found = records.filter(contained(q, columns)).orderBy(F.desc("taken_at"), "id")
     return found.limit(limit) if limit else found
 
 
 def cascade(records: DataFrame, query: str, meanings: dict[str, list[str]] | None = None) -> DataFrame:
-    """id, stage, tier, rank: the precise ranking; if that is empty, word beginnings; if these are as well, substrings.
-    One plan: the stages are united and the first that has rows stays."""
-    terms = query_terms(query, meanings)
-    newest = Window.orderBy(F.desc("taken_at"), "id")
-    by_time = lambda df, k: df.select("id", F.lit(k).alias("stage"), F.lit("best").alias("tier"), F.row_number().over(newest).alias("rank"))
-    every = rank(records, terms).select("id", F.lit(1).alias("stage"), "tier", "rank")
-    every = every.unionByName(by_time(prefix_match(records, [w for w, _ in terms]), 2)).unionByName(by_time(like(records, query), 3))
-    first = every.agg(F.min("stage").alias("_first"))
-    return every.crossJoin(F.broadcast(first)).filter("stage = _first").drop("_first")
+    """id, stage, tier, rank: the precise ranking; if that is empty, word beginnings; if these are as well, substrings. A second pass over
+    the texts, only where the first finds nothing, tells both; a record that begins words needs no look at substrings, as the least stage of
+    all is the one that counts. What is found is written without its texts."""
+    terms, q = query_terms(query, meanings), query.strip().lower()
+    words, kept = [w for w, _ in terms], ("id", "taken_at")
+    scores = scored(records, terms).select(*kept, "score", F.lit(1).alias("stage"))
+    beginning, inside = (holds([(w, [w]) for w in words]) if words else F.lit(False)), F.contains("_low", F.lit(q)) if q else F.lit(False)
+    rest = bind(texts(records).filter(beginning | inside), _every=squeezed(F.col("_low")))
+    stage = F.when(begins(words), 2).when(inside & contained(q, ("body", "described", "strong")), 3)
+    rest = rest.select(*kept, single(0.0).alias("score"), stage.alias("stage")).filter("stage is not null")
+    found = written(scores)
+    if found.isEmpty():
+        found = written(rest)
+        found = found.join(F.broadcast(found.agg(F.min("stage").alias("stage"))), "stage").select(*found.columns)
+    ranked = numbered(tiered(found), "tier", F.desc("score"), F.desc("taken_at"), F.asc("id"))
+    return ranked.select("id", "stage", "tier", "rank")
 
 
 def category_query(query: str) -> list[str]:
@@ -124,22 +160,23 @@ def search(records: DataFrame, query: str, today: date | None = None, meanings:
     not change which results count as best. records may have `categories` (array of strings)."""
     span, rest = parse_query(query, today or date.today())
     inside = records if span is None else records.filter((F.col("taken_at") >= F.lit(span[0])) & (F.col("taken_at") < F.lit(span[1])))
-    newest = Window.orderBy(F.desc("taken_at"), "id")
+    best = F.lit("best").alias("tier")
     if span is not None and not rest:
-        return inside.select("id", F.lit("best").alias("tier"), F.row_number().over(newest).alias("rank"), F.lit("DATE").alias("reason"), F.lit(None).cast("string").alias("snippet"))
+        dated = numbered(inside.select("id", "taken_at", best), "tier", F.desc("taken_at"), F.asc("id"))
+        return dated.select("id", "tier", "rank", F.lit("DATE").alias("reason"), F.lit(None).cast("string").alias("snippet"))
     asked = category_query(rest) if "categories" in records.columns else []
-    texts = cascade(records, rest, meanings).select("id", "tier", F.lit(len(asked)).alias("part"), "rank", F.lit("TEXT").alias("reason"))
+    hits = cascade(records, rest, meanings).select("id", "tier", F.lit(len(asked)).alias("part"), "rank", F.lit("TEXT").alias("reason"))
     if asked:
         # A record of several asked categories comes once, with the first of them.
-        part = F.array_position(F.array(*(F.lit(c) for c in asked)), F.filter(F.array(*(F.lit(c) for c in asked)), lambda c: F.array_contains("categories", c))[0]) - 1
-        whole = records.filter(F.arrays_overlap("categories", F.array(*(F.lit(c) for c in asked)))).withColumn("part", part.cast("int"))
-        whole = whole.select("id", F.lit("best").alias("tier"), "part", F.row_number().over(newest).alias("rank"), F.lit("CATEGORY").alias("reason"))
-        texts = whole.unionByName(texts.join(whole.select("id"), "id", "left_anti"))
-    hits = texts.join(inside.select("id", "body", "taken_at"), "id")
-    order = Window.partitionBy("tier").orderBy("part", "rank", "id")
+        wanted = F.array(*(F.lit(c) for c in asked))
+        part = F.array_position(wanted, F.filter(wanted, lambda c: F.array_contains("categories", c))[0]) - 1
+        whole = records.filter(F.arrays_overlap("categories", wanted)).select("id", "taken_at", best, part.cast("int").alias("part"))
+        whole = numbered(whole, "tier", F.desc("taken_at"), F.asc("id")).select("id", "tier", "part", "rank", F.lit("CATEGORY").alias("reason"))
+        hits = whole.unionByName(hits.join(whole.select("id"), "id", "left_anti"))
     words = [a for _, alts in query_terms(rest, meanings) for a in alts]
-    shown = F.when(F.col("reason") == "TEXT", snippet(F.col("body"), words, radius))
-    return hits.select("id", "tier", F.row_number().over(order).alias("rank"), "reason", shown.alias("snippet"))
+    shown = F.when(F.col("reason") == "TEXT", snippet(F.col("body"), words, radius)).alias("snippet")
+    hits = hits.withColumnRenamed("rank", "place").join(inside.select("id", "body"), "id").select("id", "tier", "part", "place", "reason", shown)
+    return numbered(hits, "tier", F.asc("part"), F.asc("place"), F.asc("id")).select("id", "tier", "rank", "reason", "snippet")
 
 
 def snippet(text: Column, terms: list[str], radius: int = 48) -> Column:
@@ -177,8 +214,10 @@ def token_table(records: DataFrame, columns: tuple[str, ...] = ("strong", "descr
 
 
 def match_by_tokens(tokens: DataFrame, terms: Terms) -> DataFrame:
-    """ids that hold an alternative (of one word) of every term, by way of the inverted index."""
+    """ids that hold an alternative of every term, by way of the inverted index. A phrase needs its words one after another in one column."""
     spark = tokens.sparkSession
-    wanted = spark.createDataFrame([(k, a) for k, (_, alts) in enumerate(terms) for a in alts if " " not in a], "term int, tok string")
-    hits = tokens.join(F.broadcast(wanted), "tok").groupBy("id").agg(F.count_distinct("term").alias("n"))  # a query's words
+    alternatives = [(k, n, query_words(a)) for k, (_, alts) in enumerate(terms) for n, a in enumerate(alts)]
+    wanted = spark.createDataFrame([(k, n, i, len(ws), w) for k, n, ws in alternatives for i, w in enumerate(ws)], "term int, alt int, at int, size int, tok string")  # a query's words
+    met = tokens.join(F.broadcast(wanted), "tok").groupBy("id", "col", (F.col("pos") - F.col("at")).alias("begin"), "term", "alt").agg(F.count_distinct("at").alias("n"), F.first("size").alias("size"))
+    hits = met.filter(F.col("n") == F.col("size")).groupBy("id").agg(F.count_distinct("term").alias("n"))
     return hits.filter(F.col("n") == len(terms)).select("id")

@@ -110,7 +110,7 @@ def search_prefix(spark, sf_dir):
 
 @query("SELECT doc_id AS id FROM documents WHERE contains(lower(text), 'er the') OR contains(lower(source), 'er the')")
 def search_like(spark, sf_dir):
-    return search.like(search_records(spark, sf_dir), " ER the ", limit=None).select("id")
+    return search.like(search_records(spark, sf_dir), " ER the ").select("id")
 
 
 @query(rf"SELECT doc_id AS id FROM documents WHERE (contains({_PAD.format("source || '  ' || text")}, ' ther ') OR contains({_PAD.format("source || '  ' || text")}, ' thers ')) AND (contains({_PAD.format("source || '  ' || text")}, ' than ') OR contains({_PAD.format("source || '  ' || text")}, ' thans '))")
@@ -118,7 +118,7 @@ def match_tokens(spark, sf_dir):
     return search.match_by_tokens(search.token_table(search_records(spark, sf_dir)), tx.query_terms("ther than"))
 
 
-@query("SELECT doc_id AS id, 3 AS stage FROM documents WHERE contains(lower(text), 'rin er') OR contains(lower(source), 'rin er') ORDER BY doc_id DESC LIMIT 500")
+@query("SELECT doc_id AS id, 3 AS stage FROM documents WHERE contains(lower(text), 'rin er') OR contains(lower(source), 'rin er')")
 def search_cascade(spark, sf_dir):
     return search.cascade(search_records(spark, sf_dir), "rin er").select("id", "stage")
 
@@ -189,8 +189,7 @@ def collection_one(spark, sf_dir):
 @query("SELECT o.o_orderkey AS id, c.c_name || ':' || (SELECT count(*) FROM orders x WHERE x.o_custkey = c.c_custkey) AS collections FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders WHERE o_orderstatus <> 'F')")
 def record_detail(spark, sf_dir):
     mine = _ordered(spark, sf_dir)
-    first = mine.agg(F.min("id")).first()[0]
-    out = reads.detail(mine, _names(spark, sf_dir), _items(spark, sf_dir), first)
+    out = reads.detail(mine, _names(spark, sf_dir), _items(spark, sf_dir), mine.agg(F.min("id").alias("id")))
     return out.select("id", F.array_join(F.transform("collections", lambda c: F.concat_ws(":", c["name"], c["n"])), ",").alias("collections"))
 
 
@@ -263,6 +262,11 @@ def day_groups(spark, sf_dir):
     return reads.by_day(_events(spark, sf_dir), date(2024, 1, 28))
 
 
+@query("SELECT ts::DATE AS day, event_id AS id, CASE WHEN ts::DATE = DATE '2024-01-28' THEN 'Today' WHEN ts::DATE = DATE '2024-01-27' THEN 'Yesterday' ELSE strftime(ts, '%a, %-d %b') END AS label FROM events")
+def day_items(spark, sf_dir):
+    return reads.by_day_items(_events(spark, sf_dir), date(2024, 1, 28))
+
+
 @query("""WITH m AS (SELECT date_trunc('month', o_orderdate) AS month, count(*) AS n FROM orders GROUP BY 1), k AS (SELECT coalesce(sum(n) OVER (ORDER BY month DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS i, strftime(month, '%B %Y') AS label FROM m)
 SELECT t.c_custkey AS target, (SELECT max_by(label, i) FROM k WHERE i <= t.c_custkey) AS label FROM customer t""")
 def scrubber_marks(spark, sf_dir):
@@ -462,7 +466,7 @@ def app_names(spark, sf_dir):
 
 @query("SELECT doc_id AS id, 'App ' || (doc_id % 7) AS label FROM documents")
 def file_names(spark, sf_dir):
-    name = F.concat(F.lit("Screenshot_20240229_103000_App_"), F.col("doc_id") % 7, F.lit("_0123abcd.jpg"))
+    name = F.concat(F.lit("Capture_20240229_103000_App_"), F.col("doc_id") % 7, F.lit("_0123abcd.jpg"))
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), classify.app_of_file_name(name)["label"].alias("label"))
 
 
@@ -504,5 +508,5 @@ def descriptions(spark, sf_dir):
 
 @query()
 def enriched(spark, sf_dir):
-    raw = _lines(spark, sf_dir).select("id", F.concat(F.lit("Screenshot_20240229_103000_"), "source", F.lit(".jpg")).alias("name"), F.col("text").alias("ocr_text"), "lines")
+    raw = _lines(spark, sf_dir).select("id", F.concat(F.lit("Capture_20240229_103000_"), "source", F.lit(".jpg")).alias("name"), F.col("text").alias("ocr_text"), "lines")
     return enrich.enrich(raw, TODAY).select("id", "app", "app_source", F.size("entities").alias("n_entities"), F.array_join("categories", ",").alias("categories"), "state")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import date
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,10 +49,10 @@ def collections(names: DataFrame, items: DataFrame, records: DataFrame) -> DataF
     return out.withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def detail(records: DataFrame, names: DataFrame, items: DataFrame, record_id: int) -> DataFrame:
-    """One record with its keywords and the collections that it is in, by name, with their counts."""
-    one = records.filter(F.col("id") == record_id).withColumns({"keywords": F.array_distinct(F.filter("objects", lambda x: x != "")), "description": F.when(F.trim("description") != "", F.col("description"))})
-    mine = items.filter(F.col("record_id") == record_id).select("collection_id")
+def detail(records: DataFrame, names: DataFrame, items: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One record (wanted: a row with its id) with its keywords and the collections that it is in, by name, with their counts."""
+    one = records.join(F.broadcast(wanted.select("id")), "id", "left_semi").withColumns({"keywords": F.array_distinct(F.filter("objects", lambda x: x != "")), "description": F.when(F.trim("description") != "", F.col("description"))})
+    mine = items.join(F.broadcast(wanted.select(F.col("id").alias("record_id"))), "record_id", "left_semi").select("collection_id")
     counts = items.join(mine, "collection_id", "left_semi").groupBy("collection_id").agg(F.count("*").alias("n"))
     own = names.join(counts, names["id"] == counts["collection_id"]).select(F.struct("name", names["id"].alias("id"), "n").alias("c"))
     held = own.agg(F.array_sort(F.collect_list("c")).alias("collections"))  # those of one record
@@ -103,11 +105,17 @@ def app_choices(labels: DataFrame, installed: DataFrame, extra: list[DataFrame])
 
 
 def by_day(records: DataFrame, today: date) -> DataFrame:
-    """(day, label, n, ids): records by day, the newest day first. Counts and ids come from one pass."""
+    """(day, label, n): records by day, the newest day first. What a day holds is by_day_items()."""
     day = F.to_date("taken_at")
     return records.groupBy(day.alias("day")).agg(F.count("*").alias("n")).withColumn("label", day_label(F.col("day"), today)).orderBy(F.desc("day"))
 
 
+def by_day_items(records: DataFrame, today: date) -> DataFrame:
+    """(day, label, id): the records of each day, newest first; rows, as a day may hold more than a list can."""
+    day = F.to_date("taken_at")
+    return newest(records.select(day.alias("day"), day_label(day, today).alias("label"), "id", "taken_at")).select("day", "label", "id")
+
+
 def month_marks(records: DataFrame) -> DataFrame:
     """(index, label): where each month begins in the newest-first order. Positions come from counts of the newer months, so no window spans all records."""
     months = records.groupBy(F.trunc("taken_at", "month").alias("month")).agg(F.count("*").alias("n"))
@@ -116,12 +124,12 @@ def month_marks(records: DataFrame) -> DataFrame:
 
 
 def mark_at(marks: DataFrame, targets: DataFrame) -> DataFrame:
-    """(target, label): the last mark at or before each target, else the first. As-of lookup by one sort of marks and targets."""
-    both = marks.select(F.col("index").alias("at"), F.lit(0).alias("kind"), "label").unionByName(targets.select(F.col("target").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("label")))
-    w = Window.orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    first = marks.agg(F.min_by("label", "index").alias("first"))
-    found = both.withColumn("label", F.last("label", ignorenulls=True).over(w)).filter("kind = 1")
-    return found.crossJoin(F.broadcast(first)).select(F.col("at").alias("target"), F.coalesce("label", "first").alias("label"))
+    """(target, label): the last mark at or before each target, else the first. Marks are a row a month: one sorted list of them goes to all
+    targets, which needs no shuffle of these."""
+    listed = marks.agg(F.array_sort(F.collect_list(F.struct("index", "label"))).alias("marks"))
+    found = F.try_element_at(F.filter("marks", lambda m: m["index"] <= F.col("target")), F.lit(-1))["label"]
+    some = F.exists("marks", lambda m: m["index"] <= F.col("target"))
+    return targets.crossJoin(F.broadcast(listed)).select("target", F.when(some, found).otherwise(F.get("marks", F.lit(0))["label"]).alias("label"))
 
 
 def launchable(apps: DataFrame, hidden: DataFrame) -> DataFrame:
@@ -138,9 +146,26 @@ def picker(choices: DataFrame, typed: str) -> DataFrame:
 
 
 def running_average(events: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """(key, average): the running whole-number average (9 parts old, 1 part new; the first value starts it) in order of time.
-    A fold over one key's values; keys fold in parallel."""
-    rows = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(value).cast("long").alias("v")))).alias("s"))
-    start = F.element_at("s", 1)["v"]
-    fold = F.aggregate(F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), start, lambda acc, x: F.floor((acc * 9 + x["v"]) / 10).cast("long"))
-    return rows.select(key, fold.alias("average"))
+    """(key, average): the running whole-number average (9 parts old, 1 part new; the first value starts it) in order of time, then value.
+    Keys come together in that order and are folded as they pass, so a task holds one number, however long a key's history; nulls are
+    passed over."""
+    rows = events.select(key, F.col(at).alias("_at"), F.col(value).cast("long").alias("_value")).filter("_value is not null")
+    ordered = rows.repartition(key).sortWithinPartitions(key, "_at", "_value").select(key, "_value")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, average, some = None, 0, False
+        for b in batches:
+            keys, averages = [], []
+            for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if some and k == last:
+                    average = (average * 9 + v) // 10
+                    continue
+                if some:
+                    keys.append(last)
+                    averages.append(average)
+                last, average, some = k, v, True
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), pa.array(averages, pa.int64())], names=[key, "average"])
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([last], b.column(0).type), pa.array([average], pa.int64())], names=[key, "average"])
+
+    return ordered.mapInArrow(fold, f"`{key}` {ordered.schema[key].dataType.simpleString()}, average long")

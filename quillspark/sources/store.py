@@ -18,10 +18,10 @@ PENDING, INDEXED, FAILED = 0, 1, 2
 GROUPS = "groups array<struct<id:string,kind:array<string>,words:array<struct<word:string,also:array<string>>>>>"
 
 
-def screenshots(media: DataFrame) -> DataFrame:
-    """Rows of a media listing (path, taken_ms, added_s, and more) that are screenshots, newest addition first, with taken_at: when it was
-    taken, or added if that is unknown."""
-    like = F.coalesce(F.col("path").like("%Screenshots%") | F.col("path").like("%Screenshot%"), F.lit(False))
+def captures(media: DataFrame) -> DataFrame:
+    """Rows of a media listing (path, taken_ms, added_s, and more) that are pictures of a screen, newest addition first, with taken_at:
+    when it was taken, or added if that is unknown."""
+    like = F.coalesce(F.col("path").like("%Screenshot%"), F.lit(False))  # fixed value: what devices name their folder or files
     taken = F.when(F.col("taken_ms") > 0, F.col("taken_ms")).otherwise(F.col("added_s") * 1000)
     return media.filter(like).withColumn("taken_at", F.timestamp_millis(taken)).orderBy(F.desc("added_s"), "path")
 

@@ -18,7 +18,7 @@ def test_collections_count_items_whose_record_is_gone(spark):
     items = spark.createDataFrame([(1, 10, 5), (1, 11, 6), (1, 99, 7), (2, 98, 1)], "collection_id long, record_id long, added_at long")
     recs = spark.createDataFrame([(10, "u10", ["x", "", "x"], " "), (11, "u11", [], "d")], "id long, uri string, objects array<string>, description string")
     assert rows(reads.collections(names, items, recs), "id", "n", "cover") == sorted([(1, 3, "u11"), (2, 1, None), (3, 0, None)], key=lambda x: x[0])
-    d = reads.detail(recs, names, items, 10).first()
+    d = reads.detail(recs, names, items, spark.createDataFrame([(10,)], "id long")).first()
     assert d["keywords"] == ["x"] and d["description"] is None and [tuple(c) for c in d["collections"]] == [("a", 1, 3)]
     assert [r["id"] for r in reads.collection_records(recs, items, 1).collect()] == [11, 10]
 
@@ -80,7 +80,7 @@ def test_choices_and_words(spark):
 
 def test_sources(spark, tmp_path):
     media = spark.createDataFrame([("/DCIM/Screenshots/a.png", 0, 5), ("/x/Screenshot_1.png", 9000, 6), ("/x/b.png", 1, 7), (None, 1, 1)], "path string, taken_ms long, added_s long")
-    got = store.screenshots(media).collect()
+    got = store.captures(media).collect()
     assert [r["path"] for r in got] == ["/x/Screenshot_1.png", "/DCIM/Screenshots/a.png"] and got[1]["taken_at"] == datetime(1970, 1, 1, 0, 0, 5)
     f = tmp_path / "words.json"
     f.write_text(json.dumps({"groups": [{"id": "g", "kind": ["Food"], "words": [{"word": "pizza", "also": []}, {"word": "tea", "also": ["chai"]}]}]}, indent=1))
