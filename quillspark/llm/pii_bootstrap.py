@@ -1,21 +1,24 @@
 """Personal data by bootstrapped contextual extraction; DataFrame functions only.
 
 The seeds are the base matches: e-mail addresses, IP addresses, card and phone numbers. From the words around them come
-lexical patterns: the two words before an identifier-like word (one with a digit or an @), in lower case without marks, with the kind of the
-seed. Patterns and the instances that they enclose form a bipartite graph with their counts. Scores go back and forth over it a
-fixed number of times: a pattern's confidence in a kind is the mean score of all the instances that it encloses; an instance's score in a kind is that of its best pattern (a seed's stays 1). Words without a base
-match that a high-confidence pattern with enough different instances introduces are added, with the pattern's kind.
+lexical patterns, in lower case without marks, with the kind of the seed: the two words before an identifier-like word (one with a digit
+or an @), the two after it, and one on either side. Patterns and the instances that they enclose form a bipartite graph with their counts.
+Scores go back and forth over it a fixed number of times: a pattern's confidence in a kind is the mean score of all the instances that it
+encloses; an instance's score in a kind is that of its best pattern (a seed's stays 1). Words without a base
+match that a high-confidence pattern with enough different instances encloses are added, with the pattern's kind.
 
 Offsets are in code points: the gaps of split() and the matches of regexp_extract_all() alternate in a text, so running sums
 of their lengths give each match its place. The patterns are written so that the JVM neither backtracks nor recurses on
 long texts, with the same matches as the plain forms.
 
-Defined results: null and empty texts have no spans; repeated rows (also repeated ids) are told apart and each has its
-result; other columns are ignored; an empty table gives an empty table.
+Defined results: null and empty texts have no spans; texts of any length are read whole; repeated rows (also repeated ids) are told
+apart and each has its result; other columns are ignored, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,23 +63,50 @@ def valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def places(lengths: Column, step: int = 512) -> Column:
+    """The sum of all lengths before each. Summed in parts of `step`, as appending to an array copies it."""
+    empty, zero = F.array().cast("array<bigint>"), F.lit(0).cast("long")
+    own = lambda at, part: F.aggregate(part, F.struct(at.alias("at"), empty.alias("out")), lambda a, n: F.struct((a["at"] + n).alias("at"), F.array_append(a["out"], a["at"]).alias("out")))
+    parts = once(lengths, lambda ns: F.transform(F.sequence(F.lit(0), F.greatest(F.size(ns) - 1, F.lit(0)), F.lit(step)), lambda k: F.slice(ns, k + 1, F.lit(step))))
+    whole = F.aggregate(parts, F.struct(zero.alias("at"), F.array().cast("array<array<bigint>>").alias("out")), lambda a, part: once(own(a["at"], part), lambda x: F.struct(x["at"].alias("at"), F.array_append(a["out"], x["out"]).alias("out"))))
+    return F.flatten(whole["out"])
+
+
 def matches(text: Column, kind: str) -> Column:
     """array<struct<start, kind, end, value>> of the valid matches of a kind, in order."""
     pattern = PATTERNS[kind]
     empty = F.lit(None).cast("array<struct<start:long,kind:int,end:long,value:string>>")
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    spans = F.aggregate(
-        F.arrays_zip(found.alias("m"), gaps.alias("g")),
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,kind:int,end:long,value:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["g"]) + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"),
-            F.when(x["m"].isNull(), acc["out"]).otherwise(
-                F.array_append(acc["out"], F.struct((acc["at"] + F.length(x["g"])).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("end"), x["m"].alias("value")))).alias("out"),
-        ),
-    )["out"]
+    both = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))  # a gap more than matches
+
+    def spans(xs: Column) -> Column:
+        at = places(F.transform(xs, lambda x: (F.length(x["g"]) + F.coalesce(F.length(x["m"]), F.lit(0))).cast("long")))
+        cut = F.zip_with(xs, at, lambda x, a: F.struct((a + F.length(x["g"])).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (a + F.length(x["g"]) + F.length(x["m"])).alias("end"), x["m"].alias("value")))
+        return F.filter(cut, lambda s: s["value"].isNotNull() & valid(kind, s["value"]))
+
     hint = F.contains(text, F.lit(HINTS[kind])) if HINTS[kind] else F.lit(True)
-    return F.coalesce(F.when(hint & text.rlike(pattern), F.filter(spans, lambda s: valid(kind, s["value"]))), empty, F.array().cast("array<struct<start:long,kind:int,end:long,value:string>>"))
+    return F.coalesce(F.when(hint & text.rlike(pattern), once(both, spans)), empty, F.array().cast("array<struct<start:long,kind:int,end:long,value:string>>"))
+
+
+def words_like(text: Column) -> Column:
+    """array<struct<start, end, word, patterns>> of the identifier-like words, with the patterns that enclose them."""
+
+    def around(ws: Column) -> Column:
+        near = lambda i, k: F.coalesce(bare(F.get(ws, i + k)["word"]), F.lit(""))
+        sides = lambda i: {"before": [near(i, -2), near(i, -1)], "after": [near(i, 1), near(i, 2)], "around": [near(i, -1), near(i, 1)]}
+        patterns = lambda i: F.array(*(F.concat_ws(" ", F.lit(name), *parts) for name, parts in sides(i).items()))
+        like = F.filter(F.transform(ws, lambda x, i: F.struct(x["at"].alias("start"), (x["at"] + F.length(x["word"])).alias("end"), x["word"].alias("word"), i.alias("i"))), lambda x: x["word"].rlike("[0-9@]"))
+        return F.transform(like, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["word"].alias("word"), patterns(x["i"]).alias("patterns")))
+
+    def placed(ws: Column) -> Column:
+        at = places(F.transform(ws, lambda w: (F.length(w) + 1).cast("long")))  # one separator each
+        return F.filter(F.zip_with(ws, at, lambda w, a: F.struct(w.alias("word"), a.alias("at"))), lambda x: x["word"] != "")
+
+    return once(once(F.split(text, r"[\x20\x09-\x0D]", -1), placed), around)
 
 
 def bare(c: Column) -> Column:
@@ -84,7 +114,7 @@ def bare(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
 
 
-def extract(docs: DataFrame, id_col: str, text_col: str, rounds: int = 3, least: float = 0.9, different: int = 4) -> DataFrame:
+def extract(docs: DataFrame, id_col: str, text_col: str, rounds: int = 3, least: float = 0.85, different: int = 4) -> DataFrame:
     """For each row: its id and spans (array of start, kind, end, base, score; by start, then kind). least: the confidence that a
     pattern needs to discover, different: how many different instances it must have enclosed."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -98,25 +128,13 @@ def extract(docs: DataFrame, id_col: str, text_col: str, rounds: int = 3, least:
         F.when(numbers, F.col("text")).alias("text"),
     )
     table = save(table, "pii")
-    words = F.split(F.col("text"), r"[\x20\x09-\x0D]", -1)  # one separator each, so lengths give the places
-    like = table.filter("text is not null").select(
-        "row", "base",
-        F.aggregate(
-            words, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("b"), F.lit("").alias("a"), F.array().cast("array<struct<start:long,end:long,word:string,left:string>>").alias("out")),
-            lambda acc, w: F.when(F.length(w) == 0, F.struct((acc["at"] + 1).alias("at"), acc["b"].alias("b"), acc["a"].alias("a"), acc["out"].alias("out"))).otherwise(
-                F.struct(
-                    (acc["at"] + F.length(w) + 1).alias("at"), acc["a"].alias("b"), w.alias("a"),
-                    F.when(w.rlike("[0-9@]"), F.array_append(acc["out"], F.struct(acc["at"].alias("start"), (acc["at"] + F.length(w)).alias("end"), w.alias("word"), F.concat_ws(" ", acc["b"], acc["a"]).alias("left")))).otherwise(acc["out"]).alias("out"),
-                )
-            ),
-        )["out"].alias("like"),
-    )
+    like = table.filter("text is not null").select("row", "base", words_like(F.col("text")).alias("like"))
     edges = like.select("row", "base", F.explode("like").alias("w")).select(
-        "row", F.col("w.start").alias("start"), F.col("w.end").alias("end"), bare(F.col("w.word")).alias("instance"),
-        F.array_join(F.transform(F.split("w.left", " "), bare), " ").alias("pattern"),
+        "row", F.col("w.start").alias("start"), F.col("w.end").alias("end"), bare(F.col("w.word")).alias("instance"), F.col("w.patterns").alias("patterns"),
         F.filter("base", lambda s: (s["start"] < F.col("w.end")) & (F.col("w.start") < s["end"])).alias("hit"),
     )
-    edges = save(edges.select("row", "start", "end", "instance", "pattern", F.when(F.size("hit") > 0, F.col("hit")[0]["kind"]).alias("kind"), (F.size("hit") > 0).alias("seed")).filter("instance <> '' and pattern <> '' and pattern <> ' '"), "pii-edges")
+    edges = edges.select("row", "start", "end", "instance", F.explode("patterns").alias("pattern"), F.when(F.size("hit") > 0, F.col("hit")[0]["kind"]).alias("kind"), (F.size("hit") > 0).alias("seed"))
+    edges = save(edges.filter((F.col("instance") != "") & ~F.col("pattern").rlike("^[a-z]+ *$")), "pii-edges")  # a pattern of no words tells nothing
     scored = score(edges, rounds, different)
     found = edges.filter("not seed").join(scored.filter(F.col("score") >= least), "pattern").groupBy("row", "start", "end").agg(F.max(F.struct("score", F.col("to").alias("kind"))).alias("s"))
     found = found.groupBy("row").agg(F.collect_list(F.struct("start", F.col("s.kind").alias("kind"), "end", F.lit(False).alias("base"), F.col("s.score").alias("score"))).alias("more"))

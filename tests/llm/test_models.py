@@ -153,3 +153,21 @@ def test_pii_patterns_discover(spark):
         spans.setdefault(r["doc_id"], []).append([(s["kind"], s["start"], s["end"], s["base"]) for s in r["spans"]])
     assert sorted(spans[100]) == [[("email", 17, 28, False)], [("email", 21, 34, False)]]
     assert spans[101] == [[]] and spans[102] == [[]]
+
+
+def test_pii_discovers_from_either_side(spark):
+    """Measured on planted identifiers that no base pattern matches: most are found, ordinary numbers aren't."""
+    words = lambda k, n: " ".join(prose(k, n))
+    rows = [(k, f"{words(k, 8)} dial +1 (431) 555-{k:04d} for help {words(k + 90, 8)}") for k in range(40)]
+    rows += [(100 + k, f"{words(k, 8)} host 10.0.{k}.7 went down {words(k + 90, 8)}") for k in range(40)]
+    hidden = [(300 + k, f"{words(k + 7, 9)} dial ext.{k}77 for help {words(k, 5)}") for k in range(15)] + [(400 + k, f"{words(k + 7, 9)} fe80::{k} went down {words(k, 5)}") for k in range(15)]
+    clean = [(500 + k, f"{words(k, 12)} version 2.{k} of {words(k + 3, 12)} in 19{k:02d} {words(k + 5, 4)}") for k in range(30)]
+    out = {r["doc_id"]: [(s["kind"], s["base"]) for s in r["spans"]] for r in pii_bootstrap.extract(documents(spark, rows + hidden + clean), "doc_id", "text").collect()}
+    assert sum(out[i] == [("phone" if i < 400 else "ip", False)] for i, _ in hidden) >= 0.9 * len(hidden)
+    assert not any(out[i] for i, _ in clean)
+
+
+def test_pii_places_of_many_matches(spark):
+    text = " ".join(f"a{k}@b.c é" for k in range(5000))
+    row = pii_bootstrap.extract(documents(spark, [(1, text)]), "doc_id", "text").select(queries.digest("spans", pii_bootstrap.KINDS)[-1]).first()
+    assert row["spans"] == ",".join(f"email:{a}:{z}" for a, k, z in brute_pii(text) if k == 0)
