@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zlib
@@ -16,33 +17,48 @@ from pyspark.sql.window import Window
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches to and from Python are bounded by their bytes, as texts may be of any length; a setting of the session's own stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, "4m")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, which only tests leave unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, which only local sessions, such as tests, may leave unset."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
 
 
-def save(df: DataFrame, tag: str) -> DataFrame:
-    """df as a written table in the shared folder: cuts the lineage, so a lost executor costs a re-read only."""
+def save(df: DataFrame, tag: str, sweep: bool = False) -> DataFrame:
+    """df as a written table in the shared folder: cuts the lineage, so a lost executor costs a re-read only. sweep: let Spark
+    delete the shuffle files that only this table needed, which it does when the driver's memory is cleared."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
+    if sweep:
+        gc.collect()
+        spark._jvm.System.gc()
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Delete a table of save() that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    p = jvm.org.apache.hadoop.fs.Path(df._saved_at)
-    p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of save() that nothing reads any more."""
+    for df in tables:
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._saved_at)
+        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def spread(spark: SparkSession) -> int:

@@ -43,7 +43,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         now = edges.agg(F.count("*").alias("n"), F.count_distinct("u").alias("nodes"), F.sum(F.xxhash64("u", "v") % (1 << 40)).alias("h")).first()
         if (now["n"], now["h"]) == seen or now["n"] == now["nodes"] and edges.select(F.col("v").alias("u")).distinct().join(edges, "u", "left_semi").isEmpty():
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            out = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            out._saved_at = edges._saved_at  # for forget()
+            return out
         seen = (now["n"], now["h"])
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, hash_order, kept, sample_of_each, slices
+from .common import as_bytes, hash_order, kept, sample_of_each, slices, small_batches
 
 #: Hashed features.
 BITS = 16
@@ -321,10 +321,11 @@ def identify(docs: DataFrame, id_col: str, text_col: str, model: Model, carry: t
     as one that does not. carry: other columns to hand through, under other names than these."""
     import uuid
 
+    small_batches(docs.sparkSession)
     shared, key, langs = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex, np.array([*model.langs, "und"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1000, 3 << 20):
+        for b in slices(batches, 500, 1 << 20):
             texts = as_bytes(b.column(1))
             if len(langs) > 1:
                 lang, score, sizes, post = kept(key, lambda: Labeller(shared.value)).label(texts)
@@ -342,13 +343,14 @@ def surely(docs: DataFrame, text_col: str, model: Model, least: float) -> DataFr
     texts go to Python, and one number for each comes back."""
     import uuid
 
+    small_batches(docs.sparkSession)
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     @F.arrow_udf("double")
     def sure(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             out = []
-            for b in slices(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), 1000, 3 << 20):
+            for b in slices(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), 500, 1 << 20):
                 if shared.value.langs:
                     lang, _, sizes, post = kept(key, lambda: Labeller(shared.value)).label(as_bytes(b.column(0)))
                     out.append(np.where(lang < 0, -1.0, sureness(post, sizes)))

@@ -351,26 +351,22 @@ def rarest(levels):
     return run
 
 
-def labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-    labels = components(links).select(F.col("node").alias("class"), F.col("component").alias("label"))
-    return rows.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-
-
-def narrow(rows: DataFrame, links: DataFrame, levels, percent: int, together: int) -> tuple[DataFrame, DataFrame]:
-    """One level over the large groups (g, class, n, diff): the next level's groups and all links so far."""
+def narrow(rows: DataFrame, links: DataFrame, levels, percent: int, together: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """One level over the large groups (g, class, n, diff): the next level's groups, all links so far, and the tables written."""
     spark = rows.sparkSession
     counts = rows.select("g", F.explode("diff").alias("token")).groupBy("g", "token").agg(F.count("*").alias("c"))
     most = counts.join(rows.groupBy("g").agg(F.count("*").alias("m")), "g").filter(2 * F.col("c") > F.col("m")).groupBy("g").agg(F.collect_list("token").alias("turn"))  # under twice the mean number of differences
     turned = F.when(F.col("turn").isNull(), F.col("diff")).otherwise(F.concat(F.array_except("diff", "turn"), F.array_except("turn", "diff")))
     rows = rows.join(most, "g", "left").select("g", "class", "n", turned.alias("diff"))
-    rows = save(rows.withColumn("room", (100 - percent) * F.col("n") - (100 + percent) * F.size("diff")), "differences")
+    rows = first = save(rows.withColumn("room", (100 - percent) * F.col("n") - (100 + percent) * F.size("diff")), "differences")
     top = rows.groupBy("g").agg(F.max(F.struct("room", "class")).alias("top"))
     rows = rows.join(top, "g").select("g", "class", "n", "diff", "room", F.col("top.room").alias("best"), F.col("top.class").alias("hub"))
     near = F.col("room") + F.col("best") >= 0
-    links = save(links.unionByName(rows.filter(near & (F.col("class") != F.col("hub"))).select(F.col("class").alias("u"), F.col("hub").alias("v"))), "links")
+    links = stars = save(links.unionByName(rows.filter(near & (F.col("class") != F.col("hub"))).select(F.col("class").alias("u"), F.col("hub").alias("v"))), "links")
     # Of two classes that are still to be compared one at least is not near, so the other's room is known to be small.
     least = F.greatest(F.lit(1), F.ceil(F.when(near, F.col("best") - F.col("room")).otherwise(-F.col("room") - F.col("best")) / (2 * (100 + percent))))
-    rows = labelled(rows, links).select("g", "class", "n", "label", "diff", (F.size("diff") - least + 1).cast("int").alias("most"))
+    labels = components(links)
+    rows = rows.join(labels.select(F.col("node").alias("class"), F.col("component").alias("label")), "class", "left").withColumn("label", F.coalesce("label", "class")).select("g", "class", "n", "label", "diff", (F.size("diff") - least + 1).cast("int").alias("most"))
     rows = save(rows.filter("most > 0"), "differences")
     lists = save(rows.select("g", "class", "diff", "most").mapInArrow(rarest(levels), "list long, g long, class long").join(rows.select("g", "class", "label"), ["g", "class"]), "lists")
     several = lists.groupBy("list").agg(F.count("*").alias("m"), F.min("label").alias("a"), F.max("label").alias("z")).filter("a < z").select("list", "m")
@@ -378,7 +374,8 @@ def narrow(rows: DataFrame, links: DataFrame, levels, percent: int, together: in
     after = save(after, "groups")
     small = after.filter(F.col("m") <= together).select("g", "class", "n", "label", "diff").repartition(spread(spark), "g").sortWithinPartitions("g")
     links = save(links.unionByName(small.mapInArrow(across(percent), "u long, v long")), "links")
-    return after.filter(F.col("m") > together).select("g", "class", "n", "diff"), links
+    forget(first, rows, lists, stars, labels)
+    return after.filter(F.col("m") > together).select("g", "class", "n", "diff"), links, [after, links]
 
 
 def join(docs: DataFrame, id_col: str, text_col: str, n: int = 4, percent: int = 85, together: int = TOGETHER) -> DataFrame:
@@ -390,8 +387,9 @@ def join(docs: DataFrame, id_col: str, text_col: str, n: int = 4, percent: int =
     rows = described.filter("slice is null").select("id", "n", "class")
     sets = described.filter("set is not null")
     classes = rows.filter("class is not null and id is not null").groupBy("class").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
+    used: list[DataFrame] = [described]  # tables that nothing reads once the result is written
     packed = postings(sets.select("class", "set"), levels, percent, 8 * spread(spark)).repartition(spread(spark), "bucket").sortWithinPartitions("bucket")
-    post = save(packed.mapInArrow(shared, "token long, class long"), "postings")
+    post = save(packed.mapInArrow(shared, "token long, class long"), "postings", sweep=True)
     # A set can only link if it shares enough of its prefix at all; most sets share too little, and go. That makes tokens
     # rarer, so once more.
     for _ in range(2):
@@ -404,19 +402,24 @@ def join(docs: DataFrame, id_col: str, text_col: str, n: int = 4, percent: int =
     groups = save(post.join(pivots, "token").select("g", "class").distinct(), "groups")
     sizes = groups.groupBy("g").agg(F.ceil(F.count("*") / together).cast("int").alias("parts"))
     dealt = groups.join(sizes, "g").withColumn("part", F.explode(F.when(F.col("g") == F.col("class"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")))))
-    used = those_in(sets, post.select("class").distinct())
-    dealt = dealt.join(used, "class").select("g", "part", "parts", "class", "n", "set", (F.col("g") != F.col("class")).alias("other"))
+    dealt = dealt.join(those_in(sets, post.select("class").distinct()), "class").select("g", "part", "parts", "class", "n", "set", (F.col("g") != F.col("class")).alias("other"))
     met = dealt.repartition(spread(spark), "g", "part").sortWithinPartitions("g", "part", "other").drop("other")
-    met = save(met.mapInArrow(meet(levels, percent), _MET), "met")
-    forget(post)
+    met = save(met.mapInArrow(meet(levels, percent), _MET), "met", sweep=True)
+    forget(post, groups)
+    used.append(met)
     links = met.filter("u is not null").select("u", "v")
     large = met.filter("g is not null").select("g", "class", "n", "diff")
     while not large.isEmpty():
-        large, links = narrow(large, links, levels, percent, together)
+        large, links, more_used = narrow(large, links, levels, percent, together)
+        used += more_used
     labels = components(links)
+    used.append(labels)
     # Labels are classes; a component is named after its smallest id.
     named = classes.join(labels, classes["class"] == labels["node"], "left").select("class", "rep", F.coalesce("component", "class").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "label").select("class", "component_id")
     out = rows.join(named, "class", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    out = save(out, "components", sweep=True)
+    forget(*used)
+    return out

@@ -272,7 +272,7 @@ def dedup(docs: DataFrame, id_col: str, text_col: str, window: int = 20, output:
     whole = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.lit(None).cast("string")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), whole.alias("carry"))
     met = met_blocks(src.select("id", "text"), window).groupBy("id").agg(F.collect_set("block").alias("blocks"))
-    blocks = save(met, "blocks")
+    blocks = save(met, "blocks", sweep=True)
     joined = src.join(blocks, "id", "left")
     plain = F.regexp_replace(F.regexp_replace("text", SPACE, " "), "^ | $", "")
     hit = F.col("blocks").isNotNull()
@@ -280,7 +280,7 @@ def dedup(docs: DataFrame, id_col: str, text_col: str, window: int = 20, output:
         F.monotonically_increasing_id().alias("row"), "id", "carry", "blocks", F.when(hit, F.col("text")).alias("text"),
         F.when(~hit, F.when(plain == "", 0).otherwise(F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1)).cast("long").alias("n_words"), F.when(~hit, output(F.col("text") if as_is else plain)).alias("kept"),
     )
-    table = save(table, "repeats")
+    table = save(table, "repeats", sweep=True)
     forget(blocks)
     parts = spread(spark)
     flagged = table.filter(hit)
