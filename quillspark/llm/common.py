@@ -61,6 +61,13 @@ def forget(*tables: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def finish(result: DataFrame, *tables: DataFrame) -> DataFrame:
+    """A small result as a table of its own, when the larger tables that it was made from are deleted."""
+    out = save(result, "result")
+    forget(*tables)
+    return out
+
+
 def spread(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -10,7 +10,7 @@ below the bound, and ranks the rest. Queries are few, stated rows; they meet the
 Integer arithmetic is exact: in 32-bit floating point where no sum can leave 24 bits, in 64-bit where none can leave 53, else in
 64-bit integers, which the scores must fit.
 
-Defined results: vectors that are null or hold null or non-finite components, or whose id is null, take no part; vectors of different
+Defined results: vectors that are null, empty or hold null or non-finite components, or whose id is null, take no part; vectors of different
 lengths aren't compared; rows of one id with different vectors all count, as
 queries and as candidates of other ids, and a query id has the k best of all its rows; a row repeated whole counts once; fewer than k candidates are all
 returned; an empty table gives an empty table; other columns are ignored.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, spread
+from .common import finish, save, spread
 
 LISTS = 4
 #: Rows of a block of vectors, and of a block of queries.
@@ -97,7 +97,7 @@ def search(vectors: DataFrame, id_col: str, vec_col: str, query: Column, k: int
     v = F.col(vec_col).cast("array<double>")
     src = vectors.select(F.col(id_col).cast("long").alias("id"), F.coalesce(query, F.lit(False)).alias("query"), v.alias("vector"))
     sound = F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    src = src.filter(F.col("id").isNotNull() & sound)
+    src = src.filter(F.col("id").isNotNull() & sound & (F.size("vector") > 0))
     # Cells of a grid: vectors go to one row of cells, queries to one column. Its shape moves the least data if each
     # vector goes to h cells and each query to g, with N * h = Q * g.
     n, n_asked = src.agg(F.count("*"), F.count_if("query")).first()
@@ -123,16 +123,15 @@ def search(vectors: DataFrame, id_col: str, vec_col: str, query: Column, k: int
                 ids, v, q_ids, q = decode(b, j)
                 for i in range(0, len(q), 128):
                     local, own = local_scores(q[i : i + 128], v), q_ids[i : i + 128]
-                    total = np.sum(local, 0)
                     alien = ids[None, :] != own[:, None]
-                    chosen = np.zeros(total.shape, bool)
+                    chosen = np.zeros(alien.shape, bool)
                     for s in local:
                         s = np.where(alien, s, s.min() - 1)
                         np.put_along_axis(chosen, best(s, ids, k), True, 1)
                     chosen &= alien
                     r, c = np.nonzero(chosen)
-                    # Of the gathered entries a block's k best whole scores are all that can raise the bound.
-                    score = total[r, c].astype(np.int64)
+                    # Whole scores of the gathered entries only; a block's k best of them are all that can raise the bound.
+                    score = np.sum([s[r, c].astype(np.int64) for s in local], 0, dtype=np.int64)
                     order = np.lexsort((-score, r))
                     r, score = r[order], score[order]
                     head = np.searchsorted(r, r)
@@ -180,7 +179,8 @@ def search(vectors: DataFrame, id_col: str, vec_col: str, query: Column, k: int
     last = pairs.join(per_block, "asked").mapInArrow(resolve, "query_id long, vec_id long, score long")
     # A query has about k entries at or above its bound, whatever the number of vectors; a block sends k at most.
     ranked = last.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), "vec_id"))), 1, k).alias("best"))
-    return ranked.select("query_id", F.posexplode("best").alias("pos", "e")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("e.vec_id").alias("vec_id"), (-F.col("e.down")).alias("score"))
+    out = ranked.select("query_id", F.posexplode("best").alias("pos", "e")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("e.vec_id").alias("vec_id"), (-F.col("e.down")).alias("score"))
+    return finish(out, rows, asks, bounds)
 
 
 def top_bound(gathered: DataFrame, k: int) -> DataFrame:
