@@ -1,7 +1,7 @@
 """Embedding near-dedup with an inverted multi-index.
 
 Equal vectors are one class. Unit vectors are cut in halves; each half has a codebook of its own (k-means on a bounded
-sample of at most SAMPLE classes), and pairs of codewords are the cells of a product grid, in which every class is indexed.
+sample of at most SAMPLE classes; the number of codewords grows with the square root of the classes, up to a fourth of the sample), and pairs of codewords are the cells of a product grid, in which every class is indexed.
 A query visits cells in the order of the multi-sequence traversal, that is by the sum of the distances to both codewords. How many, T, is
 set so that TARGET of all links at the threshold itself (the hardest ones: simulated around sampled vectors, a link
 counts if one end visits the other's cell) are met. Whatever is met is verified by its cosine in double precision.
@@ -9,8 +9,8 @@ counts if one end visits the other's cell) are met. Whatever is met is verified
 A cell row (a codeword of the first half) whose residents are many is cut into chunks, and its visitors go to each; so what
 a task holds is bounded, and nothing is left out.
 
-Defined results: vectors that are null, zero or hold null or non-finite components, or whose id is null, link with
-nothing; vectors of different lengths don't link; rows with one id are vectors of their own; an empty table gives an
+Defined results: vectors that are null, empty, zero or hold null or non-finite components, or whose id is null, link with
+nothing; vectors of different lengths don't link, those of length 1 link if their signs are the same; rows with one id are vectors of their own; an empty table gives an
 empty table; other columns are ignored.
 """
 
@@ -23,17 +23,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_order, save, spread
+from .common import finish, hash_order, save, spread
 from .components import components
 
-SAMPLE, TARGET, CHUNK, MOST_WORDS = 20_000, 0.97, 4096, 256
+SAMPLE, TARGET, CHUNK, MOST_WORDS = 20_000, 0.97, 4096, 5000
+#: Distances, or places of the traversal, that are held at once.
+HELD = 2_000_000
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
     rng = np.random.default_rng(seed)
     words = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        near = squared(x, words).argmin(1)
+        near = nearest(x, words)
         n = np.bincount(near, minlength=len(words))
         total = np.zeros_like(words)
         np.add.at(total, near, x)
@@ -41,6 +43,12 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray
     return words
 
 
+def nearest(x: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The nearest word of each row, in parts."""
+    step = max(1, HELD // max(1, len(words)))
+    return np.concatenate([squared(x[i : i + step], words).argmin(1) for i in range(0, len(x), step)] or [np.zeros(0, np.int64)])
+
+
 def squared(x: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ words.T + (words * words).sum(1)[None], 0)
 
@@ -52,14 +60,16 @@ class Index:
         self.half = sample.shape[1] // 2
         k = int(np.clip(np.sqrt(n / 8), 1, MOST_WORDS))
         self.first, self.second = kmeans(sample[:, : self.half], k), kmeans(sample[:, self.half :], k)
-        self.visits = self.calibrate(sample, least)
+        self.visits = min(self.calibrate(sample, least), len(self.first) * len(self.second))
+        # The places that can be among the first: a product of both places, from 1, of `visits` at most.
+        some = [(a, b) for a in range(len(self.first)) for b in range(min(len(self.second), self.visits // (a + 1)))]
+        self.places = np.array(some, np.int64).reshape(-1, 2)
 
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return squared(x[:, : self.half], self.first), squared(x[:, self.half :], self.second)
 
     def home(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b = self.distances(x)
-        return a.argmin(1), b.argmin(1)
+        return nearest(x[:, : self.half], self.first), nearest(x[:, self.half :], self.second)
 
     def calibrate(self, sample: np.ndarray, least: float, queries: int = 1500) -> int:
         rng = np.random.default_rng(9)
@@ -70,19 +80,25 @@ class Index:
         y = least * x + np.sqrt(1 - least * least) * u
         ranks = []
         for p, q in ((x, y), (y, x)):
-            (a, b), (i, j) = self.distances(p), self.home(q)
-            own = a[np.arange(len(p)), i] + b[np.arange(len(p)), j]
-            ranks.append([1 + int((ra[:, None] + rb[None] < o).sum()) for ra, rb, o in zip(a, b, own, strict=True)])
+            i, j = self.home(q)
+            rank = []
+            for k in range(len(p)):  # how many cells are nearer than the other's
+                a, b = (d[0] for d in self.distances(p[k : k + 1]))
+                rank.append(1 + int(np.searchsorted(np.sort(b), a[i[k]] + b[j[k]] - a, "left").sum()))
+            ranks.append(rank)
         return int(np.quantile(np.minimum(*ranks), TARGET)) + 1
 
     def visited(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, i, j): the first T cells of each vector's multi-sequence. With both halves' codewords sorted by distance, a
         cell of places (a, b) is among the first T only if (a + 1) * (b + 1) <= T."""
+        step = max(1, HELD // max(len(self.first), len(self.places)))
+        parts = [self.visited_by(x[i : i + step]) for i in range(0, len(x), step)]
+        return np.concatenate([r + k * step for k, (r, _, _) in enumerate(parts)]), np.concatenate([i for _, i, _ in parts]), np.concatenate([j for *_, j in parts])
+
+    def visited_by(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         da, db = self.distances(x)
         oa, ob = np.argsort(da, 1), np.argsort(db, 1)
-        t = min(self.visits, da.shape[1] * db.shape[1])
-        pa_, pb = zip(*((a, b) for a in range(da.shape[1]) for b in range(min(db.shape[1], t // (a + 1)))), strict=True)
-        pa_, pb = np.array(pa_), np.array(pb)
+        t, (pa_, pb) = self.visits, self.places.T
         cost = np.take_along_axis(da, oa, 1)[:, pa_] + np.take_along_axis(db, ob, 1)[:, pb]
         pick = np.argpartition(cost, t - 1, 1)[:, :t] if t < cost.shape[1] else np.tile(np.arange(cost.shape[1]), (len(x), 1))
         row = np.repeat(np.arange(len(x)), pick.shape[1])
@@ -100,12 +116,12 @@ def dense(b: pa.RecordBatch, column: int) -> np.ndarray:
     return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
 
 
-def link(classes: DataFrame, dim: int, least: float) -> DataFrame:
-    """(u, v): linked classes of one length; classes: rep, vector."""
+def link(classes: DataFrame, dim: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """(u, v): linked classes of one length; classes: rep, vector. And the table that it is made from."""
     spark = classes.sparkSession
     mine = classes.filter(F.size("vector") == dim)
     n = mine.count()
-    sample = mine.select("rep", "vector", hash_order(F.col("rep")).alias("h")).orderBy("h", "rep").limit(SAMPLE).collect()
+    sample = mine.select("rep", "vector", hash_order(F.col("rep")).alias("h")).filter((F.col("h") / 2.0**64 + 0.5) * n < 2 * SAMPLE + 100).orderBy("h", "rep").limit(SAMPLE).collect()
     index = Index(unit(np.array([r["vector"] for r in sample])), n, least)
     shared = spark.sparkContext.broadcast(index)  # 2 * MOST_WORDS half vectors at most
 
@@ -190,19 +206,22 @@ def link(classes: DataFrame, dim: int, least: float) -> DataFrame:
 
     dealt = homes.mapInArrow(deal, "i int, chunk int, visit int, rep long, js binary, unit binary")
     dealt = dealt.repartition(spread(spark), "i", "chunk").sortWithinPartitions("i", "chunk", "visit")
-    return dealt.mapInArrow(meet, "u long, v long").distinct()
+    return dealt.mapInArrow(meet, "u long, v long").distinct(), homes
 
 
 def dedup(vectors: DataFrame, id_col: str, vec_col: str, least: float = 0.9) -> DataFrame:
     """For each row: its id, n_links, component_id and kept (whether it is the one of its component that stays)."""
     src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vector"))
     sound = F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
-    src = src.withColumn("vector", F.when(sound & F.col("id").isNotNull(), F.col("vector")))
+    # A vector of one component is its sign: all of one sign link, so they are one class.
+    bare = F.when(F.size("vector") == 1, F.transform("vector", F.signum)).otherwise(F.col("vector"))
+    src = src.withColumn("vector", F.when(sound & F.col("id").isNotNull(), bare))
     classes = save(src.filter("vector is not null").groupBy("vector").agg(F.min("id").alias("least_id"), F.count("*").alias("n")).withColumn("rep", F.monotonically_increasing_id()), "classes")
-    links = None
+    links, used = None, [classes]
     for r in classes.select(F.size("vector").alias("d")).distinct().collect():  # one row for each length of vectors
-        if r["d"] > 1:
-            own = link(classes, r["d"], least)
+        if r["d"] > 1:  # both signs of one component don't link
+            own, homes = link(classes, r["d"], least)
+            used.append(homes)
             links = own if links is None else links.unionByName(own)
     if links is None:
         links = src.sparkSession.createDataFrame([], "u long, v long")
@@ -210,8 +229,10 @@ def dedup(vectors: DataFrame, id_col: str, vec_col: str, least: float = 0.9) ->
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     degree = both.join(classes.select(F.col("rep").alias("v"), "n"), "v").groupBy("u").agg(F.sum("n").alias("more"))
     labels = components(links)
+    used += [links, labels]
     named = classes.join(labels, classes["rep"] == labels["node"], "left").select("rep", "vector", "n", "least_id", F.coalesce("component", "rep").alias("label"))
     smallest = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
     named = named.join(smallest, "label").join(degree, named["rep"] == degree["u"], "left").select("vector", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), "component_id")
     out = src.join(named, "vector", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return finish(out, *used)

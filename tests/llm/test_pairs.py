@@ -167,3 +167,15 @@ def test_ngram_join_splits_large_groups(spark, together):
     rows = [(k, edited(k, base, k % 5)) for k in range(90)] + [(300 + k, edited(k, other, k % 3)) for k in range(30)] + [(500 + k, edited(7, base, 3)) for k in range(3)]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(documents(spark, rows), "doc_id", "text", together=together).collect()}
     assert got == brute_join(rows)
+
+
+def test_topk_with_empty_vectors(spark):
+    rows = [(0, []), (50, []), (1, [1.0, 2.0]), (100, [0.5, 0.5]), (2, [])]
+    out = topk_search.search(vectors(spark, rows), "vec_id", "embedding", F.col("vec_id") % 50 == 0, k=5).collect()
+    assert [tuple(r) for r in out] == [(100, 1, 1, 128 * 256 + 128 * 512)]
+
+
+def test_embeddings_of_one_component_link_by_sign(spark):
+    rows = [(1, [1.0]), (2, [2.0]), (3, [-0.5]), (4, [-7.0]), (5, [0.0]), (6, []), (7, [3.5]), (8, [1.0])]
+    out = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_imi.dedup(vectors(spark, rows), "vec_id", "embedding").collect()}
+    assert out == {1: (3, 1, True), 2: (3, 1, False), 7: (3, 1, False), 8: (3, 1, False), 3: (1, 3, True), 4: (1, 3, False), 5: (0, 5, True), 6: (0, 6, True)}
