@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import crc_parts, kept, save, slices, spread
+from .common import crc_parts, finish, kept, save, slices, spread
 
 #: Chunks kept with their ids, by each Python worker.
 KEPT = 400_000
@@ -233,7 +233,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int = 1
 
     whole = base.filter(F.col("n") >= window).select("id", "n", "full").mapInArrow(windows, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
     whole = whole.select("*", (F.lit(-1) - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return inside.unionByName(packed).unionByName(whole).withColumnRenamed("id", id_col)
+    return finish(inside.unionByName(packed).unionByName(whole).withColumnRenamed("id", id_col), base)
 
 
 def fill(pdf, lane: int, window: int):

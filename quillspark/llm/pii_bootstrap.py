@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import finish, save
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = r"[A-Za-z0-9._%+-]"
@@ -135,20 +135,23 @@ def extract(docs: DataFrame, id_col: str, text_col: str, rounds: int = 3, least:
     )
     edges = edges.select("row", "start", "end", "instance", F.explode("patterns").alias("pattern"), F.when(F.size("hit") > 0, F.col("hit")[0]["kind"]).alias("kind"), (F.size("hit") > 0).alias("seed"))
     edges = save(edges.filter((F.col("instance") != "") & ~F.col("pattern").rlike("^[a-z]+ *$")), "pii-edges")  # a pattern of no words tells nothing
-    scored = score(edges, rounds, different)
+    used = [table, edges]  # what nothing reads once the result is written
+    scored = score(edges, rounds, different, used)
     found = edges.filter("not seed").join(scored.filter(F.col("score") >= least), "pattern").groupBy("row", "start", "end").agg(F.max(F.struct("score", F.col("to").alias("kind"))).alias("s"))
     found = found.groupBy("row").agg(F.collect_list(F.struct("start", F.col("s.kind").alias("kind"), "end", F.lit(False).alias("base"), F.col("s.score").alias("score"))).alias("more"))
     names = F.array(*(F.lit(k) for k in KINDS))
     whole = table.select("row", "id", F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(True).alias("base"), F.lit(1.0).alias("score"))).alias("own"))
     out = whole.join(found, "row", "left")
     spans = F.array_sort(F.when(F.col("more").isNull(), F.col("own")).otherwise(F.concat("own", F.coalesce("more", F.array().cast(found.schema["more"].dataType)))))
-    return out.select(F.col("id").alias(id_col), F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.element_at(names, s["kind"] + 1).alias("kind"), s["end"].alias("end"), s["base"].alias("base"), s["score"].alias("score"))).alias("spans"))
+    out = out.select(F.col("id").alias(id_col), F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.element_at(names, s["kind"] + 1).alias("kind"), s["end"].alias("end"), s["base"].alias("base"), s["score"].alias("score"))).alias("spans"))
+    return finish(out, *used)
 
 
-def score(edges: DataFrame, rounds: int, different: int) -> DataFrame:
+def score(edges: DataFrame, rounds: int, different: int, used: list[DataFrame]) -> DataFrame:
     """(pattern, to, score): a pattern's confidence in each kind after so many rounds over the graph of patterns and instances."""
     graph = edges.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("kind").alias("kind"))
     graph = save(graph, "pii-graph")
+    used.append(graph)
     kinds = F.explode(F.array(*(F.lit(k) for k in range(len(KINDS)))))
     belief = graph.filter("kind is not null").select("instance", F.col("kind").alias("to"), F.lit(1.0).alias("belief")).distinct()
     seeds = belief
@@ -160,6 +163,7 @@ def score(edges: DataFrame, rounds: int, different: int) -> DataFrame:
         pattern = pattern.select("pattern", "to", (F.col("s") / (F.col("all") + 0.5)).alias("score"), "all").filter((F.col("all") >= different) & (F.col("score") >= 0.5))
         if k + 1 < rounds:
             pattern = save(pattern, "pii-patterns")
+            used.append(pattern)
             reach = graph.filter("kind is null").join(pattern, "pattern").groupBy("instance", "to").agg(F.max("score").alias("belief"))
             belief = seeds.unionByName(reach)
     return pattern.select("pattern", "to", "score")
