@@ -191,7 +191,7 @@ def snippet(text: Column, terms: list[str], radius: int = 48) -> Column:
     left0, right0 = F.greatest(hit - radius, F.lit(0)), F.least(hit + radius, size)
     reach_l = F.greatest(hit - far, F.lit(0))
     before = F.substring(text, reach_l + 1, left0 - reach_l)
-    start = left0 - F.length(F.regexp_extract(before, r"(\S*)$", 1))
+    start = left0 - F.length(F.regexp_extract(before, r"(\S*)\z", 1))  # \z: a line end is white space as well
     reach_r = F.least(hit + far, size)
     after = F.substring(text, right0 + 1, reach_r - right0)
     end = right0 + F.length(F.regexp_extract(after, r"^(\S*)", 1))

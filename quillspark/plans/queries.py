@@ -123,7 +123,23 @@ def search_cascade(spark, sf_dir):
     return search.cascade(search_records(spark, sf_dir), "rin er").select("id", "stage")
 
 
-@query()
+def snippet_sql(text: str, terms: list[str], radius: int = 48) -> str:
+    """The text around the earliest hit of a term, for DuckDB; null without a hit."""
+    hit = "list_min(list_filter([" + ", ".join(f"strpos(lower({text}), '{t}')" for t in terms) + "], lambda p: p > 0)) - 1"
+    far = radius + 16
+    return rf"""(SELECT CASE WHEN b > 0 THEN '…' ELSE '' END || trim(regexp_replace(substring({text}, (b + 1)::INT, (e - b)::INT), '\s+', ' ', 'g')) || CASE WHEN e < n THEN '…' ELSE '' END
+FROM (SELECT n, l - length(regexp_extract(substring({text}, (greatest(h - {far}, 0) + 1)::INT, (l - greatest(h - {far}, 0))::INT), '(\S*)$', 1)) AS b, r + length(regexp_extract(substring({text}, (r + 1)::INT, (least(h + {far}, n) - r)::INT), '^(\S*)', 1)) AS e
+FROM (SELECT h, n, greatest(h - {radius}, 0) AS l, least(h + {radius}, n) AS r FROM (SELECT {hit} AS h, length({text}) AS n))) WHERE b IS NOT NULL)"""
+
+
+def combined_sql(query_text: str, start: str, end: str) -> str:
+    """Texts of a span of time: ranked among all, then numbered within the span."""
+    words = [a for _, alts in tx.query_terms(query_text) for a in alts]
+    return f"""WITH q AS ({rank_sql(query_text)}), d AS (SELECT q.id, q.tier, q.rank AS place, x.text FROM q JOIN documents x ON q.id = x.doc_id WHERE q.id * 3600 >= epoch(TIMESTAMP '{start}') AND q.id * 3600 < epoch(TIMESTAMP '{end}'))
+SELECT id, tier, (row_number() OVER (PARTITION BY tier ORDER BY place))::INT AS rank, 'TEXT' AS reason, {snippet_sql("text", words)} AS snippet FROM d"""
+
+
+@query(combined_sql("ther than", "1970-02-01", "1970-03-01"))
 def search_combined(spark, sf_dir):
     return search.search(search_records(spark, sf_dir), "ther than february 1970", TODAY)
 
@@ -133,7 +149,7 @@ def word_hits(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), tx.word_hits(F.col("text"), ["ther", "erin"]).cast("long").alias("hits"))
 
 
-@query()
+@query(f"SELECT id, snippet FROM (SELECT doc_id AS id, {snippet_sql('text', ['erin', 'erins'])} AS snippet FROM documents WHERE contains(lower(text), 'erin')) WHERE snippet IS NOT NULL")
 def snippets(spark, sf_dir):
     d = search.candidates(search_records(spark, sf_dir), tx.query_terms("erin"))
     return d.select("id", search.snippet(F.col("body"), ["erin", "erins"]).alias("snippet")).filter("snippet is not null")
@@ -352,6 +368,27 @@ def edits(spark, sf_dir):
     return writes.toggle_favorite(r, r.filter("id % 6 = 0")).select("id", "note", "favorite")
 
 
+@query(f"{R} SELECT id, CASE WHEN id % 7 = 0 THEN upper(note) ELSE app END AS app, CASE WHEN id % 7 = 0 THEN 'p.' || note END AS app_package, CASE WHEN id % 7 = 0 THEN 'user' ELSE app_source END AS app_source FROM r")
+def app_edits(spark, sf_dir):
+    r = records(spark, sf_dir)
+    return writes.set_app(r, r.filter("id % 7 = 0").select("id", F.upper("note").alias("app"), F.concat(F.lit("p."), "note").alias("app_package"))).select("id", "app", "app_package", "app_source")
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey = 7 THEN 'New name' ELSE c_name END AS name, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 3 <> 0) AS n FROM customer")
+def collection_edits(spark, sf_dir):
+    items = _items(spark, sf_dir)
+    left = writes.remove_from_collection(items, items.filter("record_id % 3 = 0"))
+    return reads.collections(writes.rename_collection(_names(spark, sf_dir), 7, " New name "), left, _ordered(spark, sf_dir)).select("id", "name", "n")
+
+
+#: What devices name their folder of screen pictures is a fixed value.
+@query("SELECT '/media/' || CASE WHEN page_id % 3 = 0 THEN 'Screenshots/' ELSE 'Camera/' END || page_id AS path, CASE WHEN page_id % 2 = 0 THEN 0 ELSE page_id * 1000 END // 1000 + CASE WHEN page_id % 2 = 0 THEN page_id ELSE 0 END AS taken_s FROM pages WHERE page_id % 3 = 0")
+def media_listing(spark, sf_dir):
+    folder = F.when(F.col("page_id") % 3 == 0, "Screenshots/").otherwise("Camera/")
+    media = table(spark, sf_dir, "pages").select(F.concat(F.lit("/media/"), folder, "page_id").alias("path"), F.when(F.col("page_id") % 2 == 0, 0).otherwise(F.col("page_id") * 1000).alias("taken_ms"), F.col("page_id").alias("added_s"))
+    return store.captures(media).select("path", F.unix_seconds("taken_at").alias("taken_s"))
+
+
 @query("SELECT 'collections' AS part, count(*) AS n FROM customer WHERE c_custkey <> 7 UNION ALL SELECT 'items', count(*) FROM orders WHERE o_custkey <> 7 AND o_orderkey % 11 <> 0 UNION ALL SELECT 'records', count(*) FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey % 11 <> 0")
 def deletions(spark, sf_dir):
     names, items = writes.delete_collection(_names(spark, sf_dir), _items(spark, sf_dir), 7)
@@ -442,18 +479,24 @@ def classify_documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_join(classify.classify(F.col("text"), F.col("source")), ",").alias("categories"))
 
 
+#: What each app's interface says: its first two phrases, one app a page in turn.
+_SAID = [" ".join(p.replace("+", " ") for p in list(phrases)[:2]) for phrases in APP_PHRASES.values()]
+
+
 def hints_sql() -> str:
     parts = []
     for k, (app, phrases) in enumerate(APP_PHRASES.items()):
         score = " + ".join(f"{w} * ({' AND '.join(_keyword_sql('t', p if p.startswith(' ') else p.strip()) for p in ph.split('+'))})::INT" for ph, w in phrases.items())
         parts.append(f"SELECT id, {k} AS k, {_quoted(app)} AS app, {score} AS s FROM x")
-    return f"""WITH x AS (SELECT page_id AS id, ' ' || replace(lower(html), chr(10), ' ') AS t FROM pages), y AS (SELECT * FROM ({" UNION ALL ".join(parts)}) WHERE s > 0)
+    said = f"[{', '.join(map(_quoted, _SAID))}][page_id % {len(_SAID)} + 1]"
+    return f"""WITH x AS (SELECT page_id AS id, ' ' || replace(lower(html || chr(10) || {said}), chr(10), ' ') AS t FROM pages), y AS (SELECT * FROM ({" UNION ALL ".join(parts)}) WHERE s > 0)
 SELECT id, string_agg(app || ':' || s, ',' ORDER BY s DESC, k) AS apps FROM y GROUP BY id"""
 
 
 @query(hints_sql())
 def app_hints(spark, sf_dir):
-    s = classify.app_scores(F.col("html"))
+    said = F.element_at(F.array(*map(F.lit, _SAID)), (F.col("page_id") % len(_SAID) + 1).cast("int"))
+    s = classify.app_scores(F.concat("html", F.lit("\n"), said))
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["app"], x["score"])), ",").alias("apps")).filter("apps <> ''")
 
 
@@ -478,7 +521,13 @@ def _lines(spark, sf_dir):
     return docs.select(F.col("doc_id").alias("id"), F.col("text"), F.col("source"), F.transform("parts", k).alias("lines"))
 
 
-@query()
+#: The first line is three times as high as the others, so it alone is tall enough, if three lines can be used.
+_HEADLINE = r"""WITH p AS (SELECT doc_id AS id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS lines FROM documents WHERE text IS NOT NULL),
+u AS (SELECT id, lines, list_filter(lines, lambda x: length(regexp_replace(x, '[^\p{L}]', '', 'g')) >= 3 AND NOT regexp_matches(trim(x), '^[0-9]{1,2}[.:][0-9]{2}(\s?[ap]\.?m\.?)?$', 'i')) AS usable FROM p)
+SELECT id, md5(CASE WHEN len(usable) >= 3 AND usable[1] = lines[1] THEN lines[1] ELSE '' END) AS headline_md5 FROM u"""
+
+
+@query(_HEADLINE)
 def headlines(spark, sf_dir):
     return _lines(spark, sf_dir).select("id", F.md5(layout.headline(F.col("lines"))).alias("headline_md5"))
 
@@ -500,7 +549,14 @@ def screen_slices(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.size(layout.slices(F.col("s_suppkey") + 1000, F.lit(3000))).alias("n"))
 
 
-@query()
+#: Role and text stand for the caption and the screen's own words, so only quotes without any word are untrue.
+_DESCRIBED = r"""WITH s AS (SELECT conv_id, turn, role, list_filter(string_split(regexp_replace(trim(coalesce(text, '')), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)),
+lambda x: trim(x) <> '' AND len(list_filter(regexp_extract_all(x, '["“”]([^"“”]{2,})["“”]', 1), lambda q: len(regexp_extract_all(q, '[\p{L}\p{N}]+')) = 0)) = 0) AS parts FROM conversations),
+t AS (SELECT conv_id, turn, trim(CASE WHEN trim(array_to_string(parts, ' ')) = '' THEN trim(role) ELSE array_to_string(parts, ' ') END) AS t FROM s)
+SELECT conv_id, turn, upper(t[1:1]) || t[2:] AS text FROM t"""
+
+
+@query(_DESCRIBED)
 def descriptions(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", captions.describe(F.col("role"), F.col("text"), F.concat(F.col("role"), F.lit("<loc_1><loc_2>"), F.col("role")), F.col("text"))["text"].alias("text"))

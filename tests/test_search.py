@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import query_terms
 from quillspark.operators import search
+from quillspark.operators.ranking import numbered
 
 SCHEMA = "id long, strong string, described string, body string, taken_at timestamp, categories array<string>"
 
@@ -63,3 +64,23 @@ def test_snippet(spark):
 def test_like_escapes_nothing(spark):
     df = docs(spark, (1, "", "", "100% off_now", 1, []), (2, "", "", "100 off", 2, []))
     assert [r["id"] for r in search.like(df, "0% OFF_").collect()] == [1]
+
+
+def test_snippet_stops_at_a_line_end(spark):
+    text = "x" * 10 + " first line here.\n" + "y" * 29 + " domino"
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(search.snippet(F.col("t"), ["domino"], 30)).first()[0] == "…" + "y" * 29 + " domino"
+
+
+def test_phrases_match_by_tokens(spark):
+    df = docs(spark, (1, "", "", "a red shoe box", 1, []), (2, "red", "", "shoe", 2, []), (3, "", "", "shoe red", 3, []), (4, "", "", "sneakers", 4, []))
+    terms = [("trainers", ["red shoe", "sneakers"])]
+    assert {r[0] for r in search.match_by_tokens(search.token_table(df), terms).collect()} == {1, 4}
+
+
+def test_ranks_over_many_ranges(spark):
+    df = spark.range(1000).select("id", (F.col("id") % 7).cast("float").alias("score"), F.when(F.col("id") % 3 == 0, "best").otherwise("more").alias("tier"))
+    got = {r["id"]: (r["tier"], r["rank"]) for r in numbered(df, "tier", F.desc("score"), F.asc("id")).collect()}
+    for tier in ("best", "more"):
+        own = sorted((i for i in got if got[i][0] == tier), key=lambda i: (-(i % 7), i))
+        assert [got[i][1] for i in own] == list(range(1, len(own) + 1))
