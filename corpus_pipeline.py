@@ -38,13 +38,17 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     tagged = save(docs.withColumn(TAG, F.monotonically_increasing_id()), "tagged")  # written, so that a row keeps its tag
     groups = ngram_join.join(tagged, TAG, "text", n=4, percent=85)
     own = tagged.select(TAG, "doc_id").join(groups.select(TAG, "component_id"), TAG)
-    stay = own.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", TAG)).alias("first")).select(F.col(f"first.{TAG}").alias(TAG))
+    stay = own.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", TAG)).alias("first")).select(
+        F.col(f"first.{TAG}").alias(TAG)
+    )
     return tagged.join(stay, TAG, "left_semi").select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text", "n_chars"))).alias("rest")  # apart from dedup's own columns
-    out = substring_dedup.dedup(docs.select("doc_id", "text", rest), "doc_id", "text", window=20, as_is=True, carry=("rest",)).filter("n_words > n_removed")
+    out = substring_dedup.dedup(
+        docs.select("doc_id", "text", rest), "doc_id", "text", window=20, as_is=True, carry=("rest",)
+    ).filter("n_words > n_removed")
     own = {"doc_id": F.col("doc_id"), "text": F.col("kept").alias("text"), "n_chars": F.length("kept").cast("long").alias("n_chars")}
     return out.select(*(own.get(c, F.col(f"rest.`{c}`").alias(c)) for c in docs.columns))
 

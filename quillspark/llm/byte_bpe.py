@@ -193,9 +193,17 @@ class Merger:
                 todo[" " + c] = [x.encode() for x in self.pieces(" " + c)]
         heads = {c: [x.encode() for x in self.pieces(c)] for c in first if c and not c[-1].isspace()}
         bad = {c for c, v in own.items() if v is None}
-        odd = {i: [x.encode() for x in self.pieces(t)] for i, t in enumerate(texts) if len(split[i]) > 1 and (not split[i][0] or split[i][0][-1].isspace() or (bad and not bad.isdisjoint(split[i][1:])))}
+        odd = {
+            i: [x.encode() for x in self.pieces(t)]
+            for i, t in enumerate(texts) if len(split[i]) > 1 and (
+                not split[i][0] or split[i][0][-1].isspace() or (bad and not bad.isdisjoint(split[i][1:]))
+            )
+        }
         if "" in first or any(c[-1].isspace() for c in first if c):
-            odd |= {i: [x.encode() for x in self.pieces(t)] for i, t in enumerate(texts) if t and i not in odd and (not split[i][0] or split[i][0][-1].isspace())}
+            odd |= {
+                i: [x.encode() for x in self.pieces(t)]
+                for i, t in enumerate(texts) if t and i not in odd and (not split[i][0] or split[i][0][-1].isspace())
+            }
         need = {x for ps in (*todo.values(), *heads.values(), *odd.values()) for x in ps}
         ids = self.merge(list(need))
         for c, ps in todo.items():
@@ -242,7 +250,10 @@ def encode_decode(docs: DataFrame, id_col: str, text_col: str, path: str, patter
         for b in slices(batches, 2000, 6 << 20):
             ids = m.encode([x or "" for x in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([m.decode(x) for x in ids], pa.binary())],
+                [
+                    b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()),
+                    pa.array([m.decode(x) for x in ids], pa.binary())
+                ],
                 names=[id_col, "n_tokens", "ids", "decoded"],
             )
 

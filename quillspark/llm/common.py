@@ -87,7 +87,9 @@ def sample_of_each(rows: DataFrame, by: str, most: int, *ties: str) -> DataFrame
     of each value gives; only those are sorted, however many rows there are. by: a column of few values."""
     counts = rows.groupBy(by).agg(F.count("*").alias("_count"))
     few = rows.join(F.broadcast(counts), by).filter((F.col("h") / 2.0**64 + 0.5) * F.col("_count") < 2 * most + 100)
-    return few.withColumn("_place", F.row_number().over(Window.partitionBy(by).orderBy("h", *ties))).filter(F.col("_place") <= most).drop("_count", "_place")
+    return few.withColumn(
+        "_place", F.row_number().over(Window.partitionBy(by).orderBy("h", *ties))
+    ).filter(F.col("_place") <= most).drop("_count", "_place")
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 400, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:

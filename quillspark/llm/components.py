@@ -32,7 +32,9 @@ def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if a != c:
                 parent[max(a, c)] = min(a, c)
         star = [(x, r) for x in parent if (r := root(x)) != x]
-        yield pa.RecordBatch.from_arrays([pa.array(np.array([x for x, _ in star], np.int64)), pa.array(np.array([r for _, r in star], np.int64))], names=["u", "v"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.array([x for x, _ in star], np.int64)), pa.array(np.array([r for _, r in star], np.int64))], names=["u", "v"]
+        )
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -43,7 +45,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         now = edges.agg(F.count("*").alias("n"), F.count_distinct("u").alias("nodes"), F.sum(F.xxhash64("u", "v") % (1 << 40)).alias("h")).first()
         if (now["n"], now["h"]) == seen or now["n"] == now["nodes"] and edges.select(F.col("v").alias("u")).distinct().join(edges, "u", "left_semi").isEmpty():
-            out = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            out = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+                edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            )
             out._saved_at = edges._saved_at  # for forget()
             return out
         seen = (now["n"], now["h"])

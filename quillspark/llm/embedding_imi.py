@@ -93,7 +93,9 @@ class Index:
         cell of places (a, b) is among the first T only if (a + 1) * (b + 1) <= T."""
         step = max(1, HELD // max(len(self.first), len(self.places)))
         parts = [self.visited_by(x[i : i + step]) for i in range(0, len(x), step)]
-        return np.concatenate([r + k * step for k, (r, _, _) in enumerate(parts)]), np.concatenate([i for _, i, _ in parts]), np.concatenate([j for *_, j in parts])
+        return np.concatenate(
+            [r + k * step for k, (r, _, _) in enumerate(parts)]
+        ), np.concatenate([i for _, i, _ in parts]), np.concatenate([j for *_, j in parts])
 
     def visited_by(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         da, db = self.distances(x)
@@ -121,7 +123,9 @@ def link(classes: DataFrame, dim: int, least: float) -> tuple[DataFrame, DataFra
     spark = classes.sparkSession
     mine = classes.filter(F.size("vector") == dim)
     n = mine.count()
-    sample = mine.select("rep", "vector", hash_order(F.col("rep")).alias("h")).filter((F.col("h") / 2.0**64 + 0.5) * n < 2 * SAMPLE + 100).orderBy("h", "rep").limit(SAMPLE).collect()
+    sample = mine.select("rep", "vector", hash_order(F.col("rep")).alias("h")).filter(
+        (F.col("h") / 2.0**64 + 0.5) * n < 2 * SAMPLE + 100
+    ).orderBy("h", "rep").limit(SAMPLE).collect()
     index = Index(unit(np.array([r["vector"] for r in sample])), n, least)
     shared = spark.sparkContext.broadcast(index)  # 2 * MOST_WORDS half vectors at most
 
@@ -130,7 +134,10 @@ def link(classes: DataFrame, dim: int, least: float) -> tuple[DataFrame, DataFra
             if b.num_rows:
                 x = unit(dense(b, 1))
                 i, j = shared.value.home(x)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array([r.tobytes() for r in x], pa.binary())], names=["rep", "i", "j", "unit"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array([r.tobytes() for r in x], pa.binary())],
+                    names=["rep", "i", "j", "unit"]
+                )
 
     homes = save(mine.select("rep", "vector").mapInArrow(home, "rep long, i int, j int, unit binary"), "homes")
     chunks = np.ones(len(index.first), np.int64)
@@ -154,8 +161,20 @@ def link(classes: DataFrame, dim: int, least: float) -> tuple[DataFrame, DataFra
                 rows = np.repeat(np.arange(len(row)), times)
                 chunk = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                 own = (rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % chunks[i]
-                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(own.astype(np.int32)), pa.array(np.zeros(len(rep), np.int32)), pa.array(rep), pa.array([k.tobytes() for k in j.astype("<i4")], pa.binary()), pa.array(data, pa.binary())], names=names)
-                yield pa.RecordBatch.from_arrays([pa.array(vi[rows].astype(np.int32)), pa.array(chunk.astype(np.int32)), pa.array(np.ones(len(rows), np.int32)), pa.array(rep[row[rows]]), pa.array([js[k] for k in rows], pa.binary()), pa.array([data[k] for k in row[rows]], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(i), pa.array(own.astype(np.int32)), pa.array(np.zeros(len(rep), np.int32)), pa.array(rep),
+                        pa.array([k.tobytes() for k in j.astype("<i4")], pa.binary()), pa.array(data, pa.binary())
+                    ],
+                    names=names
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(vi[rows].astype(np.int32)), pa.array(chunk.astype(np.int32)), pa.array(np.ones(len(rows), np.int32)),
+                        pa.array(rep[row[rows]]), pa.array([js[k] for k in rows], pa.binary()), pa.array([data[k] for k in row[rows]], pa.binary())
+                    ],
+                    names=names
+                )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, cells = None, [], None
@@ -164,7 +183,9 @@ def link(classes: DataFrame, dim: int, least: float) -> tuple[DataFrame, DataFra
             by: dict[int, list] = {}
             for r, j, u in held:
                 by.setdefault(int(np.frombuffer(j, "<i4")[0]), []).append((r, u))
-            return {j: (np.array([r for r, _ in xs]), np.frombuffer(b"".join(u for _, u in xs), np.float64).reshape(len(xs), -1)) for j, xs in by.items()}
+            return {
+                j: (np.array([r for r, _ in xs]), np.frombuffer(b"".join(u for _, u in xs), np.float64).reshape(len(xs), -1)) for j, xs in by.items()
+            }
 
         def visit(group: list[tuple[int, bytes, bytes]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
             us, vs = [], []
@@ -212,11 +233,18 @@ def link(classes: DataFrame, dim: int, least: float) -> tuple[DataFrame, DataFra
 def dedup(vectors: DataFrame, id_col: str, vec_col: str, least: float = 0.9) -> DataFrame:
     """For each row: its id, n_links, component_id and kept (whether it is the one of its component that stays)."""
     src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vector"))
-    sound = F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
+    sound = F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(
+        "vector", lambda x: x != 0
+    )
     # A vector of one component is its sign: all of one sign link, so they are one class.
     bare = F.when(F.size("vector") == 1, F.transform("vector", F.signum)).otherwise(F.col("vector"))
     src = src.withColumn("vector", F.when(sound & F.col("id").isNotNull(), bare))
-    classes = save(src.filter("vector is not null").groupBy("vector").agg(F.min("id").alias("least_id"), F.count("*").alias("n")).withColumn("rep", F.monotonically_increasing_id()), "classes")
+    classes = save(
+        src.filter("vector is not null").groupBy("vector").agg(F.min("id").alias("least_id"), F.count("*").alias("n")).withColumn(
+            "rep", F.monotonically_increasing_id()
+        ),
+        "classes"
+    )
     links, used = None, [classes]
     for r in classes.select(F.size("vector").alias("d")).distinct().collect():  # one row for each length of vectors
         if r["d"] > 1:  # both signs of one component don't link
@@ -230,9 +258,17 @@ def dedup(vectors: DataFrame, id_col: str, vec_col: str, least: float = 0.9) ->
     degree = both.join(classes.select(F.col("rep").alias("v"), "n"), "v").groupBy("u").agg(F.sum("n").alias("more"))
     labels = components(links)
     used += [links, labels]
-    named = classes.join(labels, classes["rep"] == labels["node"], "left").select("rep", "vector", "n", "least_id", F.coalesce("component", "rep").alias("label"))
+    named = classes.join(labels, classes["rep"] == labels["node"], "left").select(
+        "rep", "vector", "n", "least_id", F.coalesce("component", "rep").alias("label")
+    )
     smallest = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    named = named.join(smallest, "label").join(degree, named["rep"] == degree["u"], "left").select("vector", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), "component_id")
-    out = src.join(named, "vector", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    out = out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    named = named.join(smallest, "label").join(degree, named["rep"] == degree["u"], "left").select(
+        "vector", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), "component_id"
+    )
+    out = src.join(named, "vector", "left").select(
+        "id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id")
+    )
+    out = out.select(
+        F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")
+    )
     return finish(out, *used)

@@ -315,7 +315,9 @@ def sureness(post: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.clip(np.bincount(text, best, len(sizes)) / np.maximum(sizes, 1), 0, 1)
 
 
-def identify(docs: DataFrame, id_col: str, text_col: str, model: Model, carry: tuple[str, ...] = (), runs: bool = False, sure: bool = False) -> DataFrame:
+def identify(
+    docs: DataFrame, id_col: str, text_col: str, model: Model, carry: tuple[str, ...] = (), runs: bool = False, sure: bool = False
+) -> DataFrame:
     """For each row: its id, lang_pred, score, and with `runs` the languages of its words in order, as runs_of() has
     them, and with `sure` the mean of each word's largest posterior, which a text that switches between languages has as high
     as one that does not. carry: other columns to hand through, under other names than these."""
@@ -331,11 +333,21 @@ def identify(docs: DataFrame, id_col: str, text_col: str, model: Model, carry: t
                 lang, score, sizes, post = kept(key, lambda: Labeller(shared.value)).label(texts)
             else:
                 lang, score, sizes, post = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts), np.int64), np.zeros((0, 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs[lang].tolist(), pa.string()), pa.array(score.astype(float), pa.float64()), *([pa.array(runs_of(post.argmax(1), sizes, langs.tolist()), pa.string())] * runs), *([pa.array(sureness(post, sizes), pa.float64())] * sure), *b.columns[2:]], names=[id_col, "lang_pred", "score", *["runs"] * runs, *["sure"] * sure, *carry])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0), pa.array(langs[lang].tolist(), pa.string()), pa.array(score.astype(float), pa.float64()),
+                    *([pa.array(runs_of(post.argmax(1), sizes, langs.tolist()), pa.string())] * runs),
+                    *([pa.array(sureness(post, sizes), pa.float64())] * sure), *b.columns[2:]
+                ],
+                names=[id_col, "lang_pred", "score", *["runs"] * runs, *["sure"] * sure, *carry]
+            )
 
     src = docs.select(id_col, text_col, *carry)
     kinds = "".join(f", `{c}` {src.schema[c].dataType.simpleString()}" for c in carry)
-    return src.mapInArrow(run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, lang_pred string, score double{', runs string' * runs}{', sure double' * sure}{kinds}")
+    return src.mapInArrow(
+        run,
+        f"`{id_col}` {src.schema[0].dataType.simpleString()}, lang_pred string, score double{', runs string' * runs}{', sure double' * sure}{kinds}"
+    )
 
 
 def surely(docs: DataFrame, text_col: str, model: Model, least: float) -> DataFrame:

@@ -113,11 +113,19 @@ def describe(docs: DataFrame, n: int) -> DataFrame:
                 sets.append(planes(s) if new else None)
                 seen.append(s)
             counts += np.bincount((np.concatenate(seen) & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64), minlength=1 << COUNT_BITS)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(sets, pa.binary()), pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(sets, pa.binary()),
+                    pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())
+                ],
+                names=names
+            )
         if counts.any():
             parts = [np.minimum(x, 65535).astype("<u2").tobytes() for x in counts.reshape(SLICES, -1)]
             none = pa.nulls(SLICES, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays(
+                [none, none, none, pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=names
+            )
 
     return docs.mapInArrow(run, "id long, n long, class long, set binary, slice int, counts binary")
 
@@ -129,7 +137,9 @@ def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = np.frombuffer(c, "<u2").astype(np.int64)
             total[k] = total[k] + x if k in total else x
     if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["slice", "counts"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["slice", "counts"]
+        )
 
 
 def count_levels(described: DataFrame) -> np.ndarray:
@@ -156,7 +166,10 @@ def postings(sets: DataFrame, levels, percent: int, buckets: int) -> DataFrame:
             tok, cls, bucket = tok[order], cls[order], bucket[order]
             own, first = np.unique(bucket, return_index=True)
             ends = [*first[1:].tolist(), len(tok)]
-            arrays = [pa.array(own, pa.int32()), pa.array([planes(tok[a:z], 7) for a, z in zip(first, ends, strict=True)], pa.binary()), pa.array([cls[a:z].tobytes() for a, z in zip(first, ends, strict=True)], pa.binary())]
+            arrays = [
+                pa.array(own, pa.int32()), pa.array([planes(tok[a:z], 7) for a, z in zip(first, ends, strict=True)], pa.binary()),
+                pa.array([cls[a:z].tobytes() for a, z in zip(first, ends, strict=True)], pa.binary())
+            ]
             held.clear()
             owner.clear()
             return pa.RecordBatch.from_arrays(arrays, names=["bucket", "token", "class"])
@@ -220,7 +233,9 @@ def those_in(sets: DataFrame, wanted: DataFrame) -> DataFrame:
             c = b.column(0).to_numpy()
             yield b.filter(pa.array(known.value[c % BITMAPS, (c >> 8) % (1 << 15)]))
 
-    return sets.select("class", "n", "set").mapInArrow(run, "class long, n long, set binary").join(wanted, "class", "left_semi").dropDuplicates(["class"])
+    return sets.select("class", "n", "set").mapInArrow(run, "class long, n long, set binary").join(
+        wanted, "class", "left_semi"
+    ).dropDuplicates(["class"])
 
 
 def lists_of(keys: list[np.ndarray]) -> Iterator[np.ndarray]:
@@ -281,7 +296,10 @@ def meet(levels, percent: int):
 
     def links(pairs: pa.RecordBatch) -> pa.RecordBatch:
         n = pairs.num_rows
-        return pa.RecordBatch.from_arrays([*pairs.columns, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64()))], names=["u", "v", "g", "class", "n", "diff"])
+        return pa.RecordBatch.from_arrays(
+            [*pairs.columns, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64()))],
+            names=["u", "v", "g", "class", "n", "diff"]
+        )
 
     def settle(members: list[tuple[int, bytes]]) -> pa.RecordBatch:
         sets = [unplanes(s) for _, s in members]
@@ -302,7 +320,10 @@ def meet(levels, percent: int):
                     far.append((g, c, n, np.setxor1d(unplanes(s), pivot, assume_unique=True).astype(np.int64)))
             if far:
                 none = pa.nulls(len(far), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, *(pa.array([r[k] for r in far], pa.int64()) for k in range(3)), pa.array([r[3] for r in far], pa.list_(pa.int64()))], names=["u", "v", "g", "class", "n", "diff"])
+                yield pa.RecordBatch.from_arrays(
+                    [none, none, *(pa.array([r[k] for r in far], pa.int64()) for k in range(3)), pa.array([r[3] for r in far], pa.list_(pa.int64()))],
+                    names=["u", "v", "g", "class", "n", "diff"]
+                )
         if len(held) > 1:
             yield settle(held)
 
@@ -346,7 +367,9 @@ def rarest(levels):
                     first = d[np.argsort(ordered(d, levels.value, 0))[: max(0, most)]]
                     keys.append(mix(first ^ mix(np.array([g], np.int64).view(np.uint64))).view(np.int64))
             at = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])), b.column(0).take(at), b.column(1).take(at)], names=["list", "g", "class"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])), b.column(0).take(at), b.column(1).take(at)], names=["list", "g", "class"]
+            )
 
     return run
 
@@ -362,15 +385,30 @@ def narrow(rows: DataFrame, links: DataFrame, levels, percent: int, together: in
     top = rows.groupBy("g").agg(F.max(F.struct("room", "class")).alias("top"))
     rows = rows.join(top, "g").select("g", "class", "n", "diff", "room", F.col("top.room").alias("best"), F.col("top.class").alias("hub"))
     near = F.col("room") + F.col("best") >= 0
-    links = stars = save(links.unionByName(rows.filter(near & (F.col("class") != F.col("hub"))).select(F.col("class").alias("u"), F.col("hub").alias("v"))), "links")
+    links = stars = save(
+        links.unionByName(rows.filter(near & (F.col("class") != F.col("hub"))).select(F.col("class").alias("u"), F.col("hub").alias("v"))), "links"
+    )
     # Of two classes that are still to be compared one at least is not near, so the other's room is known to be small.
-    least = F.greatest(F.lit(1), F.ceil(F.when(near, F.col("best") - F.col("room")).otherwise(-F.col("room") - F.col("best")) / (2 * (100 + percent))))
+    least = F.greatest(
+        F.lit(1), F.ceil(F.when(near, F.col("best") - F.col("room")).otherwise(-F.col("room") - F.col("best")) / (2 * (100 + percent)))
+    )
     labels = components(links)
-    rows = rows.join(labels.select(F.col("node").alias("class"), F.col("component").alias("label")), "class", "left").withColumn("label", F.coalesce("label", "class")).select("g", "class", "n", "label", "diff", (F.size("diff") - least + 1).cast("int").alias("most"))
+    rows = rows.join(labels.select(F.col("node").alias("class"), F.col("component").alias("label")), "class", "left").withColumn("label", F.coalesce("label", "class")).select(
+        "g", "class", "n", "label", "diff", (F.size("diff") - least + 1).cast("int").alias("most")
+    )
     rows = save(rows.filter("most > 0"), "differences")
-    lists = save(rows.select("g", "class", "diff", "most").mapInArrow(rarest(levels), "list long, g long, class long").join(rows.select("g", "class", "label"), ["g", "class"]), "lists")
-    several = lists.groupBy("list").agg(F.count("*").alias("m"), F.min("label").alias("a"), F.max("label").alias("z")).filter("a < z").select("list", "m")
-    after = lists.select("list", "g", "class").join(several, "list").join(rows.drop("most"), ["g", "class"]).select(F.col("list").alias("g"), "m", "class", "n", "label", "diff")
+    lists = save(
+        rows.select("g", "class", "diff", "most").mapInArrow(rarest(levels), "list long, g long, class long").join(
+            rows.select("g", "class", "label"), ["g", "class"]
+        ),
+        "lists"
+    )
+    several = lists.groupBy("list").agg(
+        F.count("*").alias("m"), F.min("label").alias("a"), F.max("label").alias("z")
+    ).filter("a < z").select("list", "m")
+    after = lists.select("list", "g", "class").join(several, "list").join(rows.drop("most"), ["g", "class"]).select(
+        F.col("list").alias("g"), "m", "class", "n", "label", "diff"
+    )
     after = save(after, "groups")
     small = after.filter(F.col("m") <= together).select("g", "class", "n", "label", "diff").repartition(spread(spark), "g").sortWithinPartitions("g")
     links = save(links.unionByName(small.mapInArrow(across(percent), "u long, v long")), "links")
@@ -388,21 +426,41 @@ def join(docs: DataFrame, id_col: str, text_col: str, n: int = 4, percent: int =
     sets = described.filter("set is not null")
     classes = rows.filter("class is not null and id is not null").groupBy("class").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
     used: list[DataFrame] = [described]  # tables that nothing reads once the result is written
-    packed = postings(sets.select("class", "set"), levels, percent, 8 * spread(spark)).repartition(spread(spark), "bucket").sortWithinPartitions("bucket")
+    packed = postings(
+        sets.select("class", "set"), levels, percent, 8 * spread(spark)
+    ).repartition(spread(spark), "bucket").sortWithinPartitions("bucket")
     post = save(packed.mapInArrow(shared, "token long, class long"), "postings", sweep=True)
     # A set can only link if it shares enough of its prefix at all; most sets share too little, and go. That makes tokens
     # rarer, so once more.
     for _ in range(2):
-        good = post.groupBy("class").agg(F.count("*").alias("shared")).join(classes.select("class", "n"), "class").filter(F.col("shared") >= need(F.col("n"), percent)).select("class")
+        good = post.groupBy("class").agg(F.count("*").alias("shared")).join(classes.select("class", "n"), "class").filter(
+            F.col("shared") >= need(F.col("n"), percent)
+        ).select("class")
         kept = post.join(good, "class")
-        kept = save(kept.join(kept.groupBy("token").agg(F.min("class").alias("a"), F.max("class").alias("z")).filter("a < z").select("token"), "token", "left_semi"), "postings")
+        kept = save(
+            kept.join(
+                kept.groupBy("token").agg(F.min("class").alias("a"), F.max("class").alias("z")).filter("a < z").select("token"), "token", "left_semi"
+            ),
+            "postings"
+        )
         forget(post)
         post = kept
-    pivots = post.groupBy("token").agg(F.min(F.struct(F.xxhash64("class").alias("h"), "class")).alias("p")).select("token", F.col("p.class").alias("g"))
+    pivots = post.groupBy("token").agg(F.min(F.struct(F.xxhash64("class").alias("h"), "class")).alias("p")).select(
+        "token", F.col("p.class").alias("g")
+    )
     groups = save(post.join(pivots, "token").select("g", "class").distinct(), "groups")
     sizes = groups.groupBy("g").agg(F.ceil(F.count("*") / together).cast("int").alias("parts"))
-    dealt = groups.join(sizes, "g").withColumn("part", F.explode(F.when(F.col("g") == F.col("class"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")))))
-    dealt = dealt.join(those_in(sets, post.select("class").distinct()), "class").select("g", "part", "parts", "class", "n", "set", (F.col("g") != F.col("class")).alias("other"))
+    dealt = groups.join(sizes, "g").withColumn(
+        "part",
+        F.explode(
+            F.when(F.col("g") == F.col("class"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(
+                F.array(F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+            )
+        )
+    )
+    dealt = dealt.join(those_in(sets, post.select("class").distinct()), "class").select(
+        "g", "part", "parts", "class", "n", "set", (F.col("g") != F.col("class")).alias("other")
+    )
     met = dealt.repartition(spread(spark), "g", "part").sortWithinPartitions("g", "part", "other").drop("other")
     met = save(met.mapInArrow(meet(levels, percent), _MET), "met", sweep=True)
     forget(post, groups)
@@ -419,7 +477,10 @@ def join(docs: DataFrame, id_col: str, text_col: str, n: int = 4, percent: int =
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "label").select("class", "component_id")
     out = rows.join(named, "class", "left")
-    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    out = out.select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
+        F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id")
+    )
     out = save(out, "components", sweep=True)
     forget(*used)
     return out

@@ -183,12 +183,20 @@ def pack(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int = 1
                 crc.append(zlib.crc32(rest))
                 grid.append(np.array([zlib.crc32(rest[k : k + 4 * GRID]) for k in range(0, len(rest), 4 * GRID)], "<u4").tobytes())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(rank, pa.int64()), pa.array(crc, pa.int64()), pa.array(grid, pa.binary()), pa.array(full, pa.binary())],
+                [
+                    b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(rank, pa.int64()), pa.array(crc, pa.int64()),
+                    pa.array(grid, pa.binary()), pa.array(full, pa.binary())
+                ],
                 names=["id", "part", "n", "rank", "crc", "grid", "full"],
             )
 
     kind = src.schema["id"].dataType.simpleString()
-    base = save(src.mapInArrow(tokens, f"id {kind}, part int, n long, rank long, crc long, grid binary, full binary").withColumn("rest", (F.col("n") % window).cast("int")), "pack")
+    base = save(
+        src.mapInArrow(tokens, f"id {kind}, part int, n long, rank long, crc long, grid binary, full binary").withColumn(
+            "rest", (F.col("n") % window).cast("int")
+        ),
+        "pack"
+    )
     # A rest's rank among all rests of its length: those of earlier partitions, then its own partition's.
     counts = base.groupBy("part", "rest").agg(F.count("*").alias("c"))
     before = counts.select("part", "rest", (F.sum("c").over(Window.partitionBy("rest").orderBy("part")) - F.col("c")).alias("earlier"))
@@ -199,14 +207,18 @@ def pack(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int = 1
     rows, used = plan(histogram, window)
     placed = spark.createDataFrame(rows, "rest int, lo long, hi long, seq long, times long, at long")
     left = histogram - used
-    first = spark.createDataFrame([(k, int(used[k]), int(v)) for k, v in enumerate(np.cumsum(left) - left) if left[k]], "rest int, used long, index long")
+    first = spark.createDataFrame(
+        [(k, int(used[k]), int(v)) for k, v in enumerate(np.cumsum(left) - left) if left[k]], "rest int, used long, index long"
+    )
     n_planned = max([0, *(s + (hi - lo) // t for _, lo, hi, s, t, _ in rows)])
     rests = base.filter("rest > 0").drop("full").join(before, ["part", "rest"]).withColumn("rank", F.col("rank") + F.col("earlier"))
     # Both tables have a few thousand rows at most, whatever the input: one or a few for each length.
     inside = rests.join(F.broadcast(placed), "rest").filter("rank >= lo and rank < hi")
     k = F.col("rank") - F.col("lo")
     inside = inside.select(
-        "id", (F.col("n") - F.col("rest")).alias("start"), F.col("rest").cast("long").alias("length"), F.col("crc").alias("ids_crc32"), F.col("n").alias("doc_tokens"),
+        "id", (
+            F.col("n") - F.col("rest")
+        ).alias("start"), F.col("rest").cast("long").alias("length"), F.col("crc").alias("ids_crc32"), F.col("n").alias("doc_tokens"),
         (F.col("seq") + F.expr("(rank - lo) div times")).alias("sequence_id"), (F.col("at") + (k % F.col("times")) * F.col("rest")).alias("offset"),
     )
     over = rests.join(F.broadcast(first), "rest").filter("rank >= used").withColumn("index", F.col("index") + F.col("rank") - F.col("used"))
@@ -215,7 +227,12 @@ def pack(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int = 1
     def greedy(key, pdf):
         return fill(pdf, int(key[0]), window)
 
-    out_type = T.StructType([T.StructField("id", src.schema["id"].dataType), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))])
+    out_type = T.StructType(
+        [
+            T.StructField("id", src.schema["id"].dataType),
+            *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))
+        ]
+    )
     packed = over.groupBy("lane").applyInPandas(greedy, out_type)
     lane_span = 1 << 32  # no lane has as many sequences
     packed = packed.withColumn("sequence_id", F.lit(n_planned) + F.col("sequence_id"))
@@ -227,11 +244,16 @@ def pack(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int = 1
             at = np.repeat(np.arange(len(crcs)), times)
             k = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(at)), pa.array(k * window, pa.int64()), pa.array(np.full(len(k), window, np.int64)), pa.array(np.concatenate([*crcs, np.zeros(0, "<u4")]).astype(np.int64)), b.column(1).take(pa.array(at))],
+                [
+                    b.column(0).take(pa.array(at)), pa.array(k * window, pa.int64()), pa.array(np.full(len(k), window, np.int64)),
+                    pa.array(np.concatenate([*crcs, np.zeros(0, "<u4")]).astype(np.int64)), b.column(1).take(pa.array(at))
+                ],
                 names=["id", "start", "length", "ids_crc32", "doc_tokens"],
             )
 
-    whole = base.filter(F.col("n") >= window).select("id", "n", "full").mapInArrow(windows, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    whole = base.filter(F.col("n") >= window).select("id", "n", "full").mapInArrow(
+        windows, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
+    )
     whole = whole.select("*", (F.lit(-1) - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return finish(inside.unionByName(packed).unionByName(whole).withColumnRenamed("id", id_col), base)
 

@@ -54,7 +54,9 @@ def luhn(number: Column) -> Column:
 def valid(kind: str, match: Column) -> Column:
     if kind == "ip":
         bare_part = lambda p: F.regexp_replace(p, "^0+(?=.)", "")
-        return F.forall(F.split(match, r"\."), lambda p: (F.length(bare_part(p)) <= 3) & F.coalesce(bare_part(p).try_cast("int") <= 255, F.lit(False)))
+        return F.forall(
+            F.split(match, r"\."), lambda p: (F.length(bare_part(p)) <= 3) & F.coalesce(bare_part(p).try_cast("int") <= 255, F.lit(False))
+        )
     if kind == "card":
         n = digits(match)
         return F.when(F.length(n).between(12, 19), luhn(n)).otherwise(F.lit(False))
@@ -71,9 +73,19 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
 def places(lengths: Column, step: int = 512) -> Column:
     """The sum of all lengths before each. Summed in parts of `step`, as appending to an array copies it."""
     empty, zero = F.array().cast("array<bigint>"), F.lit(0).cast("long")
-    own = lambda at, part: F.aggregate(part, F.struct(at.alias("at"), empty.alias("out")), lambda a, n: F.struct((a["at"] + n).alias("at"), F.array_append(a["out"], a["at"]).alias("out")))
-    parts = once(lengths, lambda ns: F.transform(F.sequence(F.lit(0), F.greatest(F.size(ns) - 1, F.lit(0)), F.lit(step)), lambda k: F.slice(ns, k + 1, F.lit(step))))
-    whole = F.aggregate(parts, F.struct(zero.alias("at"), F.array().cast("array<array<bigint>>").alias("out")), lambda a, part: once(own(a["at"], part), lambda x: F.struct(x["at"].alias("at"), F.array_append(a["out"], x["out"]).alias("out"))))
+
+    def own(at: Column, part: Column) -> Column:
+        start = F.struct(at.alias("at"), empty.alias("out"))
+        return F.aggregate(part, start, lambda a, n: F.struct((a["at"] + n).alias("at"), F.array_append(a["out"], a["at"]).alias("out")))
+
+    parts = once(
+        lengths,
+        lambda ns: F.transform(F.sequence(F.lit(0), F.greatest(F.size(ns) - 1, F.lit(0)), F.lit(step)), lambda k: F.slice(ns, k + 1, F.lit(step)))
+    )
+    whole = F.aggregate(
+        parts, F.struct(zero.alias("at"), F.array().cast("array<array<bigint>>").alias("out")),
+        lambda a, part: once(own(a["at"], part), lambda x: F.struct(x["at"].alias("at"), F.array_append(a["out"], x["out"]).alias("out")))
+    )
     return F.flatten(whole["out"])
 
 
@@ -85,11 +97,19 @@ def matches(text: Column, kind: str) -> Column:
 
     def spans(xs: Column) -> Column:
         at = places(F.transform(xs, lambda x: (F.length(x["g"]) + F.coalesce(F.length(x["m"]), F.lit(0))).cast("long")))
-        cut = F.zip_with(xs, at, lambda x, a: F.struct((a + F.length(x["g"])).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (a + F.length(x["g"]) + F.length(x["m"])).alias("end"), x["m"].alias("value")))
+        cut = F.zip_with(
+            xs, at,
+            lambda x, a: F.struct(
+                (a + F.length(x["g"])).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (a + F.length(x["g"]) + F.length(x["m"])).alias("end"),
+                x["m"].alias("value")
+            )
+        )
         return F.filter(cut, lambda s: s["value"].isNotNull() & valid(kind, s["value"]))
 
     hint = F.contains(text, F.lit(HINTS[kind])) if HINTS[kind] else F.lit(True)
-    return F.coalesce(F.when(hint & text.rlike(pattern), once(both, spans)), empty, F.array().cast("array<struct<start:long,kind:int,end:long,value:string>>"))
+    return F.coalesce(
+        F.when(hint & text.rlike(pattern), once(both, spans)), empty, F.array().cast("array<struct<start:long,kind:int,end:long,value:string>>")
+    )
 
 
 def words_like(text: Column) -> Column:
@@ -99,8 +119,15 @@ def words_like(text: Column) -> Column:
         near = lambda i, k: F.coalesce(bare(F.get(ws, i + k)["word"]), F.lit(""))
         sides = lambda i: {"before": [near(i, -2), near(i, -1)], "after": [near(i, 1), near(i, 2)], "around": [near(i, -1), near(i, 1)]}
         patterns = lambda i: F.array(*(F.concat_ws(" ", F.lit(name), *parts) for name, parts in sides(i).items()))
-        like = F.filter(F.transform(ws, lambda x, i: F.struct(x["at"].alias("start"), (x["at"] + F.length(x["word"])).alias("end"), x["word"].alias("word"), i.alias("i"))), lambda x: x["word"].rlike("[0-9@]"))
-        return F.transform(like, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["word"].alias("word"), patterns(x["i"]).alias("patterns")))
+        like = F.filter(
+            F.transform(
+                ws, lambda x, i: F.struct(x["at"].alias("start"), (x["at"] + F.length(x["word"])).alias("end"), x["word"].alias("word"), i.alias("i"))
+            ),
+            lambda x: x["word"].rlike("[0-9@]")
+        )
+        return F.transform(
+            like, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["word"].alias("word"), patterns(x["i"]).alias("patterns"))
+        )
 
     def placed(ws: Column) -> Column:
         at = places(F.transform(ws, lambda w: (F.length(w) + 1).cast("long")))  # one separator each
@@ -133,17 +160,45 @@ def extract(docs: DataFrame, id_col: str, text_col: str, rounds: int = 3, least:
         "row", F.col("w.start").alias("start"), F.col("w.end").alias("end"), bare(F.col("w.word")).alias("instance"), F.col("w.patterns").alias("patterns"),
         F.filter("base", lambda s: (s["start"] < F.col("w.end")) & (F.col("w.start") < s["end"])).alias("hit"),
     )
-    edges = edges.select("row", "start", "end", "instance", F.explode("patterns").alias("pattern"), F.when(F.size("hit") > 0, F.col("hit")[0]["kind"]).alias("kind"), (F.size("hit") > 0).alias("seed"))
+    edges = edges.select(
+        "row", "start", "end", "instance", F.explode("patterns").alias("pattern"), F.when(F.size("hit") > 0, F.col("hit")[0]["kind"]).alias("kind"),
+        (F.size("hit") > 0).alias("seed")
+    )
     edges = save(edges.filter((F.col("instance") != "") & ~F.col("pattern").rlike("^[a-z]+ *$")), "pii-edges")  # a pattern of no words tells nothing
     used = [table, edges]  # what nothing reads once the result is written
     scored = score(edges, rounds, different, used)
-    found = edges.filter("not seed").join(scored.filter(F.col("score") >= least), "pattern").groupBy("row", "start", "end").agg(F.max(F.struct("score", F.col("to").alias("kind"))).alias("s"))
-    found = found.groupBy("row").agg(F.collect_list(F.struct("start", F.col("s.kind").alias("kind"), "end", F.lit(False).alias("base"), F.col("s.score").alias("score"))).alias("more"))
+    found = edges.filter("not seed").join(scored.filter(F.col("score") >= least), "pattern").groupBy("row", "start", "end").agg(
+        F.max(F.struct("score", F.col("to").alias("kind"))).alias("s")
+    )
+    found = found.groupBy("row").agg(
+        F.collect_list(
+            F.struct("start", F.col("s.kind").alias("kind"), "end", F.lit(False).alias("base"), F.col("s.score").alias("score"))
+        ).alias("more")
+    )
     names = F.array(*(F.lit(k) for k in KINDS))
-    whole = table.select("row", "id", F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(True).alias("base"), F.lit(1.0).alias("score"))).alias("own"))
+    whole = table.select(
+        "row", "id",
+        F.transform(
+            "base",
+            lambda s: F.struct(
+                s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(True).alias("base"), F.lit(1.0).alias("score")
+            )
+        ).alias("own")
+    )
     out = whole.join(found, "row", "left")
-    spans = F.array_sort(F.when(F.col("more").isNull(), F.col("own")).otherwise(F.concat("own", F.coalesce("more", F.array().cast(found.schema["more"].dataType)))))
-    out = out.select(F.col("id").alias(id_col), F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.element_at(names, s["kind"] + 1).alias("kind"), s["end"].alias("end"), s["base"].alias("base"), s["score"].alias("score"))).alias("spans"))
+    spans = F.array_sort(
+        F.when(F.col("more").isNull(), F.col("own")).otherwise(F.concat("own", F.coalesce("more", F.array().cast(found.schema["more"].dataType))))
+    )
+    out = out.select(
+        F.col("id").alias(id_col),
+        F.transform(
+            spans,
+            lambda s: F.struct(
+                s["start"].alias("start"), F.element_at(names, s["kind"] + 1).alias("kind"), s["end"].alias("end"), s["base"].alias("base"),
+                s["score"].alias("score")
+            )
+        ).alias("spans")
+    )
     return finish(out, *used)
 
 
@@ -158,9 +213,13 @@ def score(edges: DataFrame, rounds: int, different: int, used: list[DataFrame])
     total = graph.groupBy("pattern").agg(F.count("*").alias("all"))
     pattern = None
     for k in range(rounds):
-        pattern = graph.join(belief, "instance").groupBy("pattern", "to").agg(F.sum("belief").alias("s"), F.count("*").alias("c")).join(total, "pattern")
+        pattern = graph.join(belief, "instance").groupBy("pattern", "to").agg(
+            F.sum("belief").alias("s"), F.count("*").alias("c")
+        ).join(total, "pattern")
         # Laplace's rule: a pattern seen a few times is never sure.
-        pattern = pattern.select("pattern", "to", (F.col("s") / (F.col("all") + 0.5)).alias("score"), "all").filter((F.col("all") >= different) & (F.col("score") >= 0.5))
+        pattern = pattern.select("pattern", "to", (F.col("s") / (F.col("all") + 0.5)).alias("score"), "all").filter(
+            (F.col("all") >= different) & (F.col("score") >= 0.5)
+        )
         if k + 1 < rounds:
             pattern = save(pattern, "pii-patterns")
             used.append(pattern)

@@ -70,7 +70,9 @@ def indices(words: list[bytes], symbols: Symbols) -> np.ndarray:
     return ((h * _C) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 3, alpha: float = 3.0, beta: float = 1.0, l1: float = 0.002, l2: float = 0.05) -> tuple[np.ndarray, float]:
+def train(
+    rows: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 3, alpha: float = 3.0, beta: float = 1.0, l1: float = 0.002, l2: float = 0.05
+) -> tuple[np.ndarray, float]:
     """Weights and bias from (indices, relative frequencies, label) by FTRL-Proximal, the classes weighted alike."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     zb = nb = 0.0
@@ -97,9 +99,13 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 3, alpha
     return weight(z, n).astype(np.float32), float(-zb / ((beta + nb**0.5) / 0.1))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, learn: Column, per_class: int = 2000) -> tuple[np.ndarray, float]:
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, learn: Column, per_class: int = 2000
+) -> tuple[np.ndarray, float]:
     """learn: which rows of `labels` may be learnt from."""
-    marks = labels.filter(learn & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("y")).withColumn("h", hash_order(F.col("id")))
+    marks = labels.filter(learn & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("y")).withColumn(
+        "h", hash_order(F.col("id"))
+    )
     share = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
     marks = sample_of_each(marks, "y", per_class, "id").select("id", "y", "h")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "id").select("h", "y", "text")  # at most 2 * per_class marks
@@ -108,7 +114,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
         symbols = Symbols()
         for b in slices(batches):
             got = [np.unique(indices(t.split(), symbols), return_counts=True) for t in as_bytes(b.column(2))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([i.astype("<i4").tobytes() for i, _ in got], pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in got], pa.binary())], names=["h", "y", "i", "c"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0), b.column(1), pa.array([i.astype("<i4").tobytes() for i, _ in got], pa.binary()),
+                    pa.array([c.astype("<u4").tobytes() for _, c in got], pa.binary())
+                ],
+                names=["h", "y", "i", "c"]
+            )
 
     sample = []
     for r in sorted(rows.mapInArrow(run, "h long, y int, i binary, c binary").collect(), key=lambda r: (r["h"], r["y"], r["i"])):
@@ -129,7 +141,9 @@ def score(docs: DataFrame, id_col: str, text_col: str, model: tuple[np.ndarray,
         (weights, bias), symbols = shared.value, kept("symbols", Symbols)
         for b in slices(batches):
             means = [float(weights[i].mean(dtype=np.float64)) if len(i := indices(t.split(), symbols)) else 0.0 for t in as_bytes(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(np.array(means) + bias, -30, 30))), pa.float64())], names=[id_col, "score"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(1 / (1 + np.exp(-np.clip(np.array(means) + bias, -30, 30))), pa.float64())], names=[id_col, "score"]
+            )
 
     src = docs.select(id_col, text_col)
     return src.mapInArrow(run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, score double")

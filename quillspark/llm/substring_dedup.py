@@ -92,7 +92,9 @@ class Gatherer:
         out: list[list] = [[] for _ in range(6)]
         for a, z in zip(first.tolist(), ends, strict=False):
             d = np.unique(doc[a:z])
-            for k, x in enumerate((planes(h[a:z], self.width), planes(check[a:z], 4), gaps(place[a:z], 5), gaps(ids[d], 8), gaps(rows[d], 8), gaps(starts[d], 5))):
+            for k, x in enumerate(
+                (planes(h[a:z], self.width), planes(check[a:z], 4), gaps(place[a:z], 5), gaps(ids[d], 8), gaps(rows[d], 8), gaps(starts[d], 5))
+            ):
                 out[k].append(x)
         if len(known[0]):
             own = np.append(own, self.turn % int(self.buckets))
@@ -213,7 +215,9 @@ def later_windows(flagged: DataFrame, window: int, buckets: int) -> DataFrame:
         g = Gatherer(own, width, settle, task_number())
         mask = np.uint64(min(own << 8 * width, (1 << 63) // own * own))
         for b in slices(batches):
-            for row, i, t, blocks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), b.column(3).to_pylist(), strict=True):
+            for row, i, t, blocks in zip(
+                b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), b.column(3).to_pylist(), strict=True
+            ):
                 words = t.split()
                 n = len(words) - window + 1
                 if n <= 0:
@@ -246,7 +250,13 @@ def later_windows(flagged: DataFrame, window: int, buckets: int) -> DataFrame:
             rows, place, part = rows[order], place[order], part[order]
             parts, begin = np.unique(part, return_index=True)
             ends = [*begin[1:].tolist(), len(part)][: len(begin)]
-            return pa.RecordBatch.from_arrays([pa.array(parts), pa.array([gaps(rows[a:z], 8) for a, z in zip(begin, ends, strict=True)], pa.binary()), pa.array([gaps(place[a:z], 5) for a, z in zip(begin, ends, strict=True)], pa.binary())], names=["part", "rows", "places"])
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(parts), pa.array([gaps(rows[a:z], 8) for a, z in zip(begin, ends, strict=True)], pa.binary()),
+                    pa.array([gaps(place[a:z], 5) for a, z in zip(begin, ends, strict=True)], pa.binary())
+                ],
+                names=["part", "rows", "places"]
+            )
 
         for x in bucketwise(batches, width):
             if len(x) == 2:
@@ -264,7 +274,10 @@ def later_windows(flagged: DataFrame, window: int, buckets: int) -> DataFrame:
     return by_bucket(src.mapInArrow(extend, Gatherer.schema)).mapInArrow(first, "part int, rows binary, places binary")
 
 
-def dedup(docs: DataFrame, id_col: str, text_col: str, window: int = 20, output: Callable[[Column], Column] = lambda kept: kept, as_is: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup(
+    docs: DataFrame, id_col: str, text_col: str, window: int = 20,
+    output: Callable[[Column], Column] = lambda kept: kept, as_is: bool = False, carry: tuple[str, ...] = ()
+) -> DataFrame:
     """For each row: its id, n_words, n_removed and kept: the words that stay, joined by one space (or what `output`
     makes of that text). as_is: a text that loses nothing stays as it was. carry: other columns to hand through."""
     assert window % 2 == 0
@@ -278,7 +291,9 @@ def dedup(docs: DataFrame, id_col: str, text_col: str, window: int = 20, output:
     hit = F.col("blocks").isNotNull()
     table = joined.select(
         F.monotonically_increasing_id().alias("row"), "id", "carry", "blocks", F.when(hit, F.col("text")).alias("text"),
-        F.when(~hit, F.when(plain == "", 0).otherwise(F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1)).cast("long").alias("n_words"), F.when(~hit, output(F.col("text") if as_is else plain)).alias("kept"),
+        F.when(~hit, F.when(plain == "", 0).otherwise(F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1)).cast("long").alias("n_words"), F.when(
+            ~hit, output(F.col("text") if as_is else plain)
+        ).alias("kept"),
     )
     table = save(table, "repeats", sweep=True)
     forget(blocks)
@@ -288,7 +303,9 @@ def dedup(docs: DataFrame, id_col: str, text_col: str, window: int = 20, output:
     kinds = {c: table.schema[c].dataType.simpleString() for c in ("carry", "kept")}
     # Windows to remove come before the texts of their part.
     texts = flagged.mapInArrow(with_part(parts), f"part int, row long, id long, carry {kinds['carry']}, text string").withColumn("late", F.lit(1))
-    both = gone.withColumn("late", F.lit(0)).unionByName(texts, allowMissingColumns=True).repartition(spread(spark), "part").sortWithinPartitions("part", "late")
+    both = gone.withColumn("late", F.lit(0)).unionByName(
+        texts, allowMissingColumns=True
+    ).repartition(spread(spark), "part").sortWithinPartitions("part", "late")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, starts = None, {}
@@ -314,9 +331,17 @@ def dedup(docs: DataFrame, id_col: str, text_col: str, window: int = 20, output:
                 n_removed.append(len(words) - int(stay.sum()))
                 kept.append(text if as_is and stay.all() else b" ".join([w for w, ok in zip(words, stay.tolist(), strict=True) if ok]).decode())
             at_rows = pa.array(here, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(6).take(at_rows), b.column(7).take(at_rows), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["id", "carry", "n_words", "n_removed", "kept"])
-
-    after = both.select("part", "late", "rows", "places", "row", "text", "id", "carry").mapInArrow(cut, f"id long, carry {kinds['carry']}, n_words long, n_removed long, kept string")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(6).take(at_rows), b.column(7).take(at_rows), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
+                    pa.array(kept, pa.string())
+                ],
+                names=["id", "carry", "n_words", "n_removed", "kept"]
+            )
+
+    after = both.select("part", "late", "rows", "places", "row", "text", "id", "carry").mapInArrow(
+        cut, f"id long, carry {kinds['carry']}, n_words long, n_removed long, kept string"
+    )
     after = after.withColumn("kept", output(F.col("kept")))
     rest = table.filter(~hit).select("id", "carry", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept")
     return rest.unionByName(after).select(F.col("id").alias(id_col), "n_words", "n_removed", "kept", *(F.col(f"carry.`{c}`").alias(c) for c in carry))
@@ -326,6 +351,9 @@ def with_part(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = b.column("row").to_numpy(zero_copy_only=False).astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array((mix(rows) % np.uint64(parts)).astype(np.int32)), b.column("row"), b.column("id"), b.column("carry"), b.column("text")], names=["part", "row", "id", "carry", "text"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((mix(rows) % np.uint64(parts)).astype(np.int32)), b.column("row"), b.column("id"), b.column("carry"), b.column("text")],
+                names=["part", "row", "id", "carry", "text"]
+            )
 
     return run

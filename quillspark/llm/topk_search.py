@@ -46,7 +46,13 @@ def blocks_of(vectors: DataFrame, scale: int, most: int) -> DataFrame:
             rows = sorted(held.pop(dim), key=lambda r: r[0])
             number += 1
             ids, data = np.array([i for i, _ in rows], np.int64), np.stack([v for _, v in rows])
-            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([part << 24 | number], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary())], names=["dim", "block", "ids", "data"])
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([dim], pa.int32()), pa.array([part << 24 | number], pa.int64()), pa.array([ids.tobytes()], pa.binary()),
+                    pa.array([data.tobytes()], pa.binary())
+                ],
+                names=["dim", "block", "ids", "data"]
+            )
 
         last = None  # a row repeated whole counts once
         for b in batches:
@@ -106,10 +112,15 @@ def search(vectors: DataFrame, id_col: str, vec_col: str, query: Column, k: int
     g = max(1, parts // h)
     order = ["id", "vector"]
     rows = save(blocks_of(src.select(*order).repartition(parts, "id").sortWithinPartitions(*order), scale, BLOCK), "vectors")
-    asks = save(blocks_of(src.filter("query").select(*order).repartition(-(-n_asked // QUERIES) or 1, "id").sortWithinPartitions(*order), scale, QUERIES), "queries")
+    asks = save(
+        blocks_of(src.filter("query").select(*order).repartition(-(-n_asked // QUERIES) or 1, "id").sortWithinPartitions(*order), scale, QUERIES),
+        "queries"
+    )
     spot = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
     left = rows.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(h - 1)), lambda c: spot("block", g) * h + c)))
-    right = asks.select("dim", F.col("block").alias("asked"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data")).withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(g - 1)), lambda c: c * h + spot("asked", h))))
+    right = asks.select("dim", F.col("block").alias("asked"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data")).withColumn(
+        "cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(g - 1)), lambda c: c * h + spot("asked", h)))
+    )
     pairs = left.join(right, ["dim", "cell"]).select("dim", "ids", "data", "asked", "q_ids", "q_data")
 
     def decode(b: pa.RecordBatch, k: int):
@@ -153,7 +164,9 @@ def search(vectors: DataFrame, id_col: str, vec_col: str, query: Column, k: int
     gathered = pairs.mapInArrow(keep_best, "query_id long, score long")
     bounds = save(top_bound(gathered, k), "bounds")
     asked = asks.select(F.col("block").alias("asked"), F.col("ids").alias("q_ids")).mapInArrow(spell, "asked long, query_id long").distinct()
-    per_block = asked.join(bounds, "query_id", "left").groupBy("asked").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "bound"))).alias("bounds"))
+    per_block = asked.join(bounds, "query_id", "left").groupBy("asked").agg(
+        F.map_from_entries(F.collect_list(F.struct("query_id", "bound"))).alias("bounds")
+    )
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -174,12 +187,18 @@ def search(vectors: DataFrame, id_col: str, vec_col: str, query: Column, k: int
                     order = np.lexsort((ids[c], -score, r))
                     r, c, score = r[order], c[order], score[order]
                     top = np.arange(len(r)) - np.searchsorted(r, r) < k
-                    yield pa.RecordBatch.from_arrays([pa.array(own[r[top]]), pa.array(ids[c[top]]), pa.array(score[top])], names=["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(own[r[top]]), pa.array(ids[c[top]]), pa.array(score[top])], names=["query_id", "vec_id", "score"]
+                    )
 
     last = pairs.join(per_block, "asked").mapInArrow(resolve, "query_id long, vec_id long, score long")
     # A query has about k entries at or above its bound, whatever the number of vectors; a block sends k at most.
-    ranked = last.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), "vec_id"))), 1, k).alias("best"))
-    out = ranked.select("query_id", F.posexplode("best").alias("pos", "e")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("e.vec_id").alias("vec_id"), (-F.col("e.down")).alias("score"))
+    ranked = last.groupBy("query_id").agg(
+        F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), "vec_id"))), 1, k).alias("best")
+    )
+    out = ranked.select("query_id", F.posexplode("best").alias("pos", "e")).select(
+        "query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("e.vec_id").alias("vec_id"), (-F.col("e.down")).alias("score")
+    )
     return finish(out, rows, asks, bounds)
 
 
@@ -193,4 +212,6 @@ def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for k in range(b.num_rows):
             ids = np.frombuffer(b.column(1)[k].as_py(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), b.column(0)[k].as_py(), np.int64)), pa.array(ids)], names=["asked", "query_id"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(ids), b.column(0)[k].as_py(), np.int64)), pa.array(ids)], names=["asked", "query_id"]
+            )

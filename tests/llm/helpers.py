@@ -30,7 +30,10 @@ def corpus(seed=1):
         out.append((k, " ".join(ws)))
     out += [(k, out[k % 7][1]) for k in range(60, 70)]
     out += [(k, " ".join(prose(k, 30)) + "  " + passage + "\n" + " ".join(prose(k + 500, 10))) for k in range(70, 76)]
-    out += [(76, passage + " " + passage), (77, None), (78, ""), (79, " \t\n"), (80, "one"), (81, "One"), (82, "one two three"), (83, "ONE TWO THREE"), (84, "é " * 30), (85, " ".join(prose(5, 30_000)))]
+    out += [
+        (76, passage + " " + passage), (77, None), (78, ""), (79, " \t\n"), (80, "one"), (81, "One"), (82, "one two three"), (83, "ONE TWO THREE"),
+        (84, "é " * 30), (85, " ".join(prose(5, 30_000)))
+    ]
     return out
 
 

@@ -29,7 +29,9 @@ def out_of(i):
 
 def test_language_query(spark, tmp_path):
     rows = corpus_of()
-    wrong = [(i, t, {"en": "fr", "fr": "en"}[lang] if out_of(i) else lang) for i, t, lang in rows] + [(900, None, "en"), (901, "", "en"), (902, " .. ", None)]
+    wrong = [(i, t, {"en": "fr", "fr": "en"}[lang] if out_of(i) else lang) for i, t, lang in rows] + [
+        (900, None, "en"), (901, "", "en"), (902, " .. ", None)
+    ]
     got = {r["doc_id"]: r for r in queries.op10_language_id(spark, folder(tmp_path, spark, wrong, [(1, 1, 0)])).collect()}
     assert set(got) == {i for i, *_ in wrong} and all(r["held_out"] == out_of(i) for i, r in got.items())
     # Held-out labels, here all wrong, teach nothing: predictions follow the texts.

@@ -16,7 +16,9 @@ def tongues(n=120):
 
 
 def test_language(spark):
-    rows = tongues() + [(900, None, "en"), (901, "12 ...", "fr"), (902, "le oiseau", None), (903, " ".join(prose(1, 20_000, WORDS["fr"])), "fr"), (0, "le été", "fr")]
+    rows = tongues() + [
+        (900, None, "en"), (901, "12 ...", "fr"), (902, "le oiseau", None), (903, " ".join(prose(1, 20_000, WORDS["fr"])), "fr"), (0, "le été", "fr")
+    ]
     docs = documents(spark, rows)
     model = language_crf.fit(docs, "doc_id", "text", "lang", ~held_out(F.col("doc_id")))
     assert model.langs == ["en", "fr"]
@@ -47,7 +49,9 @@ def test_forward_backward_against_all_paths():
         n, total = z - a, 0.0
         want = np.zeros((n, 3))
         for path in np.ndindex(*(3,) * n):
-            p = start[path[0]] * np.prod([emit[a + t, s] for t, s in enumerate(path)]) * np.prod([trans[x, y] for x, y in zip(path[:-1], path[1:], strict=True)])
+            p = start[path[0]] * np.prod([emit[a + t, s] for t, s in enumerate(path)]) * np.prod(
+                [trans[x, y] for x, y in zip(path[:-1], path[1:], strict=True)]
+            )
             total += p
             for t, s in enumerate(path):
                 want[t, s] += p
@@ -59,7 +63,9 @@ def test_quality(spark):
     good = [(k, " ".join(prose(k, 60))) for k in range(150)]
     bad = [(200 + k, " ".join(w + "***" for w in prose(k, 60))) for k in range(150)]
     rows = [*good, *bad, (900, None), (901, ""), (902, "x"), (0, good[0][1])]
-    labels = spark.createDataFrame([(i, int(i < 200), 0) for i, _ in good + bad] + [(5, 0, 0), (5, None, 1), (None, 1, 1), (7, 9, 0)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame(
+        [(i, int(i < 200), 0) for i, _ in good + bad] + [(5, 0, 0), (5, None, 1), (None, 1, 1), (7, 9, 0)], "doc_id long, quality int, toxic int"
+    )
     docs = documents(spark, rows)
     model = quality_ftrl.fit(docs, labels, "doc_id", "text", "quality", ~held_out(F.col("doc_id")))
     out = quality_ftrl.score(docs, "doc_id", "text", model).collect()
@@ -93,11 +99,15 @@ SECRETS = [
 
 def brute_secrets(t):
     a = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
-    return [(m.start(), 0, m.end()) for m in a.finditer(t) if len(m[2]) >= 12] + [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+    return [(m.start(), 0, m.end()) for m in a.finditer(t) if len(m[2]) >= 12] + [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18] + [
+        (m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16
+    ]
 
 
 def test_secrets(spark):
-    texts = dict(enumerate(SECRETS)) | {100 + i: t for i, t in corpus()} | {300 + k: " ".join(prose(k, 20)) + f' token = "{hashlib.sha1(str(k).encode()).hexdigest()}" end' for k in range(60)}
+    texts = dict(enumerate(SECRETS)) | {100 + i: t for i, t in corpus()} | {
+        300 + k: " ".join(prose(k, 20)) + f' token = "{hashlib.sha1(str(k).encode()).hexdigest()}" end' for k in range(60)
+    }
     docs = documents(spark, list(texts.items()))
     out = secret_cnn.scan(docs, "doc_id", "text").select("doc_id", *queries.digest("spans", ("assign", "access", "hex"))).collect()
     compare(out, texts, brute_secrets, ("assign", "access", "hex"))
@@ -112,7 +122,9 @@ def test_secrets(spark):
 def test_network_tells_what_it_was_trained_on():
     rng = np.random.default_rng(0)
     hexes = [secret_cnn.view(f"x token = {''.join(rng.choice(list('0123456789abcdef'), 40))} y", 10, 50) for _ in range(200)]
-    plain = [secret_cnn.view("some words and thirteenth others", 15, 25) for _ in range(100)] + [secret_cnn.view(f"in section {k} of the plan", 11, 14) for k in range(100)]
+    plain = [secret_cnn.view("some words and thirteenth others", 15, 25) for _ in range(100)] + [
+        secret_cnn.view(f"in section {k} of the plan", 11, 14) for k in range(100)
+    ]
     net = secret_cnn.train([x for p in zip(hexes, plain, strict=True) for x in ((p[0], 1, 1), (p[1], 0, 1))])
     assert (net.scores(secret_cnn.codes(hexes)) >= net.threshold[1]).mean() > 0.95
     assert (net.scores(secret_cnn.codes(plain)) >= net.threshold[1]).mean() < 0.02
@@ -126,12 +138,18 @@ PII = [
 
 
 def brute_pii(t):
-    rx = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+    rx = [
+        r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+",
+        r"\+[0-9][\x20().0-9-]+[0-9]"
+    ]
 
     def ok(k, s):
         d = re.sub("[^0-9]", "", s)
         luhn = sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
-        return (True, k == 1 and all(int(x[-9:]) <= 255 and (len(x) < 10 or not int(x[:-9])) for x in s.split(".")), 12 <= len(d) <= 19 and luhn, 9 <= len(d) <= 15)[k]
+        return (
+            True, k == 1 and all(int(x[-9:]) <= 255 and (len(x) < 10 or not int(x[:-9])) for x in s.split(".")), 12 <= len(d) <= 19 and luhn,
+            9 <= len(d) <= 15
+        )[k]
 
     return [(m.start(), k, m.end()) for k in range(4) for m in re.finditer(rx[k], t) if ok(k, m[0])]
 
@@ -147,7 +165,10 @@ def test_pii(spark):
 
 def test_pii_patterns_discover(spark):
     rows = [(k, f"{' '.join(prose(k, 9))} contact address: user{k}@mail.example.com {' '.join(prose(k + 50, 9))}") for k in range(30)]
-    rows += [(100, "see contact address: user9[at]mail and more"), (101, "version 2.0 of contact"), (102, "address: nothing"), (100, "contact address: me4(at)home")]
+    rows += [
+        (100, "see contact address: user9[at]mail and more"), (101, "version 2.0 of contact"), (102, "address: nothing"),
+        (100, "contact address: me4(at)home")
+    ]
     spans = {}
     for r in pii_bootstrap.extract(documents(spark, rows), "doc_id", "text").collect():
         spans.setdefault(r["doc_id"], []).append([(s["kind"], s["start"], s["end"], s["base"]) for s in r["spans"]])
@@ -160,9 +181,14 @@ def test_pii_discovers_from_either_side(spark):
     words = lambda k, n: " ".join(prose(k, n))
     rows = [(k, f"{words(k, 8)} dial +1 (431) 555-{k:04d} for help {words(k + 90, 8)}") for k in range(40)]
     rows += [(100 + k, f"{words(k, 8)} host 10.0.{k}.7 went down {words(k + 90, 8)}") for k in range(40)]
-    hidden = [(300 + k, f"{words(k + 7, 9)} dial ext.{k}77 for help {words(k, 5)}") for k in range(15)] + [(400 + k, f"{words(k + 7, 9)} fe80::{k} went down {words(k, 5)}") for k in range(15)]
+    hidden = [(300 + k, f"{words(k + 7, 9)} dial ext.{k}77 for help {words(k, 5)}") for k in range(15)] + [
+        (400 + k, f"{words(k + 7, 9)} fe80::{k} went down {words(k, 5)}") for k in range(15)
+    ]
     clean = [(500 + k, f"{words(k, 12)} version 2.{k} of {words(k + 3, 12)} in 19{k:02d} {words(k + 5, 4)}") for k in range(30)]
-    out = {r["doc_id"]: [(s["kind"], s["base"]) for s in r["spans"]] for r in pii_bootstrap.extract(documents(spark, rows + hidden + clean), "doc_id", "text").collect()}
+    out = {
+        r["doc_id"]: [(s["kind"], s["base"]) for s in r["spans"]]
+        for r in pii_bootstrap.extract(documents(spark, rows + hidden + clean), "doc_id", "text").collect()
+    }
     assert sum(out[i] == [("phone" if i < 400 else "ip", False)] for i, _ in hidden) >= 0.9 * len(hidden)
     assert not any(out[i] for i, _ in clean)
 

@@ -79,7 +79,9 @@ def test_substring_dedup_of_shifted_and_overlapping_repeats(spark):
     text = prose(8, 90, [f"v{k}" for k in range(5000)])
     rows = [(k, " ".join(prose(100 + k, k % 13, [f"u{j}" for j in range(9999)]) + text[k : k + 20 + k % 7])) for k in range(60)]
     rows += [(200, "a " * 50), (201, "a " * 19), (202, " ".join(text[:19])), (203, " ".join(text[30:50]))]
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.dedup(documents(spark, rows, 5), "doc_id", "text").collect()}
+    got = {
+        r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.dedup(documents(spark, rows, 5), "doc_id", "text").collect()
+    }
     assert got == brute_dedup(rows)
 
 
@@ -109,7 +111,10 @@ def cloud(n=400, d=16, seed=0):
     return [(k, [float(np.float32(c)) for c in v]) for k, v in enumerate(x)]
 
 
-ODD = [(9001, None), (9002, [1.0, None] + [0.0] * 14), (9003, [float("nan")] * 16), (9004, [float("inf")] * 16), (9005, [0.0] * 16), (9006, [1.0] * 8), (9007, []), (None, [1.0] * 16)]
+ODD = [
+    (9001, None), (9002, [1.0, None] + [0.0] * 14), (9003, [float("nan")] * 16), (9004, [float("inf")] * 16), (9005, [0.0] * 16), (9006, [1.0] * 8),
+    (9007, []), (None, [1.0] * 16)
+]
 
 
 def test_embedding_dedup_against_brute_force(spark):
@@ -139,7 +144,9 @@ def test_topk_against_brute_force(spark):
     whole = {i: np.floor(256 * np.array(v)).astype(int) for i, v in rows}
     for q in [i for i in whole if i % 50 == 0]:
         best = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q)[:5]
-        assert [(r["vec_id"], r["score"]) for r in sorted((r for r in out if r["query_id"] == q), key=lambda r: r["rank"])] == [(i, -s) for s, i in best]
+        assert [
+            (r["vec_id"], r["score"]) for r in sorted((r for r in out if r["query_id"] == q), key=lambda r: r["rank"])
+        ] == [(i, -s) for s, i in best]
     assert {r["query_id"] for r in out} == {i for i in whole if i % 50 == 0}
     few = topk_search.search(vectors(spark, [(0, [1.0]), (1, [-3e6])]), "vec_id", "embedding", F.col("vec_id") == 0).collect()
     assert [tuple(r) for r in few] == [(0, 1, 1, 256 * -768_000_000)]
@@ -164,8 +171,13 @@ def edited(seed, base, edits):
 def test_ngram_join_splits_large_groups(spark, together):
     """Groups larger than what a task compares go on as differences from their majority; no link is lost."""
     base, other = prose(21, 90, [f"b{k}" for k in range(4000)]), prose(22, 60, [f"o{k}" for k in range(4000)])
-    rows = [(k, edited(k, base, k % 5)) for k in range(90)] + [(300 + k, edited(k, other, k % 3)) for k in range(30)] + [(500 + k, edited(7, base, 3)) for k in range(3)]
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(documents(spark, rows), "doc_id", "text", together=together).collect()}
+    rows = [(k, edited(k, base, k % 5)) for k in range(90)] + [(300 + k, edited(k, other, k % 3)) for k in range(30)] + [
+        (500 + k, edited(7, base, 3)) for k in range(3)
+    ]
+    got = {
+        r["doc_id"]: (r["n_shingles"], r["component_id"])
+        for r in ngram_join.join(documents(spark, rows), "doc_id", "text", together=together).collect()
+    }
     assert got == brute_join(rows)
 
 
@@ -177,5 +189,9 @@ def test_topk_with_empty_vectors(spark):
 
 def test_embeddings_of_one_component_link_by_sign(spark):
     rows = [(1, [1.0]), (2, [2.0]), (3, [-0.5]), (4, [-7.0]), (5, [0.0]), (6, []), (7, [3.5]), (8, [1.0])]
-    out = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_imi.dedup(vectors(spark, rows), "vec_id", "embedding").collect()}
-    assert out == {1: (3, 1, True), 2: (3, 1, False), 7: (3, 1, False), 8: (3, 1, False), 3: (1, 3, True), 4: (1, 3, False), 5: (0, 5, True), 6: (0, 6, True)}
+    out = {
+        r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_imi.dedup(vectors(spark, rows), "vec_id", "embedding").collect()
+    }
+    assert out == {
+        1: (3, 1, True), 2: (3, 1, False), 7: (3, 1, False), 8: (3, 1, False), 3: (1, 3, True), 4: (1, 3, False), 5: (0, 5, True), 6: (0, 6, True)
+    }

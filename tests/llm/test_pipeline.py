@@ -20,7 +20,10 @@ def test_one_row_of_each_group_stays(spark):
     assert sorted(map(str, (tuple(r) for r in out.select("doc_id", "text").collect()))) == sorted(map(str, [(3, near), (None, b), (7, c), (7, d)]))
 
 
-TONGUES = {"en": ["the", "thing", "with", "wash", "ring"], "fr": ["été", "oiseau", "château", "aux"], "de": ["über", "straße", "zwölf", "jäger"], "pl": ["żółw", "ćma", "źdźbło", "łąka"]}
+TONGUES = {
+    "en": ["the", "thing", "with", "wash", "ring"], "fr": ["été", "oiseau", "château", "aux"], "de": ["über", "straße", "zwölf", "jäger"],
+    "pl": ["żółw", "ćma", "źdźbło", "łąka"]
+}
 
 
 def test_mixed_texts_stay_if_their_words_are_sure(spark):

@@ -13,5 +13,7 @@ def test_topk_of_ids_with_several_vectors(spark):
     whole = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows]
     for q in (0, 50):
         best = sorted((-int(a @ b), j) for i, a in whole for j, b in whole if i == q != j and len(a) == len(b))[:5]
-        assert [(r["vec_id"], r["score"]) for r in sorted((r for r in out if r["query_id"] == q), key=lambda r: r["rank"])] == [(j, -s) for s, j in best]
+        assert [
+            (r["vec_id"], r["score"]) for r in sorted((r for r in out if r["query_id"] == q), key=lambda r: r["rank"])
+        ] == [(j, -s) for s, j in best]
     assert len(out) == 10

@@ -26,7 +26,10 @@ def encoding():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-ODD = ["", " ", "  a  b ", "a\n b", "\n\n x", "aaaa" * 500, "é" * 200, "a " + "b" * 3000 + " c", "!" * 129, "x" * 64 + " " + "y" * 65, "it's we'll", "　 日本\x1c語", "<|endoftext|> x", "a  b", "tab\t tab"]
+ODD = [
+    "", " ", "  a  b ", "a\n b", "\n\n x", "aaaa" * 500, "é" * 200, "a " + "b" * 3000 + " c", "!" * 129, "x" * 64 + " " + "y" * 65, "it's we'll",
+    "　 日本\x1c語", "<|endoftext|> x", "a  b", "tab\t tab"
+]
 
 
 def test_byte_bpe(spark, encoding):
