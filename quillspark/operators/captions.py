@@ -39,7 +39,9 @@ def describe(caption: Column, detailed: Column, objects_raw: Column, screen_text
     sentences = F.filter(F.split(F.trim(F.coalesce(detailed, F.lit(""))), r"(?<=[.!?])\s+"), lambda s: F.trim(s) != "")
     quotes = lambda s: F.regexp_extract_all(s, F.lit(QUOTED), F.lit(1))
     true = lambda s: F.forall(quotes(s), lambda q: on_screen(q, screen))
-    text = F.when(F.size(kept) > 0, F.array_join(F.filter(sentences, true), " ")).otherwise(F.array_join(F.filter(sentences, lambda s: (F.size(quotes(s)) > 0) & true(s)), " "))
+    text = F.when(F.size(kept) > 0, F.array_join(F.filter(sentences, true), " ")).otherwise(
+        F.array_join(F.filter(sentences, lambda s: (F.size(quotes(s)) > 0) & true(s)), " ")
+    )
     text = F.trim(F.when(F.trim(text) == "", F.trim(F.coalesce(caption, F.lit("")))).otherwise(text))
     return F.struct(F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1 << 30)).alias("text"), kept.alias("objects"))
 

@@ -46,10 +46,14 @@ def classify(text: Column, app: Column) -> Column:
     """Up to three categories, best first, ties in their declared order. Tenths make the scores whole: 6 a keyword (four at most),
     20 for the app."""
     names = F.array(*(F.lit(c) for c in CATEGORY_KEYWORDS))
-    counts = once(F.lower(F.coalesce(text, F.lit(""))), lambda t: F.array(*(hits([contains_keyword(t, w) for w in ws]) for ws in CATEGORY_KEYWORDS.values())))
+    counts = once(
+        F.lower(F.coalesce(text, F.lit(""))), lambda t: F.array(*(hits([contains_keyword(t, w) for w in ws]) for ws in CATEGORY_KEYWORDS.values()))
+    )
     own = once(F.lower(app), lambda a: F.array(*(any_of([app_matches(a, x) for x in CATEGORY_APPS[c]]) for c in CATEGORY_KEYWORDS)))
     score = lambda n, o: F.when(o | (n >= 2), -6 * F.least(n, F.lit(4)) - F.when(o, 20).otherwise(0))
-    ranked = F.filter(F.transform(F.zip_with(counts, own, score), lambda down, k: F.struct(down.alias("down"), k.alias("k"))), lambda x: x["down"].isNotNull())
+    ranked = F.filter(
+        F.transform(F.zip_with(counts, own, score), lambda down, k: F.struct(down.alias("down"), k.alias("k"))), lambda x: x["down"].isNotNull()
+    )
     return F.transform(F.slice(F.array_sort(ranked), 1, 3), lambda x: F.get(names, x["k"]))
 
 
@@ -75,7 +79,10 @@ def app_scores(text: Column) -> Column:
         return total
 
     names = F.array(*(F.lit(app) for app in APP_PHRASES))
-    scores = once(F.concat(F.lit(" "), F.replace(F.lower(text), F.lit("\n"), F.lit(" "))), lambda t: F.array(*(score(t, phrases) for phrases in APP_PHRASES.values())))
+    scores = once(
+        F.concat(F.lit(" "), F.replace(F.lower(text), F.lit("\n"), F.lit(" "))),
+        lambda t: F.array(*(score(t, phrases) for phrases in APP_PHRASES.values()))
+    )
     ranked = F.array_sort(F.filter(F.transform(scores, lambda s, k: F.struct((-s).alias("down"), k.alias("k"))), lambda x: x["down"] < 0))
     return F.transform(ranked, lambda x: F.struct(F.get(names, x["k"]).alias("app"), (-x["down"]).alias("score")))
 
@@ -140,10 +147,17 @@ def match_apps(answers: DataFrame, installed: DataFrame) -> DataFrame:
     tiers = [
         rest.join(apps, F.col("n") == F.col("l")).withColumn("tier", F.struct(F.lit(1).alias("t"), F.lit(0).alias("size"), "position")),
         rest.join(apps, bare(F.col("n")) == bare(F.col("l"))).withColumn("tier", F.struct(F.lit(2).alias("t"), F.lit(0).alias("size"), "position")),
-        rest.join(apps, (F.split("n", " ")[0] == F.split("l", " ")[0]) & (F.length("n") >= 4) & (F.length("l") >= 4) & (F.startswith("l", F.concat("n", F.lit(" "))) | F.startswith("n", F.concat("l", F.lit(" ")))))
+        rest.join(
+            apps,
+            (F.split("n", " ")[0] == F.split("l", " ")[0]) & (F.length("n") >= 4) & (F.length("l") >= 4) & (
+                F.startswith("l", F.concat("n", F.lit(" "))) | F.startswith("n", F.concat("l", F.lit(" ")))
+            )
+        )
         .withColumn("tier", F.struct(F.lit(3).alias("t"), F.length("l").alias("size"), "position")),
     ]
-    best = tiers[0].unionByName(tiers[1]).unionByName(tiers[2]).groupBy("id").agg(F.min_by(F.struct("label", "package"), "tier").alias("m")).select("id", "m.label", "m.package")
+    best = tiers[0].unionByName(tiers[1]).unionByName(tiers[2]).groupBy("id").agg(F.min_by(F.struct("label", "package"), "tier").alias("m")).select(
+        "id", "m.label", "m.package"
+    )
     named = screens.filter("label is not null").select("id", "label", F.lit(None).cast("string").alias("package"))
     return answers.join(best.unionByName(named), "id", "left")
 

@@ -119,7 +119,9 @@ def extract(text: Column, today: date, zone: str = "UTC") -> Column:
     @F.pandas_udf(TYPE)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(lambda t: [dict(zip(("type", "text", "value", "epoch_millis", "has_time"), e, strict=True)) for e in entities(t or "", today, tz)])
+            yield s.map(
+                lambda t: [dict(zip(("type", "text", "value", "epoch_millis", "has_time"), e, strict=True)) for e in entities(t or "", today, tz)]
+            )
 
     return run(text)
 

@@ -54,7 +54,10 @@ def reading_order(lines: Column) -> Column:
     from left to right; rows joined by line ends. Null lines give null, no lines an empty text."""
     by_place = F.array_sort(F.transform(lines, lambda x: F.struct(x["top"].alias("top"), x["left"].alias("left"), x["text"].alias("text"))))
     rows = screen_rows(F.transform(by_place, lambda x: x["top"]), F.transform(by_place, lambda x: x["text"]))
-    numbered = F.filter(F.zip_with(by_place, rows, lambda x, r: F.struct(r.alias("row"), x["left"].alias("left"), x["text"].alias("text"))), lambda x: x["row"].isNotNull())
+    numbered = F.filter(
+        F.zip_with(by_place, rows, lambda x, r: F.struct(r.alias("row"), x["left"].alias("left"), x["text"].alias("text"))),
+        lambda x: x["row"].isNotNull()
+    )
     return F.array_join(F.transform(F.array_sort(numbered), lambda x: x["text"]), "\n")
 
 
@@ -66,18 +69,28 @@ def slices(width: Column, height: Column) -> Column:
     cut = F.transform(tops, lambda t: F.struct(t.alias("top"), F.least(t + size, height).cast("long").alias("bottom")))
     # The slice that reaches the bottom is the last one.
     last = F.filter(cut, lambda x: (x["top"] == 0) | (x["top"] + (size - step) < height))
-    return F.when(height > width * 2 + F.floor(width / 2), last).otherwise(F.array(F.struct(F.lit(0).cast("long").alias("top"), height.cast("long").alias("bottom"))))
+    return F.when(height > width * 2 + F.floor(width / 2), last).otherwise(
+        F.array(F.struct(F.lit(0).cast("long").alias("top"), height.cast("long").alias("bottom")))
+    )
 
 
 def page_link(lines: Column, browser: Column) -> Column:
     """The first link-like word near the top: the address bar of a browser, elsewhere only an explicit link."""
     region = F.when(browser, single(0.22)).otherwise(single(0.12))
-    top = F.filter(F.array_sort(F.transform(lines, lambda x, k: F.struct(x["top"].alias("top"), k.alias("k"), x["text"].alias("text")))), lambda x: x["top"] <= region)
+    top = F.filter(
+        F.array_sort(F.transform(lines, lambda x, k: F.struct(x["top"].alias("top"), k.alias("k"), x["text"].alias("text")))),
+        lambda x: x["top"] <= region
+    )
     words = F.flatten(F.transform(top, lambda x: F.split(x["text"], "[ \t]")))
     bare = F.transform(words, lambda w: F.btrim(F.btrim(F.replace(w, F.lit("🔒"), F.lit(""))), F.lit("|•·\"'()[]<>,")))
     http = lambda t: F.lower(F.substring(t, 1, 4)) == "http"
     explicit = lambda t: http(t) | (F.lower(F.substring(t, 1, 4)) == "www.")
-    good = F.filter(bare, lambda t: (F.length(t) >= 4) & ~F.contains(t, F.lit("@")) & t.rlike(PAGE_TOKEN) & (browser | explicit(t)) & (explicit(t) | F.lower(F.regexp_extract(t, PAGE_TOKEN, 1)).isin(*PAGE_ENDINGS)))
+    good = F.filter(
+        bare,
+        lambda t: (F.length(t) >= 4) & ~F.contains(t, F.lit("@")) & t.rlike(PAGE_TOKEN) & (browser | explicit(t)) & (
+            explicit(t) | F.lower(F.regexp_extract(t, PAGE_TOKEN, 1)).isin(*PAGE_ENDINGS)
+        )
+    )
     first = F.get(good, F.lit(0))
     return F.when(http(first), first).otherwise(F.concat(F.lit("https://"), first))
 
@@ -91,10 +104,14 @@ def page_link_of_text(text: Column) -> Column:
 def headline(lines: Column, most: int = 6) -> Column:
     """The tallest lines, at least 1.4 times the (upper) median height, in reading order; empty if fewer than three lines can be used."""
     clock = r"(?i)^\d{1,2}[.:]\d{2}(\s?[ap]\.?m\.?)?$"
-    usable = F.filter(lines, lambda x: (x["bottom"] > x["top"]) & (F.length(F.regexp_replace(x["text"], r"[^\p{L}]", "")) >= 3) & ~F.trim(x["text"]).rlike(clock))
+    usable = F.filter(
+        lines, lambda x: (x["bottom"] > x["top"]) & (F.length(F.regexp_replace(x["text"], r"[^\p{L}]", "")) >= 3) & ~F.trim(x["text"]).rlike(clock)
+    )
     heights = F.array_sort(F.transform(usable, lambda x: x["bottom"] - x["top"]))
     median = F.get(heights, (F.size(heights) / 2).cast("int"))
-    tall = F.transform(usable, lambda x, k: F.struct((x["top"] - x["bottom"]).alias("down"), k.alias("k"), x["top"].alias("top"), x["text"].alias("text")))
+    tall = F.transform(
+        usable, lambda x, k: F.struct((x["top"] - x["bottom"]).alias("down"), k.alias("k"), x["top"].alias("top"), x["text"].alias("text"))
+    )
     tall = F.slice(F.array_sort(F.filter(tall, lambda x: -x["down"] >= median * single(1.4))), 1, most)
     # Lines at one height come as they were taken: by size, then as they stood.
     order = F.array_sort(F.transform(tall, lambda x, k: F.struct(x["top"].alias("top"), k.alias("k"), x["text"].alias("text"))))

@@ -68,7 +68,13 @@ def scored(records: DataFrame, terms: Terms) -> DataFrame:
     df = bind(df, _wide=F.replace("_body", F.lit(" "), F.lit("  ")))
     each = []
     for _, alts in terms:
-        place = F.greatest(*(F.when(has(F.col("_strong"), a), single(STRONG)).when(has(F.col("_described"), a), single(DESCRIBED)).otherwise(single(0.0)) for a in alts), single(0.0))
+        place = F.greatest(
+            *(
+                F.when(has(F.col("_strong"), a), single(STRONG)).when(has(F.col("_described"), a), single(DESCRIBED)).otherwise(single(0.0))
+                for a in alts
+            ),
+            single(0.0)
+        )
         count = lambda n: F.when(n > 0, single(BODY) + single(REPEAT) * single(F.least(n, F.lit(4)) - 1)).otherwise(single(0.0))
         # Bound in a lambda, as the count is used twice.
         counts = F.array(F.greatest(*(wide_occurrences(F.col("_wide"), a) for a in alts), F.lit(0)))
@@ -85,7 +91,9 @@ def scored(records: DataFrame, terms: Terms) -> DataFrame:
 def tiered(found: DataFrame, keep: float = KEEP) -> DataFrame:
     """A written table of scored rows with their tier: best from `keep` of the top score on, else more."""
     top = found.agg(F.max("score").alias("_top"))
-    return found.crossJoin(F.broadcast(top)).withColumn("tier", F.when(F.col("score") >= F.col("_top") * single(keep), "best").otherwise("more")).drop("_top")
+    return found.crossJoin(F.broadcast(top)).withColumn(
+        "tier", F.when(F.col("score") >= F.col("_top") * single(keep), "best").otherwise("more")
+    ).drop("_top")
 
 
 def rank(records: DataFrame, terms: Terms, keep: float = KEEP) -> DataFrame:
@@ -218,6 +226,8 @@ def match_by_tokens(tokens: DataFrame, terms: Terms) -> DataFrame:
     spark = tokens.sparkSession
     alternatives = [(k, n, query_words(a)) for k, (_, alts) in enumerate(terms) for n, a in enumerate(alts)]
     wanted = spark.createDataFrame([(k, n, i, len(ws), w) for k, n, ws in alternatives for i, w in enumerate(ws)], "term int, alt int, at int, size int, tok string")  # a query's words
-    met = tokens.join(F.broadcast(wanted), "tok").groupBy("id", "col", (F.col("pos") - F.col("at")).alias("begin"), "term", "alt").agg(F.count_distinct("at").alias("n"), F.first("size").alias("size"))
+    met = tokens.join(F.broadcast(wanted), "tok").groupBy("id", "col", (F.col("pos") - F.col("at")).alias("begin"), "term", "alt").agg(
+        F.count_distinct("at").alias("n"), F.first("size").alias("size")
+    )
     hits = met.filter(F.col("n") == F.col("size")).groupBy("id").agg(F.count_distinct("term").alias("n"))
     return hits.filter(F.col("n") == len(terms)).select("id")

@@ -43,11 +43,17 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     d = table(spark, sf_dir, "documents").join(marks, "doc_id", "left")
     return d.select(
-        F.col("doc_id").alias("id"), F.concat(F.lit("doc/"), F.col("doc_id")).alias("uri"), F.timestamp_seconds(F.col("doc_id") * 3600).alias("taken_at"),
+        F.col("doc_id").alias("id"), F.concat(
+            F.lit("doc/"), F.col("doc_id")
+        ).alias("uri"), F.timestamp_seconds(F.col("doc_id") * 3600).alias("taken_at"),
         (F.col("doc_id") % 3).cast("int").alias("state"), (F.col("doc_id") % 4).cast("int").alias("attempts"), F.col("text").alias("ocr_text"), F.col("lang").alias("note"),
-        F.col("source").alias("app"), F.when(F.col("doc_id") % 2 == 0, "user").otherwise("usage").alias("app_source"), F.lit(None).cast("string").alias("app_package"),
+        F.col("source").alias("app"), F.when(
+            F.col("doc_id") % 2 == 0, "user"
+        ).otherwise("usage").alias("app_source"), F.lit(None).cast("string").alias("app_package"),
         F.lit(None).cast("string").alias("page_url"), F.lit(None).cast("string").alias("headline"), F.lit(None).cast("string").alias("description"),
-        F.array("lang", "source").alias("categories"), F.array("lang", F.lit(""), "lang").alias("objects"), F.array().cast(entities.TYPE).alias("entities"),
+        F.array("lang", "source").alias("categories"), F.array(
+            "lang", F.lit(""), "lang"
+        ).alias("objects"), F.array().cast(entities.TYPE).alias("entities"),
         F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("favorite"), (F.col("n_chars") < 500).alias("ocr_pending"), F.lit(0).alias("index_version"), (F.col("doc_id") % 2).cast("int").alias("describe_version"),
     )
 
@@ -60,7 +66,10 @@ FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP
 
 def search_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("id"), F.col("source").alias("strong"), F.lit("").alias("described"), F.col("text").alias("body"), F.timestamp_seconds(F.col("doc_id") * 3600).alias("taken_at"), F.array("lang").alias("categories"))
+    return d.select(
+        F.col("doc_id").alias("id"), F.col("source").alias("strong"), F.lit("").alias("described"), F.col("text").alias("body"),
+        F.timestamp_seconds(F.col("doc_id") * 3600).alias("taken_at"), F.array("lang").alias("categories")
+    )
 
 
 _PAD = r"' ' || trim(regexp_replace(lower({}), '[^\p{{L}}\p{{M}}\p{{N}}]+', ' ', 'g')) || ' '"
@@ -73,7 +82,9 @@ def rank_sql(query_text: str) -> str:
     for _, alts in terms:
         strong = " OR ".join(f"contains(s, ' {a} ')" for a in alts)
         n = "greatest(0, " + ", ".join(_COUNT.format(a) for a in alts) + ")"
-        each.append(f"greatest(CASE WHEN {strong} THEN 3::FLOAT ELSE 0::FLOAT END, CASE WHEN {n} > 0 THEN 1::FLOAT + 0.2::FLOAT * (least({n}, 4) - 1)::FLOAT ELSE 0::FLOAT END)")
+        each.append(
+            f"greatest(CASE WHEN {strong} THEN 3::FLOAT ELSE 0::FLOAT END, CASE WHEN {n} > 0 THEN 1::FLOAT + 0.2::FLOAT * (least({n}, 4) - 1)::FLOAT ELSE 0::FLOAT END)"
+        )
     names = [f"t{k}" for k in range(len(each))]
     phrase = " ".join(w for w, _ in terms)
     bonus = f" + CASE WHEN contains(s, ' {phrase} ') OR contains(b, ' {phrase} ') THEN 1.5::FLOAT ELSE 0::FLOAT END" if len(terms) > 1 else ""
@@ -85,7 +96,9 @@ SELECT id, round(score * 10)::INT AS score10, tier, (row_number() OVER (PARTITIO
 
 
 def ranked(spark: SparkSession, sf_dir: str, query_text: str) -> DataFrame:
-    return search.rank(search_records(spark, sf_dir), tx.query_terms(query_text)).select("id", F.round(F.col("score") * 10).cast("int").alias("score10"), "tier", "rank")
+    return search.rank(search_records(spark, sf_dir), tx.query_terms(query_text)).select(
+        "id", F.round(F.col("score") * 10).cast("int").alias("score10"), "tier", "rank"
+    )
 
 
 @query(rank_sql("ther than"))
@@ -103,7 +116,9 @@ def search_three_terms(spark, sf_dir):
     return ranked(spark, sf_dir, "src3 the erin")
 
 
-@query(rf"SELECT doc_id AS id FROM documents WHERE contains({_PAD.format("source || '  ' || text")}, ' ther ') AND contains({_PAD.format("source || '  ' || text")}, ' erin')")
+@query(
+    rf"SELECT doc_id AS id FROM documents WHERE contains({_PAD.format("source || '  ' || text")}, ' ther ') AND contains({_PAD.format("source || '  ' || text")}, ' erin')"
+)
 def search_prefix(spark, sf_dir):
     return search.prefix_match(search_records(spark, sf_dir), ["ther", "erin"]).select("id")
 
@@ -113,7 +128,9 @@ def search_like(spark, sf_dir):
     return search.like(search_records(spark, sf_dir), " ER the ").select("id")
 
 
-@query(rf"SELECT doc_id AS id FROM documents WHERE (contains({_PAD.format("source || '  ' || text")}, ' ther ') OR contains({_PAD.format("source || '  ' || text")}, ' thers ')) AND (contains({_PAD.format("source || '  ' || text")}, ' than ') OR contains({_PAD.format("source || '  ' || text")}, ' thans '))")
+@query(
+    rf"SELECT doc_id AS id FROM documents WHERE (contains({_PAD.format("source || '  ' || text")}, ' ther ') OR contains({_PAD.format("source || '  ' || text")}, ' thers ')) AND (contains({_PAD.format("source || '  ' || text")}, ' than ') OR contains({_PAD.format("source || '  ' || text")}, ' thans '))"
+)
 def match_tokens(spark, sf_dir):
     return search.match_by_tokens(search.token_table(search_records(spark, sf_dir)), tx.query_terms("ther than"))
 
@@ -144,12 +161,18 @@ def search_combined(spark, sf_dir):
     return search.search(search_records(spark, sf_dir), "ther than february 1970", TODAY)
 
 
-@query(r"""SELECT doc_id AS id, len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+'), lambda x: x IN ('ther', 'thers'))) + len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+'), lambda x: x IN ('erin', 'erins'))) AS hits FROM documents""")
+@query(
+    r"""SELECT doc_id AS id, len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+'), lambda x: x IN ('ther', 'thers'))) + len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+'), lambda x: x IN ('erin', 'erins'))) AS hits FROM documents"""
+)
 def word_hits(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), tx.word_hits(F.col("text"), ["ther", "erin"]).cast("long").alias("hits"))
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), tx.word_hits(F.col("text"), ["ther", "erin"]).cast("long").alias("hits")
+    )
 
 
-@query(f"SELECT id, snippet FROM (SELECT doc_id AS id, {snippet_sql('text', ['erin', 'erins'])} AS snippet FROM documents WHERE contains(lower(text), 'erin')) WHERE snippet IS NOT NULL")
+@query(
+    f"SELECT id, snippet FROM (SELECT doc_id AS id, {snippet_sql('text', ['erin', 'erins'])} AS snippet FROM documents WHERE contains(lower(text), 'erin')) WHERE snippet IS NOT NULL"
+)
 def snippets(spark, sf_dir):
     d = search.candidates(search_records(spark, sf_dir), tx.query_terms("erin"))
     return d.select("id", search.snippet(F.col("body"), ["erin", "erins"]).alias("snippet")).filter("snippet is not null")
@@ -171,12 +194,17 @@ def favorite_records(spark, sf_dir):
 
 
 def _items(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("collection_id"), F.col("o_orderkey").alias("record_id"), F.col("o_orderdate").alias("added_at"))
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("collection_id"), F.col("o_orderkey").alias("record_id"), F.col("o_orderdate").alias("added_at")
+    )
 
 
 def _ordered(spark, sf_dir):
     """Orders as records; finished ones are gone."""
-    return table(spark, sf_dir, "orders").filter("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("order/"), F.col("o_orderkey")).alias("uri"), F.col("o_totalprice").alias("price"), F.array(F.col("o_orderpriority")).alias("objects"), F.col("o_orderstatus").alias("description"))
+    return table(spark, sf_dir, "orders").filter("o_orderstatus <> 'F'").select(
+        F.col("o_orderkey").alias("id"), F.concat(F.lit("order/"), F.col("o_orderkey")).alias("uri"), F.col("o_totalprice").alias("price"),
+        F.array(F.col("o_orderpriority")).alias("objects"), F.col("o_orderstatus").alias("description")
+    )
 
 
 def _names(spark, sf_dir):
@@ -202,21 +230,27 @@ def collection_one(spark, sf_dir):
     return collection_summary(spark, sf_dir).filter("id = 7")
 
 
-@query("SELECT o.o_orderkey AS id, c.c_name || ':' || (SELECT count(*) FROM orders x WHERE x.o_custkey = c.c_custkey) AS collections FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders WHERE o_orderstatus <> 'F')")
+@query(
+    "SELECT o.o_orderkey AS id, c.c_name || ':' || (SELECT count(*) FROM orders x WHERE x.o_custkey = c.c_custkey) AS collections FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders WHERE o_orderstatus <> 'F')"
+)
 def record_detail(spark, sf_dir):
     mine = _ordered(spark, sf_dir)
     out = reads.detail(mine, _names(spark, sf_dir), _items(spark, sf_dir), mine.agg(F.min("id").alias("id")))
     return out.select("id", F.array_join(F.transform("collections", lambda c: F.concat_ws(":", c["name"], c["n"])), ",").alias("collections"))
 
 
-@query(f"{R} SELECT count(*) AS total, count_if(state = 1) AS indexed, count_if(state = 0) AS pending, count_if(state = 2) AS failed, count_if(ocr_pending) AS ocr_pending, count_if(favorite) AS favorites FROM r")
+@query(
+    f"{R} SELECT count(*) AS total, count_if(state = 1) AS indexed, count_if(state = 0) AS pending, count_if(state = 2) AS failed, count_if(ocr_pending) AS ocr_pending, count_if(favorite) AS favorites FROM r"
+)
 def state_counts(spark, sf_dir):
     return reads.counts(records(spark, sf_dir))
 
 
 @query(f"{R} SELECT id, uri FROM r WHERE id IN (SELECT doc_id FROM labels WHERE quality = 0)")
 def records_by_ids(spark, sf_dir):
-    return reads.by_ids(records(spark, sf_dir), table(spark, sf_dir, "labels").filter("quality = 0").select(F.col("doc_id").alias("id"))).select("id", "uri")
+    return reads.by_ids(
+        records(spark, sf_dir), table(spark, sf_dir, "labels").filter("quality = 0").select(F.col("doc_id").alias("id"))
+    ).select("id", "uri")
 
 
 @query(f"{R} SELECT id, md5(coalesce(ocr_text, '') || ' ' || coalesce(note, '') || ' ' || coalesce(app, '') || ' ') AS text_md5 FROM r")
@@ -268,17 +302,28 @@ a AS (SELECT i.label, i.position::VARCHAR AS package, i.position, 1 AS part FROM
 SELECT label, package FROM (SELECT *, row_number() OVER (PARTITION BY lower(label) ORDER BY part, position, label) AS k FROM a) WHERE k = 1""")
 def app_choices(spark, sf_dir):
     part, nation = table(spark, sf_dir, "part"), table(spark, sf_dir, "nation")
-    installed = part.groupBy(F.col("p_brand").alias("label")).agg(F.min("p_partkey").alias("position")).select("label", F.col("position").cast("string").alias("package"), "position")
-    loud = part.filter("p_size = 1").select(F.upper("p_brand").alias("label"), F.lit(None).cast("string").alias("package"), F.lit(9).cast("long").alias("position"))
-    return reads.app_choices(installed.select("label", "position"), installed, [loud, nation.select(F.col("n_name").alias("label"), F.lit("nation").alias("package"), F.col("n_nationkey").cast("long").alias("position"))]).select("label", "package")
-
-
-@query("SELECT ts::DATE AS day, count(*) AS n, CASE WHEN ts::DATE = DATE '2024-01-28' THEN 'Today' WHEN ts::DATE = DATE '2024-01-27' THEN 'Yesterday' ELSE strftime(ts, '%a, %-d %b') END AS label FROM events GROUP BY ALL")
+    installed = part.groupBy(F.col("p_brand").alias("label")).agg(F.min("p_partkey").alias("position")).select(
+        "label", F.col("position").cast("string").alias("package"), "position"
+    )
+    loud = part.filter("p_size = 1").select(
+        F.upper("p_brand").alias("label"), F.lit(None).cast("string").alias("package"), F.lit(9).cast("long").alias("position")
+    )
+    return reads.app_choices(
+        installed.select("label", "position"), installed,
+        [loud, nation.select(F.col("n_name").alias("label"), F.lit("nation").alias("package"), F.col("n_nationkey").cast("long").alias("position"))]
+    ).select("label", "package")
+
+
+@query(
+    "SELECT ts::DATE AS day, count(*) AS n, CASE WHEN ts::DATE = DATE '2024-01-28' THEN 'Today' WHEN ts::DATE = DATE '2024-01-27' THEN 'Yesterday' ELSE strftime(ts, '%a, %-d %b') END AS label FROM events GROUP BY ALL"
+)
 def day_groups(spark, sf_dir):
     return reads.by_day(_events(spark, sf_dir), date(2024, 1, 28))
 
 
-@query("SELECT ts::DATE AS day, event_id AS id, CASE WHEN ts::DATE = DATE '2024-01-28' THEN 'Today' WHEN ts::DATE = DATE '2024-01-27' THEN 'Yesterday' ELSE strftime(ts, '%a, %-d %b') END AS label FROM events")
+@query(
+    "SELECT ts::DATE AS day, event_id AS id, CASE WHEN ts::DATE = DATE '2024-01-28' THEN 'Today' WHEN ts::DATE = DATE '2024-01-27' THEN 'Yesterday' ELSE strftime(ts, '%a, %-d %b') END AS label FROM events"
+)
 def day_items(spark, sf_dir):
     return reads.by_day_items(_events(spark, sf_dir), date(2024, 1, 28))
 
@@ -293,7 +338,10 @@ def scrubber_marks(spark, sf_dir):
 @query("SELECT DISTINCT p_name AS label, p_brand AS package FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_partkey < 5)")
 def launchable(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    return reads.launchable(part.select(F.col("p_name").alias("label"), F.col("p_brand").alias("package")), part.filter("p_partkey < 5").select(F.col("p_brand").alias("package")))
+    return reads.launchable(
+        part.select(F.col("p_name").alias("label"), F.col("p_brand").alias("package")),
+        part.filter("p_partkey < 5").select(F.col("p_brand").alias("package"))
+    )
 
 
 @query(r"SELECT doc_id AS id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS words FROM documents")
@@ -306,13 +354,17 @@ def picker(spark, sf_dir):
     return reads.picker(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label")), " A")
 
 
-@query("""SELECT user_id, list_reduce(list((value * 100)::BIGINT ORDER BY ts, (value * 100)::BIGINT), lambda a, x: (a * 9 + x) // 10) AS average FROM (SELECT user_id, ts, floor(value) AS value FROM events) GROUP BY user_id""")
+@query(
+    """SELECT user_id, list_reduce(list((value * 100)::BIGINT ORDER BY ts, (value * 100)::BIGINT), lambda a, x: (a * 9 + x) // 10) AS average FROM (SELECT user_id, ts, floor(value) AS value FROM events) GROUP BY user_id"""
+)
 def ewma_fold(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "ts", (F.floor("value") * 100).alias("v"))
     return reads.running_average(e, "user_id", "ts", "v")
 
 
-@query("SELECT 'added' AS change, doc_id AS id FROM labels WHERE quality = 0 AND doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) UNION ALL SELECT 'removed', doc_id FROM documents WHERE doc_id % 2 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) UNION ALL SELECT 'table', doc_id FROM labels WHERE quality = 0")
+@query(
+    "SELECT 'added' AS change, doc_id AS id FROM labels WHERE quality = 0 AND doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) UNION ALL SELECT 'removed', doc_id FROM documents WHERE doc_id % 2 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) UNION ALL SELECT 'table', doc_id FROM labels WHERE quality = 0"
+)
 def sync_diff(spark, sf_dir):
     have = table(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select(F.col("doc_id").alias("id"))
     listing = table(spark, sf_dir, "labels").filter("quality = 0").select(F.col("doc_id").alias("id"))
@@ -321,7 +373,9 @@ def sync_diff(spark, sf_dir):
     return say(added, "added").unionByName(say(removed, "removed")).unionByName(say(after, "table"))
 
 
-@query(f"{R} SELECT id, attempts + (id % 5 = 0)::INT AS attempts, CASE WHEN id % 5 <> 0 THEN state WHEN attempts + 1 >= 3 THEN 2 ELSE 0 END AS state FROM r")
+@query(
+    f"{R} SELECT id, attempts + (id % 5 = 0)::INT AS attempts, CASE WHEN id % 5 <> 0 THEN state WHEN attempts + 1 >= 3 THEN 2 ELSE 0 END AS state FROM r"
+)
 def retry_state(spark, sf_dir):
     r = records(spark, sf_dir)
     return writes.mark_failed(r, r.filter("id % 5 = 0")).select("id", "attempts", "state")
@@ -332,64 +386,97 @@ def requeue_pending(spark, sf_dir):
     return writes.requeue(records(spark, sf_dir), only_ocr_pending=True).select("id", "state", "attempts")
 
 
-@query(f"""{R} SELECT id, CASE WHEN id % 3 <> 0 THEN app WHEN app_source = 'user' THEN app WHEN id % 9 <> 0 THEN app ELSE 'new' END AS app, CASE WHEN id % 3 = 0 THEN upper(note) ELSE NULL END AS headline, CASE WHEN id % 3 = 0 THEN 1 ELSE state END AS state FROM r""")
+@query(
+    f"""{R} SELECT id, CASE WHEN id % 3 <> 0 THEN app WHEN app_source = 'user' THEN app WHEN id % 9 <> 0 THEN app ELSE 'new' END AS app, CASE WHEN id % 3 = 0 THEN upper(note) ELSE NULL END AS headline, CASE WHEN id % 3 = 0 THEN 1 ELSE state END AS state FROM r"""
+)
 def save_analysis(spark, sf_dir):
     r = records(spark, sf_dir)
     source = F.when(F.col("id") % 9 == 0, "usage").otherwise("text")
-    new = r.filter("id % 3 = 0").select("id", "ocr_text", F.lit("new").alias("app"), source.alias("app_source"), "app_package", "page_url", F.upper("note").alias("headline"), "categories", "entities")
+    new = r.filter("id % 3 = 0").select(
+        "id", "ocr_text", F.lit("new").alias("app"), source.alias("app_source"), "app_package", "page_url", F.upper("note").alias("headline"),
+        "categories", "entities"
+    )
     return writes.save_analysis(r, new, 1).select("id", "app", "headline", "state")
 
 
-@query(f"{R} SELECT id, CASE WHEN id % 4 = 0 AND id % 8 <> 0 THEN note END AS description, CASE WHEN id % 4 = 0 THEN 7 ELSE describe_version END AS describe_version FROM r")
+@query(
+    f"{R} SELECT id, CASE WHEN id % 4 = 0 AND id % 8 <> 0 THEN note END AS description, CASE WHEN id % 4 = 0 THEN 7 ELSE describe_version END AS describe_version FROM r"
+)
 def save_description(spark, sf_dir):
     r = records(spark, sf_dir)
-    new = r.filter("id % 4 = 0").select("id", F.when(F.col("id") % 8 == 0, "  ").otherwise(F.col("note")).alias("description"), F.array(F.lit("x")).alias("objects"), F.lit(None).cast("array<string>").alias("categories"))
+    new = r.filter("id % 4 = 0").select(
+        "id", F.when(F.col("id") % 8 == 0, "  ").otherwise(F.col("note")).alias("description"), F.array(F.lit("x")).alias("objects"),
+        F.lit(None).cast("array<string>").alias("categories")
+    )
     return writes.save_description(r, new, 7).select("id", "description", "describe_version")
 
 
-@query("SELECT query FROM (SELECT props AS query, max(ts) AS latest FROM (SELECT props, ts FROM events WHERE event_id % 2 = 0 UNION ALL SELECT trim('  ' || event_type || ' '), ts FROM events WHERE event_id % 2 = 1) GROUP BY 1) ORDER BY latest DESC, query LIMIT 20")
+@query(
+    "SELECT query FROM (SELECT props AS query, max(ts) AS latest FROM (SELECT props, ts FROM events WHERE event_id % 2 = 0 UNION ALL SELECT trim('  ' || event_type || ' '), ts FROM events WHERE event_id % 2 = 1) GROUP BY 1) ORDER BY latest DESC, query LIMIT 20"
+)
 def recent_upsert(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     log = e.filter("event_id % 2 = 0").groupBy(F.col("props").alias("query")).agg(F.max("ts").alias("at"))
-    return writes.add_recent(log, e.filter("event_id % 2 = 1").select(F.concat(F.lit("  "), F.col("event_type"), F.lit(" ")).alias("query"), F.col("ts").alias("at"))).select("query")
+    return writes.add_recent(
+        log, e.filter("event_id % 2 = 1").select(F.concat(F.lit("  "), F.col("event_type"), F.lit(" ")).alias("query"), F.col("ts").alias("at"))
+    ).select("query")
 
 
-@query("SELECT o_custkey AS collection_id, o_orderkey AS record_id FROM orders UNION SELECT o_custkey % 10, o_orderkey FROM orders WHERE o_orderkey % 7 = 0")
+@query(
+    "SELECT o_custkey AS collection_id, o_orderkey AS record_id FROM orders UNION SELECT o_custkey % 10, o_orderkey FROM orders WHERE o_orderkey % 7 = 0"
+)
 def add_to_collection(spark, sf_dir):
     items = _items(spark, sf_dir)
     more = items.filter("record_id % 7 = 0").withColumn("collection_id", F.col("collection_id") % 10)
     return writes.add_to_collection(items, more).select("collection_id", "record_id")
 
 
-@query(f"{R} SELECT id, CASE WHEN id % 10 = 0 THEN NULL WHEN id % 5 = 0 THEN 'seen' ELSE note END AS note, CASE WHEN id % 6 = 0 THEN NOT favorite ELSE favorite END AS favorite FROM r")
+@query(
+    f"{R} SELECT id, CASE WHEN id % 10 = 0 THEN NULL WHEN id % 5 = 0 THEN 'seen' ELSE note END AS note, CASE WHEN id % 6 = 0 THEN NOT favorite ELSE favorite END AS favorite FROM r"
+)
 def edits(spark, sf_dir):
     r = records(spark, sf_dir)
     r = writes.set_note(r, r.filter("id % 5 = 0").select("id", F.when(F.col("id") % 10 == 0, "").otherwise("seen").alias("note")))
     return writes.toggle_favorite(r, r.filter("id % 6 = 0")).select("id", "note", "favorite")
 
 
-@query(f"{R} SELECT id, CASE WHEN id % 7 = 0 THEN upper(note) ELSE app END AS app, CASE WHEN id % 7 = 0 THEN 'p.' || note END AS app_package, CASE WHEN id % 7 = 0 THEN 'user' ELSE app_source END AS app_source FROM r")
+@query(
+    f"{R} SELECT id, CASE WHEN id % 7 = 0 THEN upper(note) ELSE app END AS app, CASE WHEN id % 7 = 0 THEN 'p.' || note END AS app_package, CASE WHEN id % 7 = 0 THEN 'user' ELSE app_source END AS app_source FROM r"
+)
 def app_edits(spark, sf_dir):
     r = records(spark, sf_dir)
-    return writes.set_app(r, r.filter("id % 7 = 0").select("id", F.upper("note").alias("app"), F.concat(F.lit("p."), "note").alias("app_package"))).select("id", "app", "app_package", "app_source")
+    return writes.set_app(r, r.filter("id % 7 = 0").select("id", F.upper("note").alias("app"), F.concat(F.lit("p."), "note").alias("app_package"))).select(
+        "id", "app", "app_package", "app_source"
+    )
 
 
-@query("SELECT c_custkey AS id, CASE WHEN c_custkey = 7 THEN 'New name' ELSE c_name END AS name, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 3 <> 0) AS n FROM customer")
+@query(
+    "SELECT c_custkey AS id, CASE WHEN c_custkey = 7 THEN 'New name' ELSE c_name END AS name, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 3 <> 0) AS n FROM customer"
+)
 def collection_edits(spark, sf_dir):
     items = _items(spark, sf_dir)
     left = writes.remove_from_collection(items, items.filter("record_id % 3 = 0"))
-    return reads.collections(writes.rename_collection(_names(spark, sf_dir), 7, " New name "), left, _ordered(spark, sf_dir)).select("id", "name", "n")
+    return reads.collections(
+        writes.rename_collection(_names(spark, sf_dir), 7, " New name "), left, _ordered(spark, sf_dir)
+    ).select("id", "name", "n")
 
 
 #: What devices name their folder of screen pictures is a fixed value.
-@query("SELECT '/media/' || CASE WHEN page_id % 3 = 0 THEN 'Screenshots/' ELSE 'Camera/' END || page_id AS path, CASE WHEN page_id % 2 = 0 THEN 0 ELSE page_id * 1000 END // 1000 + CASE WHEN page_id % 2 = 0 THEN page_id ELSE 0 END AS taken_s FROM pages WHERE page_id % 3 = 0")
+@query(
+    "SELECT '/media/' || CASE WHEN page_id % 3 = 0 THEN 'Screenshots/' ELSE 'Camera/' END || page_id AS path, CASE WHEN page_id % 2 = 0 THEN 0 ELSE page_id * 1000 END // 1000 + CASE WHEN page_id % 2 = 0 THEN page_id ELSE 0 END AS taken_s FROM pages WHERE page_id % 3 = 0"
+)
 def media_listing(spark, sf_dir):
     folder = F.when(F.col("page_id") % 3 == 0, "Screenshots/").otherwise("Camera/")
-    media = table(spark, sf_dir, "pages").select(F.concat(F.lit("/media/"), folder, "page_id").alias("path"), F.when(F.col("page_id") % 2 == 0, 0).otherwise(F.col("page_id") * 1000).alias("taken_ms"), F.col("page_id").alias("added_s"))
+    media = table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("/media/"), folder, "page_id").alias("path"),
+        F.when(F.col("page_id") % 2 == 0, 0).otherwise(F.col("page_id") * 1000).alias("taken_ms"), F.col("page_id").alias("added_s")
+    )
     return store.captures(media).select("path", F.unix_seconds("taken_at").alias("taken_s"))
 
 
-@query("SELECT 'collections' AS part, count(*) AS n FROM customer WHERE c_custkey <> 7 UNION ALL SELECT 'items', count(*) FROM orders WHERE o_custkey <> 7 AND o_orderkey % 11 <> 0 UNION ALL SELECT 'records', count(*) FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey % 11 <> 0")
+@query(
+    "SELECT 'collections' AS part, count(*) AS n FROM customer WHERE c_custkey <> 7 UNION ALL SELECT 'items', count(*) FROM orders WHERE o_custkey <> 7 AND o_orderkey % 11 <> 0 UNION ALL SELECT 'records', count(*) FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey % 11 <> 0"
+)
 def deletions(spark, sf_dir):
     names, items = writes.delete_collection(_names(spark, sf_dir), _items(spark, sf_dir), 7)
     mine = _ordered(spark, sf_dir)
@@ -400,13 +487,21 @@ def deletions(spark, sf_dir):
 
 @query("SELECT doc_id AS id, doc_id * 3600 AS taken_s, lang AS category, 0 AS attempts FROM documents")
 def upgrade(spark, sf_dir):
-    old = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") * 3600000).alias("taken_at"), F.concat(F.lit(",people,"), "lang", F.lit(",")).alias("categories"), F.lit("{broken").alias("entities"))
+    old = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), (F.col("doc_id") * 3600000).alias("taken_at"),
+        F.concat(F.lit(",people,"), "lang", F.lit(",")).alias("categories"), F.lit("{broken").alias("entities")
+    )
     return store.upgrade(old).select("id", F.unix_seconds("taken_at").alias("taken_s"), F.array_join("categories", ",").alias("category"), "attempts")
 
 
 @query("SELECT event_id AS id, true AS same FROM events")
 def entities_json(spark, sf_dir):
-    e = F.array(F.struct(F.lit("DATE").alias("type"), F.col("event_type").alias("text"), F.col("props").alias("value"), F.when(F.col("event_id") % 2 == 0, F.col("user_id")).alias("epoch_millis"), (F.col("event_id") % 3 == 0).alias("has_time")))
+    e = F.array(
+        F.struct(
+            F.lit("DATE").alias("type"), F.col("event_type").alias("text"), F.col("props").alias("value"),
+            F.when(F.col("event_id") % 2 == 0, F.col("user_id")).alias("epoch_millis"), (F.col("event_id") % 3 == 0).alias("has_time")
+        )
+    )
     df = table(spark, sf_dir, "events").withColumn("e", e.cast(entities.TYPE))
     return df.select(F.col("event_id").alias("id"), (store.decode_entities(store.encode_entities(F.col("e"))) == F.col("e")).alias("same"))
 
@@ -432,7 +527,9 @@ def basic_clean_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.md5(tx.basic_clean_col("html")).alias("html_md5"))
 
 
-@query(rf"SELECT doc_id AS id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '{ENTITY_PATTERNS['EMAIL']}'), lambda x: lower(x)))), ',') AS emails FROM documents")
+@query(
+    rf"SELECT doc_id AS id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '{ENTITY_PATTERNS['EMAIL']}'), lambda x: lower(x)))), ',') AS emails FROM documents"
+)
 def entities_email(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_join(entities.emails(F.col("text")), ",").alias("emails"))
 
@@ -476,7 +573,9 @@ SELECT x.id, coalesce(string_agg(z.c, ',' ORDER BY z.r), '') AS categories FROM
 
 @query(classify_sql())
 def classify_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_join(classify.classify(F.col("text"), F.col("source")), ",").alias("categories"))
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), F.array_join(classify.classify(F.col("text"), F.col("source")), ",").alias("categories")
+    )
 
 
 #: What each app's interface says: its first two phrases, one app a page in turn.
@@ -486,7 +585,10 @@ _SAID = [" ".join(p.replace("+", " ") for p in list(phrases)[:2]) for phrases in
 def hints_sql() -> str:
     parts = []
     for k, (app, phrases) in enumerate(APP_PHRASES.items()):
-        score = " + ".join(f"{w} * ({' AND '.join(_keyword_sql('t', p if p.startswith(' ') else p.strip()) for p in ph.split('+'))})::INT" for ph, w in phrases.items())
+        score = " + ".join(
+            f"{w} * ({' AND '.join(_keyword_sql('t', p if p.startswith(' ') else p.strip()) for p in ph.split('+'))})::INT"
+            for ph, w in phrases.items()
+        )
         parts.append(f"SELECT id, {k} AS k, {_quoted(app)} AS app, {score} AS s FROM x")
     said = f"[{', '.join(map(_quoted, _SAID))}][page_id % {len(_SAID)} + 1]"
     return f"""WITH x AS (SELECT page_id AS id, ' ' || replace(lower(html || chr(10) || {said}), chr(10), ' ') AS t FROM pages), y AS (SELECT * FROM ({" UNION ALL ".join(parts)}) WHERE s > 0)
@@ -497,13 +599,18 @@ SELECT id, string_agg(app || ':' || s, ',' ORDER BY s DESC, k) AS apps FROM y GR
 def app_hints(spark, sf_dir):
     said = F.element_at(F.array(*map(F.lit, _SAID)), (F.col("page_id") % len(_SAID) + 1).cast("int"))
     s = classify.app_scores(F.concat("html", F.lit("\n"), said))
-    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["app"], x["score"])), ",").alias("apps")).filter("apps <> ''")
+    return table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("id"), F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["app"], x["score"])), ",").alias("apps")
+    ).filter("apps <> ''")
 
 
 @query("SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN n_name || ' Tools' END AS label FROM nation")
 def app_names(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
-    installed = n.filter("n_nationkey % 2 = 0").select(F.concat("n_name", F.lit(" Tools")).alias("label"), F.lit(None).cast("string").alias("package"), F.col("n_nationkey").cast("long").alias("position"))
+    installed = n.filter("n_nationkey % 2 = 0").select(
+        F.concat("n_name", F.lit(" Tools")).alias("label"), F.lit(None).cast("string").alias("package"),
+        F.col("n_nationkey").cast("long").alias("position")
+    )
     return classify.match_apps(n.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("answer")), installed).select("id", "label")
 
 
@@ -516,7 +623,9 @@ def file_names(spark, sf_dir):
 def _lines(spark, sf_dir):
     """The lines of each document as a screen's, the first one in larger letters."""
     # A column of its own: within the lambda the text would be split again for each line.
-    docs = table(spark, sf_dir, "documents").withColumn("parts", F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).withColumn("n_parts", F.size("parts"))
+    docs = table(spark, sf_dir, "documents").withColumn("parts", F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).withColumn(
+        "n_parts", F.size("parts")
+    )
     k = lambda x, i: F.struct(x.alias("text"), (i / F.col("n_parts")).cast("float").alias("top"), ((i + F.when(i == 0, 0.9).otherwise(0.3)) / F.col("n_parts")).cast("float").alias("bottom"), F.lit(0.0).cast("float").alias("left"))
     return docs.select(F.col("doc_id").alias("id"), F.col("text"), F.col("source"), F.transform("parts", k).alias("lines"))
 
@@ -544,9 +653,13 @@ def page_links(spark, sf_dir):
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), layout.page_link(line, F.lit(True)).alias("link"))
 
 
-@query("SELECT s_suppkey AS id, CASE WHEN 3000 > 2.5 * (1000 + s_suppkey) THEN 1 + ceil((3000 - 2 * (1000 + s_suppkey)) / (2 * (1000 + s_suppkey) - (1000 + s_suppkey) // 10))::INT ELSE 1 END AS n FROM supplier")
+@query(
+    "SELECT s_suppkey AS id, CASE WHEN 3000 > 2.5 * (1000 + s_suppkey) THEN 1 + ceil((3000 - 2 * (1000 + s_suppkey)) / (2 * (1000 + s_suppkey) - (1000 + s_suppkey) // 10))::INT ELSE 1 END AS n FROM supplier"
+)
 def screen_slices(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.size(layout.slices(F.col("s_suppkey") + 1000, F.lit(3000))).alias("n"))
+    return table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("id"), F.size(layout.slices(F.col("s_suppkey") + 1000, F.lit(3000))).alias("n")
+    )
 
 
 #: Role and text stand for the caption and the screen's own words, so only quotes without any word are untrue.
@@ -559,10 +672,19 @@ SELECT conv_id, turn, upper(t[1:1]) || t[2:] AS text FROM t"""
 @query(_DESCRIBED)
 def descriptions(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", captions.describe(F.col("role"), F.col("text"), F.concat(F.col("role"), F.lit("<loc_1><loc_2>"), F.col("role")), F.col("text"))["text"].alias("text"))
+    return c.select(
+        "conv_id", "turn",
+        captions.describe(
+            F.col("role"), F.col("text"), F.concat(F.col("role"), F.lit("<loc_1><loc_2>"), F.col("role")), F.col("text")
+        )["text"].alias("text")
+    )
 
 
 @query()
 def enriched(spark, sf_dir):
-    raw = _lines(spark, sf_dir).select("id", F.concat(F.lit("Capture_20240229_103000_"), "source", F.lit(".jpg")).alias("name"), F.col("text").alias("ocr_text"), "lines")
-    return enrich.enrich(raw, TODAY).select("id", "app", "app_source", F.size("entities").alias("n_entities"), F.array_join("categories", ",").alias("categories"), "state")
+    raw = _lines(spark, sf_dir).select(
+        "id", F.concat(F.lit("Capture_20240229_103000_"), "source", F.lit(".jpg")).alias("name"), F.col("text").alias("ocr_text"), "lines"
+    )
+    return enrich.enrich(raw, TODAY).select(
+        "id", "app", "app_source", F.size("entities").alias("n_entities"), F.array_join("categories", ",").alias("categories"), "state"
+    )

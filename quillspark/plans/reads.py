@@ -44,14 +44,23 @@ def category_order(records: DataFrame) -> DataFrame:
 def collections(names: DataFrame, items: DataFrame, records: DataFrame) -> DataFrame:
     """Collections with the count of their items (also of records that are gone) and the newest record that is there."""
     counts = items.groupBy("collection_id").agg(F.count("*").alias("n"))
-    cover = items.join(records.select(F.col("id").alias("record_id"), "uri"), "record_id").groupBy("collection_id").agg(F.max_by("uri", F.struct("added_at", "record_id")).alias("cover"))
-    out = names.join(counts, names["id"] == counts["collection_id"], "left").drop("collection_id").join(cover, names["id"] == cover["collection_id"], "left").drop("collection_id")
+    cover = items.join(records.select(F.col("id").alias("record_id"), "uri"), "record_id").groupBy("collection_id").agg(
+        F.max_by("uri", F.struct("added_at", "record_id")).alias("cover")
+    )
+    out = names.join(counts, names["id"] == counts["collection_id"], "left").drop("collection_id").join(
+        cover, names["id"] == cover["collection_id"], "left"
+    ).drop("collection_id")
     return out.withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def detail(records: DataFrame, names: DataFrame, items: DataFrame, wanted: DataFrame) -> DataFrame:
     """One record (wanted: a row with its id) with its keywords and the collections that it is in, by name, with their counts."""
-    one = records.join(F.broadcast(wanted.select("id")), "id", "left_semi").withColumns({"keywords": F.array_distinct(F.filter("objects", lambda x: x != "")), "description": F.when(F.trim("description") != "", F.col("description"))})
+    one = records.join(F.broadcast(wanted.select("id")), "id", "left_semi").withColumns(
+        {
+            "keywords": F.array_distinct(F.filter("objects", lambda x: x != "")),
+            "description": F.when(F.trim("description") != "", F.col("description"))
+        }
+    )
     mine = items.join(F.broadcast(wanted.select(F.col("id").alias("record_id"))), "record_id", "left_semi").select("collection_id")
     counts = items.join(mine, "collection_id", "left_semi").groupBy("collection_id").agg(F.count("*").alias("n"))
     own = names.join(counts, names["id"] == counts["collection_id"]).select(F.struct("name", names["id"].alias("id"), "n").alias("c"))
@@ -134,7 +143,9 @@ def mark_at(marks: DataFrame, targets: DataFrame) -> DataFrame:
 
 def launchable(apps: DataFrame, hidden: DataFrame) -> DataFrame:
     """Distinct apps (label, package) without the hidden packages, by name."""
-    return apps.select("label", "package").distinct().join(hidden.select("package"), "package", "left_anti").orderBy(F.lower("label"), "label", "package")
+    return apps.select("label", "package").distinct().join(hidden.select("package"), "package", "left_anti").orderBy(
+        F.lower("label"), "label", "package"
+    )
 
 
 def word_count(text: Column) -> Column:

@@ -33,7 +33,10 @@ def update(records: DataFrame, changes: DataFrame, values: dict[str, Column]) ->
 def save_analysis(records: DataFrame, analysis: DataFrame, version: int) -> DataFrame:
     """Results of the analysis (id, ocr_text, app, app_source, app_package, page_url, headline, categories, entities). A name that the user
     gave stays, one from usage gives way to one from usage only."""
-    keep = F.coalesce((F.col("app_source") == "user") | ((F.col("app_source") == "usage") & ~F.coalesce(F.col("new_app_source") == "usage", F.lit(False))), F.lit(False))
+    keep = F.coalesce(
+        (F.col("app_source") == "user") | ((F.col("app_source") == "usage") & ~F.coalesce(F.col("new_app_source") == "usage", F.lit(False))),
+        F.lit(False)
+    )
     values = {c: F.col(f"new_{c}") for c in ("ocr_text", "page_url", "headline", "categories", "entities")}
     values |= {c: F.when(keep, F.col(c)).otherwise(F.col(f"new_{c}")) for c in ("app", "app_source", "app_package")}
     values |= {"state": F.lit(INDEXED), "index_version": F.lit(version), "ocr_pending": F.lit(False)}
@@ -54,7 +57,13 @@ def requeue(records: DataFrame, only_ocr_pending: bool = False) -> DataFrame:
 def save_description(records: DataFrame, described: DataFrame, version: int) -> DataFrame:
     """Descriptions (id, description, objects, categories); blank ones are null, null categories change nothing."""
     text = F.col("new_description")
-    return update(records, described, {"description": F.when(F.trim(text) != "", text), "objects": F.coalesce("new_objects", F.array().cast("array<string>")), "categories": F.coalesce("new_categories", "categories"), "describe_version": F.lit(version)})
+    return update(
+        records, described,
+        {
+            "description": F.when(F.trim(text) != "", text), "objects": F.coalesce("new_objects", F.array().cast("array<string>")),
+            "categories": F.coalesce("new_categories", "categories"), "describe_version": F.lit(version)
+        }
+    )
 
 
 def add_recent(log: DataFrame, new: DataFrame, most: int = 20) -> DataFrame:

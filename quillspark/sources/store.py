@@ -29,20 +29,26 @@ def captures(media: DataFrame) -> DataFrame:
 def files(spark: SparkSession, path: str) -> DataFrame:
     """A folder's files as a media listing; contents are not read."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return df.select("path", F.lit(None).cast("long").alias("taken_ms"), F.unix_seconds("modificationTime").alias("added_s"), F.col("length").alias("size"))
+    return df.select(
+        "path", F.lit(None).cast("long").alias("taken_ms"), F.unix_seconds("modificationTime").alias("added_s"), F.col("length").alias("size")
+    )
 
 
 def checked(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:
     """Files with `ok`: whether the sha256 is the one of expected (name, size, sha256). Contents are read only where the size is right."""
     found = spark.read.format("binaryFile").load(path).withColumn("name", F.element_at(F.split("path", "/"), -1))
     both = found.join(expected, "name")
-    return both.select("name", F.when(F.col("length") == F.col("size"), F.sha2("content", 256) == F.lower("sha256")).otherwise(F.lit(False)).alias("ok"))
+    return both.select(
+        "name", F.when(F.col("length") == F.col("size"), F.sha2("content", 256) == F.lower("sha256")).otherwise(F.lit(False)).alias("ok")
+    )
 
 
 def meanings(spark: SparkSession, path: str) -> DataFrame:
     """(name, meanings): keywords that a name stands for, of a JSON file of synonym groups; a word's other names stand for it, a group's
     kinds for all its words."""
-    g = spark.read.schema(GROUPS).option("multiLine", "true").json(path).select(F.posexplode("groups").alias("g", "x")).select("g", "x.kind", "x.words")
+    g = spark.read.schema(GROUPS).option("multiLine", "true").json(path).select(
+        F.posexplode("groups").alias("g", "x")
+    ).select("g", "x.kind", "x.words")
     w = g.select("g", "kind", F.posexplode("words").alias("w", "y")).select("g", "w", "kind", "y.word", "y.also")
     also = w.select("g", F.lit(0).alias("part"), "w", F.explode("also").alias("name"), "word")
     kind = w.select("g", F.lit(1).alias("part"), "w", F.explode("kind").alias("name"), "word")
@@ -53,14 +59,25 @@ def meanings(spark: SparkSession, path: str) -> DataFrame:
 
 def encode_entities(entities: Column) -> Column:
     """Entities as JSON; keys without a value are left out, false times too."""
-    short = F.transform(entities, lambda e: F.struct(e["type"].alias("t"), e["text"].alias("x"), e["value"].alias("v"), e["epoch_millis"].alias("e"), F.when(e["has_time"], True).alias("h")))
+    short = F.transform(
+        entities,
+        lambda e: F.struct(
+            e["type"].alias("t"), e["text"].alias("x"), e["value"].alias("v"), e["epoch_millis"].alias("e"), F.when(e["has_time"], True).alias("h")
+        )
+    )
     return F.to_json(short)
 
 
 def decode_entities(json: Column) -> Column:
     """The entities of encode_entities(); malformed text is an empty list."""
     short = F.from_json(json, "array<struct<t:string,x:string,v:string,e:long,h:boolean>>", {"mode": "PERMISSIVE"})
-    full = F.transform(F.filter(short, lambda e: e["t"].isNotNull()), lambda e: F.struct(e["t"].alias("type"), e["x"].alias("text"), e["v"].alias("value"), e["e"].alias("epoch_millis"), F.coalesce(e["h"], F.lit(False)).alias("has_time")))
+    full = F.transform(
+        F.filter(short, lambda e: e["t"].isNotNull()),
+        lambda e: F.struct(
+            e["t"].alias("type"), e["x"].alias("text"), e["v"].alias("value"), e["e"].alias("epoch_millis"),
+            F.coalesce(e["h"], F.lit(False)).alias("has_time")
+        )
+    )
     return F.coalesce(full, F.array().cast(ENTITIES))
 
 
@@ -85,7 +102,10 @@ def upgrade(old: DataFrame) -> DataFrame:
         df = df.withColumn("entities", decode_entities(F.col("entities")))
     if dict(df.dtypes).get("taken_at") == "bigint":
         df = df.withColumn("taken_at", F.timestamp_millis("taken_at"))
-    defaults = {"state": F.lit(PENDING), "attempts": F.lit(0), "favorite": F.lit(False), "ocr_pending": F.lit(False), "index_version": F.lit(0), "describe_version": F.lit(0), "categories": F.array(), "objects": F.array(), "entities": F.array()}
+    defaults = {
+        "state": F.lit(PENDING), "attempts": F.lit(0), "favorite": F.lit(False), "ocr_pending": F.lit(False), "index_version": F.lit(0),
+        "describe_version": F.lit(0), "categories": F.array(), "objects": F.array(), "entities": F.array()
+    }
     out = []
     for f in T.StructType.fromDDL(RECORDS_DDL):
         c = F.col(f.name).cast(f.dataType) if f.name in df.columns else defaults.get(f.name, F.lit(None)).cast(f.dataType)

@@ -22,7 +22,10 @@ def drain(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint:
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def follow(stream: DataFrame, query: Callable[[SparkSession], DataFrame], publish: Callable[[DataFrame, int], None], checkpoint: str, every: str = "300 milliseconds", once: bool = False) -> StreamingQuery:
+def follow(
+    stream: DataFrame, query: Callable[[SparkSession], DataFrame], publish: Callable[[DataFrame, int], None], checkpoint: str,
+    every: str = "300 milliseconds", once: bool = False
+) -> StreamingQuery:
     """A live query: runs again when its table has changed, not more often than `every`, and publishes only results that differ from the
     last ones (by row count and the sum of row hashes). `once`: what is there now, then stop."""
     last: list = [None]

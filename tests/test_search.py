@@ -19,14 +19,20 @@ def tiers(df):
 
 
 def test_strong_matches_come_first(spark):
-    df = docs(spark, (1, "Zomato", "", "Order placed · Biryani", 10, []), (2, "WhatsApp Rahul", "", "lets order from zomato tonight", 30, []), (3, "Zomato Gold", "", "zomato zomato", 20, []), (4, "Chrome", "", "zomatoes are not tomatoes", 28, []))
+    df = docs(
+        spark, (1, "Zomato", "", "Order placed · Biryani", 10, []), (2, "WhatsApp Rahul", "", "lets order from zomato tonight", 30, []),
+        (3, "Zomato Gold", "", "zomato zomato", 20, []), (4, "Chrome", "", "zomatoes are not tomatoes", 28, [])
+    )
     assert tiers(search.rank(df, query_terms("zomato"))) == ([3, 1], [2])
     assert {r[0] for r in search.match(df, query_terms("zomato")).select("id").collect()} == {1, 2, 3}
     assert {r[0] for r in search.match_by_tokens(search.token_table(df), query_terms("zomato")).collect()} == {1, 2, 3}
 
 
 def test_every_word_must_match_and_phrases_count_more(spark):
-    df = docs(spark, (1, "", "", "6x08 - Red John\n5x22 - Red John's Rules", 1, []), (2, "", "", "Red Dawn\nJohn Wick", 1, []), (3, "", None, "The Red Barn", 1, []))
+    df = docs(
+        spark, (1, "", "", "6x08 - Red John\n5x22 - Red John's Rules", 1, []), (2, "", "", "Red Dawn\nJohn Wick", 1, []),
+        (3, "", None, "The Red Barn", 1, [])
+    )
     assert tiers(search.rank(df, query_terms("red john"))) == ([1], [2])
     df = docs(spark, (1, "", "", "red shoes sale today", 1, []), (2, "", "A pair of red shoes", "", 1, []), (3, "red shoes", "", "", 1, []))
     best, more = tiers(search.rank(df, query_terms("red shoes")))
@@ -73,13 +79,17 @@ def test_snippet_stops_at_a_line_end(spark):
 
 
 def test_phrases_match_by_tokens(spark):
-    df = docs(spark, (1, "", "", "a red shoe box", 1, []), (2, "red", "", "shoe", 2, []), (3, "", "", "shoe red", 3, []), (4, "", "", "sneakers", 4, []))
+    df = docs(
+        spark, (1, "", "", "a red shoe box", 1, []), (2, "red", "", "shoe", 2, []), (3, "", "", "shoe red", 3, []), (4, "", "", "sneakers", 4, [])
+    )
     terms = [("trainers", ["red shoe", "sneakers"])]
     assert {r[0] for r in search.match_by_tokens(search.token_table(df), terms).collect()} == {1, 4}
 
 
 def test_ranks_over_many_ranges(spark):
-    df = spark.range(1000).select("id", (F.col("id") % 7).cast("float").alias("score"), F.when(F.col("id") % 3 == 0, "best").otherwise("more").alias("tier"))
+    df = spark.range(1000).select(
+        "id", (F.col("id") % 7).cast("float").alias("score"), F.when(F.col("id") % 3 == 0, "best").otherwise("more").alias("tier")
+    )
     got = {r["id"]: (r["tier"], r["rank"]) for r in numbered(df, "tier", F.desc("score"), F.asc("id")).collect()}
     for tier in ("best", "more"):
         own = sorted((i for i in got if got[i][0] == tier), key=lambda i: (-(i % 7), i))

@@ -16,7 +16,9 @@ def rows(df, *cols):
 def test_collections_count_items_whose_record_is_gone(spark):
     names = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, name string")
     items = spark.createDataFrame([(1, 10, 5), (1, 11, 6), (1, 99, 7), (2, 98, 1)], "collection_id long, record_id long, added_at long")
-    recs = spark.createDataFrame([(10, "u10", ["x", "", "x"], " "), (11, "u11", [], "d")], "id long, uri string, objects array<string>, description string")
+    recs = spark.createDataFrame(
+        [(10, "u10", ["x", "", "x"], " "), (11, "u11", [], "d")], "id long, uri string, objects array<string>, description string"
+    )
     assert rows(reads.collections(names, items, recs), "id", "n", "cover") == sorted([(1, 3, "u11"), (2, 1, None), (3, 0, None)], key=lambda x: x[0])
     d = reads.detail(recs, names, items, spark.createDataFrame([(10,)], "id long")).first()
     assert d["keywords"] == ["x"] and d["description"] is None and [tuple(c) for c in d["collections"]] == [("a", 1, 3)]
@@ -36,10 +38,20 @@ def test_attempts_and_states(spark):
 
 
 def test_analysis_keeps_names_that_the_user_gave(spark):
-    r = spark.createDataFrame([(1, "Mine", "user"), (2, "Used", "usage"), (3, "Used", "usage"), (4, None, None)], "id long, app string, app_source string")
-    blank = {c: F.lit(None).cast(t) for c, t in {"ocr_text": "string", "app_package": "string", "page_url": "string", "headline": "string", "categories": "array<string>", "entities": "string", "state": "int", "index_version": "int", "ocr_pending": "boolean"}.items()}
+    r = spark.createDataFrame(
+        [(1, "Mine", "user"), (2, "Used", "usage"), (3, "Used", "usage"), (4, None, None)], "id long, app string, app_source string"
+    )
+    blank = {
+        c: F.lit(None).cast(t)
+        for c, t in {
+            "ocr_text": "string", "app_package": "string", "page_url": "string", "headline": "string", "categories": "array<string>",
+            "entities": "string", "state": "int", "index_version": "int", "ocr_pending": "boolean"
+        }.items()
+    }
     r = r.withColumns(blank)
-    new = spark.createDataFrame([(1, "N", "text"), (2, "N", "text"), (3, "N", "usage"), (4, "N", None)], "id long, app string, app_source string").withColumns({c: v for c, v in blank.items() if c not in ("state", "index_version", "ocr_pending")})
+    new = spark.createDataFrame([(1, "N", "text"), (2, "N", "text"), (3, "N", "usage"), (4, "N", None)], "id long, app string, app_source string").withColumns(
+        {c: v for c, v in blank.items() if c not in ("state", "index_version", "ocr_pending")}
+    )
     assert rows(writes.save_analysis(r, new, 1), "id", "app", "state") == [(1, "Mine", 1), (2, "Used", 1), (3, "N", 1), (4, "N", 1)]
 
 
@@ -52,9 +64,14 @@ def test_recent_searches(spark):
 
 
 def test_lists_json_and_upgrade(spark):
-    df = spark.createDataFrame([(1, ",a,people,b,", "[{\"t\":\"URL\",\"x\":\"u\",\"v\":\"w\"}]", 1000), (2, "", "{bad", None)], "id long, categories string, entities string, taken_at long")
+    df = spark.createDataFrame(
+        [(1, ",a,people,b,", "[{\"t\":\"URL\",\"x\":\"u\",\"v\":\"w\"}]", 1000), (2, "", "{bad", None)],
+        "id long, categories string, entities string, taken_at long"
+    )
     up = store.upgrade(df).orderBy("id").collect()
-    assert up[0]["categories"] == ["a", "b"] and up[0]["taken_at"] == datetime(1970, 1, 1, 0, 0, 1) and tuple(up[0]["entities"][0]) == ("URL", "u", "w", None, False)
+    assert up[0]["categories"] == ["a", "b"] and up[0]["taken_at"] == datetime(1970, 1, 1, 0, 0, 1) and tuple(up[0]["entities"][0]) == (
+        "URL", "u", "w", None, False
+    )
     assert up[1]["categories"] == [] and up[1]["entities"] == [] and up[1]["state"] == 0
     lists = spark.createDataFrame([(["a", "b"],), ([],)], "l array<string>").select(store.encode_list(F.col("l")).alias("t"))
     assert [r[0] for r in lists.collect()] == [",a,b,", ""]
@@ -62,7 +79,10 @@ def test_lists_json_and_upgrade(spark):
 
 
 def test_days_marks_and_averages(spark):
-    df = spark.createDataFrame([(1, datetime(2026, 10, 3, 5)), (2, datetime(2026, 10, 2)), (3, datetime(2026, 9, 1)), (4, datetime(2025, 9, 1))], "id long, taken_at timestamp")
+    df = spark.createDataFrame(
+        [(1, datetime(2026, 10, 3, 5)), (2, datetime(2026, 10, 2)), (3, datetime(2026, 9, 1)), (4, datetime(2025, 9, 1))],
+        "id long, taken_at timestamp"
+    )
     assert [r["label"] for r in reads.by_day(df, date(2026, 10, 3)).collect()] == ["Today", "Yesterday", "Tue, 1 Sep", "1 Sep 2025"]
     marks = reads.month_marks(df)
     targets = spark.createDataFrame([(0,), (1,), (2,), (9,)], "target long")
@@ -79,11 +99,16 @@ def test_choices_and_words(spark):
 
 
 def test_sources(spark, tmp_path):
-    media = spark.createDataFrame([("/DCIM/Screenshots/a.png", 0, 5), ("/x/Screenshot_1.png", 9000, 6), ("/x/b.png", 1, 7), (None, 1, 1)], "path string, taken_ms long, added_s long")
+    media = spark.createDataFrame(
+        [("/DCIM/Screenshots/a.png", 0, 5), ("/x/Screenshot_1.png", 9000, 6), ("/x/b.png", 1, 7), (None, 1, 1)],
+        "path string, taken_ms long, added_s long"
+    )
     got = store.captures(media).collect()
     assert [r["path"] for r in got] == ["/x/Screenshot_1.png", "/DCIM/Screenshots/a.png"] and got[1]["taken_at"] == datetime(1970, 1, 1, 0, 0, 5)
     f = tmp_path / "words.json"
-    f.write_text(json.dumps({"groups": [{"id": "g", "kind": ["Food"], "words": [{"word": "pizza", "also": []}, {"word": "tea", "also": ["chai"]}]}]}, indent=1))
+    f.write_text(
+        json.dumps({"groups": [{"id": "g", "kind": ["Food"], "words": [{"word": "pizza", "also": []}, {"word": "tea", "also": ["chai"]}]}]}, indent=1)
+    )
     assert {r["name"]: r["meanings"] for r in store.meanings(spark, str(f)).collect()} == {"food": ["pizza", "tea"], "chai": ["tea"]}
     data = f.read_bytes()
     want = spark.createDataFrame([("words.json", len(data), hashlib.sha256(data).hexdigest())], "name string, size long, sha256 string")
@@ -103,7 +128,10 @@ def test_streams(spark, tmp_path):
     q = live.drain(live.arrivals(spark, src, schema, 4), lambda df, n: seen.append(df.count()), str(tmp_path / "c1"))
     q.awaitTermination(60)
     assert sum(seen) == 6 and max(seen) <= 4
-    q = live.follow(live.arrivals(spark, src, schema, 2), lambda s: s.read.parquet(src).agg(F.count("*").alias("n")), lambda df, n: shown.append(df.first()["n"]), str(tmp_path / "c2"), once=True)
+    q = live.follow(
+        live.arrivals(spark, src, schema, 2),
+        lambda s: s.read.parquet(src).agg(F.count("*").alias("n")), lambda df, n: shown.append(df.first()["n"]), str(tmp_path / "c2"), once=True
+    )
     q.awaitTermination(60)
     assert shown == [6]
     r = spark.createDataFrame([(1, 0, True), (2, 1, False), (3, 2, False)], "id long, attempts int, ok boolean").withColumns(live.next_state())
