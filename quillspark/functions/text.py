@@ -76,6 +76,24 @@ def unescape_named(c: Column) -> Column:
     return c
 
 
+def _folding() -> tuple[str, str]:
+    """Letters with marks that have a plain one, by their canonical decomposition, and the plain ones; then the marks, which go."""
+    first = {chr(c): d[0] for c in range(0xC0, 0x250) if len(d := unicodedata.normalize("NFD", chr(c))) > 1}
+    return "".join(first) + "".join(map(chr, range(0x300, 0x370))), "".join(first.values())
+
+
+_MARKED, _PLAIN = _folding()
+
+
+def folded(c: Column) -> Column:
+    """Latin letters without their diacritics."""
+    return F.translate(c, _MARKED, _PLAIN)
+
+
+def folded_text(s: str) -> str:
+    return s.translate(str.maketrans(_MARKED[: len(_PLAIN)], _PLAIN, _MARKED[len(_PLAIN) :]))
+
+
 def padded(c: Column) -> Column:
     """Words in small letters, one space before, between and after them: a word or phrase is found by contains()."""
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), NOT_WORD, " ")), F.lit(" "))

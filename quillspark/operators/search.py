@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import parse_query
 from ..functions.dictionaries import CATEGORY_FILLER, CATEGORY_LABELS, CATEGORY_SYNONYMS
-from ..functions.text import NOT_WORD, basic_clean, flat, has, padded, query_terms, query_words, wide_occurrences
+from ..functions.text import NOT_WORD, basic_clean, flat, folded, folded_text, has, padded, query_terms, query_words, wide_occurrences
 from .ranking import bind, numbered, written
 
 Terms = list[tuple[str, list[str]]]
@@ -27,9 +27,14 @@ def single(x: float | Column) -> Column:
     return (x if isinstance(x, Column) else F.lit(x)).cast("float")
 
 
-def texts(records: DataFrame) -> DataFrame:
-    """records with `_low`: all their text in small letters."""
-    return bind(records, _low=F.lower(F.concat_ws(" ", "strong", "described", "body")))
+def texts(records: DataFrame, fold: bool = False) -> DataFrame:
+    """records with `_low`: all their text in small letters, with `fold` without diacritics."""
+    low = F.lower(F.concat_ws(" ", "strong", "described", "body"))
+    return bind(records, _low=folded(low) if fold else low)
+
+
+def folded_terms(terms: Terms) -> Terms:
+    return [(folded_text(w), [folded_text(a) for a in alts]) for w, alts in terms]
 
 
 def holds(terms: Terms) -> Column:
@@ -41,9 +46,9 @@ def holds(terms: Terms) -> Column:
     return keep
 
 
-def candidates(records: DataFrame, terms: Terms) -> DataFrame:
+def candidates(records: DataFrame, terms: Terms, fold_diacritics: bool = False) -> DataFrame:
     """Records whose texts hold an alternative of every term somewhere, as plain substrings."""
-    return texts(records).filter(holds(terms)).drop("_low")
+    return texts(records, fold_diacritics).filter(holds(folded_terms(terms) if fold_diacritics else terms)).drop("_low")
 
 
 def match(records: DataFrame, terms: Terms) -> DataFrame:
@@ -112,11 +117,12 @@ def begins(words: list[str], every: bool = False) -> Column:
     return keep
 
 
-def prefix_match(records: DataFrame, words: list[str], every: bool = False) -> DataFrame:
+def prefix_match(records: DataFrame, words: list[str], every: bool = False, fold_diacritics: bool = False) -> DataFrame:
     """Records with all words, the last one (or every one) as the beginning of a word."""
     if not words:
         return records.filter("false")
-    found = texts(records).filter(holds([(w, [w]) for w in words]))
+    words = [folded_text(w) for w in words] if fold_diacritics else words
+    found = texts(records, fold_diacritics).filter(holds([(w, [w]) for w in words]))
     return bind(found, _every=squeezed(F.col("_low"))).filter(begins(words, every)).drop("_low", "_every")
 
 
@@ -134,15 +140,17 @@ def like(records: DataFrame, query: str, columns: tuple[str, ...] = ("body", "de
     return found.limit(limit) if limit else found
 
 
-def cascade(records: DataFrame, query: str, meanings: dict[str, list[str]] | None = None) -> DataFrame:
+def cascade(records: DataFrame, query: str, meanings: dict[str, list[str]] | None = None, fold_diacritics: bool = False) -> DataFrame:
     """id, stage, tier, rank: the precise ranking; if that is empty, word beginnings; if these are as well, substrings. A second pass over
     the texts, only where the first finds nothing, tells both; a record that begins words needs no look at substrings, as the least stage of
-    all is the one that counts. What is found is written without its texts."""
+    all is the one that counts. fold_diacritics: word beginnings are found whatever the diacritics; ranking never folds. What is found is
+    written without its texts."""
     terms, q = query_terms(query, meanings), query.strip().lower()
-    words, kept = [w for w, _ in terms], ("id", "taken_at")
+    words, kept = [folded_text(w) if fold_diacritics else w for w, _ in terms], ("id", "taken_at")
     scores = scored(records, terms).select(*kept, "score", F.lit(1).alias("stage"))
-    beginning, inside = (holds([(w, [w]) for w in words]) if words else F.lit(False)), F.contains("_low", F.lit(q)) if q else F.lit(False)
-    rest = bind(texts(records).filter(beginning | inside), _every=squeezed(F.col("_low")))
+    beginning = holds([(w, [w]) for w in words]) if words else F.lit(False)
+    inside = F.contains("_low", F.lit(folded_text(q) if fold_diacritics else q)) if q else F.lit(False)
+    rest = bind(texts(records, fold_diacritics).filter(beginning | inside), _every=squeezed(F.col("_low")))
     stage = F.when(begins(words), 2).when(inside & contained(q, ("body", "described", "strong")), 3)
     rest = rest.select(*kept, single(0.0).alias("score"), stage.alias("stage")).filter("stage is not null")
     found = written(scores)
@@ -163,7 +171,10 @@ def category_query(query: str) -> list[str]:
     return [c for c, names in CATEGORY_SYNONYMS.items() if all(w in names for w in ws) or CATEGORY_LABELS[c].lower() == query.strip().lower()]
 
 
-def search(records: DataFrame, query: str, today: date | None = None, meanings: dict[str, list[str]] | None = None, radius: int = 48) -> DataFrame:
+def search(
+    records: DataFrame, query: str, today: date | None = None, meanings: dict[str, list[str]] | None = None, radius: int = 48,
+    fold_diacritics: bool = False
+) -> DataFrame:
     """id, tier, rank, reason, snippet: whole categories first, then texts; a date in the query filters what was ranked, so it does
     not change which results count as best. records may have `categories` (array of strings)."""
     span, rest = parse_query(query, today or date.today())
@@ -173,7 +184,7 @@ def search(records: DataFrame, query: str, today: date | None = None, meanings:
         dated = numbered(inside.select("id", "taken_at", best), "tier", F.desc("taken_at"), F.asc("id"))
         return dated.select("id", "tier", "rank", F.lit("DATE").alias("reason"), F.lit(None).cast("string").alias("snippet"))
     asked = category_query(rest) if "categories" in records.columns else []
-    hits = cascade(records, rest, meanings).select("id", "tier", F.lit(len(asked)).alias("part"), "rank", F.lit("TEXT").alias("reason"))
+    hits = cascade(records, rest, meanings, fold_diacritics).select("id", "tier", F.lit(len(asked)).alias("part"), "rank", F.lit("TEXT").alias("reason"))
     if asked:
         # A record of several asked categories comes once, with the first of them.
         wanted = F.array(*(F.lit(c) for c in asked))

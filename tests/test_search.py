@@ -94,3 +94,12 @@ def test_ranks_over_many_ranges(spark):
     for tier in ("best", "more"):
         own = sorted((i for i in got if got[i][0] == tier), key=lambda i: (-(i % 7), i))
         assert [got[i][1] for i in own] == list(range(1, len(own) + 1))
+
+
+def test_diacritics_fold_where_asked(spark):
+    df = docs(spark, (1, "", "", "Café noir", 1, []), (2, "", "", "caféteria", 2, []), (3, "", "", "coffee", 3, []))
+    found = lambda **o: {(r["id"], r["stage"]) for r in search.cascade(df, "cafe", **o).collect()}
+    assert found(fold_diacritics=True) == {(1, 2), (2, 2)}
+    assert found() == set()
+    assert {r["id"] for r in search.prefix_match(df, ["noîr"], fold_diacritics=True).collect()} == {1}
+    assert {r["id"] for r in search.candidates(df, query_terms("cafe"), fold_diacritics=True).collect()} == {1, 2}
