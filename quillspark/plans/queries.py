@@ -463,10 +463,10 @@ def collection_edits(spark, sf_dir):
 
 #: What devices name their folder of screen pictures is a fixed value.
 @query(
-    "SELECT '/media/' || CASE WHEN page_id % 3 = 0 THEN 'Screenshots/' ELSE 'Camera/' END || page_id AS path, CASE WHEN page_id % 2 = 0 THEN 0 ELSE page_id * 1000 END // 1000 + CASE WHEN page_id % 2 = 0 THEN page_id ELSE 0 END AS taken_s FROM pages WHERE page_id % 3 = 0"
+    "SELECT '/media/' || CASE WHEN page_id % 3 = 0 THEN 'Screenshot/' ELSE 'Camera/' END || page_id AS path, CASE WHEN page_id % 2 = 0 THEN 0 ELSE page_id * 1000 END // 1000 + CASE WHEN page_id % 2 = 0 THEN page_id ELSE 0 END AS taken_s FROM pages WHERE page_id % 3 = 0"
 )
 def media_listing(spark, sf_dir):
-    folder = F.when(F.col("page_id") % 3 == 0, "Screenshots/").otherwise("Camera/")
+    folder = F.when(F.col("page_id") % 3 == 0, "Screenshot/").otherwise("Camera/")
     media = table(spark, sf_dir, "pages").select(
         F.concat(F.lit("/media/"), folder, "page_id").alias("path"),
         F.when(F.col("page_id") % 2 == 0, 0).otherwise(F.col("page_id") * 1000).alias("taken_ms"), F.col("page_id").alias("added_s")
