@@ -41,7 +41,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     stay = own.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", TAG)).alias("first")).select(
         F.col(f"first.{TAG}").alias(TAG)
     )
-    return tagged.join(stay, TAG, "left_semi").select(*docs.columns)
+    # The same plan at every size; neither side is ever broadcast.
+    return tagged.join(stay.hint("merge"), TAG, "left_semi").select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,8 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def save(df: DataFrame, tag: str, sweep: bool = False) -> DataFrame:
-    """df as a written table in the shared folder: cuts the lineage, so a lost executor costs a re-read only. sweep: let Spark
-    delete the shuffle files that only this table needed, which it does when the driver's memory is cleared."""
+    """df as a written table in the shared folder: cuts the lineage, so a lost executor costs a re-read only. sweep: clear()
+    what only this table needed."""
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
@@ -49,11 +49,16 @@ def save(df: DataFrame, tag: str, sweep: bool = False) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
     if sweep:
-        gc.collect()
-        spark._jvm.System.gc()
+        clear(spark)
     return out
 
 
+def clear(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more, which it does when the driver's memory is cleared."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables of save() that nothing reads any more."""
     for df in tables:

@@ -327,7 +327,7 @@ def identify(
     shared, key, langs = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex, np.array([*model.langs, "und"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 500, 1 << 20):
+        for b in slices(batches, 1000, 2 << 20):
             texts = as_bytes(b.column(1))
             if len(langs) > 1:
                 lang, score, sizes, post = kept(key, lambda: Labeller(shared.value)).label(texts)
@@ -362,7 +362,7 @@ def surely(docs: DataFrame, text_col: str, model: Model, least: float) -> DataFr
     def sure(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             out = []
-            for b in slices(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), 500, 1 << 20):
+            for b in slices(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), 1000, 2 << 20):
                 if shared.value.langs:
                     lang, _, sizes, post = kept(key, lambda: Labeller(shared.value)).label(as_bytes(b.column(0)))
                     out.append(np.where(lang < 0, -1.0, sureness(post, sizes)))

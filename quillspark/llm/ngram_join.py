@@ -441,7 +441,7 @@ def join(docs: DataFrame, id_col: str, text_col: str, n: int = 4, percent: int =
             kept.join(
                 kept.groupBy("token").agg(F.min("class").alias("a"), F.max("class").alias("z")).filter("a < z").select("token"), "token", "left_semi"
             ),
-            "postings"
+            "postings", sweep=True
         )
         forget(post)
         post = kept

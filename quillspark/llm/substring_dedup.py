@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, forget, grams, mix, save, slices, spread, word_hashes
+from .common import as_bytes, clear, forget, grams, mix, save, slices, spread, word_hashes
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Hashes that a task gathers before it sends them.
@@ -282,11 +282,12 @@ def dedup(
     makes of that text). as_is: a text that loses nothing stays as it was. carry: other columns to hand through."""
     assert window % 2 == 0
     spark = docs.sparkSession
+    clear(spark)
     whole = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.lit(None).cast("string")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), whole.alias("carry"))
     met = met_blocks(src.select("id", "text"), window).groupBy("id").agg(F.collect_set("block").alias("blocks"))
     blocks = save(met, "blocks", sweep=True)
-    joined = src.join(blocks, "id", "left")
+    joined = src.join(blocks.hint("merge"), "id", "left")  # the same plan at every size
     plain = F.regexp_replace(F.regexp_replace("text", SPACE, " "), "^ | $", "")
     hit = F.col("blocks").isNotNull()
     table = joined.select(
