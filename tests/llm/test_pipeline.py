@@ -2,6 +2,7 @@ import os
 import sys
 
 from helpers import corpus, documents, prose
+from pyspark.sql import functions as F
 from test_models import brute_secrets
 from test_pairs import brute_dedup, brute_join
 from test_tokens import check_packing
@@ -59,3 +60,25 @@ def test_run_against_brute_force(spark, tmp_path, monkeypatch):
     assert at["secret_scan"] == clean and sum("<secret>" in t for t in clean.values()) == 5
     padding, total = check_packing(out, list(clean.items()))
     assert total and padding < 2048 + 0.05 * total
+
+
+def test_stages_take_columns_that_clash(spark):
+    """Columns named as the operators' own ones go through every stage but the last, unchanged."""
+    names = ("n_words", "n_removed", "kept", "rest", "component_id", "n_shingles", "row", "found", "spans")
+    rows = [(1, " ".join(prose(1, 60))), (2, " ".join(prose(2, 60))), (2, " ".join(prose(2, 60))), (None, " ".join(prose(3, 60))), (3, None)]
+    docs = documents(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(k))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = corpus_pipeline.save(stage(spark, docs, ""), "stage")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *names]
+    got = docs.collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == [(False, 1), (False, 2), (True, 0)]
+    assert all(r[name] == k for r in got for k, name in enumerate(names))
+
+
+def test_stages_of_an_empty_table(spark):
+    docs = documents(spark, []).select("doc_id", "text", "lang", "source", "n_chars")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.save(stage(spark, docs, ""), "stage")
+    assert docs.count() == 0 and "sequence_id" in docs.columns
