@@ -198,11 +198,13 @@ def link(classes: DataFrame, dim: int, least: float) -> tuple[DataFrame, DataFra
             x = np.frombuffer(b"".join(u for *_, u in group), np.float64).reshape(len(group), -1)
             for j, ks in by.items():
                 own, y = cells[j]
-                a, c = np.nonzero(x[ks] @ y.T >= least)
-                u, v = rep[np.array(ks)[a]], own[c]
-                keep = u != v
-                us.append(np.minimum(u, v)[keep])
-                vs.append(np.maximum(u, v)[keep])
+                for p in range(0, len(ks), 512):
+                    some = np.array(ks[p : p + 512])
+                    a, c = np.nonzero(x[some] @ y.T >= least)
+                    u, v = rep[some[a]], own[c]
+                    keep = u != v
+                    us.append(np.minimum(u, v)[keep])
+                    vs.append(np.maximum(u, v)[keep])
             return us, vs
 
         for b in batches:
