@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_imi, language_crf, ngram_join, pii_bootstrap, quality_ftrl, secret_cnn, substring_dedup, topk_search
+from . import code_lloyd, embedding_imi, language_crf, line_dedup, ngram_join, pii_bootstrap, quality_ftrl, secret_cnn, spelling_trie, substring_dedup, topk_search
 from .byte_bpe import encode_decode
 from .common import held_out, table
 from .packing import pack
@@ -70,17 +70,43 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_crf.identify(docs, "doc_id", "text", model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(table(spark, sf_dir, "documents"), "doc_id", "text", size=40, rows=5)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_code_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_lloyd.compress(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("label"), parts=8, entries=16, rounds=6, scale=4096)
+
+
+def op13_spelling_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_trie.variants(table(spark, sf_dir, "documents"), "doc_id", "text", size=6, least=5, times=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_topk_search, op2_pii, op3_secrets, op4_ngram_join, op5_byte_bpe, op6_embedding_dedup, op7_packing, op8_quality, op9_substring_dedup,
-        op10_language_id
+        op10_language_id, op11_line_dedup, op12_code_lloyd, op13_spelling_trie
     )
 }
 
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _SOUND = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 
+_SMALL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _rounds(n: int) -> str:
+    """Lloyd rounds as steps of a WITH: assignments a0 .. an, codebooks b0 .. bn."""
+    assign = """a{k} AS (SELECT x.id, x.label, x.p, arg_min(b.e, (list_sum(list_transform(list_zip(x.v, b.c), lambda t: (t[1] - t[2]) * (t[1] - t[2])))::BIGINT, b.e)) AS e,
+min(list_sum(list_transform(list_zip(x.v, b.c), lambda t: (t[1] - t[2]) * (t[1] - t[2])))::BIGINT) AS d, any_value(x.v) AS v FROM x JOIN b{k} b ON x.p = b.p GROUP BY x.id, x.label, x.p)"""
+    move = """s{k} AS (SELECT p, e, i, sum(z)::BIGINT AS z, count(*) AS n FROM (SELECT p, e, unnest(v) AS z, unnest(range(1, len(v) + 1)) AS i FROM a{k}) GROUP BY p, e, i),
+m{k} AS (SELECT p, e, list((z - ((z % n) + n) % n) // n ORDER BY i) AS c FROM s{k} GROUP BY p, e),
+b{next} AS (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{k} b LEFT JOIN m{k} m ON b.p = m.p AND b.e = m.e)"""
+    return ",\n".join([x for k in range(n) for x in (assign.format(k=k), move.format(k=k, next=k + 1))] + [assign.format(k=n)])
+
+
 #: DuckDB SQL of those that SQL can express. The models, tokenizers, match offsets and packing have none: tests/llm compare
 #: them with brute force, an exact round trip or held-out labels.
 ORACLE_SQL: dict[str, str] = {
@@ -104,4 +130,33 @@ late AS (SELECT doc_id, i FROM h QUALIFY row_number() OVER (PARTITION BY g ORDER
 gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM late), t AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM w),
 k AS (SELECT t.doc_id, string_agg(word, ' ' ORDER BY t.i) AS kept, count(*) AS n FROM t ANTI JOIN gone ON t.doc_id = gone.doc_id AND t.i = gone.i GROUP BY t.doc_id)
 SELECT w.doc_id, len(w.w) AS n_words, len(w.w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON w.doc_id = k.doc_id""",
+    "op11_line_dedup": rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+k AS (SELECT r, doc_id, list_transform(l, lambda x: {_SMALL.format("trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")}) AS k, l FROM d),
+s AS (SELECT r, doc_id, unnest(list_distinct(list_filter(k, lambda x: length(x) >= 40))) AS key FROM k),
+h AS (SELECT key, max(doc_id) AS last FROM s GROUP BY key HAVING count(*) >= 5),
+g AS (SELECT s.r, list(key) AS lost FROM s JOIN h USING (key) WHERE s.doc_id IS DISTINCT FROM h.last GROUP BY s.r),
+o AS (SELECT doc_id, l, list_filter(list_zip(l, k), lambda x: NOT list_contains(coalesce(lost, []), x[2])) AS stay FROM k LEFT JOIN g ON k.r = g.r)
+SELECT doc_id, len(l) AS n_lines, len(l) - len(stay) AS n_dropped, sha256(coalesce(array_to_string(list_transform(stay, lambda x: x[1]), chr(10)), '')) AS kept_sha256 FROM o""",
+    "op12_code_lloyd": f"""WITH w AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS e FROM embeddings WHERE {_SOUND}),
+x AS (SELECT id, label, p, e[p * (len(e) // 8) + 1:(p + 1) * (len(e) // 8)] AS v FROM w, range(8) t(p)),
+b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY id) - 1 AS e, v AS c FROM x QUALIFY row_number() OVER (PARTITION BY p ORDER BY id) <= 16),
+{_rounds(6)},
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b6),
+r AS (SELECT id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a6 GROUP BY id, label)
+SELECT id AS vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM r, h""",
+    # The checksum has no function: it is folded over the bytes of `<doc_id>:<run>`, which are those of ASCII or Latin-1 letters.
+    "op13_spelling_trie": rf"""WITH RECURSIVE r AS (SELECT coalesce(doc_id::VARCHAR, '') AS doc_id, unnest(regexp_extract_all({_SMALL.format("text")}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+u AS (SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= 6 GROUP BY ALL),
+t AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, v) ORDER BY v) AS t FROM range(256) x(v)),
+c AS (SELECT run, n, xor(list_reduce(flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda z: CASE WHEN unicode(z) < 128 THEN [unicode(z)::BIGINT] ELSE [195::BIGINT, unicode(z)::BIGINT - 64] END)),
+lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) AS h FROM u, t),
+k AS (SELECT CASE WHEN h % 199 = 0 THEN substring(run, 1, (h % length(run))::INT) || substring(run, (h % length(run))::INT + 2) ELSE run END AS word, sum(n)::BIGINT AS n FROM c GROUP BY 1),
+w AS (SELECT word, n FROM k WHERE length(word) >= 6 AND n >= 5),
+e AS (SELECT DISTINCT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word, b.word AS near, b.n FROM e a JOIN e b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+UNION SELECT e.word, w.word, w.n FROM e JOIN w ON e.cut = w.word UNION SELECT w.word, e.word, e.n FROM e JOIN w ON e.cut = w.word),
+f AS (SELECT word, count(*) AS n_near, first(near ORDER BY n DESC, near) AS form, max(n) AS form_n FROM p GROUP BY word),
+o AS (SELECT w.word, w.n, coalesce(f.n_near, 0) AS n_near, CASE WHEN f.form_n >= 5 * w.n THEN f.form END AS form, CASE WHEN f.form_n >= 5 * w.n THEN f.form_n END AS form_n FROM w LEFT JOIN f ON w.word = f.word),
+g AS (SELECT word, word AS root FROM o UNION SELECT g.word, o.form FROM g JOIN o ON g.root = o.word WHERE o.form IS NOT NULL)
+SELECT o.word, o.form, g.root, o.n, o.n_near, o.form_n FROM o JOIN g ON o.word = g.word JOIN o z ON g.root = z.word AND z.form IS NULL""",
 }
