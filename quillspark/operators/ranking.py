@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..shared import delete, shared_dir
+
 
 def bind(df: DataFrame, **columns: Column) -> DataFrame:
     """df with further columns, each worked out once a row. A generated row of one keeps the optimiser from writing their
@@ -17,27 +18,36 @@ def bind(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that the session names in spark.checkpoint.dir (one of its own only where none is named, as in
-    tests): what follows may read it several times."""
+    """df as a table in the shared folder: what follows may read it several times. done_with() deletes it."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/rows-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/rows-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def done_with(*tables: DataFrame) -> None:
+    """Deletes tables of written(), or those behind results of numbered(), that nothing reads any more."""
+    for df in tables:
+        delete(df.sparkSession, df._written_at)
 
 
-def numbered(df: DataFrame, part: str, *order: Column) -> DataFrame:
+def numbered(df: DataFrame, part: str | list[str], *order: Column) -> DataFrame:
     """df with `rank`: each row's place within its `part` (not null), from 1, in a total order. Rows are sorted by ranges and written, so no
     task holds more than a range; the counts of the ranges make the places whole."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, F.col(part), *order).sortWithinPartitions(F.col(part), *order)
-    rows = written(ranged.withColumn("_at", F.monotonically_increasing_id())).withColumn("_range", F.shiftright("_at", 33))
-    earlier = Window.partitionBy(part).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("_range", part).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    starts = counts.select("_range", part, "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    # A row for each range and part at most.
-    placed = rows.join(F.broadcast(starts), ["_range", part]).withColumn("rank", (F.col("_at") - F.col("_first") + F.col("_before") + 1).cast("int"))
-    return placed.select(*df.columns, "rank")
+    parts = [part] if isinstance(part, str) else part
+    by = [F.col(p) for p in parts]
+    ranged = df.repartitionByRange(n, *by, *order).sortWithinPartitions(*by, *order)
+    rows = written(ranged.withColumn("_at", F.monotonically_increasing_id()))
+    placed = rows.withColumn("_range", F.shiftright("_at", 33))
+    earlier = Window.partitionBy(*parts).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("_range", *parts).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    starts = counts.select("_range", *parts, "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    if isinstance(part, str):
+        starts = F.broadcast(starts)  # of few parts: a row for each range and part at most
+    placed = placed.join(starts, ["_range", *parts]).withColumn("rank", (F.col("_at") - F.col("_first") + F.col("_before") + 1).cast("int"))
+    out = placed.select(*df.columns, "rank")
+    out._written_at = rows._written_at
+    return out

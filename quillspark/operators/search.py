@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import parse_query
 from ..functions.dictionaries import CATEGORY_FILLER, CATEGORY_LABELS, CATEGORY_SYNONYMS
 from ..functions.text import NOT_WORD, basic_clean, flat, folded, folded_text, has, padded, query_terms, query_words, wide_occurrences
-from .ranking import bind, numbered, written
+from .ranking import bind, done_with, numbered, written
 
 Terms = list[tuple[str, list[str]]]
 #: What a match counts in each place, what a repetition and the phrase add, and the share of the top score that makes `best`.
@@ -52,11 +52,13 @@ def candidates(records: DataFrame, terms: Terms, fold_diacritics: bool = False)
 
 
 def match(records: DataFrame, terms: Terms) -> DataFrame:
-    """Records that hold an alternative of every term as whole words."""
+    """Records that hold an alternative of every term as whole words; a phrase must be in one of the texts."""
+    names = ("_strong", "_described", "_body")
     keep = F.lit(True)
     for _, alts in terms:
-        keep = keep & F.greatest(*(has(F.col("_every"), a) for a in alts), F.lit(False))
-    return bind(texts(records).filter(holds(terms)), _every=squeezed(F.col("_low"))).filter(keep).drop("_low", "_every")
+        keep = keep & F.greatest(*(has(F.col(c), a) for c in names for a in alts), F.lit(False))
+    found = bind(texts(records).filter(holds(terms)), **{f"_{c}": padded(F.coalesce(F.col(c), F.lit(""))) for c in ("strong", "described", "body")})
+    return found.filter(keep).drop("_low", *names)
 
 
 def squeezed(low: Column) -> Column:
@@ -104,8 +106,10 @@ def tiered(found: DataFrame, keep: float = KEEP) -> DataFrame:
 def rank(records: DataFrame, terms: Terms, keep: float = KEEP) -> DataFrame:
     """id, score, tier (best or more) and rank within the tier: by score, then taken_at, both falling, then id. The texts are read once: what
     matches is written, without its texts, and sorted by ranges."""
-    found = tiered(written(scored(records, terms).select("id", "score", "taken_at")), keep)
-    return numbered(found, "tier", F.desc("score"), F.desc("taken_at"), F.asc("id")).select("id", "score", "tier", "rank")
+    found = written(scored(records, terms).select("id", "score", "taken_at"))
+    out = numbered(tiered(found, keep), "tier", F.desc("score"), F.desc("taken_at"), F.asc("id"))
+    done_with(found)
+    return out.select("id", "score", "tier", "rank")
 
 
 def begins(words: list[str], every: bool = False) -> Column:
@@ -126,8 +130,9 @@ def prefix_match(records: DataFrame, words: list[str], every: bool = False, fold
     return bind(found, _every=squeezed(F.col("_low"))).filter(begins(words, every)).drop("_low", "_every")
 
 
-def contained(query: str, columns: tuple[str, ...]) -> Column:
-    return F.greatest(*(F.coalesce(F.contains(F.lower(F.col(c)), F.lit(query)), F.lit(False)) for c in columns), F.lit(False))
+def contained(query: str | Column, columns: tuple[str, ...]) -> Column:
+    q = query if isinstance(query, Column) else F.lit(query)
+    return F.greatest(*(F.coalesce(F.contains(F.lower(F.col(c)), q), F.lit(False)) for c in columns), F.lit(False))
 
 
 def like(records: DataFrame, query: str, columns: tuple[str, ...] = ("body", "described", "strong"), limit: int | None = None) -> DataFrame:
@@ -153,12 +158,16 @@ def cascade(records: DataFrame, query: str, meanings: dict[str, list[str]] | Non
     rest = bind(texts(records, fold_diacritics).filter(beginning | inside), _every=squeezed(F.col("_low")))
     stage = F.when(begins(words), 2).when(inside & contained(q, ("body", "described", "strong")), 3)
     rest = rest.select(*kept, single(0.0).alias("score"), stage.alias("stage")).filter("stage is not null")
-    found = written(scores)
+    table = found = written(scores)
     if found.isEmpty():
-        found = written(rest)
+        done_with(table)
+        table = found = written(rest)
         found = found.join(F.broadcast(found.agg(F.min("stage").alias("stage"))), "stage").select(*found.columns)
     ranked = numbered(tiered(found), "tier", F.desc("score"), F.desc("taken_at"), F.asc("id"))
-    return ranked.select("id", "stage", "tier", "rank")
+    done_with(table)
+    out = ranked.select("id", "stage", "tier", "rank")
+    out._written_at = ranked._written_at
+    return out
 
 
 def category_query(query: str) -> list[str]:
@@ -184,26 +193,34 @@ def search(
         dated = numbered(inside.select("id", "taken_at", best), "tier", F.desc("taken_at"), F.asc("id"))
         return dated.select("id", "tier", "rank", F.lit("DATE").alias("reason"), F.lit(None).cast("string").alias("snippet"))
     asked = category_query(rest) if "categories" in records.columns else []
-    hits = cascade(records, rest, meanings, fold_diacritics).select("id", "tier", F.lit(len(asked)).alias("part"), "rank", F.lit("TEXT").alias("reason"))
+    found = cascade(records, rest, meanings, fold_diacritics)
+    hits, used = found.select("id", "tier", F.lit(len(asked)).alias("part"), "rank", F.lit("TEXT").alias("reason")), [found]
     if asked:
         # A record of several asked categories comes once, with the first of them.
         wanted = F.array(*(F.lit(c) for c in asked))
         part = F.array_position(wanted, F.filter(wanted, lambda c: F.array_contains("categories", c))[0]) - 1
         whole = records.filter(F.arrays_overlap("categories", wanted)).select("id", "taken_at", best, part.cast("int").alias("part"))
-        whole = numbered(whole, "tier", F.desc("taken_at"), F.asc("id")).select("id", "tier", "part", "rank", F.lit("CATEGORY").alias("reason"))
+        ranked = numbered(whole, "tier", F.desc("taken_at"), F.asc("id"))
+        used.append(ranked)
+        whole = ranked.select("id", "tier", "part", "rank", F.lit("CATEGORY").alias("reason"))
         hits = whole.unionByName(hits.join(whole.select("id"), "id", "left_anti"))
     words = [a for _, alts in query_terms(rest, meanings) for a in alts]
     shown = F.when(F.col("reason") == "TEXT", snippet(F.col("body"), words, radius)).alias("snippet")
     hits = hits.withColumnRenamed("rank", "place").join(inside.select("id", "body"), "id").select("id", "tier", "part", "place", "reason", shown)
-    return numbered(hits, "tier", F.asc("part"), F.asc("place"), F.asc("id")).select("id", "tier", "rank", "reason", "snippet")
+    out = numbered(hits, "tier", F.asc("part"), F.asc("place"), F.asc("id"))
+    done_with(*used)
+    return out.select("id", "tier", "rank", "reason", "snippet")
 
 
 def snippet(text: Column, terms: list[str], radius: int = 48) -> Column:
     """The text around the earliest hit of any term; edges reach out to white space, up to 16 characters further; null without a hit."""
-    if not terms:
-        return F.lit(None).cast("string")
+    return snippet_at(text, F.array(*(F.lit(t) for t in terms)), radius) if terms else F.lit(None).cast("string")
+
+
+def snippet_at(text: Column, terms: Column, radius: int = 48) -> Column:
+    """snippet() of the terms (array of strings) of a row."""
     far, low = radius + 16, F.lower(text)
-    places = F.array(*(F.locate(t, low) for t in terms))
+    places = F.transform(terms, lambda t: F.position(t, low))
     hit = F.array_min(F.filter(places, lambda p: p > 0)) - 1  # from 0
     size = F.length(text)
     # Left edge: the nearest white space within reach to the left of hit - radius, else as far as allowed; the right one alike.
