@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import finish, forget, save
+from .common import finish, forget, quoted, save
 
 GROUPS, ROWS, SALT = 4, 4096, 16
 
@@ -251,7 +251,3 @@ def compress(
         F.col("id").alias(id_col), F.array_join(pairs, "").alias("code"), "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256")
     )
     return finish(out, table)
-
-
-def quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"

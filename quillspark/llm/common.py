@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -15,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..shared import delete, shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
@@ -28,15 +29,9 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "4m")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, which only local sessions, such as tests, may leave unset."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        d = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    return d.rstrip("/")
+def quoted(name: str) -> str:
+    """A column's name as F.col() and DDL take it, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def save(df: DataFrame, tag: str, sweep: bool = False) -> DataFrame:
@@ -62,8 +57,7 @@ def clear(spark: SparkSession) -> None:
 def forget(*tables: DataFrame) -> None:
     """Delete tables of save() that nothing reads any more."""
     for df in tables:
-        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._saved_at)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        delete(df.sparkSession, df._saved_at)
 
 
 def finish(result: DataFrame, *tables: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@
    children of a node stand together and a trie is its labels, where each node's children begin, and each node's count.
 3. Tries are broadcast, at most BATCH bytes at a time; all words of the vocabulary meet them. A word's automaton
    of distance one goes through a trie depth-first: along the word while nothing is wrong, and, at
-   every node on that way, off it by one replaced, inserted or dropped letter, after which the rest must be there as it is. An edit
-   that others would give as well (a letter of a run of equal ones) is made at the end of the run only, so no word is met twice.
+   every node on that way, off it by one replaced, inserted or dropped letter, after which the rest must be there as it is. A shard has a second trie, of its
+   words backwards: edits in the second half of a word are looked for in the first trie, those in the first half, backwards, in the second one. So the way
+   leaves the word only far from the root, where nodes have few children.
 4. Of each word and trie there is one row: how many words are near, and the best of them. Sums over the tries, then roots by
    doubling the way from word to form.
 
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 from .common import finish, forget, save, slices, spread
 
 RUN = r"[A-Za-zÀ-ÿ]"
-#: Code points of the words of a trie, bytes of tries that are broadcast together, words that a task counts before it sends them.
+#: Columns of a shard.
+TRIE = ("labels", "start", "count", "back_labels", "back_start", "back_count")
+#: Code points of the words of a shard, bytes of tries that are broadcast together, words that a task counts before it sends them.
 SHARD, BATCH, HELD = 2_000_000, 48 << 20, 400_000
 
 
@@ -113,8 +116,9 @@ class Trie:
         c.frombytes(count)
         return cls(labels, s, c)
 
-    def near(self, w: str) -> Iterator[tuple[str, int]]:
-        """(word, count) of all words at distance one of w."""
+    def near(self, w: str, skip: int = 0) -> Iterator[tuple[str, int]]:
+        """(word, count) of all words at distance one of w whose first `skip` letters are those of w. An edit that others would
+        give as well (of a letter of a run of equal ones) is made at the end of the run only."""
         labels, start, count, size = self.labels, self.start, self.count, len(w)
         find = labels.find
 
@@ -128,7 +132,11 @@ class Trie:
             return count[node]
 
         node = 0
-        for i in range(size):
+        for i in range(skip):
+            node = find(w[i], start[node], start[node + 1]) + 1
+            if not node:
+                return
+        for i in range(skip, size):
             c, follow = w[i], w[i + 1] if i + 1 < size else ""
             if c != follow and (n := rest(node, i + 1)):  # dropped
                 yield w[:i] + w[i + 1 :], n
@@ -157,20 +165,39 @@ class Trie:
                 yield w + labels[k], count[k + 1]
 
 
+class Pair:
+    """Both tries of a shard: of its words, and of its words backwards."""
+
+    def __init__(self, forward: Trie, backward: Trie):
+        self.forward, self.backward = forward, backward
+
+    @classmethod
+    def of(cls, words: list[str], counts: list[int]) -> Pair:
+        back = sorted((w[::-1], n) for w, n in zip(words, counts, strict=True))
+        return cls(Trie.of(words, counts), Trie.of([w for w, _ in back], [n for _, n in back]))
+
+    def near(self, w: str) -> dict[str, int]:
+        """All words at distance one of w, with their counts."""
+        half = len(w) // 2
+        found = dict(self.forward.near(w, half))
+        for x, n in self.backward.near(w[::-1], len(w) - half):
+            found[x[::-1]] = n
+        return found
+
+
 def tries_of(words: DataFrame) -> DataFrame:
-    """(labels, start, count, size): tries of the vocabulary's ranges."""
+    """(labels, start, count, back_labels, back_start, back_count, size): both tries of each of the vocabulary's ranges."""
+    kinds = (pa.string(), pa.binary(), pa.binary())
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, counts, size = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            labels, start, count = Trie.of(held, counts).dump()
+            pair = Pair.of(held, counts)
+            data = [*pair.forward.dump(), *pair.backward.dump()]
+            room = sum(4 * len(x) if isinstance(x, str) else len(x) for x in data)
             return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([labels], pa.string()), pa.array([start], pa.binary()), pa.array([count], pa.binary()),
-                    pa.array([4 * len(labels) + len(start) + len(count)], pa.int64())
-                ],
-                names=["labels", "start", "count", "size"]
+                [*(pa.array([x], k) for x, k in zip(data, kinds * 2, strict=True)), pa.array([room], pa.int64())], names=[*TRIE, "size"]
             )
 
         for b in batches:
@@ -186,7 +213,9 @@ def tries_of(words: DataFrame) -> DataFrame:
 
     # UTF-8 sorts as code points do.
     ranged = words.repartitionByRange(max(1, spread(words.sparkSession) // 4), "word").sortWithinPartitions("word")
-    return ranged.select("word", "n").mapInArrow(build, "labels string, start binary, count binary, size long")
+    return ranged.select("word", "n").mapInArrow(
+        build, "labels string, start binary, count binary, back_labels string, back_start binary, back_count binary, size long"
+    )
 
 
 def neighbours(words: DataFrame, tries: DataFrame) -> DataFrame:
@@ -203,16 +232,16 @@ def neighbours(words: DataFrame, tries: DataFrame) -> DataFrame:
     out, saved = None, []
     for some in batches:
         rows = numbered.filter(F.col("number").isin(some)).collect()  # BATCH bytes at most, or one trie of a longer word
-        shared = spark.sparkContext.broadcast([(r["labels"], bytes(r["start"]), bytes(r["count"])) for r in rows])
+        shared = spark.sparkContext.broadcast([[r[c] if isinstance(r[c], str) else bytes(r[c]) for c in TRIE] for r in rows])
 
         def meet(parts: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = [Trie.load(*t) for t in shared.value]
+            own = [Pair(Trie.load(*t[:3]), Trie.load(*t[3:])) for t in shared.value]
             for b in slices(parts, 4096):
                 found = []
                 for w in b.column(0).to_pylist():
                     for t in own:
                         n, top, form = 0, 0, ""
-                        for x, m in t.near(w):
+                        for x, m in t.near(w).items():
                             n += 1
                             if m > top or m == top and x < form:
                                 top, form = m, x

@@ -249,6 +249,7 @@ def test_automaton_meets_every_neighbour_once():
         a, b = sorted((a, b), key=len)
         return len(b) - len(a) == 1 and any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
 
+    pair = spelling_trie.Pair.of(words, list(range(1, len(words) + 1)))
     for w in [*words, "", "c", "abc", "bbbbbbbbb"]:
-        got = list(trie.near(w))
-        assert sorted(got) == sorted((x, count[x]) for x in words if one(w, x))
+        want = sorted((x, count[x]) for x in words if one(w, x))
+        assert sorted(trie.near(w)) == want and sorted(pair.near(w).items()) == want
