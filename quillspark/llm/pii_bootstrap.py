@@ -21,6 +21,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import finish, save
 
@@ -136,6 +137,28 @@ def words_like(text: Column) -> Column:
     return once(once(F.split(text, r"[\x20\x09-\x0D]", -1), placed), around)
 
 
+def seeded(table: DataFrame) -> DataFrame:
+    """(row, start, end, instance, patterns, kind): the identifier-like words of table (row, base, text), with the kind of the base match
+    that they overlap, the first in KINDS of several, null without one. Words and base matches of a text are settled by one sweep over their
+    places, as rows: no row holds more than a word, and the time is linear in both. Words of texts without base matches skip it."""
+    some = F.size("base") > 0
+    words = table.filter("text is not null").select("row", some.alias("some"), F.explode(words_like(F.col("text"))).alias("w")).select(
+        "row", "some", "w.start", "w.end", bare(F.col("w.word")).alias("instance"), "w.patterns"
+    )
+    spans = table.filter(some).select("row", F.explode("base").alias("b")).select("row", "b.start", "b.end", "b.kind")
+    # A match counts for a word if it begins before the word's end (so at the same place words come first) and ends after its start.
+    # Matches of one kind don't overlap, so of those that began the last one ends last.
+    events = words.filter("some").drop("some").withColumns({"pos": F.col("end"), "late": F.lit(0)}).unionByName(
+        spans.withColumns({"pos": F.col("start"), "late": F.lit(1)}), allowMissingColumns=True
+    )
+    sweep = Window.partitionBy("row").orderBy("pos", "late").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = [F.max(F.when(F.col("kind") == k, F.col("end"))).over(sweep).alias(f"reach{k}") for k in range(len(KINDS))]
+    swept = events.select("row", "start", "end", "instance", "patterns", "late", *reach).filter("late = 0")
+    kind = F.coalesce(*(F.when(F.col(f"reach{k}") > F.col("start"), F.lit(k)) for k in range(len(KINDS))))
+    columns = ["row", "start", "end", "instance", "patterns"]
+    return swept.select(*columns, kind.alias("kind")).unionByName(words.filter("not some").select(*columns, F.lit(None).cast("int").alias("kind")))
+
+
 def bare(c: Column) -> Column:
     """The letters and digits of a word, in lower case."""
     return F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
@@ -155,15 +178,7 @@ def extract(docs: DataFrame, id_col: str, text_col: str, rounds: int = 3, least:
         F.when(numbers, F.col("text")).alias("text"),
     )
     table = save(table, "pii")
-    like = table.filter("text is not null").select("row", "base", words_like(F.col("text")).alias("like"))
-    edges = like.select("row", "base", F.explode("like").alias("w")).select(
-        "row", F.col("w.start").alias("start"), F.col("w.end").alias("end"), bare(F.col("w.word")).alias("instance"), F.col("w.patterns").alias("patterns"),
-        F.filter("base", lambda s: (s["start"] < F.col("w.end")) & (F.col("w.start") < s["end"])).alias("hit"),
-    )
-    edges = edges.select(
-        "row", "start", "end", "instance", F.explode("patterns").alias("pattern"), F.when(F.size("hit") > 0, F.col("hit")[0]["kind"]).alias("kind"),
-        (F.size("hit") > 0).alias("seed")
-    )
+    edges = seeded(table).select("row", "start", "end", "instance", F.explode("patterns").alias("pattern"), "kind", F.col("kind").isNotNull().alias("seed"))
     edges = save(edges.filter((F.col("instance") != "") & ~F.col("pattern").rlike("^[a-z]+ *$")), "pii-edges")  # a pattern of no words tells nothing
     used = [table, edges]  # what nothing reads once the result is written
     scored = score(edges, rounds, different, used)

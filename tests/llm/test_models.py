@@ -197,3 +197,29 @@ def test_pii_places_of_many_matches(spark):
     text = " ".join(f"a{k}@b.c é" for k in range(5000))
     row = pii_bootstrap.extract(documents(spark, [(1, text)]), "doc_id", "text").select(queries.digest("spans", pii_bootstrap.KINDS)[-1]).first()
     assert row["spans"] == ",".join(f"email:{a}:{z}" for a, k, z in brute_pii(text) if k == 0)
+
+
+def test_pii_of_many_identifiers_in_one_text(spark):
+    """20,000 identifiers in one text, and words that several base matches overlap: every row holds a word, never all matches."""
+    text = " ".join(f"mail user{k}@host{k % 97}.example.org or +1 (4{k % 90 + 10}) 555-{k % 10000:04d} now" for k in range(10_000))
+    rows = [(1, text), (2, "a1@b.co,10.0.0.1 4111 1111 1111 1111x 10.1.1.1@c.de"), (3, "no match 5a but words"), (4, None)]
+    out = pii_bootstrap.extract(documents(spark, rows), "doc_id", "text").select("doc_id", *queries.digest("spans", pii_bootstrap.KINDS)).collect()
+    compare(out, dict(rows), brute_pii, pii_bootstrap.KINDS)
+    assert {r["doc_id"]: r["n_email"] + r["n_phone"] for r in out}[1] == 20_000
+
+
+def test_pii_words_meet_the_first_kind_of_a_match(spark):
+    """The sweep against a look at all matches of a text."""
+    texts = [
+        "a1@b.co,10.0.0.1 x", "4111 1111 1111 1111 is 9", "+1 (437) 555-0689 or 10.0.0.1", "x 10.1.1.1@c.de y7 +49 30 1234567 4111-1111-1111-1111", "5 z6 @",
+        "10.0.0.1\t10.0.0.2 3 a@b.c"
+    ]
+    pii_table = documents(spark, list(enumerate(texts))).select(
+        F.col("doc_id").alias("row"), F.flatten(F.array(*(pii_bootstrap.matches(F.col("text"), k) for k in pii_bootstrap.KINDS))).alias("base"), "text"
+    )
+    got = {(r["row"], r["start"]): r["kind"] for r in pii_bootstrap.seeded(pii_table).collect()}
+    want = {}
+    for k, t in enumerate(texts):
+        for m in re.finditer(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*", t):
+            want[k, m.start()] = min((kind for a, kind, z in brute_pii(t) if a < m.end() and m.start() < z), default=None)
+    assert got == want and len({v for v in want.values()}) == 5
