@@ -4,16 +4,16 @@ A vector's components are dealt to LISTS lists; a list's local score is the inne
 vector's score is the sum over the lists. Phase 1 gathers, for each query and list, the k best local entries of each block
 of vectors and their whole scores; the k-th best of these is a lower bound of the k-th best overall. Phase 2 sends that
 bound to all blocks: a vector that reaches it must reach the LISTS-th part of it in one list at least, so entries
-at or above this uniform cutoff suffice. Phase 3 resolves what the other lists add for these entries exactly, drops what stays
+at or above this uniform cutoff suffice. Queries whose bound a block's lengths by list can't reach pass it over. Phase 3 resolves what the other lists add for these entries exactly, drops what stays
 below the bound, and ranks the rest. Queries are few, stated rows; they meet the vectors block by block, never row by row.
 
 Integer arithmetic is exact: in 32-bit floating point where no sum can leave 24 bits, in 64-bit where none can leave 53, else in
 64-bit integers, which the scores must fit.
 
 Defined results: vectors that are null, empty or hold null or non-finite components, or whose id is null, take no part; vectors of different
-lengths aren't compared; rows of one id with different vectors all count, as
-queries and as candidates of other ids, and a query id has the k best of all its rows; a row repeated whole counts once; fewer than k candidates are all
-returned; an empty table gives an empty table; other columns are ignored.
+lengths aren't compared; every row counts, also rows of one id and rows repeated whole, as
+queries and as candidates of other ids: a query id has the k best of what all its rows give; fewer than k candidates are all
+returned; components or scores that could leave 64 bits end in an error that says so; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,16 +54,15 @@ def blocks_of(vectors: DataFrame, scale: int, most: int) -> DataFrame:
                 names=["dim", "block", "ids", "data"]
             )
 
-        last = None  # a row repeated whole counts once
         for b in batches:
             ends = np.cumsum(b.column(1).value_lengths().to_numpy(zero_copy_only=False))
             raw = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float)
-            whole = np.floor(scale * raw).astype(np.int64)
+            whole = np.floor(scale * raw)
+            if np.abs(whole).max(initial=0) >= 1 << 62:
+                raise ValueError("components are too large for whole numbers of 64 bits; scale the vectors")
+            whole = whole.astype(np.int64)
             for k, (i, z) in enumerate(zip(b.column(0).to_pylist(), ends.tolist(), strict=True)):
                 a = ends[k - 1] if k else 0
-                if last is not None and i == last[0] and np.array_equal(raw[a:z], last[1]):
-                    continue
-                last = i, raw[a:z]
                 v = whole[a:z]
                 held.setdefault(len(v), []).append((i, v))
                 if len(held[len(v)]) >= most:
@@ -76,14 +75,25 @@ def blocks_of(vectors: DataFrame, scale: int, most: int) -> DataFrame:
 
 def exact(q: np.ndarray, v: np.ndarray) -> type:
     most = max(1, q.shape[1]) * (int(np.abs(q).max(initial=0)) + 1) * (int(np.abs(v).max(initial=0)) + 1)
+    if most >= 1 << 63:
+        raise ValueError("scores could leave 64 bits; scale the vectors")
     return np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
 
 
+def lists_of(d: int) -> list[tuple[int, int]]:
+    cuts = [d * k // LISTS for k in range(LISTS + 1)]
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
+def lengths(x: np.ndarray) -> np.ndarray:
+    """The length of each list of each row."""
+    return np.stack([np.linalg.norm(x[:, a:z].astype(float), axis=1) for a, z in lists_of(x.shape[1])], 1)
+
+
 def local_scores(q: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
     """For each list the local scores, queries by vectors."""
-    kind, d = exact(q, v), q.shape[1]
-    cuts = [d * k // LISTS for k in range(LISTS + 1)]
-    return [q[:, a:z].astype(kind) @ v[:, a:z].astype(kind).T for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+    kind = exact(q, v)
+    return [q[:, a:z].astype(kind) @ v[:, a:z].astype(kind).T for a, z in lists_of(q.shape[1])]
 
 
 def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -174,6 +184,10 @@ def search(vectors: DataFrame, id_col: str, vec_col: str, query: Column, k: int
                 ids, v, q_ids, q = decode(b, j)
                 low = np.iinfo(np.int64).min
                 known = {a: low if z is None else z for a, z in b.column("bounds")[j].as_py()}
+                # Lists of a query and of a block's vectors are at most the product of their lengths.
+                most = np.array([known[x] for x in q_ids.tolist()], float)
+                some = (lengths(q) @ lengths(v).max(0)) * (1 + 1e-9) + 1 >= most
+                q, q_ids = q[some], q_ids[some]
                 for i in range(0, len(q), 128):
                     local, own = local_scores(q[i : i + 128], v), q_ids[i : i + 128]
                     floor = np.array([known[x] for x in own.tolist()], np.int64)[:, None]
