@@ -6,12 +6,14 @@ A query visits cells in the order of the multi-sequence traversal, that is by th
 set so that TARGET of all links at the threshold itself (the hardest ones: simulated around sampled vectors, a link
 counts if one end visits the other's cell) are met. Whatever is met is verified by its cosine in double precision.
 
-A cell row (a codeword of the first half) whose residents are many is cut into chunks, and its visitors go to each; so what
-a task holds is bounded, and nothing is left out.
+A cell row (a codeword of the first half) whose residents are many is cut into chunks by the second codeword, and a visitor goes only
+to the chunks of the cells that it visits. A cell with more than CHUNK residents is cut by their numbers, and its visitors
+go to all of its parts; so what a task holds is bounded, and nothing is left out.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, or whose id is null, link with
-nothing; vectors of different lengths don't link, those of length 1 link if their signs are the same; rows with one id are vectors of their own; an empty table gives an
-empty table; other columns are ignored.
+nothing; ties of distances to codewords go to the lower one; vectors of different lengths don't link, those of length 1 link if their signs are the same; rows with one id are vectors of their own; an empty table gives an
+empty table; other columns are ignored. Beyond about 2 * 10^8 classes the codebooks stay at MOST_WORDS, which leaves what is found as it is
+but makes cells fuller.
 """
 
 from __future__ import annotations
@@ -107,6 +109,39 @@ class Index:
         return row, oa[row, pa_[pick.ravel()]], ob[row, pb[pick.ravel()]]
 
 
+class Spots:
+    """The chunk of each cell: a row's cells are dealt to its chunks by their second codeword; a full cell has parts of its own."""
+
+    def __init__(self, chunks: np.ndarray, width: int, full: dict[tuple[int, int], int]):
+        self.chunks, self.width = chunks, width
+        cells = sorted((i * width + j, n) for (i, j), n in full.items())
+        self.cells, self.parts = np.array([c for c, _ in cells], np.int64), np.array([n for _, n in cells], np.int64)
+
+    def parts_of(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How many parts each cell has; 0: none of its own."""
+        if not len(self.cells):
+            return np.zeros(len(i), np.int64)
+        cell = i.astype(np.int64) * self.width + j
+        at = np.minimum(np.searchsorted(self.cells, cell), len(self.cells) - 1)
+        return np.where(self.cells[at] == cell, self.parts[at], 0)
+
+    def named(self, i: np.ndarray, j: np.ndarray, parts: np.ndarray, part: np.ndarray) -> np.ndarray:
+        return np.where(parts > 0, (j.astype(np.int64) + 1 << 32) + part, j % self.chunks[i])
+
+    def of_homes(self, i: np.ndarray, j: np.ndarray, rep: np.ndarray) -> np.ndarray:
+        parts = self.parts_of(i, j)
+        spread = (rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+        return self.named(i, j, parts, spread % np.maximum(parts, 1))
+
+    def of_visits(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(visit, chunk): each visit with every chunk that holds residents of its cell."""
+        parts = self.parts_of(i, j)
+        times = np.maximum(parts, 1)
+        k = np.repeat(np.arange(len(i)), times)
+        part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        return k, self.named(i[k], j[k], parts[k], part)
+
+
 def unit(v: np.ndarray) -> np.ndarray:
     """Unit vectors; scaled first, so that squares neither vanish nor overflow."""
     v = v / np.abs(v).max(1, keepdims=True)
@@ -143,6 +178,9 @@ def link(classes: DataFrame, dim: int, least: float) -> tuple[DataFrame, DataFra
     chunks = np.ones(len(index.first), np.int64)
     for r in homes.groupBy("i").count().collect():  # at most MOST_WORDS rows
         chunks[r["i"]] = -(-r["count"] // CHUNK)
+    # Cells of more than CHUNK residents: at most one for each CHUNK classes.
+    full = homes.groupBy("i", "j").count().filter(F.col("count") > CHUNK).collect()
+    spots = Spots(chunks, len(index.second), {(r["i"], r["j"]): -(-r["count"] // CHUNK) for r in full})
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["i", "chunk", "visit", "rep", "js", "unit"]
@@ -152,26 +190,25 @@ def link(classes: DataFrame, dim: int, least: float) -> tuple[DataFrame, DataFra
                 rep, i, j, data = some.column(0).to_numpy(), some.column(1).to_numpy(), some.column(2).to_numpy(), some.column(3).to_pylist()
                 x = np.frombuffer(b"".join(data), np.float64).reshape(len(rep), -1)
                 row, vi, vj = shared.value.visited(x)
-                order = np.lexsort((vj, vi, row))
-                row, vi, vj = row[order], vi[order], vj[order]
-                new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (vi[1:] != vi[:-1])])
+                # A visit for each part of the cell; those of one vector and chunk travel together.
+                k, chunk = spots.of_visits(vi, vj)
+                row, vi, vj = row[k], vi[k], vj[k]
+                order = np.lexsort((vj, chunk, vi, row))
+                row, vi, vj, chunk = row[order], vi[order], vj[order], chunk[order]
+                new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (vi[1:] != vi[:-1]) | (chunk[1:] != chunk[:-1])])
                 js = [x.astype("<i4").tobytes() for x in np.split(vj, new[1:])]
-                row, vi = row[new], vi[new]
-                times = chunks[vi]
-                rows = np.repeat(np.arange(len(row)), times)
-                chunk = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                own = (rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % chunks[i]
+                row, vi, chunk = row[new], vi[new], chunk[new]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(i), pa.array(own.astype(np.int32)), pa.array(np.zeros(len(rep), np.int32)), pa.array(rep),
+                        pa.array(i), pa.array(spots.of_homes(i, j, rep)), pa.array(np.zeros(len(rep), np.int32)), pa.array(rep),
                         pa.array([k.tobytes() for k in j.astype("<i4")], pa.binary()), pa.array(data, pa.binary())
                     ],
                     names=names
                 )
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(vi[rows].astype(np.int32)), pa.array(chunk.astype(np.int32)), pa.array(np.ones(len(rows), np.int32)),
-                        pa.array(rep[row[rows]]), pa.array([js[k] for k in rows], pa.binary()), pa.array([data[k] for k in row[rows]], pa.binary())
+                        pa.array(vi.astype(np.int32)), pa.array(chunk), pa.array(np.ones(len(row), np.int32)), pa.array(rep[row]),
+                        pa.array(js, pa.binary()), pa.array([data[k] for k in row], pa.binary())
                     ],
                     names=names
                 )
@@ -227,7 +264,7 @@ def link(classes: DataFrame, dim: int, least: float) -> tuple[DataFrame, DataFra
             pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], 1), axis=0) if us else np.zeros((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["u", "v"])
 
-    dealt = homes.mapInArrow(deal, "i int, chunk int, visit int, rep long, js binary, unit binary")
+    dealt = homes.mapInArrow(deal, "i int, chunk long, visit int, rep long, js binary, unit binary")
     dealt = dealt.repartition(spread(spark), "i", "chunk").sortWithinPartitions("i", "chunk", "visit")
     return dealt.mapInArrow(meet, "u long, v long").distinct(), homes
 

@@ -136,23 +136,69 @@ def test_embedding_dedup_against_brute_force(spark):
     assert embedding_imi.dedup(vectors(spark, []), "vec_id", "embedding").count() == 0
 
 
+def brute_topk(rows, k=5):
+    """{query: its k best (vec_id, score)}, by rows: every row of another id counts, for every row of the query's id."""
+    whole = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows]
+    every = {q: sorted((-int(a @ b), j) for i, a in whole if i == q for j, b in whole if i != j and len(a) == len(b)) for q, _ in rows if q % 50 == 0}
+    return {q: [(j, -s) for s, j in best[:k]] for q, best in every.items() if best}
+
+
+def topk_of(out):
+    got = {}
+    for r in sorted(out, key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+        assert r["rank"] == len(got[r["query_id"]])
+    return got
+
+
 def test_topk_against_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = [(k, [float(x) for x in np.float32(rng.integers(-2, 3, 6) / 4)]) for k in range(300)] + [(400, [1.0] * 6), (400, [1.0] * 6)]  # many ties
     df = vectors(spark, rows + [r for r in ODD if r[1] is None or len(r[1]) not in (6, 16)] + [(9003, [float("nan")] * 6), (None, [1.0] * 6)])
     out = topk_search.search(df, "vec_id", "embedding", F.col("vec_id") % 50 == 0, k=5).collect()
-    whole = {i: np.floor(256 * np.array(v)).astype(int) for i, v in rows}
-    for q in [i for i in whole if i % 50 == 0]:
-        best = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q)[:5]
-        assert [
-            (r["vec_id"], r["score"]) for r in sorted((r for r in out if r["query_id"] == q), key=lambda r: r["rank"])
-        ] == [(i, -s) for s, i in best]
-    assert {r["query_id"] for r in out} == {i for i in whole if i % 50 == 0}
+    assert topk_of(out) == brute_topk(rows)
     few = topk_search.search(vectors(spark, [(0, [1.0]), (1, [-3e6])]), "vec_id", "embedding", F.col("vec_id") == 0).collect()
     assert [tuple(r) for r in few] == [(0, 1, 1, 256 * -768_000_000)]
     assert topk_search.search(vectors(spark, []), "vec_id", "embedding", F.lit(True)).count() == 0
 
 
+def test_topk_counts_repeated_rows(spark):
+    rows = [(50, [1.0, 0.5]), (7, [1.0, 1.0]), (7, [1.0, 1.0]), (8, [0.5, 0.5]), (100, [0.25, 1.0]), (100, [0.25, 1.0])]
+    out = topk_search.search(vectors(spark, rows), "vec_id", "embedding", F.col("vec_id") % 50 == 0, k=5).collect()
+    assert topk_of(out) == brute_topk(rows)
+    assert topk_of(out)[50] == [(7, 98304), (7, 98304), (100, 49152), (100, 49152), (8, 49152)][:2] + sorted([(8, 49152), (100, 49152), (100, 49152)])
+    for bad in ([1e30, 1.0], [3e7, 1e8]):
+        with pytest.raises(Exception, match="scale the vectors"):
+            topk_search.search(vectors(spark, [(0, bad), (1, [3e15, 3e15]), (2, bad)]), "vec_id", "embedding", F.col("vec_id") == 0, k=5)
+
+
+def test_embedding_links_at_the_threshold(spark, monkeypatch):
+    """Planted pairs and groups just over and under the threshold among many vectors; small chunks, so rows and cells are cut."""
+    rng = np.random.default_rng(12)
+    n, d = 20_000, 32
+    x = rng.normal(size=(n, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for at in range(0, 6000, 2):  # one partner each, cosine 0.9 to 0.97
+        u = rng.normal(size=d)
+        u -= (u @ x[at]) * x[at]
+        c = rng.uniform(0.88, 0.97)
+        x[at + 1] = c * x[at] + np.sqrt(1 - c * c) * u / np.linalg.norm(u)
+    x[6000:6400] = x[6000] + rng.normal(scale=0.03, size=(400, d))  # a full cell
+    x = np.float32(x)
+    monkeypatch.setattr(embedding_imi, "CHUNK", 64)
+    rows = [(k, [float(c) for c in v]) for k, v in enumerate(x)]
+    got = {r["vec_id"]: r["n_links"] for r in embedding_imi.dedup(vectors(spark, rows), "vec_id", "embedding", 0.9).collect()}
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    degree = np.concatenate([(u[k : k + 2000] @ u.T >= 0.9).sum(1) for k in range(0, n, 2000)]) - 1
+    found = np.array([got[k] for k in range(n)])
+    assert (found <= degree).all()
+    pairs = degree[:6000].sum()
+    recall = found[:6000].sum() / pairs, found.sum() / degree.sum()
+    print("recall of pairs near the threshold and of all links:", recall, pairs)
+    assert pairs > 3000 and min(recall) >= 0.95
+
+
 def test_crc_of_parts():
     import zlib
 
