@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import as_bytes, clear, forget, grams, mix, save, slices, spread, word_hashes
+from .common import as_bytes, clear, forget, grams, mix, quoted, save, slices, spread, word_hashes
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Hashes that a task gathers before it sends them.
@@ -283,7 +284,7 @@ def dedup(
     assert window % 2 == 0
     spark = docs.sparkSession
     clear(spark)
-    whole = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.lit(None).cast("string")
+    whole = F.struct(*(F.col(quoted(c)) for c in carry)) if carry else F.lit(None).cast("string")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), whole.alias("carry"))
     met = met_blocks(src.select("id", "text"), window).groupBy("id").agg(F.collect_set("block").alias("blocks"))
     blocks = save(met, "blocks", sweep=True)
@@ -301,9 +302,10 @@ def dedup(
     parts = spread(spark)
     flagged = table.filter(hit)
     gone = later_windows(flagged, window, parts)
-    kinds = {c: table.schema[c].dataType.simpleString() for c in ("carry", "kept")}
+    kind = table.schema["carry"].dataType
+    row = T.StructType.fromDDL("part int, row long, id long").add("carry", kind).add("text", "string")
     # Windows to remove come before the texts of their part.
-    texts = flagged.mapInArrow(with_part(parts), f"part int, row long, id long, carry {kinds['carry']}, text string").withColumn("late", F.lit(1))
+    texts = flagged.mapInArrow(with_part(parts), row).withColumn("late", F.lit(1))
     both = gone.withColumn("late", F.lit(0)).unionByName(
         texts, allowMissingColumns=True
     ).repartition(spread(spark), "part").sortWithinPartitions("part", "late")
@@ -341,11 +343,11 @@ def dedup(
             )
 
     after = both.select("part", "late", "rows", "places", "row", "text", "id", "carry").mapInArrow(
-        cut, f"id long, carry {kinds['carry']}, n_words long, n_removed long, kept string"
+        cut, T.StructType().add("id", "long").add("carry", kind).add("n_words", "long").add("n_removed", "long").add("kept", "string")
     )
     after = after.withColumn("kept", output(F.col("kept")))
     rest = table.filter(~hit).select("id", "carry", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept")
-    return rest.unionByName(after).select(F.col("id").alias(id_col), "n_words", "n_removed", "kept", *(F.col(f"carry.`{c}`").alias(c) for c in carry))
+    return rest.unionByName(after).select(F.col("id").alias(id_col), "n_words", "n_removed", "kept", *(F.col("carry").getField(c).alias(c) for c in carry))
 
 
 def with_part(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

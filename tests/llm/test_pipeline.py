@@ -64,11 +64,14 @@ def test_run_against_brute_force(spark, tmp_path, monkeypatch):
 
 def test_stages_take_columns_that_clash(spark):
     """Columns named as the operators' own ones go through every stage but the last, unchanged."""
-    names = ("n_words", "n_removed", "kept", "rest", "component_id", "n_shingles", "row", "found", "spans")
+    names = (
+        "n_words", "n_removed", "kept", "rest", "component_id", "n_shingles", "row", "found", "spans", "_row_tag", "whole", "a.b", "x`y", "first", "a b,c",
+        "carry", "late", "none"
+    )
     rows = [(1, " ".join(prose(1, 60))), (2, " ".join(prose(2, 60))), (2, " ".join(prose(2, 60))), (None, " ".join(prose(3, 60))), (3, None)]
     docs = documents(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
     for k, name in enumerate(names):
-        docs = docs.withColumn(name, F.lit(k))
+        docs = docs.withColumn(name, F.lit(k).cast("long"))
     for _, stage in corpus_pipeline.STAGES[:4]:
         docs = corpus_pipeline.save(stage(spark, docs, ""), "stage")
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *names]
@@ -77,6 +80,22 @@ def test_stages_take_columns_that_clash(spark):
     assert all(r[name] == k for r in got for k, name in enumerate(names))
 
 
+def test_stages_without_other_columns(spark):
+    """Only id, text and language: nothing to count characters in, nothing else to hand through."""
+    rows = [(1, " ".join(prose(1, 60))), (2, " ".join(prose(2, 60)) + ' token = "abcdefghijkl"'), (3, None)]
+    docs = documents(spark, rows).select("doc_id", "text", "lang")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = corpus_pipeline.save(stage(spark, docs, ""), "stage")
+        assert docs.columns == ["doc_id", "text", "lang"]
+    assert {r["doc_id"]: "<secret>" in r["text"] for r in docs.collect()} == {1: False, 2: True}
+    bare = documents(spark, rows).select("doc_id", "text")
+    assert corpus_pipeline.language_id(spark, bare, "").count() == 0
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        bare = corpus_pipeline.save(stage(spark, bare, ""), "stage")
+        assert bare.columns == ["doc_id", "text"]
+    assert sorted(r["doc_id"] for r in bare.collect()) == [1, 2]
+
+
 def test_stages_of_an_empty_table(spark):
     docs = documents(spark, []).select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in corpus_pipeline.STAGES:
