@@ -10,52 +10,64 @@
 4. secret_scan: secrets are replaced by a mark.
 5. packing: pieces of the remaining documents in sequences of 2048 tokens.
 
-All but the last return the columns of `documents`. Later columns that describe the text (n_chars) follow it.
+All but the last return the columns of `documents`, whatever their names. A column that describes the text (n_chars) follows it where there is one;
+without a lang column no language is learnt, so no document is told surely and all go.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import language_crf, ngram_join, secret_cnn, substring_dedup
-from quillspark.llm.common import held_out, save, table
+from quillspark.llm.common import held_out, quoted, save, table
 from quillspark.llm.packing import pack
 
 #: Of clean documents, in one language or several, the words have posteriors near 1; those of short ones may be lower.
 SURE = 0.4
-#: A row's number, by which stage 2 tells rows of one id apart.
-TAG = "_row_tag"
+#: A row's number and all its columns as one, by which stage 2 tells rows of one id apart and hands them through under any names.
+ROW, WHOLE = "row", "whole"
+
+
+def columns_of(docs: DataFrame, whole: str, own: dict[str, Column]) -> list[Column]:
+    """The columns of docs out of the struct `whole`, but those in `own`."""
+    return [(own[c] if c in own else F.col(whole).getField(c)).alias(c) for c in docs.columns]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = language_crf.fit(docs, "doc_id", "text", "lang", ~held_out(F.col("doc_id")))
+    known = docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string"))
+    model = language_crf.fit(known, "doc_id", "text", "lang", ~held_out(F.col("doc_id")))
     return language_crf.surely(docs, "text", model, SURE)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    tagged = save(docs.withColumn(TAG, F.monotonically_increasing_id()), "tagged")  # written, so that a row keeps its tag
-    groups = ngram_join.join(tagged, TAG, "text", n=4, percent=85)
-    own = tagged.select(TAG, "doc_id").join(groups.select(TAG, "component_id"), TAG)
-    stay = own.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", TAG)).alias("first")).select(
-        F.col(f"first.{TAG}").alias(TAG)
+    whole = F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias(WHOLE)
+    tagged = save(docs.select(F.monotonically_increasing_id().alias(ROW), whole), "tagged")  # written, so that a row keeps its number
+    at = F.col(WHOLE)
+    groups = ngram_join.join(tagged.select(ROW, at.getField("text").alias("text")), ROW, "text", n=4, percent=85)
+    own = tagged.select(ROW, at.getField("doc_id").alias("doc_id")).join(groups.select(ROW, "component_id"), ROW)
+    stay = own.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("first")).select(
+        F.col(f"first.{ROW}").alias(ROW)
     )
     # The same plan at every size; neither side is ever broadcast.
-    return tagged.join(stay.hint("merge"), TAG, "left_semi").select(*docs.columns)
+    return tagged.join(stay.hint("merge"), ROW, "left_semi").select(*columns_of(docs, WHOLE, {}))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text", "n_chars"))).alias("rest")  # apart from dedup's own columns
+    # Apart from dedup's own columns; never without a field.
+    others = [F.col(quoted(c)) for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    rest = F.struct(*(others or [F.lit(0).alias("none")])).alias("rest")
     out = substring_dedup.dedup(
         docs.select("doc_id", "text", rest), "doc_id", "text", window=20, as_is=True, carry=("rest",)
     ).filter("n_words > n_removed")
-    own = {"doc_id": F.col("doc_id"), "text": F.col("kept").alias("text"), "n_chars": F.length("kept").cast("long").alias("n_chars")}
-    return out.select(*(own.get(c, F.col(f"rest.`{c}`").alias(c)) for c in docs.columns))
+    own = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return out.select(*columns_of(docs, "rest", own))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secret_cnn.redact(docs, "doc_id", "text").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    clean = secret_cnn.redact(docs, "doc_id", "text")
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
