@@ -9,6 +9,10 @@ FILLER = (
     "was", "were", "photo", "photos", "pic", "pics", "picture", "pictures", "image", "images",
 )
 
+# What devices call the picture of a screen, in names of folders and at the beginning of those of files. Nothing else spells them.
+CAPTURE_FOLDER = "Screenshot"
+CAPTURE_FILES = ("screenshot", "screen_shot", "scr", "capture")
+
 # Words that a category query may hold besides the category's names.
 CATEGORY_FILLER = ("my", "the", "a", "an", "all", "of", "and", "in", "from", "screenshot", "screenshots")
 

@@ -1,15 +1,20 @@
-"""Categories of texts, and the app that a record comes from. JVM only: the dictionaries are literals in the plan."""
+"""Categories of texts, and the app that a record comes from. One automaton finds all keywords of a text in one pass (Arrow batches);
+the rest is declared, with the dictionaries as literals in the plan."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import cache
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.dictionaries import APP_ALIASES, APP_PHRASES, BROWSER_LABELS, BROWSER_PACKAGES, CATEGORY_APPS, CATEGORY_KEYWORDS, HOME_SCREEN, LOCK_CLOCK, LOCK_DATE, LOCK_SCREEN, PACKAGE_GENERIC, PACKAGE_NAMES
+from ..functions.dictionaries import APP_ALIASES, APP_PHRASES, BROWSER_LABELS, BROWSER_PACKAGES, CAPTURE_FILES, CATEGORY_APPS, CATEGORY_KEYWORDS, HOME_SCREEN, LOCK_CLOCK, LOCK_DATE, LOCK_SCREEN, PACKAGE_GENERIC, PACKAGE_NAMES
 from ..functions.text import name_key
 
 
@@ -42,13 +47,63 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+class Keywords:
+    """All keywords of several groups in one automaton, which goes over a text once. groups: phrases, each with its parts, all of which
+    a text must have."""
+
+    def __init__(self, groups: list[list[tuple[str, ...]]]):
+        self.groups = groups
+        self.automaton = ahocorasick.Automaton()
+        for part in {p for phrases in groups for parts in phrases for p in parts}:
+            self.automaton.add_word(part, (part, len(part) <= 4 and part.isalnum()))
+        self.automaton.make_automaton()
+
+    def found(self, lower: str) -> set[str]:
+        """The keywords that a text in small letters has: short plain ones as whole words, others anywhere."""
+        out: set[str] = set()
+        inside = lambda k: 0 <= k < len(lower) and (lower[k].isalpha() or lower[k].isdecimal())
+        for end, (part, whole) in self.automaton.iter(lower):
+            if part not in out and not (whole and (inside(end + 1) or inside(end - len(part)))):
+                out.add(part)
+        return out
+
+    def held(self, lower: str) -> list[list[bool]]:
+        """Of each group which phrases a text has."""
+        own = self.found(lower)
+        return [[bool(own) and all(p in own for p in parts) for parts in phrases] for phrases in self.groups]
+
+
+@cache
+def _category_words() -> Keywords:
+    return Keywords([[(w,) for w in ws] for ws in CATEGORY_KEYWORDS.values()])
+
+
+@cache
+def _app_words() -> Keywords:
+    return Keywords([[tuple(p if p.startswith(" ") else p.strip() for p in phrase.split("+")) for phrase in phrases] for phrases in APP_PHRASES.values()])
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def keyword_counts(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """How many keywords of each category a text in small letters has."""
+    for column in texts:
+        yield pa.array([[sum(g) for g in _category_words().held(t or "")] for t in column.to_pylist()], pa.list_(pa.int32()))
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def phrase_weights(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The weights of each app's phrases that a text in small letters has, added up."""
+    weights = [list(phrases.values()) for phrases in APP_PHRASES.values()]
+    for column in texts:
+        rows = ([sum(w for w, ok in zip(ws, g, strict=True) if ok) for ws, g in zip(weights, _app_words().held(t or ""), strict=True)] for t in column.to_pylist())
+        yield pa.array(list(rows), pa.list_(pa.int32()))
+
+
 def classify(text: Column, app: Column) -> Column:
     """Up to three categories, best first, ties in their declared order. Tenths make the scores whole: 6 a keyword (four at most),
     20 for the app."""
     names = F.array(*(F.lit(c) for c in CATEGORY_KEYWORDS))
-    counts = once(
-        F.lower(F.coalesce(text, F.lit(""))), lambda t: F.array(*(hits([contains_keyword(t, w) for w in ws]) for ws in CATEGORY_KEYWORDS.values()))
-    )
+    counts = keyword_counts(F.lower(text))
     own = once(F.lower(app), lambda a: F.array(*(any_of([app_matches(a, x) for x in CATEGORY_APPS[c]]) for c in CATEGORY_KEYWORDS)))
     score = lambda n, o: F.when(o | (n >= 2), -6 * F.least(n, F.lit(4)) - F.when(o, 20).otherwise(0))
     ranked = F.filter(
@@ -69,20 +124,8 @@ def is_lock_screen(text: Column) -> Column:
 
 def app_scores(text: Column) -> Column:
     """array<struct<app, score>> of the apps whose interface words a text has, best first, ties in their declared order."""
-    def score(lower: Column, phrases: dict[str, int]) -> Column:
-        total = F.lit(0)
-        for phrase, weight in phrases.items():
-            every = F.lit(True)
-            for p in phrase.split("+"):
-                every = every & contains_keyword(lower, p if p.startswith(" ") else p.strip())
-            total = total + F.when(every, weight).otherwise(0)
-        return total
-
     names = F.array(*(F.lit(app) for app in APP_PHRASES))
-    scores = once(
-        F.concat(F.lit(" "), F.replace(F.lower(text), F.lit("\n"), F.lit(" "))),
-        lambda t: F.array(*(score(t, phrases) for phrases in APP_PHRASES.values()))
-    )
+    scores = phrase_weights(F.concat(F.lit(" "), F.replace(F.lower(text), F.lit("\n"), F.lit(" "))))
     ranked = F.array_sort(F.filter(F.transform(scores, lambda s, k: F.struct((-s).alias("down"), k.alias("k"))), lambda x: x["down"] < 0))
     return F.transform(ranked, lambda x: F.struct(F.get(names, x["k"]).alias("app"), (-x["down"]).alias("score")))
 
@@ -104,8 +147,7 @@ def app_of_text(text: Column) -> Column:
 def app_of_file_name(name: Column) -> Column:
     """struct<label, package> that the file name of a screen's picture tells, null if it tells none."""
     base = F.when(F.contains(name, F.lit(".")), F.regexp_extract(name, r"^(.*)\.", 1)).otherwise(name)
-    # Fixed value: the beginnings that such file names have.
-    prefix = r"^(?i)(screenshot|screen_shot|scr|capture)[_-]?"
+    prefix = rf"^(?i)({'|'.join(CAPTURE_FILES)})[_-]?"
     rest = F.regexp_replace(base, prefix, "")
     chunk = r"^[0-9][0-9_.\-]{5,}[0-9](?:[_\-]|$)"
     tail = F.btrim(F.regexp_replace(rest, chunk, ""), F.lit("_- "))

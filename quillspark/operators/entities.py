@@ -103,15 +103,29 @@ def _found(text: str, today: date, zone: ZoneInfo) -> Iterator[tuple[int, int, t
 
 
 def entities(text: str, today: date, zone: ZoneInfo) -> list[tuple]:
-    claims: list[tuple[int, int]] = []
+    """The entities of a text: all matches in the order of their priority, each dropped if it overlaps an earlier one that stayed."""
+    found = list(_found(text, today, zone))
     out: dict[tuple[str, str], tuple] = {}
-    for a, z, e in _found(text, today, zone):
-        if all(z <= x or y <= a for x, y in claims):
-            claims.append((a, z))
-            out.setdefault(e[0:3:2], e)
+    for k in settled([(a, z) for a, z, _ in found]):
+        e = found[k][2]
+        out.setdefault(e[0:3:2], e)
     return list(out.values())
 
 
+def settled(spans: list[tuple[int, int]]) -> list[int]:
+    """Which spans keep their range, when each claims it unless an earlier one has part of it. What is claimed is a row of marks between
+    the spans' ends in order, so the work is that of sorting the ends and of the marks that claims cover; claims are disjoint."""
+    ends = sorted({x for s in spans for x in s})
+    place = {x: k for k, x in enumerate(ends)}
+    taken, stay = bytearray(len(ends)), []
+    for k, (a, z) in enumerate(spans):
+        i, j = place[a], place[z]
+        if taken.find(1, i, j) < 0:
+            taken[i:j] = b"\1" * (j - i)
+            stay.append(k)
+    return stay
+
+
 def extract(text: Column, today: date, zone: str = "UTC") -> Column:
     """The entities of a text in the order of their claims, each (type, value) once."""
     tz = ZoneInfo(zone)

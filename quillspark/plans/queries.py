@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.dictionaries import APP_PHRASES, CATEGORY_APPS, CATEGORY_KEYWORDS, ENTITY_PATTERNS, HTML_NAMES
+from ..functions.dictionaries import APP_PHRASES, CAPTURE_FOLDER, CATEGORY_APPS, CATEGORY_KEYWORDS, ENTITY_PATTERNS, HTML_NAMES
 from ..operators import captions, classify, entities, layout, search
 from ..sources import store
 from . import enrich, reads, writes
@@ -76,7 +76,7 @@ _PAD = r"' ' || trim(regexp_replace(lower({}), '[^\p{{L}}\p{{M}}\p{{N}}]+', ' ',
 _COUNT = "((length(w) - length(replace(w, ' {0} ', ''))) / length(' {0} '))::INT"
 
 
-def rank_sql(query_text: str) -> str:
+def rank_sql(query_text: str, source: str = "documents") -> str:
     terms = tx.query_terms(query_text)
     each = []
     for _, alts in terms:
@@ -88,7 +88,7 @@ def rank_sql(query_text: str) -> str:
     names = [f"t{k}" for k in range(len(each))]
     phrase = " ".join(w for w, _ in terms)
     bonus = f" + CASE WHEN contains(s, ' {phrase} ') OR contains(b, ' {phrase} ') THEN 1.5::FLOAT ELSE 0::FLOAT END" if len(terms) > 1 else ""
-    return f"""WITH p AS (SELECT doc_id AS id, {_PAD.format("source")} AS s, {_PAD.format("text")} AS b FROM documents),
+    return f"""WITH p AS (SELECT doc_id AS id, {_PAD.format("source")} AS s, {_PAD.format("text")} AS b FROM {source}),
 w AS (SELECT *, replace(b, ' ', '  ') AS w FROM p), e AS (SELECT id, s, b, {", ".join(f"{x} AS {n}" for x, n in zip(each, names, strict=True))} FROM w),
 f AS (SELECT id, (0::FLOAT + {" + ".join(names)}{bonus})::FLOAT AS score FROM e WHERE {" AND ".join(f"{n} > 0" for n in names)}),
 t AS (SELECT *, CASE WHEN score >= (SELECT max(score) FROM f) * 0.6::FLOAT THEN 'best' ELSE 'more' END AS tier FROM f)
@@ -461,12 +461,11 @@ def collection_edits(spark, sf_dir):
     ).select("id", "name", "n")
 
 
-#: What devices name their folder of screen pictures is a fixed value.
 @query(
-    "SELECT '/media/' || CASE WHEN page_id % 3 = 0 THEN 'Screenshot/' ELSE 'Camera/' END || page_id AS path, CASE WHEN page_id % 2 = 0 THEN 0 ELSE page_id * 1000 END // 1000 + CASE WHEN page_id % 2 = 0 THEN page_id ELSE 0 END AS taken_s FROM pages WHERE page_id % 3 = 0"
+    f"SELECT '/media/' || CASE WHEN page_id % 3 = 0 THEN '{CAPTURE_FOLDER}/' ELSE 'Camera/' END || page_id AS path, CASE WHEN page_id % 2 = 0 THEN 0 ELSE page_id * 1000 END // 1000 + CASE WHEN page_id % 2 = 0 THEN page_id ELSE 0 END AS taken_s FROM pages WHERE page_id % 3 = 0"
 )
 def media_listing(spark, sf_dir):
-    folder = F.when(F.col("page_id") % 3 == 0, "Screenshot/").otherwise("Camera/")
+    folder = F.when(F.col("page_id") % 3 == 0, f"{CAPTURE_FOLDER}/").otherwise("Camera/")
     media = table(spark, sf_dir, "pages").select(
         F.concat(F.lit("/media/"), folder, "page_id").alias("path"),
         F.when(F.col("page_id") % 2 == 0, 0).otherwise(F.col("page_id") * 1000).alias("taken_ms"), F.col("page_id").alias("added_s")

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.dates import day_label, month_label
 from ..operators.classify import first_by_label
+from ..operators.ranking import written
 from ..sources.store import FAILED, INDEXED, PENDING
 
 
@@ -141,6 +142,33 @@ def mark_at(marks: DataFrame, targets: DataFrame) -> DataFrame:
     return targets.crossJoin(F.broadcast(listed)).select("target", F.when(some, found).otherwise(F.get("marks", F.lit(0))["label"]).alias("label"))
 
 
+def as_of(targets: DataFrame, marks: DataFrame, at: str, tie: str, value: str) -> DataFrame:
+    """targets with `value` and `mark_at` of the last mark at or before each one's `at` (null before the first mark); of marks at one place the
+    one of largest `tie` counts. For marks of any number: both sides are sorted by ranges together and written, each range carries its last mark to
+    its rows, and ranges that begin without one take it from those before. Nothing is broadcast but a row for each range, and equal places are
+    split as well. targets and marks: their `at` has one type; marks have the columns at, tie and value."""
+    rows = marks.filter(F.col(at).isNotNull()).select(
+        F.col(at).alias("_at"), F.lit(0).alias("_kind"), F.col(tie).cast("string").alias("_tie"), F.struct(F.col(at).alias("mark_at"), F.col(value)).alias("_mark"),
+        F.lit(None).cast(targets.select(F.struct("*")).schema[0].dataType).alias("_row"), F.col(tie).alias("_order")
+    )
+    own = targets.select(
+        F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.xxhash64("*").cast("string").alias("_tie"), F.lit(None).cast(rows.schema["_mark"].dataType).alias("_mark"),
+        F.struct("*").alias("_row"), F.lit(None).cast(rows.schema["_order"].dataType).alias("_order")
+    )
+    order = ["_at", "_kind", "_order", "_tie"]
+    n = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.unionByName(own).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    table = written(ranged.withColumn("_place", F.monotonically_increasing_id())).withColumn("_range", F.shiftright("_place", 33))
+    ends = table.filter("_mark is not null").groupBy("_range").agg(F.max_by("_mark", "_place").alias("_last"))
+    spots = table.select("_range").distinct().join(ends, "_range", "left")  # a row a range
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = spots.select("_range", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    within = Window.partitionBy("_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = table.withColumn("_found", F.last("_mark", ignorenulls=True).over(within)).filter("_kind = 1")
+    mark = F.coalesce("_found", "_carried")
+    return found.join(F.broadcast(carried), "_range").select("_row.*", mark.getField("mark_at").alias("mark_at"), mark.getField(value).alias(value))
+
+
 def launchable(apps: DataFrame, hidden: DataFrame) -> DataFrame:
     """Distinct apps (label, package) without the hidden packages, by name."""
     return apps.select("label", "package").distinct().join(hidden.select("package"), "package", "left_anti").orderBy(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.dictionaries import CAPTURE_FOLDER
 from ..operators.entities import TYPE as ENTITIES
 
 #: One record of the store, with native arrays and timestamps in place of encoded text.
@@ -21,7 +22,7 @@ GROUPS = "groups array<struct<id:string,kind:array<string>,words:array<struct<wo
 def captures(media: DataFrame) -> DataFrame:
     """Rows of a media listing (path, taken_ms, added_s, and more) that are pictures of a screen, newest addition first, with taken_at:
     when it was taken, or added if that is unknown."""
-    like = F.coalesce(F.col("path").like("%Screenshot%"), F.lit(False))  # fixed value: what devices name their folder or files
+    like = F.coalesce(F.contains(F.col("path"), F.lit(CAPTURE_FOLDER)), F.lit(False))
     taken = F.when(F.col("taken_ms") > 0, F.col("taken_ms")).otherwise(F.col("added_s") * 1000)
     return media.filter(like).withColumn("taken_at", F.timestamp_millis(taken)).orderBy(F.desc("added_s"), "path")
 

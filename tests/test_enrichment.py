@@ -101,12 +101,12 @@ def test_app_names(spark):
 
 def test_file_names(spark):
     want = {
-        "Screenshot_20240229_103000_YouTube.jpg": ("YouTube", None), "Screenshot_20240229-103000_Chrome.png": ("Chrome", None), "Screenshot_20240229_103000_Samsung Experience Home.jpg": (
+        "Capture_20240229_103000_YouTube.jpg": ("YouTube", None), "Capture_20240229-103000_Chrome.png": ("Chrome", None), "Capture_20240229_103000_Samsung Experience Home.jpg": (
             "Samsung Experience Home", None
         ),
-        "Screenshot_2024-02-29-10-30-00-123_com.google.android.youtube.jpg": (
+        "Capture_2024-02-29-10-30-00-123_com.google.android.youtube.jpg": (
             None, "com.google.android.youtube"
-        ), "Screenshot_20240229-103000.png": None, "IMG_20240229_103000.jpg": None,
+        ), "Capture_20240229-103000.png": None, "IMG_20240229_103000.jpg": None,
     }
     df = spark.createDataFrame([(n,) for n in want], "n string")
     got = [r[0] and tuple(r[0]) for r in df.select(classify.app_of_file_name(F.col("n"))).collect()]
@@ -203,7 +203,7 @@ def test_captions(spark):
     rows = [
         ("a woman", "The image shows a woman. It is big.", "footwear<loc_1>human face<loc_2>person<loc_3>", "25 Save"),
         (
-            "a screenshot of a phone", 'The image shows a phone. The text reads "How to get a VMR card from Netflix" and icons.',
+            "a picture of a phone", 'The image shows a phone. The text reads "How to get a VMR card from Netflix" and icons.',
             "mobile phone<loc_1>", "VM-HDFCBK Messages For NETFLIX From HDFC Bank Credit Card"
         ),
         ("a number", 'It reads "RMA Tracker" and a link.', "mobile phone<loc_1>", "Kaizen Whatsapp us: RMA Tracker Enter RMA Number Submit"),
@@ -212,7 +212,7 @@ def test_captions(spark):
     df = spark.createDataFrame(rows, "c string, d string, o string, s string")
     got = [tuple(r[0]) for r in df.select(captions.describe(*(F.col(x) for x in "cdos"))).collect()]
     assert got == [
-        ("The image shows a woman. It is big.", ["footwear", "person"]), ("A screenshot of a phone", []), ('It reads "RMA Tracker" and a link.', []),
+        ("The image shows a woman. It is big.", ["footwear", "person"]), ("A picture of a phone", []), ('It reads "RMA Tracker" and a link.', []),
         ("A bunch of things", []), ("", [])
     ]
 
@@ -226,7 +226,7 @@ def test_detokenize(spark):
 def test_enrich(spark):
     lines = [("google.com/search", 0.05, 0.08), ("Big Title Here", 0.2, 0.3), ("small text", 0.4, 0.42), ("more text", 0.5, 0.52)]
     df = spark.createDataFrame(
-        [(1, "Screenshot_20240229-103000_Chrome.png", "buy now wishlist 450/-", lines), (2, None, None, None)],
+        [(1, "Capture_20240229-103000_Chrome.png", "buy now wishlist 450/-", lines), (2, None, None, None)],
         "id long, name string, ocr_text string, lines array<struct<text:string,top:float,bottom:float>>"
     )
     a, b = enrich(df, TODAY).orderBy("id").collect()

@@ -4,6 +4,7 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
+from quillspark.functions.dictionaries import CAPTURE_FOLDER
 from quillspark.plans import reads, writes
 from quillspark.sources import store
 from quillspark.streaming import live
@@ -100,11 +101,11 @@ def test_choices_and_words(spark):
 
 def test_sources(spark, tmp_path):
     media = spark.createDataFrame(
-        [("/DCIM/Screenshot/a.png", 0, 5), ("/x/Screenshot_1.png", 9000, 6), ("/x/b.png", 1, 7), (None, 1, 1)],
+        [(f"/DCIM/{CAPTURE_FOLDER}/a.png", 0, 5), (f"/x/{CAPTURE_FOLDER}_1.png", 9000, 6), ("/x/b.png", 1, 7), (None, 1, 1)],
         "path string, taken_ms long, added_s long"
     )
     got = store.captures(media).collect()
-    assert [r["path"] for r in got] == ["/x/Screenshot_1.png", "/DCIM/Screenshot/a.png"] and got[1]["taken_at"] == datetime(1970, 1, 1, 0, 0, 5)
+    assert [r["path"] for r in got] == [f"/x/{CAPTURE_FOLDER}_1.png", f"/DCIM/{CAPTURE_FOLDER}/a.png"] and got[1]["taken_at"] == datetime(1970, 1, 1, 0, 0, 5)
     f = tmp_path / "words.json"
     f.write_text(
         json.dumps({"groups": [{"id": "g", "kind": ["Food"], "words": [{"word": "pizza", "also": []}, {"word": "tea", "also": ["chai"]}]}]}, indent=1)
