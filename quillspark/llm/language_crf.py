@@ -350,8 +350,9 @@ def identify(
     )
 
 
-def surely(docs: DataFrame, text_col: str, model: Model, least: float) -> DataFrame:
-    """The rows of docs whose text has a language, told from words whose largest posteriors have a mean of `least` or more. Only the
+def surely(docs: DataFrame, text_col: str, model: Model, least: float, slack: float = 0.0) -> DataFrame:
+    """The rows of docs whose text has a language, told from words whose largest posteriors have a mean of `least` or more, less
+    `slack` by the square root of their number, as the mean of few words tells little. Only the
     texts go to Python, and one number for each comes back."""
     import uuid
 
@@ -365,7 +366,7 @@ def surely(docs: DataFrame, text_col: str, model: Model, least: float) -> DataFr
             for b in slices(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), 1000, 2 << 20):
                 if shared.value.langs:
                     lang, _, sizes, post = kept(key, lambda: Labeller(shared.value)).label(as_bytes(b.column(0)))
-                    out.append(np.where(lang < 0, -1.0, sureness(post, sizes)))
+                    out.append(np.where(lang < 0, -1.0, sureness(post, sizes) + slack / np.sqrt(np.maximum(sizes, 1))))
                 else:
                     out.append(np.full(b.num_rows, -1.0))
             yield pa.array(np.concatenate([*out, np.zeros(0)]))

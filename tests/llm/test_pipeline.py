@@ -30,9 +30,10 @@ TONGUES = {
 def test_mixed_texts_stay_if_their_words_are_sure(spark):
     rows = [(k, " ".join(prose(k, 40, TONGUES[lang])), lang) for k in range(160) for lang in [list(TONGUES)[k % 4]]]
     rows += [(900, " ".join(w for k, ws in enumerate(TONGUES.values()) for w in prose(k, 30, ws)), "en"), (901, "12 ...", "en"), (902, None, "en")]
+    rows += [(903, "все люди рождаются свободными и равными в своем достоинстве и правах " * 5, None), (904, "thing", None)]
     out = corpus_pipeline.language_id(spark, documents(spark, rows), "")
     assert out.columns == documents(spark, rows).columns
-    assert {r["doc_id"] for r in out.collect()} == {*range(160), 900}
+    assert {r["doc_id"] for r in out.collect()} == {*range(160), 900, 904}
 
 
 def test_run_against_brute_force(spark, tmp_path, monkeypatch):
