@@ -1,6 +1,6 @@
 """Five stages that turn `documents` into packed training sequences; each stage's result is written and read again.
 
-1. language_id: documents whose language can't be told (no letter, or words whose largest posteriors have a mean under
+1. language_id: documents whose language can't be told (no letter, or words whose largest posteriors have too low a mean, see
    SURE) go; a text in several languages stays if its words are told surely.
 2. ngram_join: of each group of near copies exactly one row stays, that with the smallest id. Each row is a document of its
    own, whatever its id: a repeated row goes, rows of one id with different texts are different documents, and rows with a
@@ -24,8 +24,9 @@ from quillspark.llm import language_crf, ngram_join, secret_cnn, substring_dedup
 from quillspark.llm.common import held_out, quoted, save, table
 from quillspark.llm.packing import pack
 
-#: Of clean documents, in one language or several, the words have posteriors near 1; those of short ones may be lower.
-SURE = 0.4
+#: Words of texts in the languages learnt, one or several of them, have posteriors near 1, those of others less; the bar falls by SLACK for a text of one
+#: word, by a sixth of it for one of 36.
+SURE, SLACK = 0.7, 0.3
 #: A row's number and all its columns as one, by which stage 2 tells rows of one id apart and hands them through under any names.
 ROW, WHOLE = "row", "whole"
 
@@ -38,7 +39,7 @@ def columns_of(docs: DataFrame, whole: str, own: dict[str, Column]) -> list[Colu
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     known = docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string"))
     model = language_crf.fit(known, "doc_id", "text", "lang", ~held_out(F.col("doc_id")))
-    return language_crf.surely(docs, "text", model, SURE)
+    return language_crf.surely(docs, "text", model, SURE, SLACK)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
