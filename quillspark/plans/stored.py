@@ -12,7 +12,8 @@ from ..functions.dictionaries import FILLER
 from ..operators import index, many
 from ..streaming import live
 from ..shared import shared_dir
-from . import reads
+from ..sources.versions import Versions
+from . import reads, writes
 from .queries import _PAD, ORACLE_SQL, QUERIES, TODAY, rank_sql, records, search_records, table
 
 _built: dict[tuple[str, str], index.Index] = {}
@@ -94,6 +95,17 @@ def index_after_edits(spark, sf_dir):
     return _score(ix.changed(new).merged().rank(tx.query_terms("ther than")))
 
 
+@query(rank_sql("ther than", "(SELECT doc_id, text, source || ' ' || lang AS source FROM documents WHERE doc_id % 3 = 0)"))
+def sync_indexed(spark, sf_dir):
+    """A store of every second record after a listing of every third: the ranking by its index, which only knows what came and went."""
+    own = records(spark, sf_dir).withColumn("objects", F.array().cast("array<string>"))
+    store = Versions(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    items = own.select(F.lit(1).cast("long").alias("collection_id"), F.col("id").alias("record_id"), F.col("taken_at").alias("added_at"))
+    writes.found_store(store, own.filter("id % 2 = 0"), items, grams=False)
+    version, _, _ = writes.sync_store(store, own.filter("id % 3 = 0"))
+    return _score(index.Index(store, version).rank(tx.query_terms("ther than")))
+
+
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four queries of each passage: its words, two of them with the second cut short, letters across their border, and two with a month."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract_all(F.lower("text"), F.lit(f"({tx.WORD})"), F.lit(1)).alias("w"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.index import Index, first_generation
 from ..sources.store import FAILED, INDEXED, PENDING
+from ..sources.versions import Version, Versions
 
 
 def only_in(a: DataFrame, b: DataFrame, key: str = "id") -> DataFrame:
@@ -104,3 +106,27 @@ def delete_collection(names: DataFrame, items: DataFrame, collection_id: int) ->
 
 def forget(records: DataFrame, items: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     return only_in(records, ids), cascade_delete(ids, items)
+
+
+def search_rows(records: DataFrame) -> DataFrame:
+    """Records as the index takes them: what the user and the app say of them counts most, then descriptions, then their texts."""
+    says = F.concat_ws(" ", "app", "headline", "note", F.array_join("objects", " "))
+    return records.select("id", "taken_at", says.alias("strong"), F.col("description").alias("described"), F.col("ocr_text").alias("body"))
+
+
+def found_store(store: Versions, records: DataFrame, items: DataFrame, grams: bool = True) -> Version:
+    """A new store: records, items of collections and the index of the records, published at once."""
+    folders = {"records": [store.write("records", records)], "items": [store.write("items", items)]}
+    return store.publish(store.current(), folders | first_generation(store, search_rows(records), grams))
+
+
+def sync_store(store: Versions, listing: DataFrame) -> tuple[Version, DataFrame, DataFrame]:
+    """(version, added, removed): the store after sync() with a listing. Records, items and index change together: a reader
+    has all three as they were or as they are, and a change that fails, or was overtaken, leaves them as they were. Of the index only the
+    rows of what came and went are written."""
+    seen = store.current()
+    after, added, removed = sync(seen.read("records"), listing)
+    folders = {"records": [store.write("records", after)], "items": [store.write("items", cascade_delete(removed, seen.read("items")))]}
+    whole = seen.read("records").limit(0).unionByName(added, allowMissingColumns=True)
+    folders |= Index(store, seen).delta(search_rows(whole), removed.select("id"))
+    return store.publish(seen, seen.folders | folders), added, removed
