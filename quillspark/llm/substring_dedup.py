@@ -12,7 +12,8 @@ the documents that they are in. What a task has several times it settles before
 to repeat) and sends once, so a passage that all documents share comes once from each task. What a reducing task holds is one bucket.
 
 Defined results: null and empty texts have no words; rows with a null id take no part and lose nothing; rows with one id
-count as one place in the order, so that none of them is earlier than its equal; texts of any length are read whole; an empty table gives
+count as one place in the order, so that none of them is earlier than its equal (windows of such rows that start at different words are
+ordered by these: the row where it starts later loses it); texts of any length are read whole; an empty table gives
 an empty table; other columns are ignored, whatever their names, as are those that are handed through.
 """
 
