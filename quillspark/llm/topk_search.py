@@ -1,7 +1,7 @@
 """Exact top-k search by inner product, in three phases with a uniform threshold.
 
 A vector's components are dealt to LISTS lists; a list's local score is the inner product over its components, and a
-vector's score is the sum over the lists. Phase 1 gathers, for each query and list, the k best local entries of each block
+vector's score is the sum over the lists. Phase 1 gathers, for each query and list, at least the k best local entries of each block
 of vectors and their whole scores; the k-th best of these is a lower bound of the k-th best overall. Phase 2 sends that
 bound to all blocks: a vector that reaches it must reach the LISTS-th part of it in one list at least, so entries
 at or above this uniform cutoff suffice. Queries whose bound a block's lengths by list can't reach pass it over. Phase 3 resolves what the other lists add for these entries exactly, drops what stays
@@ -33,7 +33,8 @@ BLOCK, QUERIES = 8192, 1024
 
 
 def blocks_of(vectors: DataFrame, scale: int, most: int) -> DataFrame:
-    """(dim, block, ids, data): dense blocks of at most `most` integer vectors. vectors: id and vector; rows of an id come together, in order of vector."""
+    """(dim, block, ids, data): dense blocks of at most `most` integer vectors, in the smallest integers that hold them. vectors: id and vector;
+    rows of an id come together, in order of vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -49,7 +50,7 @@ def blocks_of(vectors: DataFrame, scale: int, most: int) -> DataFrame:
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([dim], pa.int32()), pa.array([part << 24 | number], pa.int64()), pa.array([ids.tobytes()], pa.binary()),
-                    pa.array([data.tobytes()], pa.binary())
+                    pa.array([narrow(data).tobytes()], pa.binary())
                 ],
                 names=["dim", "block", "ids", "data"]
             )
@@ -73,6 +74,16 @@ def blocks_of(vectors: DataFrame, scale: int, most: int) -> DataFrame:
     return vectors.mapInArrow(run, "dim int, block long, ids binary, data binary")
 
 
+def narrow(data: np.ndarray) -> np.ndarray:
+    return data.astype(next(k for k in (np.int8, np.int16, np.int32, np.int64) if np.array_equal(data.astype(k), data)))
+
+
+def dense(ids: bytes, data: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a block; the width of its integers follows from its size."""
+    n = len(ids) // 8
+    return np.frombuffer(ids, np.int64), np.frombuffer(data, f"i{len(data) // (n * dim)}").astype(np.int64).reshape(n, dim)
+
+
 def exact(q: np.ndarray, v: np.ndarray) -> type:
     most = max(1, q.shape[1]) * (int(np.abs(q).max(initial=0)) + 1) * (int(np.abs(v).max(initial=0)) + 1)
     if most >= 1 << 63:
@@ -91,20 +102,19 @@ def lengths(x: np.ndarray) -> np.ndarray:
 
 
 def local_scores(q: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
-    """For each list the local scores, queries by vectors."""
-    kind = exact(q, v)
-    return [q[:, a:z].astype(kind) @ v[:, a:z].astype(kind).T for a, z in lists_of(q.shape[1])]
+    """For each list the local scores, queries by vectors; both of the type that exact() gives."""
+    return [q[:, a:z] @ v[:, a:z].T for a, z in lists_of(q.shape[1])]
 
 
-def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k highest scores of each row; ties to smaller ids. ids: sorted."""
-    if score.shape[1] <= k:
-        return np.argsort(-score, 1, kind="stable")
-    edge = np.partition(score, score.shape[1] - k, 1)[:, score.shape[1] - k, None]
-    above, level = score > edge, score == edge
-    need = k - above.sum(1, keepdims=True)
-    take = above | (level & (np.cumsum(level, 1) <= need))
-    return np.nonzero(take)[1].reshape(len(score), k)
+def among_best(score: np.ndarray, k: int) -> np.ndarray:
+    """Which entries of each row reach a mark that at least k of it reach: the k-th highest of the tops of runs of columns."""
+    n = score.shape[1]
+    run = max(1, n // (16 * k))
+    if n // run <= k:
+        return np.ones(score.shape, bool)
+    tops = score[:, : n // run * run].reshape(len(score), -1, run).max(2)
+    at = tops.shape[1] - k
+    return score >= np.partition(tops, at, 1)[:, at, None]
 
 
 def search(vectors: DataFrame, id_col: str, vec_col: str, query: Column, k: int = 5, scale: int = 256) -> DataFrame:
@@ -128,28 +138,32 @@ def search(vectors: DataFrame, id_col: str, vec_col: str, query: Column, k: int
     )
     spot = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
     left = rows.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(h - 1)), lambda c: spot("block", g) * h + c)))
-    right = asks.select("dim", F.col("block").alias("asked"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data")).withColumn(
-        "cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(g - 1)), lambda c: c * h + spot("asked", h)))
-    )
-    pairs = left.join(right, ["dim", "cell"]).select("dim", "ids", "data", "asked", "q_ids", "q_data")
+
+    def pairs(asked: DataFrame) -> DataFrame:
+        """Blocks that meet in a cell. Merged: the queries go to g cells each, far more than the size of their table lets a broadcast expect."""
+        right = asked.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(g - 1)), lambda c: c * h + spot("asked", h))))
+        return left.drop("block").join(right.hint("merge"), ["dim", "cell"]).drop("cell", "asked")
+
+    asked = asks.select("dim", F.col("block").alias("asked"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
 
     def decode(b: pa.RecordBatch, k: int):
-        dim = b.column("dim")[k].as_py()
-        get = lambda c: np.frombuffer(b.column(c)[k].as_py(), np.int64)
-        return get("ids"), get("data").reshape(-1, dim), get("q_ids"), get("q_data").reshape(-1, dim)
+        get = lambda c: b.column(c)[k].as_py()
+        return *dense(get("ids"), get("data"), get("dim")), *dense(get("q_ids"), get("q_data"), get("dim"))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for j in range(b.num_rows):
                 ids, v, q_ids, q = decode(b, j)
+                kind = exact(q, v)
+                q, v = q.astype(kind), v.astype(kind)
                 for i in range(0, len(q), 128):
                     local, own = local_scores(q[i : i + 128], v), q_ids[i : i + 128]
-                    alien = ids[None, :] != own[:, None]
-                    chosen = np.zeros(alien.shape, bool)
+                    self = ids[None, :] == own[:, None]
+                    chosen = np.zeros(self.shape, bool)
                     for s in local:
-                        s = np.where(alien, s, s.min() - 1)
-                        np.put_along_axis(chosen, best(s, ids, k), True, 1)
-                    chosen &= alien
+                        s[self] = s.min() - 1
+                        chosen |= among_best(s, k)
+                    chosen[self] = False
                     r, c = np.nonzero(chosen)
                     # Whole scores of the gathered entries only; a block's k best of them are all that can raise the bound.
                     score = np.sum([s[r, c].astype(np.int64) for s in local], 0, dtype=np.int64)
@@ -171,12 +185,14 @@ def search(vectors: DataFrame, id_col: str, vec_col: str, query: Column, k: int
         held = held.sort_values("score", ascending=False).groupby("query_id").head(k)
         yield pa.RecordBatch.from_pandas(held, preserve_index=False)
 
-    gathered = pairs.mapInArrow(keep_best, "query_id long, score long")
+    gathered = pairs(asked).mapInArrow(keep_best, "query_id long, score long")
     bounds = save(top_bound(gathered, k), "bounds")
-    asked = asks.select(F.col("block").alias("asked"), F.col("ids").alias("q_ids")).mapInArrow(spell, "asked long, query_id long").distinct()
-    per_block = asked.join(bounds, "query_id", "left").groupBy("asked").agg(
+    # Bounds go to their block of queries before it meets vectors, so nothing that grows with the queries is broadcast.
+    own = asked.select("asked", "q_ids").mapInArrow(spell, "asked long, query_id long").distinct()
+    per_block = own.join(bounds.hint("merge"), "query_id", "left").groupBy("asked").agg(
         F.map_from_entries(F.collect_list(F.struct("query_id", "bound"))).alias("bounds")
     )
+    bounded = asked.join(per_block.hint("merge"), "asked")
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,17 +203,22 @@ def search(vectors: DataFrame, id_col: str, vec_col: str, query: Column, k: int
                 # Lists of a query and of a block's vectors are at most the product of their lengths.
                 most = np.array([known[x] for x in q_ids.tolist()], float)
                 some = (lengths(q) @ lengths(v).max(0)) * (1 + 1e-9) + 1 >= most
-                q, q_ids = q[some], q_ids[some]
+                kind = exact(q, v)
+                q, q_ids, v = q[some].astype(kind), q_ids[some], v.astype(kind)
                 for i in range(0, len(q), 128):
                     local, own = local_scores(q[i : i + 128], v), q_ids[i : i + 128]
                     floor = np.array([known[x] for x in own.tolist()], np.int64)[:, None]
                     enough = np.zeros(local[0].shape, bool)
-                    for s in local:  # the uniform cutoff: bound / LISTS, compared without a division
-                        enough |= s.astype(np.int64) * LISTS >= floor if exact(q, v) is not np.int64 else s >= floor // LISTS
-                    r, c = np.nonzero(enough & (ids[None, :] != own[:, None]))
-                    score = np.sum([s[r, c].astype(np.int64) for s in local], 0, dtype=np.int64)
-                    fit = score >= floor[r, 0]
-                    r, c, score = r[fit], c[fit], score[fit]
+                    # The uniform cutoff: bound / LISTS, rounded up as scores are whole. A cutoff or bound that floats round is beyond all scores.
+                    cutoff = (floor // LISTS + (floor % LISTS > 0)).astype(local[0].dtype)
+                    for s in local:
+                        enough |= s >= cutoff
+                    whole = np.sum(local, 0, dtype=local[0].dtype)
+                    enough &= whole >= floor.astype(whole.dtype)
+                    r, c = np.nonzero(enough)
+                    alien = ids[c] != own[r]
+                    r, c = r[alien], c[alien]
+                    score = whole[r, c].astype(np.int64)
                     order = np.lexsort((ids[c], -score, r))
                     r, c, score = r[order], c[order], score[order]
                     top = np.arange(len(r)) - np.searchsorted(r, r) < k
@@ -205,7 +226,7 @@ def search(vectors: DataFrame, id_col: str, vec_col: str, query: Column, k: int
                         [pa.array(own[r[top]]), pa.array(ids[c[top]]), pa.array(score[top])], names=["query_id", "vec_id", "score"]
                     )
 
-    last = pairs.join(per_block, "asked").mapInArrow(resolve, "query_id long, vec_id long, score long")
+    last = pairs(bounded).mapInArrow(resolve, "query_id long, vec_id long, score long")
     # A query has about k entries at or above its bound, whatever the number of vectors; a block sends k at most.
     ranked = last.groupBy("query_id").agg(
         F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), "vec_id"))), 1, k).alias("best")

@@ -241,3 +241,19 @@ def test_embeddings_of_one_component_link_by_sign(spark):
     assert out == {
         1: (3, 1, True), 2: (3, 1, False), 7: (3, 1, False), 8: (3, 1, False), 3: (1, 3, True), 4: (1, 3, False), 5: (0, 5, True), 6: (0, 6, True)
     }
+
+
+def test_topk_broadcasts_no_blocks(spark, monkeypatch):
+    plans = []
+    for name in ("save", "finish"):
+        plain = getattr(topk_search, name)
+        monkeypatch.setattr(
+            topk_search, name, lambda df, *a, plain=plain: (plans.append(df._jdf.queryExecution().executedPlan().toString()), plain(df, *a))[1]
+        )
+    rows = [(i, [-0.5, (i * 37 % 101) / 100]) for i in range(300)]
+    out = topk_search.search(vectors(spark, rows), "vec_id", "embedding", F.col("vec_id") % 50 == 0, k=5).collect()
+    want = lambda q: sorted((-(16384 + int(256 * rows[q][1][1]) * int(256 * v[1])), i) for i, v in rows if i != q)[:5]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in out) == [
+        (q, k, i, -s) for q in range(0, 300, 50) for k, (s, i) in enumerate(want(q), 1)
+    ]
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
