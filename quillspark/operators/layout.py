@@ -107,8 +107,17 @@ def headline(lines: Column, most: int = 6) -> Column:
     usable = F.filter(
         lines, lambda x: (x["bottom"] > x["top"]) & (F.length(F.regexp_replace(x["text"], r"[^\p{L}]", "")) >= 3) & ~F.trim(x["text"]).rlike(clock)
     )
+    # Worked out once each: an expression within a lambda would be worked out again for every line.
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    return once(usable, lambda u: once(upper_median(u), lambda m: joined(u, m, most)))
+
+
+def upper_median(usable: Column) -> Column:
     heights = F.array_sort(F.transform(usable, lambda x: x["bottom"] - x["top"]))
-    median = F.get(heights, (F.size(heights) / 2).cast("int"))
+    return F.get(heights, (F.size(heights) / 2).cast("int"))
+
+
+def joined(usable: Column, median: Column, most: int) -> Column:
     tall = F.transform(
         usable, lambda x, k: F.struct((x["top"] - x["bottom"]).alias("down"), k.alias("k"), x["top"].alias("top"), x["text"].alias("text"))
     )
