@@ -39,6 +39,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt_out(keys: DataFrame, key: str) -> DataFrame:
+    """Keys spread over all cores, before much is worked out of each: a small file is one task's, however much work its rows make."""
+    spark = keys.sparkSession
+    return keys.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     d = table(spark, sf_dir, "documents").join(marks, "doc_id", "left")
