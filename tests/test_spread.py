@@ -22,3 +22,15 @@ def test_headline_of_many_lines_is_linear(spark):
     began = time.time()
     assert df.select(layout.headline(F.col("lines")).alias("h")).first()["h"] == "line number 1"
     assert time.time() - began < 20  # minutes, when the median was worked out again for each line
+
+
+def test_many_queries_makes_no_snippets(spark, monkeypatch):
+    from quillspark.operators import many
+    from quillspark.plans import stored
+
+    def made(*_):
+        raise AssertionError("the query returns no snippets")
+
+    monkeypatch.setattr(many, "snippet_at", made)
+    found = stored.many_queries(spark, "/root/testdata/sf0.001")
+    assert found.columns == ["q", "id", "tier", "rank", "reason"] and found.count() == 4219
