@@ -82,8 +82,9 @@ class Chunks:
         if len(core) > KEPT:
             core.clear()
             core[""] = b""
-        split = [t.split(" ") for t in texts]
-        new = {c for parts in split for c in parts if c not in kept}
+        # A line's end is white space to the normaliser as a space is: cutting there leaves fewer distinct chunks.
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        new = set().union(*split).difference(kept)
         # A chunk of letters with marks after them has the ids of the small letters and of the marks.
         cut = {c: (m[1].lower(), m[2]) for c in new if (m := _PLAIN(c))}
         whole = [c for c in new if c not in cut]

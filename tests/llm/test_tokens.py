@@ -118,3 +118,12 @@ def test_least_squares():
         for a, t in c:
             made[a] += n * t
     assert (x >= 0).all() and np.abs(made - target).max() < 1
+
+
+def test_line_ends_cut_chunks():
+    """Words on both sides of a line's end are known words, not a new chunk for each pair; the ids stay those of the whole text."""
+    tok, c = Tokenizer.from_file(WORDS), packing.Chunks(WORDS)
+    texts = ["The end.\nNew line\n\n next\r\nlast\n", "\n", "é\ńx a\n<|endoftext|>\nb <|endof\ntext|>", "don'\nt it\n's", "1\n2\t3\n\x1c\n日本\n語", "end.\nend.\nThe\nThe new\nline"]
+    got = c.encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not any("\n" in x for x in c.kept) and {"end.", "New", "line"} <= c.kept.keys()
